@@ -15,9 +15,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN_BITS = 7
+BIN_BITS = 8
 BINS = 1 << BIN_BITS
-BITS = 8
+BITS = 4
 WORDS = 5
 #: Probes of an empty bin, in rounds; after the last it takes the first occupied bin.
 PROBES = (2, 8, 64, 256)
