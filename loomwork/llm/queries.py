@@ -30,10 +30,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_document_fingerprints": op1_document_fingerprints,
-    }
+    """The registered queries by name."""
+    found = (
+        op1_document_fingerprints,
+        op3_toxicity,
+        op8_simhash_near_dedup,
+        op10_quality_classifier,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of these operators can be expressed in DuckDB's SQL; tests/llm holds them against brute force."""
     return {}
