@@ -53,18 +53,27 @@ def units(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in STARTS if len(word) > k)]
 
 
+def candidates(texts: list[str], y: np.ndarray) -> list[set[bytes]]:
+    """Each text's units, of those that at least 3 toxic texts hold."""
+    seen = Counter()
+    for t, k in zip(texts, y):
+        if k:
+            seen.update({u for w in words(t) for u in units(w)})
+    known = {u: u for u, k in seen.items() if k >= 3}
+    del seen
+    return [{known[u] for w in words(t) for u in units(w) if u in known} for t in texts]
+
+
 def mined(found: list[set[bytes]], y: np.ndarray) -> list[bytes]:
     """Entries that speak for label 1 beyond chance.
 
-    Of the entries in at least 3 toxic documents, those stay whose documents are
-    toxic for at least 4 in 5 and whose likelihood ratio against the overall
-    share outweighs the number of entries looked at.
+    Those stay whose documents are toxic for at least 4 in 5 and whose likelihood
+    ratio against the overall share outweighs the number of entries looked at.
     """
     pos = Counter(u for s, k in zip(found, y) if k for u in s)
-    pos = {u: k for u, k in pos.items() if k >= 3}
-    of = Counter(u for s in found for u in s if u in pos)
+    of = Counter(u for s in found for u in s)
     share = min(0.99, max(0.01, float(y.mean())))
-    bound = np.log(1 + sum(1 for u in of if of[u] >= 3))
+    bound = np.log(1 + len(of))
 
     def ratio(k: int, n: int) -> float:
         p = min(1 - 1e-6, k / n)
@@ -182,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     if not total or total == n:
         share = (total + 1) / (n + 2)
         return Model({}, float(np.log(share / (1 - share))))
-    found = [{u for w in words(t) for u in units(w)} for t in texts]
+    found = candidates(texts, labels)
     entries = mined(found, labels)
     v = votes(found, entries)
     q = LabelModel().fit(v).posterior(v)
