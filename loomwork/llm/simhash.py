@@ -207,7 +207,7 @@ def tree_of_links(rep: np.ndarray, lanes: np.ndarray, design: Design) -> tuple[n
     return np.concatenate(a), np.concatenate(b)
 
 
-def _matches(index: DataFrame, design: Design, last: bool) -> DataFrame:
+def _matches(index: DataFrame, design: Design, last: bool, most: int = LIST_ROWS) -> DataFrame:
     """(key, a, b, ...): links where ``key`` is null, and the rows of lists that are passed on."""
     shown = [f"f{i}" for i in range(design.checked)]
     names = ["key", "a", "b", *shown]
@@ -255,7 +255,7 @@ def _matches(index: DataFrame, design: Design, last: bool) -> DataFrame:
                 cut = int(np.searchsorted(key, key[-1], side="left"))
                 yield from links(key[:cut], rep[:cut], lanes[:cut]) if cut else ()
                 held, rows = [key[cut:], rep[cut:], lanes[cut:]], len(key) - cut
-                if rows > LIST_ROWS and not last:
+                if rows > most and not last:
                     yield out(held[0], held[1], None, held[2])
                     long_key, held = held[0][0], []
                 break

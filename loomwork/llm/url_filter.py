@@ -1,0 +1,162 @@
+"""URL filters: host and path rules, and a logistic regression on hashed character n-grams where no rule fits.
+
+Everything is SQL expressions.  The model is trained by a fold over the labelled
+table, repeated for some epochs, inside one ``aggregate`` expression; its only
+row, ``DIMENSIONS`` weights and a bias, is then a constant of the scoring plan.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# The rules, in order of their text.
+RULES = (
+    ("com/de/", "block"),
+    ("com/fr/", "allow"),
+    ("example.org/en/1", "block"),
+    ("example.org/es/", "block"),
+    ("org/", "allow"),
+)
+
+# The labelled URLs; 1: block.
+LABELLED = (
+    ("http://news.example.com/world/2021/article.html", 0),
+    ("https://docs.example.net/guide/start", 0),
+    ("https://library.example.edu/catalog/item/31", 0),
+    ("https://blog.example.net/en/2020/05/notes", 0),
+    ("http://m.example.com/en/960", 0),
+    ("https://www.example.com/about", 0),
+    ("https://wiki.example.net/en/history", 0),
+    ("https://forum.example.com/t/8812", 0),
+    ("http://museum.example.net/es/533/", 0),
+    ("https://data.example.edu/sets/weather.csv", 0),
+    ("https://shop.example.com/en/books/77", 0),
+    ("https://recipes.example.net/fr/soup?page=2", 0),
+    ("http://spam-farm.example.com/en/728", 1),
+    ("https://spam.example.net/click/9?utm_source=feed", 1),
+    ("https://link-farm.example.com/out/31", 1),
+    ("http://casino-bonus.example.net/win/free-spins", 1),
+    ("https://cheap-pills.example.com/buy/now", 1),
+    ("https://free-casino.example.com/jackpot", 1),
+    ("http://adult-cams.example.net/live", 1),
+    ("https://xxx-video.example.com/watch/1", 1),
+    ("https://payday-loans.example.net/apply-now", 1),
+    ("http://seo-spam-links.example.com/en/12", 1),
+    ("https://malware-download.example.net/crack/setup.exe", 1),
+    ("https://spam-farm.example.net/de/4", 1),
+)
+
+DIMENSIONS = 2048
+GRAMS = (3, 4)
+EPOCHS = 40
+RATE = 2.0
+L2 = 1e-4
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host: after the first ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lowered; path: from there to ``?``, ``#`` or the end.
+
+    A null url and one without ``://`` have neither: both are empty.
+    """
+    at = F.coalesce(F.locate("://", url), F.lit(0))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.char_length(url))).otherwise(F.lit(""))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(F.substring(rest, F.char_length(host) + 1, F.char_length(rest)), r"^[^?#]*", 0)
+    return F.translate(host, _UPPER, _LOWER), path
+
+
+def rule_of(host: Column, path: Column, rules=RULES) -> Column:
+    """The longest rule that fits, or null: its host is the url's or a parent of it, its path starts the url's."""
+    fits = None
+    for text, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        name, _, start = text.partition("/")
+        fit = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{start}")
+        fits = F.when(fit, F.lit(text)) if fits is None else fits.when(fit, F.lit(text))
+    return fits
+
+
+def buckets(host: Column, path: Column) -> Column:
+    """The different hash buckets of the character n-grams of host and path, each marked with its ends."""
+
+    def grams(text: Column, kind: str) -> Column:
+        marked = F.concat(F.lit("^"), text, F.lit("$"))
+        parts = [
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.char_length(marked) - (n - 1), F.lit(1))),
+                lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"),
+            )
+            for n in GRAMS
+        ]
+        return F.concat(*parts)
+
+    return F.array_sort(F.array_distinct(F.concat(grams(host, "host"), grams(path, "path"))))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def logit(weights: Column, found: Column) -> Column:
+    """Bias and the buckets' mean weight, scaled by the square root of their number; the bias stands last."""
+    total = _sum(F.transform(found, lambda b: F.get(weights, b)))
+    return F.get(weights, F.lit(DIMENSIONS)) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)))
+
+
+def trained(spark: SparkSession, labelled=LABELLED) -> list[float]:
+    """Weights by stochastic gradient steps over the labelled rows in order, interleaved by class."""
+    ones, zeros = [r for r in labelled if r[1]], [r for r in labelled if not r[1]]
+    turns = [r for pair in zip(zeros, ones) for r in pair]
+    turns += zeros[len(ones) :] + ones[len(zeros) :]
+    rows = spark.createDataFrame([(i, u, float(y)) for i, (u, y) in enumerate(turns)], "i int, url string, y double")
+    host, path = host_and_path(F.col("url"))
+    one = rows.select("i", "y", buckets(host, path).alias("found")).agg(
+        F.sort_array(F.collect_list(F.struct("i", "y", "found"))).alias("rows")
+    )
+    steps = F.flatten(F.array_repeat("rows", EPOCHS))
+
+    def step(w: Column, row: Column) -> Column:
+        # one pass for the error, bound by a one-element array; one for the weights
+        error = F.array(row["y"] - 1 / (1 + F.exp(-logit(w, row["found"]))))
+        moved = F.transform(
+            error,
+            lambda e: F.transform(
+                w,
+                lambda v, i: v * (1 - RATE * L2)
+                + F.when(i == DIMENSIONS, RATE * 0.1 * e)
+                .when(F.array_contains(row["found"], i), RATE * e / F.sqrt(F.size(row["found"])))
+                .otherwise(F.lit(0.0)),
+            ),
+        )
+        return F.get(moved, F.lit(0))
+
+    start = F.array_repeat(F.lit(0.0), DIMENSIONS + 1)
+    return one.select(F.aggregate(steps, start, step).alias("w")).first()["w"]
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score (the probability of block).
+
+    The longest fitting rule decides; without one, block if the score is over a half.
+    """
+    weights = F.from_json(F.lit(json.dumps(trained(pages.sparkSession))), "array<double>")
+    host, path = host_and_path(F.col("url"))
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path")))
+    score = 1 / (1 + F.exp(-logit(weights, buckets(F.col("host"), F.col("path")))))
+    verdict = None
+    for text, say in RULES:
+        verdict = F.when(F.col("rule") == text, F.lit(say)) if verdict is None else verdict.when(F.col("rule") == text, F.lit(say))
+    scored = ruled.withColumn("score", score)
+    return scored.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        verdict.otherwise(F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        "score",
+    )

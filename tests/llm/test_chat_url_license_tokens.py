@@ -1,0 +1,163 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from loomwork.llm import chat, license_scan, url_filter, wavelet
+from tests.llm.conftest import ODD
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_chat_round_trip(spark):
+    nasty = "\\### Assistant: </turn> ok"
+    rows = [(i, t, r, x) for i, t, r, x in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", nasty), (-7, 1, "assistant", nasty), (-8, 0, "user", "only"), (-9, 0, None, None), (-9, 0, None, None), (-9, 2, "assistant", ""), (-9, 3, "user", 'x"\\l<\n')]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.examples(df)).collect()}
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((t, r or "", x or ""))
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        turns.sort()
+        whole = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = [x for _, r, x in turns if r == "assistant"]
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+        assert got[c]["loss_chars"] == sum(map(len, loss))
+        assert got[c]["loss_sha256"] == hashlib.sha256("".join(loss).encode()).hexdigest()
+        assert got[c]["n_examples"] == len(loss) + (turns[-1][1] != "assistant")
+
+
+def test_chat_masks_only_the_last_reply(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q<"), (1, 1, "assistant", "a\\"), (1, 2, "user", "r"), (1, 3, "assistant", "b>")], "conv_id long, turn long, role string, text string")
+    rows = chat.examples(df).orderBy("example").collect()
+    assert [r["text"][r["loss_start"] : r["loss_end"]] for r in rows] == ["a\\\\", "b\\g"]
+    assert rows[1]["text"].startswith(rows[0]["text"])
+    assert [x for _, x in chat.read_turns(rows[1]["text"])] == ["q<", "a\\", "r", "b>"]
+
+
+def test_url_parts_and_rules(spark):
+    urls = {
+        "HTTP://A.Example.ORG/es/x?y#z": ("a.example.org", "/es/x", "example.org/es/"),
+        "http://example.org/en/12": ("example.org", "/en/12", "example.org/en/1"),
+        "http://notexample.org/en/12": ("notexample.org", "/en/12", "org/"),
+        "http://example.com/fr/": ("example.com", "/fr/", "com/fr/"),
+        "http://x.com/de/1": ("x.com", "/de/1", "com/de/"),
+        "http://x.org": ("x.org", "", None),
+        "http://x.org?/a": ("x.org", "", None),
+        "x.org/a": ("", "", None),
+        "a://b://c/d": ("b:", "//c/d", None),
+        "": ("", "", None),
+        None: ("", "", None),
+    }
+    df = spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    got = {r["page_id"]: r for r in url_filter.judged(df).collect()}
+    for i, (u, want) in enumerate(urls.items()):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == want, u
+    assert got[0]["verdict"] == "block" and got[2]["verdict"] == "allow"
+    assert all(r["verdict"] in ("allow", "block") for r in got.values())
+
+
+def test_url_model_learns_its_table(spark):
+    rows = [(i, u) for i, (u, _) in enumerate(url_filter.LABELLED)]
+    found = {r["page_id"]: r["score"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all((found[i] > 0.5) == bool(y) for i, (_, y) in enumerate(url_filter.LABELLED))
+    more = spark.createDataFrame([(1, "https://spam-farm.other.com/en/3"), (2, "https://news.other.com/en/3")], "page_id long, url string")
+    score = {r["page_id"]: r["score"] for r in url_filter.judged(more).collect()}
+    assert score[1] > 0.5 > score[2]
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def brute_licenses(text):
+    words = WORD.findall((text or "").translate(LOWER))
+    places = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), places
+
+
+def check_licenses(df, rows):
+    got = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for doc, text in rows:
+        n, places = brute_licenses(text)
+        assert any(
+            (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
+            == (n, len(places), min(places, default=(None,))[0], max(places, default=(None,))[0], ",".join(sorted({x for _, x in places})))
+            and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+            and 0 <= r["score"] <= 1
+            for r in got[doc]
+        ), (doc, text[:80] if text else text)
+
+
+def test_licenses_against_brute_force(spark, odd, empty):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    check_licenses(df, [(r["doc_id"], r["text"]) for r in df.collect()])
+    check_licenses(odd, [r[:2] for r in ODD])
+    assert license_scan.scan(empty).count() == 0
+    made = [
+        (1, "Under the MIT license. under the mit-license; apache license, version 2.0"),
+        (2, "under the mit license " * 50),
+        (3, "This work is licensed under the GNU General Public License, Version 3."),
+        (4, "CC BY-NC cc by cc by nc"),
+        (5, "Permission is hereby granted, free of charge, to any one obtaining a copy of this software and associated documentation files"),
+    ]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    check_licenses(df, made)
+    labels = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert labels == {1: "apache-2,mit", 2: "mit", 3: "gpl-3", 4: "cc-by-nc", 5: "mit"}
+
+
+@pytest.mark.parametrize("top,n", [(1, 1), (1, 700), (2, 1000), (49_408, 5_000), (70_000, 513)])
+def test_wavelet_matrix(top, n):
+    ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
+    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids).to_bytes())
+    assert (m.all() == ids).all()
+    for i in range(0, n, max(1, n // 50)):
+        assert m.access(i) == ids[i]
+        assert m.count(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
+        at = np.flatnonzero(ids == ids[i])
+        assert [m.find(int(ids[i]), k) for k in range(min(3, len(at)))] == at[:3].tolist()
+    assert m.count(int(ids.max()) * 4 + 3) == 0
+    with pytest.raises(IndexError):
+        m.find(int(ids[0]), n)
+
+
+def test_token_report(spark, odd, empty):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+
+    def check(df):
+        rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or "") for r in df.select("doc_id", "text").collect()))
+        got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.token_report(df, path).collect())
+        start = 0
+        assert len(rows) == len(got)
+        for (has, doc, _, text), g in zip(rows, got):
+            ids = plain.encode(text, add_special_tokens=False).ids + [1]
+            assert g == (start, doc if has else None, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+
+    check(spark.read.parquet(f"{SF}/documents.parquet"))
+    check(odd)
+    assert wavelet.token_report(empty, path).count() == 0
+    check(spark.createDataFrame([(1, "It's  a\x1ctest\u2003don't <|endoftext|> e\u0301 É́x\r\ny")], "doc_id long, text string"))
+
+
+def test_shards_are_closed_at_their_size(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small = wavelet.write_shards(df, path, shard_ids=10_000)
+    assert small.count() > 10
+    key = lambda d: sorted(tuple(r) for r in d.select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert key(wavelet.read_documents(small)) == key(wavelet.token_report(df, path))
