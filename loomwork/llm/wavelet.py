@@ -32,9 +32,8 @@ BLOCK = 512
 END_ID = 1
 #: A shard is closed at the document that reaches so many ids.
 SHARD_IDS = 2_000_000
-#: White-space separated chunks whose ids a worker keeps.
-KEPT_CHUNKS = 400_000
-_SPACES = " \n"
+#: White-space separated chunks whose ids a worker keeps, in each of two generations.
+KEPT_CHUNKS = 250_000
 
 
 class WaveletMatrix:
@@ -53,13 +52,14 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        top = int(ids.max(initial=0))
-        now = ids.astype(np.uint32, copy=True)
+        width = max(1, int(ids.max(initial=0)).bit_length())
+        now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
-        for bit in range(max(1, top.bit_length()) - 1, -1, -1):
-            ones = (now >> np.uint32(bit)) & np.uint32(1) == 1
+        for bit in range(width - 1, -1, -1):
+            ones = (now & now.dtype.type(1 << bit)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            now = np.concatenate([now[~ones], now[ones]])
+            if bit:
+                now = np.concatenate([now[~ones], now[ones]])
         return cls(len(ids), planes)
 
     def rank(self, plane: int, i: int) -> int:
@@ -116,16 +116,16 @@ class WaveletMatrix:
         return at
 
     def all(self) -> np.ndarray:
-        """The whole sequence, plane by plane."""
-        at = np.arange(self.n, dtype=np.int64)
-        out = np.zeros(self.n, np.uint32)
-        for p, plane in enumerate(self.planes):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little")
-            to = np.where(ones == 1, self.zeros[p] + np.cumsum(ones, dtype=np.int32) - 1, np.cumsum(ones == 0, dtype=np.int32) - 1).astype(np.int32)
-            bits = ones[at]
-            out = out * np.uint32(2) + bits
-            at = to[at]
-        return out
+        """The whole sequence: from the last plane's order back to the first's."""
+        now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for p in range(len(self.planes) - 1, -1, -1):
+            ones = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
+            if p < len(self.planes) - 1:
+                back = np.empty_like(now)
+                back[~ones], back[ones] = now[: self.zeros[p]], now[self.zeros[p] :]
+                now = back
+            now[ones] |= now.dtype.type(1 << (len(self.planes) - 1 - p))
+        return now.astype(np.uint32)
 
     def to_bytes(self) -> bytes:
         body = b"".join(p.tobytes() for p in self.planes)
@@ -143,29 +143,83 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file, as little-endian unsigned 16- or 32-bit integers.
+    """Ids of whole texts by a tokenizer file.
 
     The tokenizer's normaliser and splitter drop white space and never look
-    across it, so texts are cut at blanks and line feeds, each different chunk is
-    encoded once by the library, and its ids are kept.
+    across it, so texts are cut at blanks and line feeds and the ids of each
+    different chunk are kept.  A chunk of letters is one word to the splitter and
+    a closing mark after it another; so new words are encoded together, and
+    their ids are told apart by the vocabulary's word-end pieces.  If that count
+    is off, as for letters whose lower case holds marks, and for all other
+    chunks, the library encodes each by itself.
     """
 
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors' cores are Spark's to share out
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.most = kept
+        self.closing = {m: self._alone(m) for m in ".,;:!?"}
+
+    def _alone(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Encodes words of letters into ``kept``."""
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                data, start = ids.tobytes(), 0
+                for w, e in zip(part, (4 * ends).tolist()):
+                    self.kept[w] = data[start:e]
+                    start = e
+            else:
+                self.kept.update((w, self._alone(w)) for w in part)
+
+    def _learn(self, chunks: set[str]) -> None:
+        kept, closing = self.kept, self.closing
+        stems = {c: c[:-1] if c[-1] in closing else c for c in chunks}
+        plain = {c: (s.lower() if s.isascii() else s) for c, s in stems.items() if s.isalpha()}
+        new = set(plain.values()).difference(kept)
+        self._words(sorted(new))
+        for c, w in plain.items():
+            if c != w:
+                kept[c] = kept[w] + (closing[c[-1]] if stems[c] != c else b"")
+        for c in chunks:
+            if c not in plain:
+                kept[c] = self._alone(c)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        kept = self.kept
-        if len(kept) > self.most:
-            kept.clear()
-        new = list({c for row in chunks for c in row}.difference(kept))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            kept[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(kept.__getitem__, row)), "<u4") for row in chunks]
+        if len(self.kept) > self.most:  # what is used again comes over from the older generation
+            self.kept, self.older = {"": b""}, self.kept
+        new = {c for row in chunks for c in row}.difference(self.kept)
+        if new:
+            known = new.intersection(self.older)
+            self.kept.update((c, self.older[c]) for c in known)
+            self._learn(new - known)
+        get = self.kept.__getitem__
+        return [np.frombuffer(b"".join(map(get, row)), "<u4") for row in chunks]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder: tasks that follow each other in it share what it keeps."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_shards(documents: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -178,7 +232,7 @@ def write_shards(documents: DataFrame, tokenizer: str, shard_ids: int = SHARD_ID
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, docs, held = [], [], 0
 
         def shard() -> pa.RecordBatch:
