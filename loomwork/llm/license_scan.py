@@ -12,6 +12,8 @@ then an equality test on the words.  Other templates may differ in some words.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +55,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
-def gram_hashes(words: Column) -> Column:
-    """The hash of each run of K words."""
+def _grams(w: Column) -> Column:
+    heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(0)))
+    return F.transform(heads, lambda a, i: F.xxhash64(a, *[F.get(w, i + j) for j in range(1, K)]))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def grams(w: Column) -> Column:
-        heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(0)))
-        return F.transform(heads, lambda a, i: F.xxhash64(a, *[F.get(w, i + j) for j in range(1, K)]))
 
-    return F.get(F.transform(F.array(words), grams), F.lit(0))
+def gram_hashes(words: Column) -> Column:
+    """The hash of each run of K words."""
+    return _let(words, _grams)
 
 
 def template_table(spark) -> DataFrame:
@@ -69,6 +76,11 @@ def template_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "t int, words array<string>, label string, exact boolean")
 
 
+def _votes_of(templates: DataFrame) -> DataFrame:
+    """(t, exact, at, h): the grams of the templates, some 130 rows that this module fixes."""
+    return templates.select("t", "exact", F.posexplode(gram_hashes(F.col("words"))).alias("at", "h"))
+
+
 def spans(documents: DataFrame) -> DataFrame:
     """(doc_id, k, t, first, hits, lo, hi): merged diagonals with votes; ``k`` is the hash of the text.
 
@@ -76,10 +88,10 @@ def spans(documents: DataFrame) -> DataFrame:
     range of words hit, end exclusive.  Rows of one id and text count once.
     """
     templates = template_table(documents.sparkSession)
-    votes_of = templates.select("t", "exact", F.posexplode(gram_hashes(F.col("words"))).alias("at", "h"))
+    votes_of = _votes_of(templates)
     text = F.coalesce("text", F.lit(""))
     grams = documents.select("doc_id", F.xxhash64(text).alias("k"), F.posexplode(gram_hashes(words_of(F.col("text")))).alias("p", "h"))
-    hits = grams.join(F.broadcast(votes_of), "h")  # the templates are constants: some 130 rows
+    hits = grams.join(F.broadcast(votes_of), "h")
     diagonals = hits.groupBy("doc_id", "k", "t", "exact", (F.col("p") - F.col("at")).alias("first")).agg(
         F.count_distinct("p").alias("hits"), F.min("p").alias("lo"), (F.max("p") + K).alias("hi")
     )
@@ -102,9 +114,13 @@ def scan(documents: DataFrame) -> DataFrame:
     enough = F.col("hits") >= F.when(F.col("exact"), F.size("words") - (K - 1)).otherwise(F.lit(0.5) * (F.size("words") - (K - 1)))
     span = F.struct("exact", "label", "words", F.col("first").cast("long").alias("first"), "lo", "hi")
     per_text = found.filter(enough).groupBy("doc_id", "k").agg(F.collect_list(span).alias("spans"))
-    texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), words_of(F.col("text")).alias("w"))
+    # only texts that share a gram with a template can have spans; the others' text needn't travel to them
+    known = F.from_json(F.lit(json.dumps([r["h"] for r in _votes_of(templates).select("h").distinct().collect()])), "array<bigint>")
+    seen = _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), F.arrays_overlap(_grams(w), known).alias("hit")))
+    texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text", seen.alias("s"))
+    texts = texts.select("doc_id", "k", F.col("s.n").cast("long").alias("n_words"), F.when(F.col("s.hit"), F.col("text")).alias("text"))
     right = per_text.select(F.col("doc_id").alias("i"), F.col("k").alias("j"), "spans")
-    joined = texts.join(right, texts["doc_id"].eqNullSafe(right["i"]) & (texts["k"] == right["j"]), "left")
+    joined = texts.join(right, texts["doc_id"].eqNullSafe(right["i"]) & (texts["k"] == right["j"]), "left").withColumn("w", words_of(F.col("text")))
 
     def cover(w: Column, s: Column) -> Column:
         """1 where the words stand word for word, else their share in the hit range and its margins."""
@@ -116,7 +132,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
     scored = joined.select(
         "doc_id",
-        F.size("w").cast("long").alias("n_words"),
+        "n_words",
         F.transform(
             F.coalesce("spans", F.array().cast(per_text.schema["spans"].dataType)),
             lambda s: F.struct(
