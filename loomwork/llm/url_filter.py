@@ -85,14 +85,12 @@ def buckets(host: Column, path: Column) -> Column:
 
     def grams(text: Column, kind: str) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
-        parts = [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.char_length(marked) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"),
-            )
-            for n in GRAMS
-        ]
-        return F.concat(*parts)
+
+        def of_size(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.char_length(marked) - (n - 1), F.lit(1)))
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), F.substring(marked, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int"))
+
+        return F.concat(*map(of_size, GRAMS))
 
     return F.array_sort(F.array_distinct(F.concat(grams(host, "host"), grams(path, "path"))))
 
