@@ -4,16 +4,650 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from loomwork.functions import geometry, parsers, vision
+from loomwork.operators import binning, conversations, joins, metrics, sampling, similarity, windows
+from loomwork.plans.tables import Tables, micros
+from loomwork.streaming import streams
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+BUDGET = binning.Budget(most=4096, expected=3584, per_sample=3000)
+BUFFERED = binning.Budget(most=4096, expected=3584, per_sample=3000, buffer=4, prefer_below=2048)
+
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_bins_report(Tables(spark, sf_dir))
+
+
+TOKENS = "SELECT doc_id, lang, source, greatest(n_chars // 4, 1)::BIGINT AS tokens FROM documents"
+ORDERED = "SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', doc_id::VARCHAR, '7')), doc_id) AS rn, count(*) OVER () AS n FROM documents"
+JUDGED = "SELECT d.doc_id, lang, source, n_chars, quality, toxic, n_chars >= 600 AS predicted FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+
+
+# --- conversations
+
+
+@query("""SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS question, arg_max(text, turn) FILTER (role = 'assistant') AS answer
+FROM conversations GROUP BY conv_id""")
+def conv_qa_last(t: Tables) -> DataFrame:
+    return conversations.last_pair(t.conversations)
+
+
+@query("""SELECT conv_id, max(text) FILTER (p = 1) AS question, max(text) FILTER (p = 2) AS answer
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) WHERE p <= 2 GROUP BY conv_id""")
+def conv_qa_first_pair(t: Tables) -> DataFrame:
+    return conversations.first_pair(t.conversations)
+
+
+@query("""WITH s AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'human') THEN 'human' ELSE 'gpt' END AS speaker, nullif(text, '') AS value FROM conversations),
+m AS (SELECT *, max(coalesce(contains(value, '<image>'), false)::INT) OVER (PARTITION BY conv_id) AS has,
+ row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN speaker = 'human' THEN 0 ELSE 1 END, turn) AS r FROM s)
+SELECT conv_id, turn, speaker, CASE WHEN has = 0 AND r = 1 AND speaker = 'human' THEN '<image>' || chr(10) || coalesce(value, '') ELSE value END AS value FROM m""")
+def conv_normalized(t: Tables) -> DataFrame:
+    return conversations.with_placeholder(conversations.normalised(t.conversations)).select("conv_id", "turn", "speaker", "value")
+
+
+@query("""WITH q AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS q, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, list_concat(list_concat(['<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)],
+ list_filter(string_split(replace('<vit_image>' || q || '<dino_image>' || '<vae_image>', '_image>', '_image>' || chr(1)).replace('<vit', chr(1) || '<vit').replace('<dino', chr(1) || '<dino').replace('<vae', chr(1) || '<vae'), chr(1)), lambda x: x <> '')),
+ list_concat(['<|im_end|>' || chr(10) || '<|im_start|>assistant'], CASE WHEN a <> '' THEN [chr(10) || a] ELSE [] END)) AS v, a <> '' AS has FROM q),
+u AS (SELECT conv_id, has, len(v) AS n, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS pos FROM p)
+SELECT conv_id, pos::INT AS pos, CASE value WHEN '<vit_image>' THEN 'vit' WHEN '<dino_image>' THEN 'dino' WHEN '<vae_image>' THEN 'vae' ELSE 'text' END AS type,
+ has AND pos = n - 1 AS loss, value, coalesce(sum(length(value)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM u""")
+def chat_segments(t: Tables) -> DataFrame:
+    pairs = conversations.last_pair(t.conversations)
+    asked = F.concat(F.lit("<vit_image>"), F.coalesce("question", F.lit("")), F.lit("<dino_image><vae_image>"))
+    return conversations.segments(pairs.withColumn("question", asked), "conv_id")
+
+
+@query()
+def chat_segments_two_passes(t: Tables) -> DataFrame:
+    return conversations.two_passes(conversations.last_pair(t.conversations), "conv_id")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0")
+def segments_no_loss(t: Tables) -> DataFrame:
+    return conversations.without_loss(t.conversations)
+
+
+@query("SELECT role, round(sum(CASE WHEN length(text) = 0 THEN 0 ELSE 1 / sqrt(length(text)) END), 6) AS weight, count(*) AS n FROM conversations GROUP BY role")
+def loss_weight(t: Tables) -> DataFrame:
+    w = parsers.length_weight(F.char_length("text"), "square")
+    return t.conversations.groupBy("role").agg(F.round(F.sum(w), 6).alias("weight"), F.count("*").alias("n"))
+
+
+# --- counts and filters
+
+
+@query("""WITH c AS (SELECT (n_chars // 500)::BIGINT AS value, count(*) AS n FROM documents GROUP BY 1)
+SELECT value, n, sum(n) OVER ()::BIGINT AS total, round(100.0 * n / sum(n) OVER (), 4) AS percent FROM c""")
+def len_hist(t: Tables) -> DataFrame:
+    return metrics.histogram(t.documents, F.floor(F.col("n_chars") / 500))
+
+
+@query(f"SELECT lang, count(*) FILTER (tokens <= 400) AS kept, count(*) FILTER (tokens > 400) AS skipped FROM ({TOKENS}) GROUP BY lang")
+def length_filter(t: Tables) -> DataFrame:
+    return t.tokens.groupBy("lang").agg(F.count_if(F.col("tokens") <= 400).alias("kept"), F.count_if(F.col("tokens") > 400).alias("skipped"))
+
+
+# --- shards, repeats, mixtures
+
+
+@query(f"SELECT doc_id, rn, ((rn - 1) // (n // 8))::INT AS shard FROM ({ORDERED}) WHERE rn - 1 < (n // 8) * 8")
+def shard_floor(t: Tables) -> DataFrame:
+    return sampling.shards(t.documents, "doc_id", 7, 8, "floor").select("doc_id", "rn", "shard")
+
+
+@query(f"SELECT doc_id, rn, ((rn - 1) % 8)::INT AS shard FROM ({ORDERED})")
+def shard_stride(t: Tables) -> DataFrame:
+    return sampling.shards(t.documents, "doc_id", 7, 8, "stride").select("doc_id", "rn", "shard")
+
+
+@query(f"SELECT doc_id, rn, (ntile(8) OVER (ORDER BY rn) - 1)::INT AS shard FROM ({ORDERED})")
+def shard_ntile(t: Tables) -> DataFrame:
+    return sampling.shards(t.documents, "doc_id", 7, 8, "balanced").select("doc_id", "rn", "shard")
+
+
+@query(f"SELECT doc_id, rn, ((rn - 1) // ceil(n / 8.0)::BIGINT)::INT AS shard FROM ({ORDERED})")
+def shard_ceil(t: Tables) -> DataFrame:
+    return sampling.shards(t.documents, "doc_id", 7, 8, "ceil").select("doc_id", "rn", "shard")
+
+
+@query(f"""WITH s AS (SELECT doc_id, rn, ((rn - 1) // (n // 8))::INT AS shard, (n // 8) AS size FROM ({ORDERED}) WHERE rn - 1 < (n // 8) * 8),
+w AS (SELECT *, (rn - 1) % size AS a, size // 3 AS k FROM s)
+SELECT doc_id, shard, (a // k)::INT AS worker, (k - 1 - a % k)::INT AS pos FROM w WHERE a < k * 3""")
+def worker_split(t: Tables) -> DataFrame:
+    return sampling.worker_lists(sampling.shards(t.documents, "doc_id", 7, 8, "floor"), 3).select("doc_id", "shard", "worker", "pos")
+
+
+@query("""WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o, count(*) OVER (PARTITION BY source) AS n,
+ 0.5 + right(source, 1)::INT % 3 AS r FROM documents)
+SELECT doc_id, source, c AS copy FROM p, range(10) g(c) WHERE c < floor(r) + CASE WHEN o <= floor(n * (r - floor(r))) THEN 1 ELSE 0 END""")
+def repeat_ratio(t: Tables) -> DataFrame:
+    ratio = F.lit(0.5) + F.substring("source", -1, 1).cast("int") % 3
+    return sampling.repeated(t.documents.select("doc_id", "source"), "source", "doc_id", ratio, "b").select("doc_id", "source", "copy")
+
+
+@query("""WITH u AS (SELECT doc_id, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '11')), 1, 8))::BIGINT / 4294967296.0 AS u FROM documents)
+SELECT doc_id, CASE WHEN u < 0.5 THEN 'recon' WHEN u < 0.8 THEN 'edit' ELSE 'vlm' END AS "group" FROM u""")
+def mixture_draw(t: Tables) -> DataFrame:
+    return sampling.mixture(t.documents, "doc_id", 11, [("recon", 5.0), ("edit", 3.0), ("vlm", 2.0)]).select("doc_id", "group")
+
+
+@query("""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', doc_id::VARCHAR, '3')), doc_id) AS rn FROM documents),
+c AS (SELECT *, ((rn - 1) // 32)::INT AS megabatch, max((rn - 1) // 32) OVER (PARTITION BY lang) AS top FROM p)
+SELECT doc_id, lang, rn, megabatch, md5(concat_ws(':', lang, megabatch::VARCHAR, '3')) AS mb_order FROM c WHERE top = 0 OR megabatch < top""")
+def megabatch_order(t: Tables) -> DataFrame:
+    return sampling.megabatches(t.documents, "lang", "doc_id", 3, 32, drop_last=True).select("doc_id", "lang", "rn", "megabatch", "mb_order")
+
+
+@query()
+def length_grouped_chunks(t: Tables) -> DataFrame:
+    batches = sampling.megabatches(t.tokens, "lang", "doc_id", 3, 32, drop_last=True)
+    return sampling.even_chunks(batches.select("doc_id", "lang", "megabatch", "tokens"), ["lang", "megabatch"], "tokens", "doc_id", 4)
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '5')), 1, 8))::BIGINT / 4294967296.0 >= 0.3""")
+def dropout(t: Tables) -> DataFrame:
+    return sampling.bernoulli(t.documents, "doc_id", 5, 0.3).select("doc_id", "lang")
+
+
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', source, doc_id::VARCHAR, '9')), doc_id) AS r FROM documents) WHERE r <= 3""")
+def few_shot_pick(t: Tables) -> DataFrame:
+    return sampling.pick_some(t.documents, "source", "doc_id", 9, 3).select("source", "doc_id")
+
+
+@query("""WITH p AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i, count(*) OVER () AS n FROM nation) SELECT n_name, g.i AS i FROM p, range(60) g(i) WHERE g.i % p.n = p.i""")
+def cyclic_oversample(t: Tables) -> DataFrame:
+    return sampling.cycled(t.nation, "n_name", 60).select("n_name", "i")
+
+
+# --- packing
+
+_PACK = f"""WITH RECURSIVE s AS (SELECT doc_id, tokens, shard, row_number() OVER (PARTITION BY shard ORDER BY rn) AS i FROM
+ (SELECT t.doc_id, t.tokens, o.rn, (ntile(8) OVER (ORDER BY o.rn) - 1)::INT AS shard FROM ({TOKENS}) t JOIN ({ORDERED}) o ON t.doc_id = o.doc_id)),
+f AS (SELECT shard, 0::BIGINT AS i, 0::BIGINT AS bin, 0::BIGINT AS curr, 0::BIGINT AS pos, NULL::BIGINT AS id, NULL::VARCHAR AS state, NULL::BIGINT AS b, NULL::BIGINT AS p, NULL::BIGINT AS st, NULL::BIGINT AS tokens FROM (SELECT DISTINCT shard FROM s)
+UNION ALL
+SELECT f.shard, s.i,
+ CASE WHEN s.tokens > 3000 THEN f.bin WHEN f.curr + s.tokens > 4096 THEN f.bin + (f.pos > 0)::INT WHEN f.curr + s.tokens >= 3584 THEN f.bin + 1 ELSE f.bin END,
+ CASE WHEN s.tokens > 3000 THEN f.curr WHEN f.curr + s.tokens > 4096 THEN 0 WHEN f.curr + s.tokens >= 3584 THEN 0 ELSE f.curr + s.tokens END,
+ CASE WHEN s.tokens > 3000 THEN f.pos WHEN f.curr + s.tokens > 4096 THEN 0 WHEN f.curr + s.tokens >= 3584 THEN 0 ELSE f.pos + 1 END,
+ s.doc_id, CASE WHEN s.tokens > 3000 THEN 'too_long' WHEN f.curr + s.tokens > 4096 THEN 'dropped' ELSE 'packed' END,
+ CASE WHEN s.tokens > 3000 OR f.curr + s.tokens > 4096 THEN NULL ELSE f.bin END, CASE WHEN s.tokens > 3000 OR f.curr + s.tokens > 4096 THEN NULL ELSE f.pos END,
+ CASE WHEN s.tokens > 3000 OR f.curr + s.tokens > 4096 THEN NULL ELSE f.curr END, s.tokens
+ FROM f JOIN s ON s.shard = f.shard AND s.i = f.i + 1),
+packed AS (SELECT shard, id, state, b AS bin, p AS pos, st AS start, tokens FROM f WHERE i > 0)
+"""
+
+
+def _samples(t: Tables) -> DataFrame:
+    placed = sampling.shards(t.tokens, "doc_id", 7, 8, "balanced")
+    return placed.select("shard", "rn", F.col("doc_id").alias("id"), "tokens", F.col("lang").alias("lang"))
+
+
+@query(_PACK + "SELECT * FROM packed")
+def pack_bins(t: Tables) -> DataFrame:
+    return binning.packed(_samples(t), BUDGET)
+
+
+@query(_PACK + """SELECT shard, count(DISTINCT bin) AS bins, count(*) FILTER (state = 'packed') AS samples, (sum(tokens) FILTER (state = 'packed'))::BIGINT AS tokens,
+ round((sum(tokens) FILTER (state = 'packed')) / (4096.0 * count(DISTINCT bin)), 6) AS avg_fill FROM packed GROUP BY shard""")
+def pack_bins_report(t: Tables) -> DataFrame:
+    packed = F.col("state") == "packed"
+    sums = binning.packed(_samples(t), BUDGET).groupBy("shard").agg(
+        F.count_distinct("bin").alias("bins"), F.count_if(packed).alias("samples"), F.sum(F.when(packed, F.col("tokens"))).alias("tokens")
+    )
+    return sums.withColumn("avg_fill", F.round(F.col("tokens") / (F.lit(4096.0) * F.col("bins")), 6))
+
+
+@query(_PACK + """SELECT shard, bin, sum(tokens)::BIGINT AS start, count(*) AS pos, (4096 - sum(tokens))::BIGINT AS tokens FROM packed WHERE state = 'packed' GROUP BY shard, bin HAVING sum(tokens) < 4096""")
+def pack_padding(t: Tables) -> DataFrame:
+    return binning.padding_rows(binning.packed(_samples(t), BUDGET), 4096).select("shard", "bin", "start", "pos", F.col("tokens").cast("bigint").alias("tokens"))
+
+
+@query()
+def pack_bins_buffered(t: Tables) -> DataFrame:
+    return binning.packed(_samples(t), BUFFERED)
+
+
+@query()
+def pack_bins_mandatory(t: Tables) -> DataFrame:
+    return binning.packed(_samples(t).withColumn("grp", F.col("lang")), BUDGET, mandatory=("de", "fr"))
+
+
+# --- reports
+
+
+@query(f"""WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND predicted) AS tp, count(*) FILTER (quality = 0 AND predicted) AS fp, count(*) FILTER (quality = 0 AND NOT predicted) AS tn,
+ count(*) FILTER (quality = 1 AND NOT predicted) AS fn FROM ({JUDGED}) GROUP BY lang)
+SELECT lang, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1,
+ round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round((tp + fp) / (tp + fp + tn + fn), 6) AS yes_ratio FROM c""")
+def binary_metrics_by_group(t: Tables) -> DataFrame:
+    out = metrics.confusion(t.judged, ["lang"], F.col("quality") == 1, F.col("predicted"))
+    return out.select("lang", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "yes_ratio")])
+
+
+@query(f"""WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND predicted) AS tp, count(*) FILTER (quality = 0 AND predicted) AS fp,
+ count(*) FILTER (quality = 1 AND NOT predicted) AS fn FROM ({JUDGED}) GROUP BY lang) SELECT round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS macro_f1 FROM c""")
+def macro_f1(t: Tables) -> DataFrame:
+    out = metrics.macro(metrics.confusion(t.judged, ["lang"], F.col("quality") == 1, F.col("predicted")), "f1")
+    return out.select(F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("""WITH p AS (SELECT l_linestatus, l_orderkey, (l_linenumber - 1) // 2 AS pair, count(*) AS n, count(*) FILTER (l_quantity >= 10) AS r FROM lineitem GROUP BY ALL)
+SELECT l_linestatus, round(sum(r) / sum(n), 6) AS acc, round(count(*) FILTER (n = 2 AND r = 2) / nullif(count(*) FILTER (n = 2), 0), 6) AS acc_plus, sum(n)::BIGINT AS rows,
+ round(100 * (sum(r) / sum(n) + count(*) FILTER (n = 2 AND r = 2) / nullif(count(*) FILTER (n = 2), 0)), 4) AS score FROM p GROUP BY l_linestatus""")
+def paired_accuracy(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_linestatus", "l_orderkey", F.floor((F.col("l_linenumber") - 1) / 2).alias("pair"), "l_quantity")
+    out = metrics.paired(rows, ["l_linestatus"], ["l_orderkey", "pair"], F.col("l_quantity") >= 10)
+    return out.select("l_linestatus", F.round("acc", 6).alias("acc"), F.round("acc_plus", 6).alias("acc_plus"), "rows", F.round("score", 4).alias("score"))
+
+
+@query(f"""WITH j AS (SELECT source, lang, (quality = 1) = predicted AS ok FROM ({JUDGED}))
+SELECT round(avg(ok::INT), 6) AS image_accuracy, (SELECT round(avg(x), 6) FROM (SELECT max(ok::INT) AS x FROM j GROUP BY source)) AS prompt_accuracy,
+ (SELECT round(avg(x), 6) FROM (SELECT avg(ok::INT) AS x FROM j GROUP BY lang)) AS overall FROM j""")
+def tag_macro_micro(t: Tables) -> DataFrame:
+    ok = (F.col("quality") == 1) == F.col("predicted")
+    out = metrics.any_and_tag_means(t.judged, "source", "lang", ok)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(f"""SELECT lang, source, CASE grouping_id(lang, source) WHEN 0 THEN 'inner' WHEN 1 THEN 'outer' ELSE 'all' END AS level, sum(((quality = 1) = predicted)::INT)::BIGINT AS right,
+ count(*) AS n, round(100.0 * sum(((quality = 1) = predicted)::INT) / (count(*) + 1e-6), 4) AS acc FROM ({JUDGED}) GROUP BY ROLLUP (lang, source)""")
+def weighted_rollup(t: Tables) -> DataFrame:
+    ok = (F.col("quality") == 1) == F.col("predicted")
+    return metrics.hierarchy(t.judged, "lang", "source", ok, eps=1e-6, scale=100.0).withColumn("acc", F.round("acc", 4))
+
+
+@query("""WITH s AS (SELECT l_linestatus AS meta, l_returnflag AS kind, (l_linenumber % 3)::VARCHAR AS item, CASE WHEN l_quantity >= 5 THEN least(5, l_quantity / 10) END AS consistency, CASE WHEN l_tax > 0.01 THEN 1 + l_tax * 50 END AS quality FROM lineitem),
+u AS (SELECT meta, kind, item, 'consistency' AS metric, (consistency - 1) * 25 AS x FROM s WHERE consistency IS NOT NULL UNION ALL SELECT meta, kind, item, 'quality', (quality - 1) * 25 FROM s WHERE quality IS NOT NULL)
+SELECT meta, kind, item, metric, CASE grouping_id(meta, kind, item, metric) WHEN 8 THEN 'kind+item+metric' WHEN 10 THEN 'kind+metric' WHEN 11 THEN 'kind' WHEN 7 THEN 'meta' ELSE 'all' END AS level, round(avg(x), 5) AS mean, count(*) AS n
+FROM u GROUP BY GROUPING SETS ((kind, item, metric), (kind, metric), (kind), (meta), ())""")
+def score_normalise(t: Tables) -> DataFrame:
+    s = t.lineitem.select(
+        F.col("l_linestatus").alias("meta"), F.col("l_returnflag").alias("kind"), (F.col("l_linenumber") % 3).cast("string").alias("item"),
+        F.when(F.col("l_quantity") >= 5, F.least(F.lit(5.0), F.col("l_quantity") / 10)).alias("consistency"), F.when(F.col("l_tax") > 0.01, 1 + F.col("l_tax") * 50).alias("quality"),
+    )
+    return metrics.normalised_levels(s, "meta", "kind", "item", ["consistency", "quality"]).withColumn("mean", F.round("mean", 5))
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS source, CASE WHEN l_linenumber <= 2 THEN 'Time' ELSE 'Space' END AS bucket, 0.7 * l_quantity / 25 + 0.2 * l_tax * 20 + 0.1 * l_discount * 20 AS score, o_orderpriority LIKE '5%' AND l_quantity >= 50 AS failed
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey), ok AS (SELECT source FROM s GROUP BY source HAVING max(failed::INT) = 0 AND count(*) >= 300)
+SELECT source, bucket, round(sum(score) / (2 * count(*)), 5) AS mean, count(*) AS n FROM s WHERE source IN (SELECT source FROM ok) GROUP BY source, bucket""")
+def guarded_group_mean(t: Tables) -> DataFrame:
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    score = metrics.wise_score(F.col("l_quantity") / 25, F.col("l_tax") * 20, F.col("l_discount") * 20)
+    bucket = F.when(F.col("l_linenumber") <= 2, "Time").otherwise("Space")
+    failed = F.col("o_orderpriority").startswith("5") & (F.col("l_quantity") >= 50)
+    return metrics.guarded_means(rows, "o_orderpriority", bucket, score, failed, 300).withColumn("mean", F.round("mean", 5))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS grp, l_quantity / 5 AS a, l_discount * 100 AS b, l_linestatus = 'O' AS kept FROM lineitem),
+g AS (SELECT grp, avg(a) AS sc, avg(b) AS pq, avg(sqrt(a * b)) AS o, avg(a) FILTER (kept) AS sc_kept, avg(b) FILTER (kept) AS pq_kept, avg(sqrt(a * b)) FILTER (kept) AS o_kept FROM s GROUP BY grp)
+SELECT grp, round(sc, 5) AS sc, round(pq, 5) AS pq, round(o, 5) AS o, round(sc_kept, 5) AS sc_kept, round(pq_kept, 5) AS pq_kept, round(o_kept, 5) AS o_kept FROM g
+UNION ALL SELECT 'all', round(avg(sc), 5), round(avg(pq), 5), round(avg(o), 5), round(avg(sc_kept), 5), round(avg(pq_kept), 5), round(avg(o_kept), 5) FROM g""")
+def geo_mean_filtered(t: Tables) -> DataFrame:
+    out = metrics.group_and_macro(t.lineitem, "l_returnflag", F.col("l_quantity") / 5, F.col("l_discount") * 100, F.col("l_linestatus") == "O")
+    return out.select("grp", *[F.round(c, 5).alias(c) for c in out.columns[1:]])
+
+
+@query("""WITH e AS (SELECT event_type, user_id, (value > 50)::INT AS ok, props FROM events),
+p AS (SELECT 'event_type' AS key, event_type AS value, ok FROM e UNION ALL SELECT 'skills', k, ok FROM (SELECT unnest(json_keys(props)) AS k, ok FROM e) UNION ALL SELECT 'user_id', (user_id % 7)::VARCHAR, ok FROM e)
+SELECT key, value, sum(ok)::BIGINT AS right, count(*) AS n, round(sum(ok) / count(*), 6) AS acc FROM p GROUP BY key, value""")
+def explode_membership(t: Tables) -> DataFrame:
+    e = t.events.select("event_type", (F.col("user_id") % 7).cast("string").alias("user_id"), "value", F.json_object_keys("props").alias("skills"))
+    return metrics.by_attributes(e, ["event_type", "user_id"], F.col("value") > 50, ["skills"]).withColumn("acc", F.round("acc", 6))
+
+
+@query("""WITH w AS (SELECT doc_id, list_slice(string_split_regex(lower(text), '[^a-z]+'), 1, 10) AS a FROM documents), m AS (SELECT doc_id, len(list_filter(a, lambda x: x = a[2])) AS m, len(a) AS n FROM w)
+SELECT doc_id, m::INT AS matches, round((m * least(1, (m - 1) / 3) + (10 - m) * least(1, m / 3)) / 10, 6) AS score FROM m WHERE n = 10""")
+def vqa_soft_score(t: Tables) -> DataFrame:
+    w = t.documents.select("doc_id", F.slice(F.split(F.lower("text"), "[^a-z]+"), 1, 10).alias("a")).filter(F.size("a") == 10)
+    m = w.select("doc_id", F.size(F.filter("a", lambda x: x == F.get(F.col("a"), F.lit(1)))).alias("matches"))
+    return m.select("doc_id", "matches", F.round(metrics.soft_vqa(F.col("matches")), 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT p_partkey, lower(trim(p_name)) AS a, list_transform([p_brand, p_type, p_name || ' x'], lambda x: lower(trim(x))) AS g, p_retailprice AS p, 1000.0 AS t FROM part),
+x AS (SELECT p_partkey, list_max(list_transform(g, lambda y: 1 - levenshtein(a, y) / greatest(length(a), length(y)))) AS best, abs(p - t) / t <= 0.05 AS close FROM s)
+SELECT p_partkey, round(CASE WHEN best < 0.5 THEN 0 ELSE best END, 6) AS anls, close AS relaxed FROM x""")
+def anls_relaxed(t: Tables) -> DataFrame:
+    answers = F.array("p_brand", "p_type", F.concat("p_name", F.lit(" x")))
+    close = metrics.relaxed_match(F.col("p_retailprice").cast("string"), F.lit("1000.0"))
+    return t.part.select("p_partkey", F.round(metrics.anls(F.col("p_name"), answers), 6).alias("anls"), close.alias("relaxed"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag AS sub, CASE l_linenumber % 4 WHEN 0 THEN 'logical_reasoning' WHEN 1 THEN 'temporal_reasoning' WHEN 2 THEN 'causal_reasoning' ELSE 'spatial_reasoning' END AS cat,
+ least(5, 1 + floor(l_quantity / 10)) AS c, least(5, 1 + floor(l_discount * 100 / 2)) AS r, least(5, 1 + floor(l_tax * 100 / 2)) AS q, l_linestatus = 'O' AS f FROM lineitem),
+w AS (SELECT *, CASE WHEN cat = 'logical_reasoning' THEN 0.3 * c + 0.7 * r WHEN f THEN 0.2 * q + 0.8 * r ELSE 0.3 * c + 0.5 * r + 0.2 * q END AS raw FROM s),
+x AS (SELECT *, CASE WHEN r = 1 THEN greatest(1, raw * 0.5) ELSE raw END AS score, CASE WHEN c = 5 AND r = 5 AND (cat = 'logical_reasoning' OR q = 5) THEN 1 ELSE 0 END AS complete FROM w)
+SELECT CASE grouping_id(cat, sub) WHEN 3 THEN 'all' WHEN 1 THEN 'category' ELSE 'subtask' END AS level, coalesce(cat, sub, 'all') AS name, round(avg(score), 5) AS score, round(25 * (avg(score) - 1), 4) AS percent, round(avg(complete), 6) AS accuracy
+FROM x GROUP BY GROUPING SETS ((), (cat), (sub))""")
+def weighted_reasoning_report(t: Tables) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("logical_reasoning", "temporal_reasoning", "causal_reasoning", "spatial_reasoning")]), F.col("l_linenumber") % 4 + 1)
+    step = lambda x: F.least(F.lit(5.0), 1 + F.floor(x))
+    s = t.lineitem.select(kind.alias("cat"), F.col("l_returnflag").alias("sub"), step(F.col("l_quantity") / 10).alias("c"), step(F.col("l_discount") * 100 / 2).alias("r"), step(F.col("l_tax") * 100 / 2).alias("q"), (F.col("l_linestatus") == "O").alias("f"))
+    cols = [F.col(c) for c in ("cat", "c", "r", "q")]
+    scored = s.withColumns({"score": metrics.rise_score(*cols, F.col("f")), "complete": metrics.rise_complete(*cols)})
+    out = metrics.scored_levels(scored, "cat", "sub")
+    return out.select("level", "name", F.round("score", 5).alias("score"), F.round("percent", 4).alias("percent"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("""WITH k AS (SELECT d.doc_id, n_chars / 100.0 AS v, CASE WHEN l.doc_id IS NOT NULL THEN lang END AS kind FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT kind, round(avg(v), 5) AS mean, count(v) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'overall', round(avg(v), 5), count(v) FROM k""")
+def typed_means_with_overall(t: Tables) -> DataFrame:
+    known = t.labels.select(F.col("doc_id").alias("i"))
+    k = t.documents.join(known, F.col("doc_id") == F.col("i"), "left").select((F.col("n_chars") / 100.0).alias("v"), F.when(F.col("i").isNotNull(), F.col("lang")).alias("kind"))
+    return metrics.typed_means(k, "kind", "v").withColumn("mean", F.round("mean", 5))
+
+
+@query(f"""WITH a AS (SELECT lang, avg(((quality = 1) = predicted)::INT) AS acc FROM ({JUDGED}) GROUP BY lang), b AS (SELECT lang, avg((quality = 1)::INT) AS acc FROM ({JUDGED}) GROUP BY lang)
+SELECT lang, round(a.acc, 6) AS acc, round(a.acc - b.acc, 2) AS gain FROM a JOIN b USING (lang)""")
+def gain_over_baseline(t: Tables) -> DataFrame:
+    j = t.judged
+    acc = lambda ok: j.groupBy("lang").agg(F.avg(ok.cast("int")).alias("acc"))
+    out = metrics.gain_over(acc((F.col("quality") == 1) == F.col("predicted")), acc(F.col("quality") == 1), ["lang"], "acc")
+    return out.withColumn("acc", F.round("acc", 6))
+
+
+# --- logs and increments
+
+
+@query("""SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type""")
+def log_last_write(t: Tables) -> DataFrame:
+    return metrics.latest(t.events, ["user_id", "event_type"], "value", "event_id")
+
+
+@query("""WITH h AS (SELECT user_id, list(DISTINCT event_type) AS have FROM events WHERE value > 100 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events)
+SELECT u.user_id, array_to_string(list_filter(['signup', 'purchase', 'view', 'click', 'error'], lambda x: NOT list_contains(coalesce(have, []), x)), ',') AS missing FROM u LEFT JOIN h USING (user_id)
+WHERE len(list_filter(['signup', 'purchase', 'view', 'click', 'error'], lambda x: NOT list_contains(coalesce(have, []), x))) > 0""")
+def missing_metrics(t: Tables) -> DataFrame:
+    log = t.events.withColumn("value", F.when(F.col("value") > 100, F.col("value")))
+    out = joins.missing_metrics(log, "user_id", "event_type", "value", ["signup", "purchase", "view", "click", "error"])
+    return out.select("user_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_incremental(t: Tables) -> DataFrame:
+    return joins.not_yet_done(t.documents.select("doc_id", "lang"), t.labels, ["doc_id"])
+
+
+@query("""SELECT d.doc_id, coalesce(a.quality, b.quality, -1)::INT AS quality FROM (SELECT doc_id, doc_id // 2 AS scene FROM documents) d LEFT JOIN labels a ON d.doc_id = a.doc_id LEFT JOIN labels b ON d.scene = b.doc_id""")
+def left_default(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", F.floor(F.col("doc_id") / 2).alias("scene"))
+    return joins.with_default(d, t.labels.select(F.col("doc_id").alias("i"), "quality"), ["doc_id", "scene"], "i", "quality", F.lit(-1)).select("doc_id", "quality")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_totalprice AS v, 0 AS src FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, -o_totalprice, 1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT id, arg_max(v, src) AS v FROM o GROUP BY id""")
+def upsert_union(t: Tables) -> DataFrame:
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+    return joins.upsert(o.filter("id % 3 <> 0"), o.filter("id % 2 = 0").withColumn("v", -F.col("v")), ["id"])
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem WHERE l_returnflag = 'N'), b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem WHERE l_returnflag <> 'N')
+SELECT l_orderkey, a.l_linenumber AS left_line, b.l_linenumber AS right_line FROM a JOIN b USING (l_orderkey, p)""")
+def positional_join(t: Tables) -> DataFrame:
+    side = lambda keep, name: t.lineitem.filter(keep).select("l_orderkey", F.col("l_linenumber").alias(name))
+    n = F.col("l_returnflag") == "N"
+    return joins.zipped(side(n, "left_line"), side(~n, "right_line"), ["left_line"], ["right_line"], ["l_orderkey"])
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+def dedup_canonical(t: Tables) -> DataFrame:
+    return joins.first_of_each(t.documents.select("doc_id", "lang", "text"), F.md5(F.col("text").cast("binary")), ["doc_id"]).select("doc_id", "lang")
+
+
+# --- ordered
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts, epoch_us(ts) / 1e6 AS s FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s FROM events WHERE event_type = 'view'),
+j AS (SELECT p.event_id, v.event_id AS view_id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.s - v.s), v.s, v.event_id) AS r FROM p JOIN v ON p.user_id = v.user_id AND abs(p.s - v.s) <= 3600)
+SELECT p.event_id, view_id FROM p LEFT JOIN (SELECT * FROM j WHERE r = 1) j ON p.event_id = j.event_id""")
+def asof_nearest(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", "user_id", "event_type", (micros("ts") / 1e6).alias("s"))
+    one = lambda k: e.filter(F.col("event_type") == k).select("event_id", "user_id", "s")
+    return joins.nearest(one("purchase"), one("view"), ["user_id"], "s", 3600.0, "event_id").select("event_id", F.col("r_event_id").alias("view_id"))
+
+
+@query("""SELECT event_id, last_value FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_value FROM events) WHERE event_type = 'purchase'""")
+def asof_backward(t: Tables) -> DataFrame:
+    at = F.struct("ts", "event_id").alias("at")
+    e = t.events.select("event_id", "user_id", "event_type", "value", at)
+    left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "at")
+    return joins.backward(left, e.filter("event_type = 'view'").select("user_id", "at", "value"), ["user_id"], "at", "value").select("event_id", "last_value")
+
+
+@query("""WITH g AS (SELECT *, epoch_us(ts) / 1e6 AS s, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w > 2100000000)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, run::BIGINT AS run, count(*) AS n, min(event_id) AS first_id FROM r GROUP BY user_id, run""")
+def gap_runs(t: Tables) -> DataFrame:
+    e = t.events.withColumn("s", micros("ts") / 1e6)
+    return windows.gap_runs(e, "user_id", "s", 2100.0, "event_id").groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("""WITH g AS (SELECT *, epoch_us(ts) AS s, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w > 86400000000)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), c AS (SELECT user_id, min(run) AS run FROM (SELECT user_id, run, count(*) AS n FROM r GROUP BY ALL) WHERE n >= 3 GROUP BY user_id),
+k AS (SELECT r.*, row_number() OVER (PARTITION BY r.user_id ORDER BY ts, event_id) AS i FROM r JOIN c USING (user_id, run))
+SELECT user_id, round(min(s) / 1e6, 3) AS start, round(max(s) / 1e6, 3) AS "end", count(*) AS rows FROM k WHERE i <= 3 GROUP BY user_id""")
+def gap_windows(t: Tables) -> DataFrame:
+    e = t.events.withColumn("s", micros("ts") / 1e6)
+    out = windows.first_window(e, "user_id", "s", 86400.0, 3, "event_id")
+    return out.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "rows")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_id, user_id FROM p WHERE n <= 8 OR list_contains(list_transform(range(8), lambda k: floor(k * ((n - 1) / 7))::BIGINT), i)""")
+def linspace_sample(t: Tables) -> DataFrame:
+    return sampling.linspace_rows(t.events, ["user_id"], ["ts", "event_id"], 8).select("event_id", "user_id")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) SELECT event_id, user_id FROM p WHERE i % 5 = 0""")
+def stride_sample(t: Tables) -> DataFrame:
+    return sampling.stride_rows(t.events, ["user_id"], ["ts", "event_id"], 5).select("event_id", "user_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM p WHERE b < t * 0.95""")
+def coverage_cut(t: Tables) -> DataFrame:
+    return windows.coverage_cut(t.lineitem, "l_orderkey", [F.col("l_quantity").desc(), "l_linenumber"], "l_quantity", 0.95).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS repeated FROM events),
+f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) <= 2 AS is_ref FROM events GROUP BY user_id, event_type)
+SELECT event_id, repeated, is_ref FROM r JOIN f USING (user_id, event_type)""")
+def repeat_ref_mask(t: Tables) -> DataFrame:
+    e = windows.repeat_mask(t.events.select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id")
+    return windows.reference_mask(e, "user_id", "event_type", "event_id", 2).select("event_id", "repeated", "is_ref")
+
+
+@query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) - event_id AS frame_delta FROM events")
+def frame_delta(t: Tables) -> DataFrame:
+    e = t.events.withColumn("pos", F.struct("ts", "event_id"))
+    return windows.frame_delta(e, "user_id", "pos", "event_id").select("event_id", "frame_delta")
+
+
+@query("SELECT l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1) // 500)::INT AS file_id FROM lineitem")
+def rolled_files(t: Tables) -> DataFrame:
+    return windows.rolled(t.lineitem, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 500).select("l_orderkey", "l_linenumber", "file_id")
+
+
+# --- vectors
+
+
+def _vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+_KNN = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[64] AS v FROM embeddings), d AS (SELECT a.id AS q, b.id AS id, round(array_cosine_distance(a.v, b.v), 9) AS distance FROM e a JOIN e b ON a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM d)
+"""
+
+
+@query(_KNN + "SELECT q, id, rank, round(distance, 6) AS distance FROM k WHERE rank <= 3 AND q % 100 = 0")
+def knn_cosine(t: Tables) -> DataFrame:
+    v = _vectors(t)
+    out = similarity.neighbours(v.filter("id % 100 = 0"), v, 3)
+    return out.select("q", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(_KNN + "SELECT a.q, a.id, round(1 - a.distance / greatest(b.distance, 1e-9), 5) AS weight FROM k a JOIN k b ON a.q = b.q AND a.rank = 1 AND b.rank = 2 WHERE a.q % 100 = 0")
+def knn_ratio(t: Tables) -> DataFrame:
+    v = _vectors(t)
+    return similarity.ratio_weights(similarity.neighbours(v.filter("id % 100 = 0"), v, 2)).withColumn("weight", F.round("weight", 5))
+
+
+@query(_KNN + ", n AS (SELECT q, id FROM k WHERE rank = 1) SELECT n.q, n.id FROM n JOIN n m ON n.q = m.id AND n.id = m.q")
+def mutual_nn(t: Tables) -> DataFrame:
+    found = similarity.neighbours(_vectors(t), _vectors(t), 1)
+    return similarity.mutual(found, found)
+
+
+@query(_KNN + ", w AS (SELECT a.q, a.id, round(1 - a.distance / greatest(b.distance, 1e-9), 9) AS weight FROM k a JOIN k b ON a.q = b.q AND a.rank = 1 AND b.rank = 2) SELECT q, id, round(weight, 5) AS weight FROM w ORDER BY weight DESC, q, id LIMIT 10")
+def top_matches(t: Tables) -> DataFrame:
+    w = similarity.ratio_weights(similarity.neighbours(_vectors(t), _vectors(t), 2)).withColumn("weight", F.round("weight", 9))
+    return similarity.top_matches(w, 10).withColumn("weight", F.round("weight", 5))
+
+
+@query("""WITH e AS (SELECT vec_id // 20 AS scene, vec_id AS id, embedding[1:3]::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.scene, a.id AS ref, b.id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b USING (scene) WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY round(distance, 9), id) AS rank FROM d) SELECT scene, ref, id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 4""")
+def pairwise_rank(t: Tables) -> DataFrame:
+    e = t.embeddings.select(F.floor(F.col("vec_id") / 20).alias("scene"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+    return similarity.ranked_by_distance(e, "scene", "id", "v", 4).withColumn("distance", F.round("distance", 5))
+
+
+@query("""SELECT label, coalesce(min(embedding[1]::DOUBLE) FILTER (vec_id % 3 > 0), 0) AS x_min, coalesce(max(embedding[1]::DOUBLE) FILTER (vec_id % 3 > 0), 0) AS x_max, coalesce(min(embedding[2]::DOUBLE) FILTER (vec_id % 3 > 0), 0) AS y_min, coalesce(max(embedding[2]::DOUBLE) FILTER (vec_id % 3 > 0), 0) AS y_max FROM embeddings GROUP BY label""")
+def bbox_minmax(t: Tables) -> DataFrame:
+    axis = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return metrics.bounds(t.embeddings, "label", {"x": axis(0), "y": axis(1)}, F.col("vec_id") % 3 > 0)
+
+
+# --- errors
+
+
+@query("""SELECT l_returnflag, round(avg(l_discount * 100), 5) AS mean, round(avg((l_discount * 100 < 1)::INT), 6) AS under_1, round(avg((l_discount * 100 < 5.5)::INT), 6) AS under_5_5 FROM lineitem GROUP BY l_returnflag""")
+def threshold_accuracy(t: Tables) -> DataFrame:
+    out = metrics.under_thresholds(t.lineitem.withColumn("e", F.col("l_discount") * 100), ["l_returnflag"], "e", [1, 5.5])
+    return out.select("l_returnflag", F.round("mean", 5).alias("mean"), F.round("under_1", 6).alias("under_1"), F.round("under_5_5", 6).alias("under_5_5"))
+
+
+@query("""WITH e AS (SELECT l_returnflag, abs(l_extendedprice - 30000) / 1000 AS e FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY e) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n, coalesce(lag(e) OVER (PARTITION BY l_returnflag ORDER BY e), 0) AS p FROM e),
+a AS (SELECT l_returnflag, sum(CASE WHEN e < 10 THEN (e - p) * ((i - 1) / n + i / n) / 2 ELSE 0 END) AS area, max(e) FILTER (e < 10) AS last, max(i / n) FILTER (e < 10) AS top FROM o GROUP BY l_returnflag)
+SELECT l_returnflag, round((area + (10 - coalesce(last, 0)) * coalesce(top, 0)) / 10, 6) AS auc FROM a""")
+def error_auc(t: Tables) -> DataFrame:
+    e = t.lineitem.select("l_returnflag", (F.abs(F.col("l_extendedprice") - 30000) / 1000).alias("e"))
+    return metrics.error_auc(e, "l_returnflag", "e", 10.0).withColumn("auc", F.round("auc", 6))
+
+
+@query("""WITH b AS (SELECT CASE WHEN l_quantity >= 30 THEN 2 WHEN l_quantity >= 10 THEN 1 WHEN l_quantity >= 1 THEN 0 END AS bin, l_discount AS y FROM lineitem WHERE l_quantity >= 1 AND l_quantity < 50)
+SELECT bin::INT AS bin, [1.0, 10.0, 30.0][bin + 1]::DOUBLE AS lo, [10.0, 30.0, 50.0][bin + 1]::DOUBLE AS hi, round(avg(y), 6) AS mean, count(*) AS n FROM b GROUP BY bin""")
+def binned_mean(t: Tables) -> DataFrame:
+    return metrics.binned_mean(t.lineitem, F.col("l_quantity"), F.col("l_discount"), [1, 10, 30, 50]).withColumn("mean", F.round("mean", 6))
+
+
+# --- top k and choices
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_quantity > 15) WHERE r <= 16""")
+def topk_per_group(t: Tables) -> DataFrame:
+    w = Window.partitionBy("l_returnflag").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
+    return t.lineitem.filter("l_quantity > 15").withColumn("r", F.row_number().over(w)).filter("r <= 16").select("l_returnflag", "l_orderkey", "l_linenumber")
+
+
+@query("""WITH c AS (SELECT p_partkey, p_type, unnest(['STANDARD', 'SMALL', 'LARGE', 'ECONOMY', 'PROMO']) AS c, generate_subscripts(['STANDARD', 'SMALL', 'LARGE', 'ECONOMY', 'PROMO'], 1) AS i FROM part)
+SELECT p_partkey, arg_min(c, levenshtein(p_type, c) * 10 + i) AS choice FROM c GROUP BY p_partkey""")
+def nearest_choice(t: Tables) -> DataFrame:
+    choices = F.array(*[F.lit(c) for c in ("STANDARD", "SMALL", "LARGE", "ECONOMY", "PROMO")])
+    return t.part.select("p_partkey", parsers.nearest_choice(F.col("p_type"), choices).alias("choice"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'Consistency: ' || (doc_id % 6)::VARCHAR || chr(10) || '**Realism**: ' || (doc_id % 4)::VARCHAR || chr(10) || 'final answer: ' || lang || chr(10) || 'Final Score: ' || (doc_id % 5)::VARCHAR || ', 4' AS s FROM documents)
+SELECT doc_id, trim(regexp_extract(s, '(?i)(Final answer:|Answer:)\\s*([^\\n]*)', 2)) AS answer, (doc_id % 6)::DOUBLE AS consistency, (doc_id % 4)::DOUBLE AS realism, 9.9::DOUBLE AS aesthetic_quality, (doc_id % 5)::VARCHAR || ',4' AS scores FROM d""")
+def regex_extract_suite(t: Tables) -> DataFrame:
+    n = lambda k: (F.col("doc_id") % k).cast("string")
+    s = F.concat(F.lit("Consistency: "), n(6), F.lit("\n**Realism**: "), n(4), F.lit("\nfinal answer: "), F.col("lang"), F.lit("\nFinal Score: "), n(5), F.lit(", 4"))
+    d = t.documents.select("doc_id", s.alias("s")).select("doc_id", "s", parsers.wise_scores(F.col("s")).alias("w"))
+    return d.select("doc_id", parsers.after_answer_mark(F.col("s")).alias("answer"), "w.*", F.array_join(parsers.final_scores(F.col("s")), ",").alias("scores"))
+
+
+@query("""SELECT doc_id, CASE WHEN substr(lower(text), 1, 4) LIKE '%yes%' THEN 'yes' WHEN substr(lower(text), 1, 4) LIKE '%no%' THEN 'no' ELSE 'other' END AS said FROM documents""")
+def yes_no_parse(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", parsers.yes_no_other(F.lower("text")).alias("said"))
+
+
+@query("""SELECT e.vec_id, round(acos(greatest(-1, least(1, e.embedding[1]::DOUBLE))), 6) AS angle, round(sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings e""")
+def vector_angles(t: Tables) -> DataFrame:
+    x = F.get("embedding", F.lit(0)).cast("double")
+    return t.embeddings.select("vec_id", F.round(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))), 6).alias("angle"), F.round(geometry.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("""SELECT p_partkey, (p_size * 37 // 16) * (p_size * 23 // 16) AS patches, ((p_size * 37) * (p_size * 23)) // 256 AS tokens FROM part""")
+def image_token_counts(t: Tables) -> DataFrame:
+    w, h = F.col("p_size") * 37, F.col("p_size") * 23
+    ids = vision.positions_extrapolated(h, w, 16, 200)
+    return t.part.select("p_partkey", F.size(ids).alias("patches"), vision.latent_tokens(w, h, 16).alias("tokens"))
+
+
+# --- event time
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def tumbling_events(t: Tables) -> DataFrame:
+    return streams.tumbling(t.events, "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH g AS (SELECT *, coalesce((ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM r GROUP BY user_id, run""")
+def session_events(t: Tables) -> DataFrame:
+    return streams.sessions(t.events, "30 minutes")
+
+
+@query("""SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start""")
+def sliding_events(t: Tables) -> DataFrame:
+    return streams.sliding(t.events, "1 hour", "30 minutes")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def late_dedup(t: Tables) -> DataFrame:
+    return streams.deduplicated(t.events.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "1 hour").select("user_id", "event_type")
+
+
+@query("""SELECT (event_id // 500)::BIGINT AS "window", sum(1 + event_id % 300)::BIGINT AS tokens, sum((1 + event_id % 300) * (1 + event_id % 300))::BIGINT AS squares, round(sum(value), 4) AS seconds, round(sum(1 + event_id % 300) / sum(value), 5) AS tokens_per_second FROM events GROUP BY 1""")
+def telemetry_windows(t: Tables) -> DataFrame:
+    n = 1 + F.col("event_id") % 300
+    steps = t.events.select(F.col("event_id").alias("step"), n.alias("tokens"), (n * n).alias("squares"), F.col("value").alias("seconds"))
+    out = metrics.telemetry(steps, 500, 6e9, 12.0, 1e12)
+    return out.select("window", "tokens", "squares", F.round("seconds", 4).alias("seconds"), F.round("tokens_per_second", 5).alias("tokens_per_second"))
+
+
+@query("""SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY CUBE (lang, source)""")
+def cube_counts(t: Tables) -> DataFrame:
+    return t.documents.cube("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_distinct("n_chars").alias("lengths"))
+
+
+@query()
+def corpus_bleu(t: Tables) -> DataFrame:
+    pair = conversations.last_pair(t.conversations).dropna()
+    refs = F.array("question", F.concat("answer", F.lit(" end")))
+    return metrics.corpus_bleu(pair.withColumn("refs", refs), "conv_id", "answer", "refs")
