@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwork.functions.expr import bound
+
 
 def _arr(*values) -> Column:
     return F.array(*[v if isinstance(v, Column) else F.lit(float(v)) for v in values])
@@ -22,6 +24,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+@bound
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -30,12 +33,14 @@ def identity() -> Column:
     return _arr(*[1.0 if i % 5 == 0 else 0.0 for i in range(16)])
 
 
+@bound
 def rotation_angle(a: Column, b: Column) -> Column:
     """The angle between the rotations of two 4x4 poses."""
     trace = sum((_at(a, 4 * r + c) * _at(b, 4 * r + c) for r in range(3) for c in range(3)), F.lit(0.0))
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2)))
 
 
+@bound
 def pose_inverse(m: Column) -> Column:
     """The inverse of a rigid 4x4 pose: transposed rotation, and minus that times the translation."""
     rows = []
@@ -46,12 +51,14 @@ def pose_inverse(m: Column) -> Column:
     return _arr(*rows, 0.0, 0.0, 0.0, 1.0)
 
 
+@bound
 def transformed(m: Column, p: Column) -> Column:
     """A point through a 4x4 matrix, divided by its fourth coordinate."""
     row = lambda r: sum((_at(m, 4 * r + c) * _at(p, c) for c in range(3)), _at(m, 4 * r + 3))
     return _arr(row(0) / row(3), row(1) / row(3), row(2) / row(3))
 
 
+@bound
 def matrix_of_axis_angle(v: Column) -> Column:
     """3x3 rotation of an axis-angle vector (Rodrigues); the identity for a zero vector."""
     angle = norm(v)
@@ -65,6 +72,7 @@ def matrix_of_axis_angle(v: Column) -> Column:
     )
 
 
+@bound
 def pose_of(rotation: Column, translation: Column) -> Column:
     cells = []
     for r in range(3):
@@ -72,6 +80,7 @@ def pose_of(rotation: Column, translation: Column) -> Column:
     return _arr(*cells, 0.0, 0.0, 0.0, 1.0)
 
 
+@bound
 def matrix_of_quaternion(q: Column) -> Column:
     """3x3 rotation of a quaternion (w, x, y, z) of any length."""
     n = norm(q)
@@ -83,6 +92,7 @@ def matrix_of_quaternion(q: Column) -> Column:
     )
 
 
+@bound
 def matrix_of_euler(roll: Column, pitch: Column, yaw: Column) -> Column:
     """3x3 rotation of turns about x, then y, then z."""
     ci, si, cj, sj, ck, sk = F.cos(roll), F.sin(roll), F.cos(pitch), F.sin(pitch), F.cos(yaw), F.sin(yaw)
@@ -98,6 +108,7 @@ def intrinsics(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     return _arr(fx, 0.0, cx, 0.0, 0.0, fy, cy, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)
 
 
+@bound
 def unprojected(u: Column, v: Column, depth_mm: Column, k: Column, pose: Column) -> Column:
     """The world point of a pixel: depth in millimetres, K as 4x4, camera-to-world pose."""
     d = depth_mm / 1000.0
@@ -105,6 +116,7 @@ def unprojected(u: Column, v: Column, depth_mm: Column, k: Column, pose: Column)
     return transformed(pose, camera)
 
 
+@bound
 def projected(point: Column, k: Column, world_to_camera: Column) -> Column:
     """(u, v, depth) of a world point."""
     p = transformed(world_to_camera, point)
@@ -112,6 +124,7 @@ def projected(point: Column, k: Column, world_to_camera: Column) -> Column:
     return _arr(_at(k, 0) * _at(p, 0) / z + _at(k, 2), _at(k, 5) * _at(p, 1) / z + _at(k, 6), z)
 
 
+@bound
 def is_visible(uvd: Column, width: Column, height: Column, depth_there: Column, slack: float = 0.05) -> Column:
     u, v, d = (_at(uvd, i) for i in range(3))
     return (u >= 0) & (v >= 0) & (u < width) & (v < height) & (d > 0) & (d <= depth_there + slack)
@@ -123,6 +136,7 @@ def voxel(point: Column, low: Column, high: Column, size: float) -> Column:
     return F.zip_with(clamped, low, lambda x, a: F.rint((x - a) / size).cast("bigint"))
 
 
+@bound
 def iou(a: Column, b: Column) -> Column:
     """Overlap of boxes [x1, y1, x2, y2] with inclusive ends; 0 for an empty union."""
     area = lambda x1, y1, x2, y2: F.greatest(x2 - x1 + 1, F.lit(0.0)) * F.greatest(y2 - y1 + 1, F.lit(0.0))
@@ -131,6 +145,7 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(inner, union), F.lit(0.0))
 
 
+@bound
 def relative_position(a: Column, b: Column, threshold: float = 0.1) -> Column:
     """Where box a stands from box b: left of, right of, above, below; empty when they overlap within the threshold."""
     parts, offsets = [], []
