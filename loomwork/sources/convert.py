@@ -62,8 +62,7 @@ def rest_as_json(df: DataFrame, skip: list[str]) -> Column:
     return F.to_json(F.struct(*[c for c in df.columns if c not in skip]))
 
 
-@F.pandas_udf("string")
-def destringified(texts: pd.Series) -> pd.Series:
+def destringified(text: Column | str) -> Column:
     """JSON texts inside JSON texts become objects, at any depth; only objects and lists are unfolded."""
 
     def unfold(x):
@@ -77,7 +76,11 @@ def destringified(texts: pd.Series) -> pd.Series:
             return {k: unfold(v) for k, v in x.items()}
         return [unfold(v) for v in x] if isinstance(x, list) else x
 
-    return texts.map(lambda t: None if t is None else json.dumps(unfold(t), ensure_ascii=False) if isinstance(unfold(t), (dict, list)) else t)
+    def one(t):
+        found = None if t is None else unfold(t)
+        return json.dumps(found, ensure_ascii=False) if isinstance(found, (dict, list)) else t
+
+    return F.pandas_udf(lambda texts: texts.map(one), "string", F.PandasUDFType.SCALAR)(text)
 
 
 def image_only(images: Column) -> dict[str, Column]:

@@ -45,10 +45,12 @@ class TarReader(DataSourceReader):
         from pyarrow import fs
 
         store, base = _fs(self.path)
-        files = store.get_file_info(fs.FileSelector(base, recursive=True))
-        return [Shard(f.path) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".tar")]
+        files = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        return [Shard(f.path) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".tar")] or [Shard("")]
 
     def read(self, partition: Shard):
+        if not partition.path:  # no shards yet
+            return
         store, _ = _fs(self.path)
         name = partition.path.rsplit("/", 1)[-1]
         with store.open_input_stream(partition.path) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
@@ -145,13 +147,8 @@ def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
 def appended(spark: SparkSession, files: DataFrame, path: str, max_scenes: int, partitions: int) -> DataFrame:
     """Writes the scenes that no shard holds yet, to a folder of this run's own below ``path``; returns what was new."""
     register(spark)
-    try:
-        have = spark.read.format("tarshards").option("path", path).load().select("scene").distinct()
-        new = files.join(have, "scene", "left_anti")
-    except Exception as e:  # the first run: no folder yet
-        if "FileNotFound" not in str(e) and "No such file" not in str(e):
-            raise
-        new = files
+    have = spark.read.format("tarshards").option("path", path).load().select("scene").distinct()
+    new = files.join(have, "scene", "left_anti").persist()  # what is written must not be looked for again
     key = hashlib.md5(str(sorted(r["scene"] for r in new.select("scene").distinct().collect())).encode()).hexdigest()[:8]
     write_scenes(new, f"{path}/run-{key}", max_scenes, partitions)
     return new

@@ -18,29 +18,34 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int = 8) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _until_late(events: DataFrame, late: str | None) -> DataFrame:
+    """The events under a watermark, which needs times with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """(start, event_type, n, total) by event time; works alike on a table and on a stream (with a watermark)."""
-    seen = events.withWatermark("ts", late) if late else events
+    seen = _until_late(events, late)
     out = seen.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, width: str, step: str, late: str | None = None) -> DataFrame:
-    seen = events.withWatermark("ts", late) if late else events
+    seen = _until_late(events, late)
     out = seen.groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     """(user_id, start, end, n) of runs of a user's events closer than the gap."""
-    seen = events.withWatermark("ts", late) if late else events
+    seen = _until_late(events, late)
     out = seen.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     """The first row of each key; state is kept as long as the watermark allows duplicates."""
-    seen = events.withWatermark("ts", late)
+    seen = _until_late(events, late)
     return seen.dropDuplicatesWithinWatermark(keys) if events.isStreaming else seen.dropDuplicates(keys)
 
 
