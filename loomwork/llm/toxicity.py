@@ -53,43 +53,61 @@ def units(word: bytes) -> list[bytes]:
     return [word, *(word[:k] + b"*" for k in STARTS if len(word) > k)]
 
 
-def candidates(texts: list[str], y: np.ndarray) -> list[set[bytes]]:
-    """Each text's units, of those that at least 3 toxic texts hold."""
-    seen = Counter()
-    for t, k in zip(texts, y):
-        if k:
-            seen.update({u for w in words(t) for u in units(w)})
-    known = {u: u for u, k in seen.items() if k >= 3}
-    del seen
-    return [{known[u] for w in words(t) for u in units(w) if u in known} for t in texts]
-
-
-def mined(found: list[set[bytes]], y: np.ndarray) -> list[bytes]:
-    """Entries that speak for label 1 beyond chance.
-
-    Those stay whose documents are toxic for at least 4 in 5 and whose likelihood
-    ratio against the overall share outweighs the number of entries looked at.
+@dataclass
+class Sample:
+    """The sampled texts as numbered units, of those that at least 3 toxic texts hold."""
+
+    names: list[bytes]
+    rows: list[np.ndarray]
+    insulting: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], y: np.ndarray) -> Sample:
+        seen = Counter()
+        for t, k in zip(texts, y):
+            if k:
+                seen.update({u for w in words(t) for u in units(w)})
+        names = sorted(u for u, k in seen.items() if k >= 3)
+        del seen
+        number = {u: i for i, u in enumerate(names)}
+        rows, insulting = [], []
+        for t in texts:
+            own = words(t)
+            insulting.append(not INSULTS.isdisjoint(own))
+            rows.append(np.array(sorted({number[u] for w in own for u in units(w) if u in number}), np.int32))
+        return cls(names, rows, np.array(insulting, bool))
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Each unit's texts, weighted."""
+        out = np.zeros(len(self.names))
+        for r, w in zip(self.rows, weights):
+            out[r] += w
+        return out
+
+
+def mined(found: Sample, y: np.ndarray) -> np.ndarray:
+    """Which units speak for label 1 beyond chance.
+
+    Those stay whose texts are toxic for at least 4 in 5 and whose likelihood
+    ratio against the overall share outweighs the number of units looked at.
     """
-    pos = Counter(u for s, k in zip(found, y) if k for u in s)
-    of = Counter(u for s in found for u in s)
+    k, n = found.counts(y), found.counts(np.ones(len(y)))
     share = min(0.99, max(0.01, float(y.mean())))
-    bound = np.log(1 + len(of))
-
-    def ratio(k: int, n: int) -> float:
-        p = min(1 - 1e-6, k / n)
-        return k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share))
-
-    return sorted(u for u, k in pos.items() if k >= 0.8 * of[u] and ratio(k, of[u]) >= bound)
-
-
-def votes(found: list[set[bytes]], entries: list[bytes]) -> np.ndarray:
-    """Documents by voters: the fixed list, LISTS lexicons of words, LISTS pattern lists, and one for several hits."""
-    lists: list[set[bytes]] = [set() for _ in range(2 * LISTS)]
-    for u in entries:
-        lists[(LISTS if u.endswith(b"*") else 0) + zlib.crc32(u) % LISTS].add(u)
-    known = set(entries)
-    rows = [[bool(s & INSULTS), *(bool(s & part) for part in lists), len(s & known) > 3] for s in found]
-    return np.array(rows, bool).reshape(len(found), 2 * LISTS + 2)
+    p = np.clip(k / np.maximum(n, 1), 1e-9, 1 - 1e-6)
+    ratio = k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share))
+    return (k >= 3) & (k >= 0.8 * n) & (ratio >= np.log(1 + len(n)))
+
+
+def votes(found: Sample, entries: np.ndarray) -> np.ndarray:
+    """Texts by voters: the fixed list, LISTS lexicons of words, LISTS pattern lists, and one for several hits."""
+    place = np.array([1 + (LISTS if u.endswith(b"*") else 0) + zlib.crc32(u) % LISTS for u in found.names], np.int64)
+    out = np.zeros((len(found.rows), 2 * LISTS + 2), bool)
+    out[:, 0] = found.insulting
+    for i, r in enumerate(found.rows):
+        hits = r[entries[r]]
+        out[i, place[hits]] = True
+        out[i, -1] = len(hits) > 3
+    return out
 
 
 @dataclass
@@ -191,20 +209,18 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     if not total or total == n:
         share = (total + 1) / (n + 2)
         return Model({}, float(np.log(share / (1 - share))))
-    found = candidates(texts, labels)
-    entries = mined(found, labels)
-    v = votes(found, entries)
+    found = Sample.of(texts, labels)
+    v = votes(found, mined(found, labels))
     q = LabelModel().fit(v).posterior(v)
-    counts = Counter(u for s in found for u in s)
-    toxic = Counter(u for s, p in zip(found, q) if p > 0.5 for u in s)
     # indicators whose documents are mostly of the posterior's toxic class
-    least = max(3, n // 1500)
-    names = sorted(u for u, k in toxic.items() if k >= least and k >= 0.8 * counts[u])
-    number = {u: i for i, u in enumerate(names)}
-    x = Sparse([np.array(sorted(number[u] for u in s if u in number), np.int64) for s in found], len(names))
+    toxic, counts = found.counts((q > 0.5).astype(float)), found.counts(np.ones(n))
+    used = np.flatnonzero((toxic >= max(3, n // 1500)) & (toxic >= 0.8 * counts))
+    number = np.full(len(found.names), -1)
+    number[used] = np.arange(len(used))
+    x = Sparse([number[r][number[r] >= 0] for r in found.rows], len(used))
     w, b = fit_logistic(x, q, l2=1e-5, steps=600)
     a, c = fit_platt(x.dot(w) + b, labels)  # shrunken weights tell classes apart but understate how surely
-    return Model({u: float(a * w[i]) for u, i in number.items() if abs(w[i]) > 1e-6}, float(a * b + c))
+    return Model({found.names[u]: float(a * k) for u, k in zip(used, w) if abs(k) > 1e-6}, float(a * b + c))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:
