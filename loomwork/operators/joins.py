@@ -75,3 +75,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def first_of_each(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     w = Window.partitionBy("_key").orderBy(*order)
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_key", "_r")
+
+
+def updated(df: DataFrame, changes: DataFrame, key: str, column: str, order: str) -> DataFrame:
+    """Sets a column by key; of several changes for a key the last in order counts, other rows stay."""
+    last = changes.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(F.col(column)), order).alias("_v"))
+    joined = df.join(last, F.col(key) == F.col("_k"), "left")
+    return joined.withColumn(column, F.when(F.col("_v").isNotNull(), F.col("_v")[column]).otherwise(F.col(column))).drop("_k", "_v")
+
+
+def relations_hold(required: DataFrame, objects: DataFrame, positions) -> DataFrame:
+    """(img, ok): whether every pair of the required classes' objects stands as required.
+
+    ``required`` (img, cls, target, relation) names pairs of classes, ``objects``
+    (img, cls, box) what was found; ``positions(a, b)`` gives the relations of two
+    boxes.  A class that was not found fails its image.  The join is on image and
+    class, so only pairs that a requirement names are compared.
+    """
+    a = objects.select("img", "cls", F.col("box").alias("_a"))
+    b = objects.select("img", F.col("cls").alias("target"), F.col("box").alias("_b"))
+    pairs = required.join(a, ["img", "cls"], "left").join(b, ["img", "target"], "left")
+    ok = F.coalesce(F.array_contains(positions(F.col("_a"), F.col("_b")), F.col("relation")), F.lit(False))
+    return pairs.groupBy("img").agg(F.bool_and(ok).alias("ok"))

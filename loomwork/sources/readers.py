@@ -171,3 +171,33 @@ def ranked_files(files: DataFrame, rank: int, world: int) -> DataFrame:
     placed = files.withColumn("_i", F.row_number().over(w) - 1)
     size = F.ceil(F.count("*").over(Window.partitionBy()) / world)
     return placed.withColumn("_r", F.floor(F.col("_i") / size)).filter(F.col("_r") == rank).drop("_i", "_r")
+
+
+def zip_members(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
+    """(archive, member, content) of zip files, an archive at a time; member names are matched against a pattern."""
+    import io
+    import re
+    import zipfile
+
+    import pyarrow as pa
+
+    wanted = re.compile(pattern)
+
+    def read(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(blob.as_py())) as z:
+                    for member in z.infolist():
+                        if not member.is_dir() and wanted.fullmatch(member.filename):
+                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member.filename]), pa.array([z.read(member)], pa.binary())], names=["archive", "member", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInArrow(read, "archive string, member string, content binary")
+
+
+def folder_or_zip(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:
+    """(archive, member, content): the files of a folder; where it has none that match, those of its zip files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = files.filter(~F.col("path").endswith(".zip") & name.rlike(f"^(?:{pattern})$")).select(F.lit(None).cast("string").alias("archive"), name.alias("member"), "content")
+    return plain if not plain.isEmpty() else zip_members(spark, path, pattern)

@@ -357,3 +357,43 @@ def test_queries_match_their_sql(spark):
         assert len(got) == len(want) and sorted(got.columns) == sorted(want.columns), name
         if name not in ("weighted_rollup", "asof_nearest"):  # nulls print differently
             assert key(got) == key(want), name
+
+
+def test_masks_and_steps(spark):
+    h, w = F.lit(8), F.lit(6)
+    rect = one(spark, V.mask_cells(h, w, F.lit("k"), "rectangle", 0.25))
+    on = [(i // 6, i % 6) for i, x in enumerate(rect) if x]
+    assert len(rect) == 48 and len(on) == 12 and len({r for r, _ in on}) == 4 and len({c for _, c in on}) == 3
+    assert 0 < sum(one(spark, V.mask_cells(h, w, F.lit("k"), "ellipse"))) < 48
+    assert 5 < sum(one(spark, V.mask_cells(h, w, F.lit("k"), "random", 0.5))) < 43
+    fine = F.array(*[F.lit(i == 7) for i in range(12)])  # 3 rows of 4: row 1, column 3
+    assert one(spark, V.coarser_mask(fine, F.lit(3), F.lit(4), 2)) == [False, True, False, False]
+    rows = spark.range(200).select(V.step_choices(1, F.col("id")).alias("s")).select("s.*").collect()
+    assert {r["images"] for r in rows} == set(range(2, 9)) and all(0.5 <= r["aspect"] < 1.2 for r in rows)
+
+
+def test_updates_and_relations(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    changes = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, None, 1)], "k int, v string, at int")
+    assert sorted(map(tuple, joins.updated(df, changes, "k", "v", "at").collect())) == [(1, "y"), (2, None), (3, None)]
+    need = spark.createDataFrame([("i", "cat", "dog", "left of"), ("j", "cat", "dog", "left of"), ("k", "cat", "owl", "above")], "img string, cls string, target string, relation string")
+    box = lambda x: [x, 0.0, x + 10, 10.0]
+    seen = spark.createDataFrame([("i", "cat", box(0.0)), ("i", "dog", box(90.0)), ("j", "cat", box(0.0)), ("j", "cat", box(200.0)), ("j", "dog", box(90.0)), ("k", "cat", box(0.0))], "img string, cls string, box array<double>")
+    assert {r["img"]: r["ok"] for r in joins.relations_hold(need, seen, G.relative_position).collect()} == {"i": True, "j": False, "k": False}
+
+
+def test_prompt_suite(spark):
+    import json
+
+    from loomwork.operators import prompts
+
+    nouns = ["cat", "apple", "bench", "bus"]
+    rows = prompts.suite(spark, nouns, 30, 7).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["tag"], []).append(r)
+    assert len(by["single_object"]) == 4 and set(by) == {"single_object", *prompts.TASKS}
+    assert len({(r["tag"], r["include"]) for r in rows}) == len(rows)
+    assert "a photo of an apple" in {r["prompt"] for r in by["single_object"]}
+    assert all(2 <= json.loads(r["include"])[0]["count"] <= 4 for r in by["counting"])
+    assert all(len({x["class"] for x in json.loads(r["include"])}) == 2 for r in by["position"])

@@ -180,3 +180,16 @@ def test_packing_a_stream_is_packing_the_table(spark, tmp_path):
     key = lambda df: sorted(tuple(map(str, r)) for r in df.select("id", "state", "bin", "pos", "start").collect())
     want = packed(spark.createDataFrame(rows, kind), budget)
     assert key(spark.read.parquet(out)) == key(want)
+
+
+def test_zip_members(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/1.txt", "one")
+        z.writestr("2.bin", "two")
+    rows = readers.folder_or_zip(spark, str(tmp_path), r".*\.txt").collect()
+    assert [(r["member"], bytes(r["content"])) for r in rows] == [("x/1.txt", b"one")]
+    (tmp_path / "f.txt").write_text("plain")
+    rows = readers.folder_or_zip(spark, str(tmp_path), r".*\.txt").collect()
+    assert [(r["archive"], r["member"]) for r in rows] == [(None, "f.txt")]
