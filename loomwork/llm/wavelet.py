@@ -210,7 +210,8 @@ class Encoder:
         but keeps a run of marks together: so a mark is cut off only in texts
         where none stands next to another.
         """
-        if "\u0130" not in text and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+        odd = "\u0130" in text or "\u03a3" in text or "<|" in text  # odd lower cases; special tokens stand in raw text
+        if not odd and unicodedata.is_normalized("NFC", text):
             text = text.lower()
             if _RUN.search(text) is None:
                 text = text.replace(",", " ,").replace(".", " .")

@@ -150,7 +150,7 @@ def test_token_report(spark, odd, empty):
     check(spark.read.parquet(f"{SF}/documents.parquet"))
     check(odd)
     assert wavelet.token_report(empty, path).count() == 0
-    check(spark.createDataFrame([(1, "It's  a\x1ctest\u2003don't <|endoftext|> e\u0301 É́x\r\ny"), (2, "A.b ... x_, 'tis, 1.5, end."), (3, "İstanbul ΣΑΣ, ok. OK, É."), (4, "Hello, World. Straße, 漢字. x_y z' w's, a"), (5, "a,\u00a0b.\u2003c")], "doc_id long, text string"))
+    check(spark.createDataFrame([(1, "It's  a\x1ctest\u2003don't <|endoftext|> e\u0301 É́x\r\ny"), (2, "A.b ... x_, 'tis, 1.5, end."), (3, "İstanbul ΣΑΣ, ok. OK, É."), (4, "Hello, World. Straße, 漢字. x_y z' w's, a"), (5, "a,\u00a0b.\u2003c"), (6, "Some <|ENDOFTEXT|> and x<|startoftext|>, y.")], "doc_id long, text string"))
 
 
 def test_shards_are_closed_at_their_size(spark):
