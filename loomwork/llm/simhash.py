@@ -22,7 +22,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate, combinations
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm import likeness
 from loomwork.llm.components import components
+from loomwork.llm.shingles import shingle_hashes
 from loomwork.llm.storage import keep
 
-SEED = 42
 #: Members of a posting list that are compared in one go.
 LIST_ROWS = 16_384
 #: Rows of an Arrow batch that index rows are built in.
@@ -49,22 +51,13 @@ def turan_triples(parts: Iterable[Iterable[int]] = ((0, 1, 2), (3, 4, 5), (6, 7)
     return found
 
 
-def spread_triples(positions: int, count: int, seed: int = 1) -> list[tuple[int, ...]]:
-    """``count`` different triples of positions, drawn by a fixed seed."""
-    rng, found = np.random.default_rng(seed), set()
-    while len(found) < count:
-        found.add(tuple(sorted(int(x) for x in rng.choice(positions, 3, replace=False))))
-    return sorted(found)
-
-
 @dataclass(frozen=True)
 class Design:
     """What fingerprints are made of and which of them link.
 
     ``words`` shingle words; ``lanes`` 64-bit lanes; ``triples`` positions of the
     index keys; ``radius`` most differing bits over the first ``checked`` lanes;
-    ``least`` shared positional bytes over those lanes; whether shingles count as
-    often as they stand in a text (``repeats``) or once.
+    ``least`` shared positional bytes over those lanes.
     """
 
     words: int
@@ -73,30 +66,10 @@ class Design:
     radius: int
     least: int
     triples: tuple[tuple[int, ...], ...]
-    repeats: bool = True
 
 
 #: 64 bits, 4-word shingles, links at 4 bits or fewer: complete.
 CONTRACT = Design(words=4, lanes=1, checked=1, radius=4, least=4, triples=tuple(turan_triples()))
-#: 256 bits, different 5-word shingles, for a shingle likeness of 0.8 and more.  Likeness J means an angle
-#: acos(2J / (1 + J)): at 0.8 that is 19.4 of the 128 bits that are checked, with a deviation of 4.1 between
-#: pairs of that likeness.
-LIKENESS = Design(words=5, lanes=4, checked=2, radius=20, least=0, triples=tuple(spread_triples(32, 128)), repeats=False)
-
-
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """XXH64 of all word shingles of UTF-8 bytes, A-Z lower-cased; words stand between ASCII white space."""
-    found = text.lower().split()  # of bytes: ASCII rules only
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(found) <= words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), SEED)], np.uint64)
-    joined = b" ".join(found)
-    sizes = list(map(len, found))
-    starts = [0, *accumulate(n + 1 for n in sizes[:-1])]
-    ends = [s + n for s, n in zip(starts[words - 1 :], sizes[words - 1 :])]
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64)
 
 
 def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
@@ -129,8 +102,7 @@ def fingerprints(documents: DataFrame, designs: list[Design]) -> DataFrame:
     def of(text: bytes) -> np.ndarray:
         found = []
         for d in designs:
-            hashes = shingle_hashes(text, d.words)
-            found.append(simhash(hashes if d.repeats else np.unique(hashes), d.lanes))
+            found.append(simhash(shingle_hashes(text, d.words), d.lanes))
         return np.concatenate(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,19 +292,44 @@ def fingerprint_components(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _prints_and_sets(documents: DataFrame) -> DataFrame:
+    """(doc_id, f0, s0, s1): the contract's fingerprint and a 128-bit digest of the set of shingles of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            f0 = np.array([simhash(shingle_hashes(t, CONTRACT.words))[0] for t in texts], np.uint64).view(np.int64)
+            digests = b"".join(xxhash.xxh3_128_digest(likeness.shingle_set(t).tobytes()) for t in texts)
+            sets = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            cols = (f0, np.ascontiguousarray(sets[:, 0]), np.ascontiguousarray(sets[:, 1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=["doc_id", "f0", "s0", "s1"])
+
+    typed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return typed.mapInArrow(run, "doc_id bigint, f0 bigint, s0 bigint, s1 bigint")
+
+
 def first_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows whose doc_id is the least of its group; of rows that share it, the least text stays.
 
-    Documents that link by :data:`CONTRACT` form groups, and so do groups whose
-    first documents link by :data:`LIKENESS`.
+    Groups are the components of all links of :data:`CONTRACT` and all pairs of
+    texts whose sets of 5-word shingles have a likeness of 0.8 or more.
     """
-    prints = keep(fingerprints(documents, [CONTRACT, LIKENESS]), "simhash")
-    wide = [f"f{CONTRACT.lanes + i}" for i in range(LIKENESS.lanes)]
-    close = grouped(prints.select("doc_id", "f0"), CONTRACT).filter("doc_id <=> component_id")
-    firsts = prints.join(close.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    firsts = keep(firsts.select("doc_id", *[F.col(w).alias(f"f{i}") for i, w in enumerate(wide)]), "simhash-firsts")
-    alike = grouped(firsts, LIKENESS).filter("doc_id <=> component_id")
-    stay = keep(alike.groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-stay")
+    prints = keep(_prints_and_sets(documents), "simhash")
+    ids = F.coalesce("doc_id", F.lit(LOWEST))
+    edges = []
+    for names in (["f0"], ["s0", "s1"]):
+        reps = keep(prints.groupBy(*names).agg(F.min(ids).alias("rep")), "simhash-classes")
+        own = prints.select(ids.alias("a"), *names).join(reps, names).select("a", F.col("rep").alias("b"))
+        edges.append(own.filter("a <> b"))
+        if names == ["f0"]:
+            edges.append(links(reps, CONTRACT))
+    known = keep(reduce(DataFrame.unionByName, edges), "simhash-links")
+    # one text of each set; a doc_id on rows of different texts is one node, so any of its texts may link it
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("rep"), "text").join(reps.select("rep").distinct(), "rep", "left_semi")
+    labels = components(known.unionByName(likeness.links(texts, known)))
+    later = labels.filter("node <> component").select("node")
+    counted = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
+    stay = keep(counted.join(later, ids == F.col("node"), "left_anti"), "simhash-stay")
     ids = stay.select(F.col("doc_id").alias("i"))
     kept = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
     again = stay.filter("n > 1").select(F.col("doc_id").alias("i"))
