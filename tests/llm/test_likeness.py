@@ -61,6 +61,14 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert kept(spark, rows) == set(range(0, 600, 10)) == brute_firsts(rows)
 
 
+def test_texts_under_the_threshold_stay(spark):
+    """Texts that share a template; those within 4 bits of each other are left out."""
+    rows = [(10 * s + i, t) for s in range(60) for i, t in enumerate(family(100 + s, 400, [0.7 + 0.0015 * s]))]
+    assert all(0.65 < likeness_of(rows[i][1], rows[i + 1][1]) < 0.8 for i in range(0, 120, 2))
+    want = brute_firsts(rows)
+    assert len(want) > 100 and kept(spark, rows) == want
+
+
 def test_families_and_shared_passages_against_brute_force(spark):
     rng = np.random.default_rng(9)
     notice = " ".join(f"notice{i}" for i in range(40))
