@@ -69,6 +69,18 @@ def test_texts_under_the_threshold_stay(spark):
     assert len(want) > 100 and kept(spark, rows) == want
 
 
+def test_links_of_all_members_of_a_group_count(spark):
+    rows = []
+    for s in range(20):
+        rng = np.random.default_rng(s)
+        words = [f"s{s}w{x}" for x in rng.integers(0, 50_000, 400)]
+        places = 4 + 5 * rng.permutation(78)
+        a1, a2, b = (edited(words, places[:n], "x") for n in (0, 4, 11))
+        assert likeness_of(a1, a2) > 0.9 and likeness_of(a2, b) > 0.8 > likeness_of(a1, b)
+        rows += [(10 * s, a1), (10 * s + 1, a2), (10 * s + 2, b)]
+    assert kept(spark, rows) == set(range(0, 200, 10)) == brute_firsts(rows)
+
+
 def test_families_and_shared_passages_against_brute_force(spark):
     rng = np.random.default_rng(9)
     notice = " ".join(f"notice{i}" for i in range(40))
