@@ -126,13 +126,16 @@ class Items:
                 found.append((i, at, at + len(self.texts[i]), 0))
         for i, band in self.bands(text):
             item, e, step = self.texts[i], self.bounds[i][0], int(self.step[i])
-            lo = max(0, band * step - e)
-            region = text[lo : band * step + 2 * step + len(item) + e]
+            lo = band * step - e
+            region = text[max(0, lo) : band * step + 2 * step + len(item) + e]
             at = region.find(item)
             if at >= 0:
-                found.append((i, lo + at, lo + at + len(item), 0))
+                at += max(0, lo)
+                found.append((i, at, at + len(item), 0))
                 continue
-            edits, end = align(np.frombuffer(item, np.uint8), np.frombuffer(region, np.uint8), 2 * step + 2 * e + 1)
+            # a band may begin before the text: -1 stands there, as it does behind its end
+            cells = np.r_[np.full(max(0, -lo), -1, np.int16), np.frombuffer(region, np.uint8)]
+            edits, end = align(np.frombuffer(item, np.uint8), cells, 2 * step + 2 * e + 1)
             if edits <= e:
                 found.append((i, max(0, lo + end - len(item)), lo + end, edits))
         kept: list[tuple[int, int, int, int]] = []
