@@ -33,3 +33,17 @@ def test_edited_items_at_both_ends_against_brute_force():
     got = found(rows, bench)
     assert got == {d for d, _, _ in brute_leaks(rows, bench)}
     assert 0 < len(got) < len(rows)
+
+
+def test_kept_ids_of_a_small_fixture_against_brute_force(spark):
+    rng, bench = np.random.default_rng(7), items(3)
+    docs = [(r["doc_id"], r["text"][:600]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 30").collect()]
+    for n, (_, t) in enumerate(bench * 10):
+        letters = list(t)
+        for i in rng.choice(len(letters), 2 * (n // 3), replace=False):
+            letters[i] = ("", "x", letters[i] + "y")[int(rng.integers(0, 3))]
+        docs.append((1000 + n, "".join(letters) + docs[n % 20][1][:200] if n % 2 else docs[n % 20][1][:200] + " " + "".join(letters)))
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in decontamination.keep_uncontaminated(given, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _, _ in brute_leaks(docs, bench)}
+    assert 30 < len(kept) < len(docs)

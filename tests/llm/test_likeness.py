@@ -93,6 +93,12 @@ def test_families_and_shared_passages_against_brute_force(spark):
     assert kept(spark, rows) == brute_firsts(rows)
 
 
+def test_stage_on_a_fixture_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"] for r in simhash.first_of_each_group(docs).collect()} == brute_firsts(rows)
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(4)
     none = (np.empty(0, np.uint64), np.empty(0, np.int64))
