@@ -67,6 +67,10 @@ class Design:
     least: int
     triples: tuple[tuple[int, ...], ...]
 
+    def __post_init__(self):
+        if self.least < 4:  # long lists are searched by a triple and one more byte
+            raise ValueError("a pair must share 4 bytes or more")
+
 
 #: 64 bits, 4-word shingles, links at 4 bits or fewer: complete.
 CONTRACT = Design(words=4, lanes=1, checked=1, radius=4, least=4, triples=tuple(turan_triples()))
