@@ -111,7 +111,10 @@ def scan(documents: DataFrame) -> DataFrame:
     """
     templates = template_table(documents.sparkSession)
     found = spans(documents).join(F.broadcast(templates), "t")
-    enough = F.col("hits") >= F.when(F.col("exact"), F.size("words") - (K - 1)).otherwise(F.lit(0.5) * (F.size("words") - (K - 1)))
+    # K grams go with each word that may differ; the verification decides
+    grams = F.size("words") - (K - 1)
+    differ = F.size("words") - F.ceil(F.lit(COVER) * F.size(F.array_distinct("words")))
+    enough = F.col("hits") >= F.when(F.col("exact"), grams).otherwise(F.greatest(grams - K * differ, F.lit(1)))
     span = F.struct("exact", "label", "words", F.col("first").cast("long").alias("first"), "lo", "hi")
     per_text = found.filter(enough).groupBy("doc_id", "k").agg(F.collect_list(span).alias("spans"))
     # only texts that share a gram with a template can have spans; the others' text needn't travel to them
