@@ -121,9 +121,11 @@ class Items:
         """(item, start, end, edits) of verified places in a normalised text; places of one item don't overlap."""
         found = []
         for i in self.short:
-            at = (b" " + text + b" ").find(b" " + self.texts[i] + b" ")
-            if at >= 0:
+            spaced, short = b" " + text + b" ", b" " + self.texts[i] + b" "
+            at = spaced.find(short)
+            while at >= 0:
                 found.append((i, at, at + len(self.texts[i]), 0))
+                at = spaced.find(short, at + len(short) - 1)  # the blank between two places is shared
         for i, band in self.bands(text):
             item, e, step = self.texts[i], self.bounds[i][0], int(self.step[i])
             lo = band * step - e

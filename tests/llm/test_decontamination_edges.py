@@ -47,3 +47,9 @@ def test_kept_ids_of_a_small_fixture_against_brute_force(spark):
     kept = {r["doc_id"] for r in decontamination.keep_uncontaminated(given, spark.createDataFrame(bench, "item_id long, text string")).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _, _ in brute_leaks(docs, bench)}
     assert 30 < len(kept) < len(docs)
+
+
+def test_all_places_of_a_short_item():
+    group = decontamination.Items([0], [b"ab cd"])
+    assert group.regions(b"ab cd ab cd x ab cde ab cd") == [(0, 0, 5, 0), (0, 6, 11, 0), (0, 21, 26, 0)]
+    assert decontamination.Items([0], [b"a"]).regions(b"a a ba a") == [(0, 0, 1, 0), (0, 2, 3, 0), (0, 7, 8, 0)]
