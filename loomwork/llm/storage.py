@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that setting is missing."""
+    """The folder of ``spark.checkpoint.dir``; without that setting nothing is written anywhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and returns a scan of it."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes ``df`` as Parquet, with the writer's options, to the shared folder and returns a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loomwork_path = path
     return back
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table that :func:`keep` wrote, once nothing reads it any more."""
-    path = getattr(df, "_loomwork_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`keep` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_loomwork_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,27 +1,32 @@
 """Token ids in wavelet-matrix files: one succinct, compressed file a shard.
 
 A shard holds the ids of consecutive documents in ascending doc_id order.  Its
-payload has one bit-plane per bit of the largest id, from the highest: bit b of
+file has one bit-plane per bit of the largest id, from the highest: bit b of
 every id in the order that the planes above left them in, zeros moved before
-ones for the next plane.  Each plane has a directory of ones before every block
-of 512 bits; with it rank and select take a few steps, and access, counting and
-occurrence lookup take one step a plane, on the planes of the one file.
-
-On disk a shard is a row of a Parquet table written by Spark itself, so that any
-Hadoop store can hold it and a lost executor's attempt leaves nothing behind;
-the payload column is the file format above, compressed by Zstandard.
+ones for the next plane.  A directory in the file tells the ones before every
+``STEP`` bits of a plane, and planes are compressed in blocks of ``BLOCK`` bits
+by Zstandard; so access, counting and occurrence lookup take one rank or select
+a plane and inflate only the blocks that they touch.
+
+On disk a shard is a Parquet file of its own that Spark itself writes, so that
+any Hadoop store can hold it and a lost executor's attempt leaves nothing
+behind; its one row holds the shard's documents and the file format above.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,205 +34,249 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.storage import keep
 
-MAGIC = b"LWM1"
-BLOCK = 512
+MAGIC = b"LWM2"
+#: Bits between two entries of a plane's directory, and bits of a compressed block.
+STEP, BLOCK = 512, 65_536
 END_ID = 1
 #: A shard is closed at the document that reaches so many ids.
 SHARD_IDS = 2_000_000
-#: White-space separated chunks whose ids a worker keeps, in each of two generations.
-KEPT_CHUNKS = 500_000
-#: A comma or full stop beside another mark or before a character that isn't white space.
-_RUN = re.compile(r"[^\w\s][.,]|_[.,]|[.,]\S")
-
-
-class WaveletMatrix:
-    """Bit-planes with rank directories over a sequence of ids."""
-
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes  # planes: packed bits, little-endian within bytes
-        self.zeros: list[int] = []
-        self.before: list[np.ndarray] = []
-        for plane in planes:
-            ones = np.bitwise_count(plane).astype(np.int64)
-            step = BLOCK // 8
-            sums = np.add.reduceat(ones, np.arange(0, len(ones), step)) if len(ones) else np.empty(0, np.int64)
-            self.before.append(np.concatenate([[0], np.cumsum(sums)]))
-            self.zeros.append(n - int(ones.sum()))
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        width = max(1, int(ids.max(initial=0)).bit_length())
-        now = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        planes = []
-        for bit in range(width - 1, -1, -1):
-            ones = (now & now.dtype.type(1 << bit)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
-            if bit:
-                now = np.concatenate([now[~ones], now[ones]])
-        return cls(len(ids), planes)
+#: Pieces whose ids a worker keeps, in each of two generations.
+KEPT = 300_000
+#: Bytes of text that are encoded at once; a longer text is encoded by itself.
+SLICE_BYTES = 8_000_000
+
+# The normaliser and splitter that :class:`Encoder` cuts texts for itself with.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def written(ids: np.ndarray) -> bytes:
+    """The wavelet-matrix file of a sequence of ids."""
+    width = max(1, int(ids.max(initial=0)).bit_length())
+    now = ids.astype(np.uint16 if width <= 16 else np.uint32)
+    zeros, ranks, blocks = [], [], []
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for bit in range(width - 1, -1, -1):
+        ones = (now & now.dtype.type(1 << bit)).astype(bool)
+        plane = np.packbits(ones, bitorder="little")
+        counts = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), STEP // 8), dtype=np.int64) if len(plane) else []
+        ranks.append(np.r_[0, np.cumsum(counts)].astype("<u4"))
+        zeros.append(len(now) - int(ranks[-1][-1]))
+        blocks += [compress(plane[at : at + BLOCK // 8].tobytes()) for at in range(0, len(plane), BLOCK // 8)]
+        if bit:
+            now = np.concatenate([now.compress(~ones), now.compress(ones)])
+    head = MAGIC + struct.pack("<QI", len(ids), width) + np.array(zeros, "<u8").tobytes()
+    return b"".join([head, *(r.tobytes() for r in ranks), np.array([len(b) for b in blocks], "<u4").tobytes(), *blocks])
+
+
+class WaveletFile:
+    """Access, counts and occurrences from a file's bytes; at most ``most`` inflated blocks are kept."""
+
+    def __init__(self, data: bytes, most: int = 256):
+        if data[:4] != MAGIC:
+            raise ValueError("not a wavelet-matrix shard")
+        self.n, self.width = struct.unpack_from("<QI", data, 4)
+        self.data, self.most, self.kept = memoryview(data), most, {}
+        entries, self.blocks = -(-self.n // STEP) + 1, -(-self.n // BLOCK)
+        at = 16
+        self.zeros = np.frombuffer(data, "<u8", self.width, at).astype(int).tolist()
+        at += 8 * self.width
+        self.ranks = np.frombuffer(data, "<u4", self.width * entries, at).reshape(self.width, entries)
+        at += 4 * self.width * entries
+        sizes = np.frombuffer(data, "<u4", self.width * self.blocks, at)
+        self.starts = at + 4 * len(sizes) + np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        self.inflate = zstandard.ZstdDecompressor().decompress
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        at = plane * self.blocks + block
+        if at not in self.kept:
+            if len(self.kept) >= self.most:
+                del self.kept[next(iter(self.kept))]
+            self.kept[at] = np.frombuffer(self.inflate(self.data[self.starts[at] : self.starts[at + 1]]), np.uint8)
+        return self.kept[at]
 
     def rank(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        bits, block = self.planes[plane], i // BLOCK
-        start, stop = block * BLOCK // 8, i // 8
-        ones = int(self.before[plane][block]) + int(np.bitwise_count(bits[start:stop]).sum())
-        return ones + int(bits[stop] & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else ones
+        ones, rest = int(self.ranks[plane, i // STEP]), i % STEP
+        if not rest:
+            return ones
+        bits, start = self._block(plane, i // BLOCK), i % BLOCK // STEP * (STEP // 8)
+        ones += int(np.bitwise_count(bits[start : start + rest // 8]).sum())
+        return ones + (int(bits[start + rest // 8]) & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else ones
 
     def select(self, plane: int, k: int, bit: int) -> int:
         """Where the k-th (from 0) bit of this value stands in a plane."""
-        ahead = self.before[plane]
+        ahead = self.ranks[plane].astype(np.int64)
         if not bit:
-            ahead = np.minimum(np.arange(len(ahead)) * BLOCK, self.n) - ahead
-        block = int(np.searchsorted(ahead, k, side="right")) - 1
-        part = self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8]
-        bits = np.unpackbits(part, bitorder="little")[: self.n - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(ahead[block])])
+            ahead = np.minimum(np.arange(len(ahead)) * STEP, self.n) - ahead
+        step = int(np.searchsorted(ahead, k, side="right")) - 1
+        start = step * STEP % BLOCK // 8
+        part = self._block(plane, step * STEP // BLOCK)[start : start + STEP // 8]
+        bits = np.unpackbits(part, bitorder="little")[: self.n - step * STEP]
+        return step * STEP + int(np.flatnonzero(bits == bit)[k - int(ahead[step])])
 
     def access(self, i: int) -> int:
+        """The id at place i."""
         value = 0
-        for p, bits in enumerate(self.planes):
-            one = bits[i // 8] >> (i % 8) & 1
+        for p in range(self.width):
+            one = int(self._block(p, i // BLOCK)[i % BLOCK // 8]) >> i % 8 & 1
             ones = self.rank(p, i)
             i = self.zeros[p] + ones if one else i - ones
-            value = value * 2 + int(one)
+            value = value * 2 + one
         return value
 
     def _range(self, value: int, stop: int) -> tuple[int, int]:
         """Where the value's occurrences before ``stop`` end up below the last plane."""
         a, b = 0, stop
-        for p in range(len(self.planes)):
-            one = value >> (len(self.planes) - 1 - p) & 1
+        for p in range(self.width):
+            one = value >> (self.width - 1 - p) & 1
             ra, rb = self.rank(p, a), self.rank(p, b)
             a, b = (self.zeros[p] + ra, self.zeros[p] + rb) if one else (a - ra, b - rb)
         return a, b
 
     def count(self, value: int, stop: int | None = None) -> int:
         """Occurrences of a value among the first ``stop`` ids."""
-        if value >> len(self.planes):
+        if value >> self.width:
             return 0
         a, b = self._range(value, self.n if stop is None else stop)
         return b - a
 
     def find(self, value: int, k: int) -> int:
         """Where the value's k-th (from 0) occurrence stands."""
-        a, b = self._range(value, self.n)
+        a, b = self._range(value, self.n) if not value >> self.width else (0, 0)
         if not 0 <= k < b - a:
             raise IndexError(k)
         at = a + k
-        for p in range(len(self.planes) - 1, -1, -1):
-            one = value >> (len(self.planes) - 1 - p) & 1
+        for p in range(self.width - 1, -1, -1):
+            one = value >> (self.width - 1 - p) & 1
             at = self.select(p, at - self.zeros[p] if one else at, one)
         return at
 
     def all(self) -> np.ndarray:
         """The whole sequence: from the last plane's order back to the first's."""
-        now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for p in range(len(self.planes) - 1, -1, -1):
-            ones = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
-            if p < len(self.planes) - 1:
-                back = np.empty_like(now)
-                back[~ones], back[ones] = now[: self.zeros[p]], now[self.zeros[p] :]
-                now = back
-            now[ones] |= now.dtype.type(1 << (len(self.planes) - 1 - p))
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
+        for p in range(self.width - 1, -1, -1):
+            edges = self.starts[p * self.blocks : (p + 1) * self.blocks + 1].tolist()
+            plane = b"".join(self.inflate(self.data[a:b]) for a, b in zip(edges, edges[1:]))
+            ones = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
+            bit, zeros = kind(1 << (self.width - 1 - p)), self.zeros[p]
+            back = np.empty_like(now)
+            back[np.flatnonzero(~ones)] = now[:zeros]
+            back[np.flatnonzero(ones)] = now[zeros:] | bit
+            now = back
         return now.astype(np.uint32)
 
-    def to_bytes(self) -> bytes:
-        body = b"".join(p.tobytes() for p in self.planes)
-        head = MAGIC + struct.pack("<QI", self.n, len(self.planes))
-        return head + zstandard.ZstdCompressor(level=1).compress(body)
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        if data[:4] != MAGIC:
-            raise ValueError("not a wavelet-matrix shard")
-        n, count = struct.unpack_from("<QI", data, 4)
-        width = (n + 7) // 8
-        body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[16:]), np.uint8)
-        return cls(n, [body[i * width : (i + 1) * width] for i in range(count)])
-
 
 class Encoder:
-    """Ids of whole texts by a tokenizer file.
-
-    The tokenizer's normaliser and splitter drop white space and never look
-    across it, so texts are cut at blanks and line feeds and the ids of each
-    different chunk are kept.  A chunk of letters is one word to the splitter and
-    a closing mark after it another; so new words are encoded together, and
-    their ids are told apart by the vocabulary's word-end pieces.  If that count
-    is off, as for letters whose lower case holds marks, and for all other
-    chunks, the library encodes each by itself.
+    """Ids of whole texts by a tokenizer file, as the library gives them.
+
+    A file with :data:`NORMALIZER` and :data:`PRE_TOKENIZER` drops white space
+    and never looks across it, so texts are cut at ASCII white space and each
+    different chunk of a slice is encoded once.  Where a chunk's characters are
+    all such that their normal form is their lower case (asked of the library for
+    each up to U+024F), the splitter's pattern over these gives its pieces and the
+    library's model their ids, which are kept; any other chunk, and one that holds
+    an added token, goes through the library whole.  With any other tokenizer
+    file whole texts do.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_CHUNKS):
-        import os
-
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors' cores are Spark's to share out
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        added = made.get("added_tokens") or []
+        plain = all(not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and len(t["content"].split()) == 1 for t in added)
+        self.by_chunk = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and made["model"]["type"] == "BPE" and not made["model"]["dropout"] and plain
         self.most = kept
-        self.closing = {m: self._alone(m) for m in ".,;:!?"}
-
-    def _alone(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, words: list[str]) -> None:
-        """Encodes words of letters into ``kept``."""
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, e in zip(part, (4 * ends).tolist()):
-                    self.kept[w] = data[start:e]
-                    start = e
+        self.kept: dict[str, bytes] = {" ": b""}
+        self.older: dict[str, bytes] = {}
+        self.added = [t["content"] for t in added]
+        if self.by_chunk:
+            normal = self.tokenizer.normalizer.normalize_str
+            known = [c for c in map(chr, range(0x21, 0x250)) if not c.isspace() and len(c.lower()) == 1 and normal(c) == c.lower()]
+            kind = lambda p: "".join(re.escape(c) for c in known if regex.fullmatch(p, c))
+            letters, digits = kind(r"\p{L}"), kind(r"\p{N}")
+            # the splitter's pattern over the known characters, with the most frequent pieces first
+            self.pieces = re.compile(f"[{letters}]+| |'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^ {letters}{digits}]+").findall
+            self.known = {" ", *known}
+            self.odd = re.compile("|".join(["[^" + "".join(map(re.escape, known)) + "]", *map(re.escape, self.added)])).search
+            printed = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+            hidden = [b for b in range(256) if b not in printed]
+            self.shown = {b: 256 + i for i, b in enumerate(hidden)}  # the byte-level alphabet: printed bytes stand for themselves
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learned(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            if self.odd(piece) and piece != " ":
+                found = self._library(piece)
             else:
-                self.kept.update((w, self._alone(w)) for w in part)
-
-    def _learn(self, chunks: set[str]) -> None:
-        kept, closing = self.kept, self.closing
-        stems = {c: c[:-1] if c[-1] in closing else c for c in chunks}
-        plain = {c: (s.lower() if s.isascii() else s) for c, s in stems.items() if s.isalpha()}
-        new = set(plain.values()).difference(kept)
-        self._words(sorted(new))
-        for c, w in plain.items():
-            if c != w:
-                kept[c] = kept[w] + (closing[c[-1]] if stems[c] != c else b"")
-        for c in chunks:
-            if c not in plain:
-                kept[c] = self._alone(c)
-
-    def _chunks(self, text: str) -> list[str]:
-        """Cuts a text at blanks, and where that changes nothing also before closing marks, in lower case.
-
-        The tokenizer composes, lower-cases and splits letters from marks itself,
-        but keeps a run of marks together: so a mark is cut off only in texts
-        where none stands next to another.
-        """
-        odd = "\u0130" in text or "\u03a3" in text or "<|" in text  # odd lower cases; special tokens stand in raw text
-        if not odd and unicodedata.is_normalized("NFC", text):
-            text = text.lower()
-            if _RUN.search(text) is None:
-                text = text.replace(",", " ,").replace(".", " .")
-        return text.replace("\n", " ").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [self._chunks(t) for t in texts]
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+                found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.kept[piece] = found
+        return found
+
+    def _ids(self, names: list[str]) -> list[bytes]:
+        return [p if p is not None else self._learned(c) for c, p in zip(names, map(self.kept.get, names))]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); a null text has none."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            found = [self._library(t.as_py()) for t in texts]
+            return np.frombuffer(b"".join(found), np.uint32), np.array([len(f) // 4 for f in found], np.int64)
         if len(self.kept) > self.most:  # what is used again comes over from the older generation
-            self.kept, self.older = {"": b""}, self.kept
-        new = {c for row in chunks for c in row}.difference(self.kept)
-        if new:
-            known = new.intersection(self.older)
-            self.kept.update((c, self.older[c]) for c in known)
-            self._learn(new - known)
-        get = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, row)), "<u4") for row in chunks]
+            self.kept, self.older = {" ": b""}, self.kept
+        rows = pc.ascii_split_whitespace(texts)
+        coded = rows.flatten().dictionary_encode()
+        if not len(coded.dictionary):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        blob = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        chunks, odd = None, {}
+        if not self.known.issuperset(blob) or any(t in blob for t in self.added):
+            chunks = blob.split(" ")
+            odd = {i: c for i, c in enumerate(chunks) if self.odd(c)}
+            for i in odd:
+                chunks[i] = ""
+            blob = " ".join(chunks)
+        names = self.pieces(blob.lower())  # pieces, and blanks between chunks
+        parts = self._ids(names)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        chunk = np.cumsum(np.fromiter(map(" ".__eq__, names), bool, len(names)))
+        size = np.bincount(chunk, weights=size, minlength=len(coded.dictionary)).astype(np.int64)
+        begin = np.cumsum(size) - size
+        pool = b"".join(parts)
+        if odd:
+            at, parts = np.array(list(odd)), self._ids(list(odd.values()))
+            size[at] = [len(p) // 4 for p in parts]
+            begin[at] = len(pool) // 4 + np.cumsum(size[at]) - size[at]
+            pool = b"".join([pool, *parts])
+        pool, at = np.frombuffer(pool, np.uint32), coded.indices.to_numpy()
+        n = size[at]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = pool[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, np.diff(ends[rows.offsets.to_numpy()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -240,60 +289,82 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows of about SLICE_BYTES."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        if b > a:
+            yield a, b - a
+
+
 def write_shards(documents: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Writes the shards to the shared folder and returns a scan of them.
+    """Writes the shards to the shared folder, a file each, and returns a scan of them.
 
     (part, seq, doc_ids, counts, payload): documents in ascending doc_id order
-    (null ids first, rows of one id by text) are dealt to ranges of ids; the
-    shards of a range are numbered, and each is closed at ``shard_ids`` ids, so a
-    task holds one shard at a time.
+    (null ids first, rows of one id by a hash of their text, then by text) are
+    dealt to ranges of ids and hashes, so that rows of one id needn't meet in one
+    task; the shards of a range are numbered, and each is closed at ``shard_ids``
+    ids, so a task holds one shard at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        ids, docs, held = [], [], 0
+        ids, counts, docs, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            counts = [len(x) for x in ids]
-            payload = WaveletMatrix.of(np.concatenate(ids)).to_bytes()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-                names=["part", "seq", "doc_ids", "counts", "payload"],
-            )
+            payload = written(np.concatenate(ids))
+            cols = [
+                pa.array([part], pa.int64()),
+                pa.array([seq], pa.int64()),
+                pa.ListArray.from_arrays([0, sum(map(len, docs))], pa.concat_arrays(docs)),
+                pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
+                pa.array([payload], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "seq", "doc_ids", "counts", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for i, x in zip(some.column(0).to_pylist(), encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids.append(np.append(x, np.uint32(END_ID)))
-                    docs.append(i)
-                    held += len(x) + 1
+            for at, rows in _slices(batch.column(1)):
+                found, n = encode(batch.column(1).slice(at, rows))
+                found, n = np.insert(found, np.cumsum(n), END_ID), n + 1
+                ends, own = np.cumsum(n), batch.column(0).slice(at, rows)
+                first = 0
+                while first < rows:
+                    done = int(ends[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(ends, shard_ids - held + done)) + 1, rows)
+                    ids.append(found[done : int(ends[last - 1])])
+                    counts.append(n[first:last])
+                    docs.append(own.slice(first, last - first))
+                    held += len(ids[-1])
+                    first = last
                     if held >= shard_ids:
                         yield shard()
-                        ids, docs, held, seq = [], [], 0, seq + 1
+                        ids, counts, docs, held, seq = [], [], [], 0, seq + 1
         if docs:
             yield shard()
 
-    ordered = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    typed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = typed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     shards = ordered.mapInArrow(run, "part bigint, seq bigint, doc_ids array<bigint>, counts array<bigint>, payload binary")
-    return keep(shards, "wavelet")
+    return keep(shards, "wavelet", maxRecordsPerFile="1", compression="uncompressed")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the shard files alone."""
-    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    # one row per shard, without payloads: at 2 million ids a shard the largest corpora have some million
-    sizes = shards.select("part", "seq", total.alias("n"))
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", "seq", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    # one row per shard, without payloads; ranges are as many as partitions, so only their totals meet in one window
+    sizes = shards.select("part", "seq", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("base"))
+    inside = sizes.select("part", "seq", F.coalesce(F.sum("n").over(before(Window.partitionBy("part").orderBy("seq"))), F.lit(0)).alias("ahead"))
+    offsets = inside.join(parts, "part").select("part", "seq", (F.col("base") + F.col("ahead")).alias("offset"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                part, seq, docs, counts, payload = (c[0] for c in one.columns)
-                ids = WaveletMatrix.from_bytes(payload.as_py()).all().astype("<u4")
-                n = np.array(counts.as_py(), np.int64)
+                part, seq, docs, counts, payload = (c[row] for c in batch.columns)
+                ids = WaveletFile(payload.as_py()).all().astype("<u4")
+                n = counts.values.to_numpy()
                 ends = np.cumsum(n)
                 data = memoryview(ids).cast("B")
                 crc = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
@@ -307,5 +378,10 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def token_report(documents: DataFrame, tokenizer: str) -> DataFrame:
-    """Encodes, writes, reads back: one row per document; a null text has its end id alone."""
+    """Encodes, writes, reads back: one row per document.
+
+    A null or empty text has its end id alone; a null doc_id comes before all
+    others; repeated rows are documents of their own; columns other than doc_id
+    and text aren't read.
+    """
     return read_documents(write_shards(documents, tokenizer))

@@ -115,16 +115,16 @@ def test_licenses_against_brute_force(spark, odd, empty):
     assert labels == {1: "apache-2,mit", 2: "mit", 3: "gpl-3", 4: "cc-by-nc", 5: "mit"}
 
 
-@pytest.mark.parametrize("top,n", [(1, 1), (1, 700), (2, 1000), (49_408, 5_000), (70_000, 513)])
+@pytest.mark.parametrize("top,n", [(1, 1), (1, 700), (2, 1000), (49_408, 5_000), (70_000, 513), (300, 200_000)])
 def test_wavelet_matrix(top, n):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
-    m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(ids).to_bytes())
+    m = wavelet.WaveletFile(wavelet.written(ids), most=3)
     assert (m.all() == ids).all()
     for i in range(0, n, max(1, n // 50)):
         assert m.access(i) == ids[i]
         assert m.count(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
         at = np.flatnonzero(ids == ids[i])
-        assert [m.find(int(ids[i]), k) for k in range(min(3, len(at)))] == at[:3].tolist()
+        assert [m.find(int(ids[i]), k) for k in (0, len(at) // 2, len(at) - 1)] == at[[0, len(at) // 2, -1]].tolist()
     assert m.count(int(ids.max()) * 4 + 3) == 0
     with pytest.raises(IndexError):
         m.find(int(ids[0]), n)
@@ -153,6 +153,47 @@ def test_token_report(spark, odd, empty):
     check(spark.createDataFrame([(1, "It's  a\x1ctest\u2003don't <|endoftext|> e\u0301 É́x\r\ny"), (2, "A.b ... x_, 'tis, 1.5, end."), (3, "İstanbul ΣΑΣ, ok. OK, É."), (4, "Hello, World. Straße, 漢字. x_y z' w's, a"), (5, "a,\u00a0b.\u2003c"), (6, "Some <|ENDOFTEXT|> and x<|startoftext|>, y.")], "doc_id long, text string"))
 
 
+def odd_texts(count, seed):
+    """Random texts of characters that normalisers, splitters and lower cases treat in odd ways."""
+    rng = np.random.default_rng(seed)
+    parts = [*"abcXYZ.,;:!?()-_\"0123 \n\t\r\x0b\x1c\u0085\u00a0\u2003\u0130\u03a3\u03c2\u00df\u0301\u212b\u212a\u1100\u1161\uac00\u6f22\u00bd\u00aa\u01c5\u0152\u200d\u00e9\ufb01", "'s", "'LL", "<|endoftext|>", "<|", "\u2019s", "\u0130.", "e\u0301", "\U0001d4b3"]
+    return ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(0, 30))) for _ in range(count)]
+
+
+def test_encoder_against_the_library(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = odd_texts(8_000, 1) + ["T\u00dcRK\u0130.", "\u015eEHR\u0130!", "RESM\u0130; ok", "\u0130K\u0130, \u00dc\u00c7", "\u00d6\u011eRENC\u0130 B\u0130LG\u0130LER\u0130:", "", None]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        plain, encode = Tokenizer.from_file(path), wavelet.Encoder(path, kept=500)
+        assert encode.by_chunk == (name == "word_bpe_49k.json")
+        for at in range(0, len(texts), 700):
+            ids, n = encode(pa.array(texts[at : at + 700], pa.string()))
+            ends = np.cumsum(n)
+            for t, a, b in zip(texts[at : at + 700], ends - n, ends):
+                assert plain.encode(t or "", add_special_tokens=False).ids == ids[a:b].tolist(), t
+
+
+def test_rows_of_one_id_and_slices_of_texts(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(wavelet, "SLICE_BYTES", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, f"text {i % 5} of many") for i in range(60)] + [(None, ""), (None, None), (3, "x" * 100), (9, "last")]
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in wavelet.token_report(spark.createDataFrame(rows, "doc_id long, text string"), path).collect())
+    assert [d for _, d, _ in got] == [None, None, 3, *[7] * 60, 9]
+    assert [s for s, _, _ in got] == np.cumsum([0, *(n for _, _, n in got[:-1])]).tolist()
+
+
+def test_a_shard_is_a_file(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    shards = wavelet.write_shards(df, public_tokenizers.path("word_bpe_49k.json"), shard_ids=30_000)
+    assert len(shards.inputFiles()) >= shards.count() > 3
+
+
 def test_shards_are_closed_at_their_size(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     df = spark.read.parquet(f"{SF}/documents.parquet")
