@@ -28,13 +28,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import likeness
 from loomwork.llm.components import components
 from loomwork.llm.shingles import shingle_hashes
-from loomwork.llm.storage import keep
+from loomwork.llm.storage import forget, keep
 
 #: Members of a posting list that are compared in one go.
 LIST_ROWS = 16_384
@@ -316,13 +316,16 @@ def first_of_each_group(documents: DataFrame) -> DataFrame:
     """The rows whose doc_id is the least of its group; of rows that share it, the least text stays.
 
     Groups are the components of all links of :data:`CONTRACT` and all pairs of
-    texts whose sets of 5-word shingles have a likeness of 0.8 or more.
+    texts whose sets of 5-word shingles have a likeness of 0.8 or more.  A null
+    doc_id is an id below all others, a null text has no shingles and an empty
+    table gives an empty one; columns of any name are passed through.
     """
     prints = keep(_prints_and_sets(documents), "simhash")
     ids = F.coalesce("doc_id", F.lit(LOWEST))
-    edges = []
+    edges, classes = [], []
     for names in (["f0"], ["s0", "s1"]):
         reps = keep(prints.groupBy(*names).agg(F.min(ids).alias("rep")), "simhash-classes")
+        classes.append(reps)
         own = prints.select(ids.alias("a"), *names).join(reps, names).select("a", F.col("rep").alias("b"))
         edges.append(own.filter("a <> b"))
         if names == ["f0"]:
@@ -334,12 +337,22 @@ def first_of_each_group(documents: DataFrame) -> DataFrame:
     later = labels.filter("node <> component").select("node")
     counted = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     stay = keep(counted.join(later, ids == F.col("node"), "left_anti"), "simhash-stay")
-    ids = stay.select(F.col("doc_id").alias("i"))
-    kept = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    again = stay.filter("n > 1").select(F.col("doc_id").alias("i"))
+    forget(prints, *classes, known)
+    own = fresh("id", documents)
+    ids = stay.select(F.col("doc_id").alias(own), "n")
+    kept = lambda some: documents.join(some, documents["doc_id"].eqNullSafe(some[own]), "left_semi")
+    again = ids.filter("n > 1")
     if again.isEmpty():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("i"))
-    order = Window.partitionBy("doc_id").orderBy("text")
-    one = kept.join(again, same, "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-    return kept.join(again, same, "left_anti").unionByName(one)
+        return kept(ids)
+    # null texts come first; a partial least of each task goes through the shuffle, not all rows of an id
+    first = F.struct(documents["text"].isNotNull(), documents["text"])
+    one = kept(again).groupBy(documents["doc_id"].alias(own)).agg(F.min_by(F.struct(*(documents[f"`{c}`"] for c in documents.columns)), first).alias("row"))
+    return kept(ids.filter("n = 1")).unionByName(one.select("row.*"))
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

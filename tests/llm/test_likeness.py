@@ -112,3 +112,39 @@ def test_prefixes_of_alike_sets_meet():
             for known in (none, (some, rng.integers(3, 9, len(some)))):
                 assert set(likeness.prefix(one, *known)) & set(likeness.prefix(two, *known))
     assert [likeness.prefix_size(n) for n in (0, 1, 4, 5, 10)] == [0, 1, 1, 2, 3]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(1, "a b c d e f g", "p", 1, 2.0, "x", 5), (2, "a b c d e f g", "q", 1, 2.0, "x", 5), (3, None, "r", 1, 2.0, "x", 5), (None, "other words here", "s", 1, 2.0, None, 5), (4, "z", "t", 0, 0.0, "y", 6), (4, "y", "u", 0, 0.0, "y", 6), (4, None, "v", 0, 0.0, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, i string, _n int, node double, id string, component long")
+    found = simhash.first_of_each_group(docs)
+    assert found.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["i"]) for r in found.collect()) == [(0, "s"), (1, "p"), (3, "r")]
+
+
+def test_blocks_of_a_long_list_meet_once(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.sort(rng.choice(400, 60, replace=False)) for _ in range(30)]
+    for s in list(sets):
+        sets += [np.unique(np.r_[s[:-k], rng.integers(1_000, 9_000, k)]) for k in (2, 5, 9)]
+    rows = []
+    for rep, s in enumerate(sets):
+        rows += [(int(k), rep, len(s), at, rep) for at, k in enumerate(s[: likeness.prefix_size(len(s))])]
+    lists = spark.createDataFrame(rows, "key long, rep long, n int, at int, c long")
+    parts = [{tuple(r) for r in likeness.meeting(lists, most).collect()} for most in (4_096, 7)]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if likeness.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert parts[0] == parts[1] and alike <= parts[0] and len(alike) > 50
+    assert len(parts[0]) < len(sets) ** 2 / 8
+
+
+def test_alike_sets_share_the_least_number():
+    rng = np.random.default_rng(12)
+    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for _ in range(2_000):
+        shared, a, b = rng.integers(1, 200), rng.integers(0, 30), rng.integers(0, 30)
+        x = np.unique(rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64))
+        order = rng.permutation(len(x))
+        one, two = np.sort(x[order[: shared + a]]), np.sort(x[np.r_[order[:shared], order[shared + a :]]])
+        if likeness.alike(shared, len(one), len(two)):
+            both = set(likeness.prefix(one, *none)) & set(likeness.prefix(two, *none))
+            assert len(both) >= likeness.least_shared(len(one), len(two))
