@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,13 @@ def unescaped(text: str) -> str:
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end) with spans in code points, end exclusive.
+    """(conv_id, example, last, text, loss_start, loss_end) with spans in code points, end exclusive.
 
+    ``last`` marks the example that holds all turns.
     Turns stand in order of (turn, role, text), nulls first; null roles and texts
     count as empty.  ``loss_start`` and ``loss_end`` are null in the last example
-    if it has no target.  Repeated rows are turns of their own.
+    if it has no target.  Repeated rows are turns of their own; null conv_ids are
+    one conversation; columns beside these four aren't read.
     """
     turn = F.struct(
         F.col("turn").alias("turn"),
@@ -67,11 +70,12 @@ def examples(conversations: DataFrame) -> DataFrame:
     numbered = F.transform("parts", lambda p, i: F.struct(F.when(p["target"], i).alias("i"), p["target"].alias("target")))
     targets = F.transform(F.filter(numbered, lambda p: p["target"]), lambda p: p["i"])
     rest = F.when(F.get("parts", F.size("parts") - 1)["target"], F.array().cast("array<int>")).otherwise(F.array(F.lit(None).cast("int")))
-    exploded = parts.select("conv_id", "parts", F.posexplode(F.concat(targets, rest)).alias("example", "at"))
+    exploded = parts.withColumn("ends", F.concat(targets, rest)).select("conv_id", "parts", F.size("ends").alias("n"), F.posexplode("ends").alias("example", "at"))
     upto = F.when(F.col("at").isNull(), F.size("parts")).otherwise(F.col("at") + 1)
     texts = exploded.withColumn("shown", F.slice("parts", F.lit(1), upto)).select(
         "conv_id",
         "example",
+        (F.col("example") == F.col("n") - 1).alias("last"),
         F.array_join(F.transform("shown", lambda p: p["written"]), "").alias("text"),
         F.when(F.col("at").isNotNull(), F.get("parts", "at")).alias("goal"),
     )
@@ -79,6 +83,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     return texts.select(
         "conv_id",
         "example",
+        "last",
         "text",
         F.when(F.col("goal").isNotNull(), end - F.col("goal.body")).cast("long").alias("loss_start"),
         F.when(F.col("goal").isNotNull(), end).cast("long").alias("loss_end"),
@@ -100,30 +105,45 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def digests(formatted: DataFrame) -> DataFrame:
     """What :func:`examples` wrote, read back: one row per conversation.
 
-    The turns are those of the last example, which has all turns before it; the
-    trainable text is that of all masks, in order.
+    Every example is read by itself; only its reply, and of the last one, which
+    has all turns, their digest, meet in the conversation's row.  An example that
+    isn't made of turns is an error.
     """
 
-    def read(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for examples_of in rows:
-            ordered = sorted(examples_of, key=lambda e: e["example"])
-            turns = read_turns(ordered[-1]["text"])
-            loss = [unescaped(e["text"][int(e["loss_start"]) : int(e["loss_end"])]) for e in ordered if not pd.isna(e["loss_start"])]
-            whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-            out.append(
-                (
-                    len(turns),
-                    hashlib.sha256(whole.encode()).hexdigest(),
-                    sum(map(len, loss)),
-                    hashlib.sha256("".join(loss).encode()).hexdigest(),
-                    sum(len(e["text"]) for e in ordered),
-                    len(ordered),
-                )
-            )
-        return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"])
-
-    kind = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-    reader = F.pandas_udf(read, kind)
-    grouped = formatted.groupBy("conv_id").agg(F.collect_list(F.struct("example", "text", "loss_start", "loss_end")).alias("e"))
-    return grouped.select("conv_id", reader("e").alias("d")).select("conv_id", "d.*")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, texts, starts, ends = (batch.column(c).to_pylist() for c in ("last", "text", "loss_start", "loss_end"))
+            turns = [read_turns(t) for t in texts]
+            whole = ["".join(f"{r}\n{t}\n" for r, t in own) if is_last else None for own, is_last in zip(turns, last)]
+            cols = {
+                "conv_id": batch.column("conv_id"),
+                "example": batch.column("example"),
+                "n_turns": pa.array(map(len, turns), pa.int64()),
+                "turns_sha256": pa.array([None if w is None else hashlib.sha256(w.encode()).hexdigest() for w in whole], pa.string()),
+                "loss": pa.array([None if a is None else unescaped(t[a:b]) for t, a, b in zip(texts, starts, ends)], pa.string()),
+                "chars": pa.array(map(len, texts), pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    schema = "conv_id bigint, example int, n_turns bigint, turns_sha256 string, loss string, chars bigint"
+    found = formatted.select(F.col("conv_id").cast("bigint").alias("conv_id"), "example", "last", "text", "loss_start", "loss_end").mapInArrow(read, schema)
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda e: F.coalesce(e["loss"], F.lit(""))), "")
+    return found.groupBy("conv_id").agg(
+        F.max("n_turns").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        F.coalesce(F.sum(F.char_length("loss")), F.lit(0)).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.sum("chars").alias("formatted_chars"),
+        F.count("*").alias("n_examples"),
+    )
+
+
+#: The same digests in SQL, over the registered table ``conversations`` and conversation -7.
+DIGESTS_SQL = r"""WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+ length(role) + length(text) + length('<turn role=""></turn>') + 1 + length(regexp_replace(role || text, '[^\\<>"]', '', 'g')) AS chars FROM given),
+u AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant' OR i = n) AS n_examples FROM u GROUP BY conv_id"""

@@ -19,13 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.storage import keep
+
 Q = 10
 #: Edits that an item may have, as a share of its bytes.
 EDITS = 0.08
 #: Bytes of items that one pass over the documents holds; more items take more passes.
-PASS_BYTES = 16_000_000
+PASS_BYTES = 4_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+#: Powers of the base, modulo 2 ** 64.
+_P1, _P2, _P4 = (np.uint64(pow(_BASE, k, 1 << 64)) for k in (1, 2, 4))
+#: Shared q-grams of a text that are spread over bands at once.
+HITS = 2_000_000
 _TABLE_BITS = 20
 _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _TO_SPACES = bytes.maketrans(_MARKS, b" " * len(_MARKS))
@@ -40,11 +46,10 @@ def gram_hashes(data: bytes) -> np.ndarray:
     one = np.frombuffer(data, np.uint8).astype(np.uint64)
     if len(one) < Q:
         return np.empty(0, np.uint64)
-    square = _BASE * _BASE
-    two = one[:-1] * _BASE + one[1:]
-    four = two[:-2] * square + two[2:]
-    eight = four[:-4] * (square * square) + four[4:]
-    return eight[:-2] * square + two[8:]
+    two = one[:-1] * _P1 + one[1:]
+    four = two[:-2] * _P2 + two[2:]
+    eight = four[:-4] * _P4 + four[4:]
+    return eight[:-2] * _P2 + two[8:]
 
 
 def budget(m: int) -> tuple[int, int]:
@@ -75,13 +80,41 @@ def align(item: np.ndarray, region: np.ndarray, width: int) -> tuple[int, int]:
     return int(row[best]), min(m + best, len(region))
 
 
+def started(item: bytes, text: bytes, end: int, edits: int) -> int:
+    """Where the best place of an item begins that ends at ``end`` with so many edits: an alignment back from there."""
+    back = text[max(0, end - len(item) - edits) : end][::-1]
+    row = list(range(len(back) + 1))
+    for i, x in enumerate(reversed(item), 1):
+        lo, hi = max(1, i - edits), min(len(back), i + edits)
+        new = [i if i <= edits else edits + 1] + [edits + 1] * len(back)
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j - 1] + (back[j - 1] != x), row[j] + 1, new[j - 1] + 1)
+        row = new
+    return end - min(range(len(row)), key=lambda j: (row[j], abs(j - len(item))))
+
+
+_BUILT: dict[tuple, Items] = {}
+
+
+def _rebuilt(ids: list, texts: list[bytes]) -> Items:
+    """A worker's tables of a pass: tasks that follow each other in it share them."""
+    key = (len(ids), hash(tuple(ids)), hash(tuple(texts)))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(ids, texts)
+    return _BUILT[key]
+
+
 @dataclass
 class Items:
-    """The items of one pass and the sorted table of their q-grams."""
+    """The items of one pass and the sorted table of their q-grams; only ids and texts travel to workers."""
 
     ids: list[int]
     texts: list[bytes]
 
+    def __reduce__(self):
+        return _rebuilt, (self.ids, self.texts)
+
     def __post_init__(self):
         self.bounds = [budget(len(t)) if len(t) >= Q else (0, 0) for t in self.texts]
         self.short = [i for i, t in enumerate(self.texts) if 0 < len(t) < Q]
@@ -90,7 +123,7 @@ class Items:
         at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
         grams = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         order = np.argsort(grams, kind="stable")
-        self.grams, self.item, self.at = grams[order], item[order], at[order]
+        self.grams, self.item, self.at = grams[order], item[order].astype(np.int32), at[order].astype(np.int32)
         self.step = np.array([e + 1 for e, _ in self.bounds], np.int64)
         self.least = np.array([t for _, t in self.bounds], np.int64)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
@@ -105,15 +138,20 @@ class Items:
         g = h[p]
         first, last = np.searchsorted(self.grams, g, "left"), np.searchsorted(self.grams, g, "right")
         times = last - first
-        if not times.sum():
+        some = np.flatnonzero(times)
+        p, first, times = p[some], first[some], times[some]
+        if not len(p):
             return []
-        p = np.repeat(p, times)
-        starts = np.repeat(first, times)
-        hit = starts + np.arange(len(starts)) - np.repeat(np.cumsum(times) - times, times)
-        item, diagonal = self.item[hit], p - self.at[hit]
-        band = diagonal // self.step[item]
-        key = np.concatenate([(item << 40) + band + (1 << 38), (item << 40) + band - 1 + (1 << 38)])
-        keys, counts = np.unique(key, return_counts=True)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        part = (np.cumsum(times) - times) // HITS  # a gram that text and item repeat has hits of the product of both
+        for own in np.split(np.arange(len(p)), np.flatnonzero(np.diff(part)) + 1):
+            n = times[own]
+            hit = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            item = self.item[hit].astype(np.int64)
+            band = (np.repeat(p[own], n) - self.at[hit]) // self.step[item]
+            key, count = np.unique(np.concatenate([(item << 40) + band + (1 << 38), (item << 40) + band - 1 + (1 << 38)]), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
         keys = keys[counts >= self.least[keys >> 40]]
         return [(int(k) >> 40, (int(k) & ((1 << 40) - 1)) - (1 << 38)) for k in keys]
 
@@ -139,7 +177,7 @@ class Items:
             cells = np.r_[np.full(max(0, -lo), -1, np.int16), np.frombuffer(region, np.uint8)]
             edits, end = align(np.frombuffer(item, np.uint8), cells, 2 * step + 2 * e + 1)
             if edits <= e:
-                found.append((i, max(0, lo + end - len(item)), lo + end, edits))
+                found.append((i, started(item, text, lo + end, edits), lo + end, edits))
         kept: list[tuple[int, int, int, int]] = []
         for f in sorted(found, key=lambda f: (f[0], f[3], f[1])):
             if all(f[0] != k[0] or f[2] <= k[1] or f[1] >= k[2] for k in kept):
@@ -147,19 +185,21 @@ class Items:
         return kept
 
 
-def passes(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[Items]:
-    """The items in passes of about PASS_BYTES, each collected on its own; what a pass sends to workers is so bounded."""
+def passes(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[tuple[Items, bool]]:
+    """The items in passes of about PASS_BYTES, and whether each is the only one.
+
+    A pass is collected when the one before it is done with, so what the driver
+    and workers hold is bounded.  An item of more bytes is a pass by itself.
+    """
     marked = items.select(F.col(id_column).cast("bigint").alias("i"), F.col(text_column).alias("t"))
     total = marked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // PASS_BYTES))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(count))
-    found = []
     for n in range(count):
         rows = sorted(marked.filter(part == n).collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"] or ""))
         texts = [normalised(r["t"]) for r in rows]
         own = [(r["i"], t) for r, t in zip(rows, texts) if t]
-        found.append(Items([i for i, _ in own], [t for _, t in own]))
-    return found
+        yield Items([i for i, _ in own], [t for _, t in own]), count == 1
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -167,10 +207,12 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Words are counted in the normalised text.  Documents without such a place
     have no row; null and empty texts have none, and empty items match nothing.
+    Repeated rows of documents or items give a row each; null ids stay null.  The
+    places of several passes are written one pass after the other.
     """
     out = None
     schema = "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, edits int, similarity double"
-    for group in passes(items):
+    for group, only in passes(items):
 
         def run(batches: Iterator[pa.RecordBatch], group: Items = group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -188,6 +230,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 )
 
         found = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+        found = found if only else keep(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -195,7 +238,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 def keep_uncontaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The input's rows, all columns, that hold no item."""
     at = documents.columns.index("text")
-    for group in passes(items):
+    for group, only in passes(items):
 
         def run(batches: Iterator[pa.RecordBatch], group: Items = group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -203,4 +246,5 @@ def keep_uncontaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)
+        documents = documents if only else keep(documents, "clean")
     return documents

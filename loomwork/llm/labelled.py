@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +18,13 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of at most ``limit`` labelled documents that aren't held out.
+def sampled(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(i, text, y): whole texts and 0/1 labels of at most ``limit`` labelled documents that aren't held out.
 
     ``limit`` is the documented bound: the ids with the least hashes are taken,
     so it is a random sample that depends on the ids alone.  Null labels and ids
-    are passed over; of several labels for one id the largest counts.
+    are passed over; of several labels for one id the largest counts, of several
+    texts the least.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("i"), F.col(label).cast("int").alias("y"))
@@ -31,10 +35,25 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, limit: int) -> t
         .orderBy(F.xxhash64("i"), "i")
         .limit(limit)
     )
-    texts = documents.select("doc_id", "text")
-    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["i"]).select("i", "text", "y")
-    rows = sorted(found.dropDuplicates(["i"]).collect(), key=lambda r: r["i"])
-    return [r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.int64)
+    texts = documents.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+
+
+def gathered(rows: DataFrame, features: Callable[[str], np.ndarray], kind: str = "bigint") -> tuple[list[np.ndarray], np.ndarray]:
+    """The features of the sampled rows, made by the executors, and their labels, in order of ids; texts don't come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.int64() if kind == "bigint" else pa.int32())), batch.column("y")], names=["i", "x", "y"])
+
+    table = rows.select(F.col("i").cast("bigint").alias("i"), "text", "y").mapInArrow(run, f"i bigint, x array<{kind}>, y int").toArrow().sort_by("i").combine_chunks()
+    if not len(table):
+        return [], np.empty(0, np.int64)
+    x = table.column("x").chunk(0)
+    ends = x.offsets.to_numpy()
+    values = x.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:])], table.column("y").to_numpy().astype(np.int64)
 
 
 class Sparse:
@@ -46,6 +65,9 @@ class Sparse:
         self.row = np.repeat(np.arange(len(rows)), np.diff(self.ends))
         self.n, self.width = len(rows), width
 
+    def rows(self) -> list[np.ndarray]:
+        return [self.at[a:b] for a, b in zip(self.ends, self.ends[1:])]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.at], minlength=self.n)
 
@@ -58,24 +80,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: Sparse, target: np.ndarray, l2: float, steps: int = 400, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by accelerated gradient steps; the bias isn't penalised."""
-    weight = np.ones(x.n) if weight is None else weight
-    w, b = np.zeros(x.width), 0.0
-    pw, pb = w, b
-    widest = max(1, int(np.max(np.diff(x.ends), initial=0)))
-    rate = 1 / (0.25 * (widest + 1) * weight.mean() + l2) if x.n else 0.0
-    scale = 1 / max(1, x.n)
-    momentum = 1.0
-    for _ in range(steps):
-        step = weight * (sigmoid(x.dot(pw) + pb) - target)
-        nw = pw - rate * (scale * x.turned(step) + l2 * pw)
-        nb = pb - rate * scale * step.sum() * widest
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        pw = nw + (momentum - 1) / following * (nw - w)
-        pb = nb + (momentum - 1) / following * (nb - b)
-        w, b, momentum = nw, nb, following
-    return w, b
+def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, c: np.ndarray, epochs: int = 30, seed: int = 7) -> np.ndarray:
+    """Weights of the L1-loss linear SVM (y in -1, 1; ``c`` the cost of each row); the last weight is the bias."""
+    w = np.zeros(width + 1)
+    alpha = np.zeros(len(rows))
+    norms = np.array([v @ v + 1 for _, v in rows])
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        worst = 0.0
+        for i in rng.permutation(len(rows)):
+            at, v = rows[i]
+            g = y[i] * (w[at] @ v + w[-1]) - 1
+            pull = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == c[i] else g
+            if pull:
+                worst = max(worst, abs(pull))
+                old = alpha[i]
+                alpha[i] = min(max(old - g / norms[i], 0.0), c[i])
+                step = (alpha[i] - old) * y[i]
+                w[at] += step * v
+                w[-1] += step
+        if worst < 0.01:
+            break
+    return w
 
 
 def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -16,8 +16,6 @@ from loomwork.llm.storage import keep
 BUCKETS = 16
 #: Padded tokens of a batch.
 BUDGET = 65_536
-#: Lengths keep so many leading bits: up to 1024 they count as they are, longer ones round up by under 0.2 %.
-LEADING_BITS = 10
 #: Documents that one task numbers, within a bucket.
 SHARD_ROWS = 16_384
 
@@ -27,13 +25,6 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \t\n\x0b\x0c\r]+"), "")).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    """The length, rounded up to LEADING_BITS leading bits, so that the histogram has some thousand cells at most."""
-    drop = F.greatest(F.length(F.bin(length)) - LEADING_BITS, F.lit(0))
-    unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), drop)
-    return (F.floor((length + unit - 1) / unit) * unit).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The greatest length of each bucket, for the least total of (boundary - length), by dynamic programming.
 
@@ -70,18 +61,22 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def packed(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def packed(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens: Column | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, bucket, padded_tokens, batch_id, slot.
 
+    ``tokens`` is the documents' length, by default their words; null counts as 0.
+    The histogram has a cell for each different length, and the programme is
+    exact over all of them.
     A batch holds ``max(1, budget // padded_tokens)`` documents of one bucket, so
     a document longer than the budget has a batch of its own; every batch of a
     bucket but its last is full.  Empty documents are of length 0 and pad to
-    their bucket's boundary.  Rows are numbered in shards of a bucket and the
+    their bucket's boundary.  Repeated rows are documents of their own, a null
+    doc_id stays null, an empty table gives an empty one.  Rows are numbered in shards of a bucket and the
     shards' counts are summed, so no bucket meets in one task.
     """
-    lengths = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens_of(F.col("text")).alias("n_tokens"))
+    lengths = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce((tokens_of(F.col("text")) if tokens is None else tokens).cast("bigint"), F.lit(0).cast("bigint")).alias("n_tokens"))
     lengths = keep(lengths, "lengths")
-    histogram = lengths.groupBy(rounded(F.col("n_tokens")).alias("n")).count().orderBy("n").collect()
+    histogram = lengths.groupBy(F.col("n_tokens").alias("n")).count().orderBy("n").collect()
     tops = boundaries(np.array([r["n"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets) or [0]
     shards = max(1, -(-sum(r["count"] for r in histogram) // SHARD_ROWS))
     bucket = F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t < F.col("n_tokens")))
@@ -102,3 +97,21 @@ def packed(documents: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -
         F.concat_ws("-", "bucket", F.floor(place / room)).alias("batch_id"),
         F.pmod(place, room).cast("int").alias("slot"),
     )
+
+
+def batches(placed: DataFrame) -> DataFrame:
+    """(batch_id, bucket, doc_ids, lengths, padded_tokens, padding) of the batches of :func:`packed`: documents in order of their slots.
+
+    ``lengths`` is the mask of the batch: so many tokens of each padded row count.
+    A batch's padded tokens are at most the budget, or it holds one document.
+    """
+    row = F.struct("slot", "doc_id", "n_tokens")
+    made = placed.groupBy("batch_id", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.first("padded_tokens").alias("width"), F.sum("n_tokens").alias("n"))
+    padded = F.size("rows") * F.col("width")
+    return made.select("batch_id", "bucket", F.col("rows.doc_id").alias("doc_ids"), F.col("rows.n_tokens").alias("lengths"), padded.alias("padded_tokens"), (padded - F.col("n")).alias("padding"))
+
+
+def padding(placed: DataFrame) -> DataFrame:
+    """One row: documents, tokens, padding in the buckets, and padding if all documents were one bucket."""
+    sums = placed.agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("padded_tokens").alias("padded"), F.max("padded_tokens").alias("top"))
+    return sums.select("documents", "tokens", (F.col("padded") - F.col("tokens")).alias("padding"), (F.col("documents") * F.col("top") - F.col("tokens")).alias("padding_one_bucket"))

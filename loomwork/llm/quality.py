@@ -10,22 +10,22 @@ the model for them has not seen.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.labelled import Sparse, fit_platt, held_out, sample, sigmoid
+from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, gathered, held_out, sampled, sigmoid
 
 #: The bound of the training sample, in labelled documents.
 SAMPLE = 4_000
 THRESHOLD = 0.5
 #: A feature must stand in so many sampled documents.
-LEAST_DOCUMENTS = 5
+LEAST_DOCUMENTS = 3
 
 def _kinds() -> bytes:
     table = bytearray(range(256))
@@ -45,32 +45,35 @@ def token_shapes(data: bytes) -> list[bytes]:
     same = np.r_[False, kinds[1:] == kinds[:-1]]
     plain = (kinds == ord("a")) | (kinds == ord("A")) | (kinds == ord("0"))
     third = same & np.r_[False, same[:-1]]
-    return [t[:12] for t in kinds[~(same & plain | third)].tobytes().split()]
+    return kinds[~(same & plain | third)].tobytes().split()
 
 
-class Shapes:
-    """Numbers for the known shapes; all others share 0."""
+class Shapes(dict):
+    """The 64-bit hash of a shape; those of frequent shapes are kept."""
 
-    def __init__(self, known: list[bytes]):
-        self.number = {k: i + 1 for i, k in enumerate(known)}
+    def __missing__(self, shape: bytes) -> int:
+        found = xxhash.xxh64_intdigest(shape)
+        if len(self) < KEPT:
+            self[shape] = found
+        return found
 
-    def __call__(self, data: bytes) -> np.ndarray:
-        found, get = token_shapes(data), self.number.get
-        return np.array([get(t, 0) for t in found], np.int64)
 
-
-#: Shape numbers stay under this; an n-gram is a number in this base.
-BASE = 1 << 16
+#: Shapes whose hashes a worker keeps.
+KEPT = 200_000
+_SHAPES = Shapes()
+#: An n-gram is a number in this odd base, modulo 2 ** 64; the top bit is cleared.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64((1 << 63) - 1)
 
 
 def _share(part: int, whole: int) -> int:
     return int(8 * part / whole) if whole else 9
 
 
-def features(text: str, shapes: Shapes) -> np.ndarray:
+def features(text: str) -> np.ndarray:
     """The n-gram indicators of a whole text as numbers, ascending; the empty text has one that says so.
 
-    Numbers above 0 are 1- to 3-grams of shapes.  Numbers below 0 are indicators
+    Numbers from 0 are hashes of 1- to 3-grams of shapes.  Numbers below 0 are indicators
     of the whole: how often a token repeats the last one, how many tokens, pairs
     and lines differ, and how long text and tokens are, each in a few steps.
     """
@@ -79,12 +82,12 @@ def features(text: str, shapes: Shapes) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.array([-1], np.int64)
-    kinds = shapes(data)
+    kinds = np.fromiter(map(_SHAPES.__getitem__, token_shapes(data)), np.uint64, n)
     grams = [kinds]
     if n > 1:
-        grams.append(kinds[:-1] * BASE + kinds[1:])
+        grams.append((kinds[:-1] + np.uint64(1)) * _BASE + kinds[1:])
     if n > 2:
-        grams.append(grams[1][:-1] * BASE + kinds[2:])
+        grams.append((grams[1][:-1] + np.uint64(1)) * _BASE + kinds[2:])
     again = sum(map(bytes.__eq__, tokens, tokens[1:]))
     lines = [x for x in data.split(b"\n") if x.strip()]
     distinct = _share(len(set(tokens)), n)
@@ -97,48 +100,23 @@ def features(text: str, shapes: Shapes) -> np.ndarray:
         distinct + 10 * min(n.bit_length(), 40),
         min(24, len(data) // n),
     )
-    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate(grams))]
-
-
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, c: np.ndarray, epochs: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights of the L1-loss linear SVM (y in -1, 1; ``c`` the cost of each row); the last weight is the bias."""
-    w = np.zeros(width + 1)
-    alpha = np.zeros(len(rows))
-    norms = np.array([v @ v + 1 for _, v in rows])
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        worst = 0.0
-        for i in rng.permutation(len(rows)):
-            at, v = rows[i]
-            g = y[i] * (w[at] @ v + w[-1]) - 1
-            pull = min(g, 0.0) if alpha[i] == 0 else max(g, 0.0) if alpha[i] == c[i] else g
-            if pull:
-                worst = max(worst, abs(pull))
-                old = alpha[i]
-                alpha[i] = min(max(old - g / norms[i], 0.0), c[i])
-                step = (alpha[i] - old) * y[i]
-                w[at] += step * v
-                w[-1] += step
-        if worst < 0.01:
-            break
-    return w
+    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate(grams) & _TOP).view(np.int64)]
 
 
 @dataclass
 class Model:
-    """Weights of features, in ascending order of their numbers, the shapes that numbers are made of, and the bias."""
+    """Weights of features, in ascending order of their numbers, and the bias."""
 
     numbers: np.ndarray
     weights: np.ndarray
-    shapes: list[bytes]
     bias: float
 
     def scorer(self):
         """A function of a text: the probability's exponent."""
-        shapes, top = Shapes(self.shapes), max(0, len(self.numbers) - 1)
+        top = max(0, len(self.numbers) - 1)
 
         def score(text: str) -> float:
-            found = features(text, shapes)
+            found = features(text)
             if not len(self.numbers):
                 return self.bias
             at = np.minimum(np.searchsorted(self.numbers, found), top)
@@ -147,19 +125,14 @@ class Model:
         return score
 
 
-def train(texts: list[str], labels: np.ndarray, cost: float = 0.1, folds: int = 4) -> Model:
-    """Without rows of both classes the model gives the labels' smoothed share."""
+def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds: int = 4) -> Model:
+    """A model of texts' :func:`features`; without rows of both classes it gives the labels' smoothed share."""
     n, pos = len(labels), int(labels.sum())
     if not pos or pos == n:
         share = (pos + 1) / (n + 2)
-        return Model(np.empty(0, np.int64), np.empty(0), [], float(np.log(share / (1 - share))))
-    seen = Counter(k for t in texts for k in set(token_shapes(t.encode("utf-8", "replace"))))
-    least = min(LEAST_DOCUMENTS, 1 + n // 100)
-    known = sorted(k for k, c in seen.items() if c >= least)[: BASE - 2]
-    shapes = Shapes(known)
-    found = [features(t, shapes) for t in texts]
+        return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
     names, counts = np.unique(np.concatenate(found), return_counts=True)
-    names = names[counts >= least]
+    names = names[counts >= LEAST_DOCUMENTS]
     rows = [np.flatnonzero(np.isin(names, f, assume_unique=True)) for f in found]
 
     def fit(part: np.ndarray) -> np.ndarray:
@@ -183,11 +156,11 @@ def train(texts: list[str], labels: np.ndarray, cost: float = 0.1, folds: int =
     a, b = fit_platt(margin, labels)
     w = fit(np.arange(n))
     used = w[:-1] != 0
-    return Model(names[used], a * w[:-1][used], known, float(a * w[-1] + b))
+    return Model(names[used], a * w[:-1][used], float(a * w[-1] + b))
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(documents, labels, "quality", SAMPLE))
+    return train(*gathered(sampled(documents, labels, "quality", SAMPLE), features))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -203,7 +176,12 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted (1 if score >= 0.5)."""
+    """One row per document: doc_id, held_out, score, predicted (1 if score >= 0.5).
+
+    Null texts score as empty ones; repeated rows have a row each; a null doc_id
+    stays null.  An empty table of documents gives an empty one, and labels
+    without both classes give every document the same score.
+    """
     found = scored(documents, fitted(documents, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

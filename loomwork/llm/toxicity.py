@@ -1,43 +1,54 @@
 """Toxicity by weak supervision.
 
-1. Voters.  Lexicons of words and of word-start patterns are mined from the
-   labelled sample (labels of held-out documents are never seen) and dealt into
-   several lexicons and pattern lists, next to one fixed list of insults.  Each
-   voter says whether a document holds one of its entries.
-2. Generative label model.  A latent class with one binary vote per voter is
-   fitted by expectation-maximisation without labels: it estimates each voter's
-   hit rates on either class.  Voters that depend on each other given the class
-   are found by conditional mutual information and joined by a spanning forest,
-   so that correlated votes don't count twice.
-3. A logistic regression on word and word-start indicators is trained on the
-   posterior labels; its slope and offset are set on the sample's own labels.
+1. Voters, each toxic, clean or abstaining.  A list of insults and a list of
+   insulting word starts are fixed.  The others are mined: a half of the sample
+   gives a lexicon of words, lists of short and of long word starts, a count of
+   several hits, and weaker lists of suspect units: two words or three starts vote toxic, and a
+   document without any is voted clean.  They vote on the other half, so no vote knows a document's own label.
+2. Generative label model.  A latent class with one vote of three kinds per voter
+   is fitted by expectation-maximisation without labels: it estimates each
+   voter's accuracy and how often it abstains on either class.  Voters that
+   depend on each other given the class are found by conditional mutual
+   information and joined by a spanning forest, so that correlated votes don't
+   count twice.
+3. A linear classifier is trained on the posterior labels by hinge loss.  Its
+   features are words and word starts of all sampled texts, those that the
+   posterior tells apart in either direction, scaled by their log ratio; the slope
+   and offset that turn margins into probabilities are set on the sample's labels.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.labelled import Sparse, fit_logistic, fit_platt, held_out, sample, sigmoid
+from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, gathered, held_out, sampled, sigmoid
 
 #: The bound of the training sample, in labelled documents.
 SAMPLE = 8_000
 THRESHOLD = 0.7
 #: Lengths of word starts, in bytes.
 STARTS = (4, 5, 6, 7)
-#: Voters of each kind that mined entries are dealt to.
-LISTS = 4
-# A short list of English insults, one voter among others.
-INSULTS = frozenset(
-    b"idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile".split()
+#: A unit must stand in so many sampled texts.
+LEAST_DOCUMENTS = 3
+#: Least standard deviations between a feature's posterior share and the overall one.
+APART = 4.0
+#: The cost of a sure row's loss, and the parts of the sample that margins are set on.
+COST, FOLDS = 0.05, 3
+#: Words whose units a worker keeps.
+KEPT = 200_000
+ABSTAIN, CLEAN, TOXIC = 0, 1, 2
+# Insults, and starts of insulting words in four languages.
+INSULTS = tuple(
+    "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile".split()
 )
+INSULT_STARTS = tuple("idiot stupid moron imbec dumm blöd trott arsch crétin débil connar salaud estúp estup basura".split())
 
 _MARKS = bytes(c for c in range(128) if not chr(c).isalpha())
 _TO_SPACES = bytes.maketrans(_MARKS, b" " * len(_MARKS))
@@ -48,98 +59,90 @@ def words(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "replace").translate(_TO_SPACES).split())
 
 
-def units(word: bytes) -> list[bytes]:
-    """A word and its starts, which end in ``*``."""
-    return [word, *(word[:k] + b"*" for k in STARTS if len(word) > k)]
+def unit(name: bytes) -> int:
+    """The number of a word, or of a word start, which ends in ``*``; the last two bits tell words, short and long starts."""
+    kind = 0 if not name.endswith(b"*") else 1 if len(name) <= 6 else 2
+    return (xxhash.xxh32_intdigest(name) >> 1 & ~3) | kind
 
 
-@dataclass
-class Sample:
-    """The sampled texts as numbered units, of those that at least 3 toxic texts hold."""
-
-    names: list[bytes]
-    rows: list[np.ndarray]
-    insulting: np.ndarray
-
-    @classmethod
-    def of(cls, texts: list[str], y: np.ndarray) -> Sample:
-        seen = Counter()
-        for t, k in zip(texts, y):
-            if k:
-                seen.update({u for w in words(t) for u in units(w)})
-        names = sorted(u for u, k in seen.items() if k >= 3)
-        del seen
-        number = {u: i for i, u in enumerate(names)}
-        rows, insulting = [], []
-        for t in texts:
-            own = words(t)
-            insulting.append(not INSULTS.isdisjoint(own))
-            rows.append(np.array(sorted({number[u] for w in own for u in units(w) if u in number}), np.int32))
-        return cls(names, rows, np.array(insulting, bool))
-
-    def counts(self, weights: np.ndarray) -> np.ndarray:
-        """Each unit's texts, weighted."""
-        out = np.zeros(len(self.names))
-        for r, w in zip(self.rows, weights):
-            out[r] += w
-        return out
-
-
-def mined(found: Sample, y: np.ndarray) -> np.ndarray:
-    """Which units speak for label 1 beyond chance.
-
-    Those stay whose texts are toxic for at least 4 in 5 and whose likelihood
-    ratio against the overall share outweighs the number of units looked at.
-    """
-    k, n = found.counts(y), found.counts(np.ones(len(y)))
-    share = min(0.99, max(0.01, float(y.mean())))
-    p = np.clip(k / np.maximum(n, 1), 1e-9, 1 - 1e-6)
-    ratio = k * np.log(p / share) + (n - k) * np.log((1 - p) / (1 - share))
-    return (k >= 3) & (k >= 0.8 * n) & (ratio >= np.log(1 + len(n)))
-
-
-def votes(found: Sample, entries: np.ndarray) -> np.ndarray:
-    """Texts by voters: the fixed list, LISTS lexicons of words, LISTS pattern lists, and one for several hits."""
-    place = np.array([1 + (LISTS if u.endswith(b"*") else 0) + zlib.crc32(u) % LISTS for u in found.names], np.int64)
-    out = np.zeros((len(found.rows), 2 * LISTS + 2), bool)
-    out[:, 0] = found.insulting
-    for i, r in enumerate(found.rows):
-        hits = r[entries[r]]
-        out[i, place[hits]] = True
-        out[i, -1] = len(hits) > 3
-    return out
+def units(word: bytes) -> list[int]:
+    """Numbers of a word and its starts."""
+    return [unit(word), *(unit(word[:k] + b"*") for k in STARTS if len(word) > k)]
+
+
+def units_of(text: str) -> np.ndarray:
+    """The different units of a text, ascending."""
+    return np.array(sorted({u for w in words(text) for u in units(w)}), np.int64)
+
+
+def evidence(toxic: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of units' toxic shares against the overall one."""
+    p = np.clip(toxic / np.maximum(total, 1), 1e-9, 1 - 1e-6)
+    return toxic * np.log(p / share) + (total - toxic) * np.log((1 - p) / (1 - share))
+
+
+def votes(x: Sparse, names: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Texts by voters: two fixed lists, then those mined; for a text of one half of the sample from the other half."""
+
+    def hits(chosen: np.ndarray) -> np.ndarray:
+        return x.dot(chosen.astype(float))
+
+    def toxic_if(found: np.ndarray) -> np.ndarray:
+        return np.where(found, TOXIC, ABSTAIN)
+
+    fixed = np.isin(names, [unit(w.encode()) for w in INSULTS])
+    starts = np.isin(names, [unit(w.encode()[:k] + b"*") for w in INSULT_STARTS for k in STARTS if len(w.encode()) == k])
+    half = np.arange(x.n) % 2
+    mined = []
+    for own in (0, 1):
+        inside = (half == own).astype(float)
+        toxic, total = x.turned(inside * y), x.turned(inside)
+        share = min(0.99, max(0.01, float((inside * y).sum() / max(1.0, inside.sum()))))
+        speaks = evidence(toxic, total, share)
+        entries = (toxic >= 3) & (toxic >= 0.95 * total) & (speaks >= np.log(1 + len(names)))
+        suspect = (toxic >= 3) & (toxic >= 0.6 * total) & (speaks >= 6)
+        lists = [toxic_if(hits(entries & (names % 4 == kind)) > 0) for kind in range(3)]
+        lists.append(toxic_if(hits(entries) > 3))
+        lists += [toxic_if(hits(suspect & (names % 4 == kind)) > least) for kind, least in enumerate((1, 2, 2))]
+        lists.append(np.where(hits(suspect | fixed | starts) == 0, CLEAN, ABSTAIN))
+        mined.append(np.stack(lists, axis=1))
+    other = np.where((half == 0)[:, None], mined[1], mined[0])
+    return np.c_[toxic_if(hits(fixed) > 0), toxic_if(hits(starts) > 0), other]
 
 
 @dataclass
 class LabelModel:
-    """Prior, and for each voter P(vote | class, vote of its parent): table[voter, class, parent's vote]."""
+    """Prior, and for each voter P(vote | class, vote of its parent): table[voter, class, parent's vote, vote]."""
 
     prior: float = 0.5
     parent: list[int] = field(default_factory=list)
-    table: np.ndarray = field(default_factory=lambda: np.empty((0, 2, 2)))
+    table: np.ndarray = field(default_factory=lambda: np.empty((0, 2, 3, 3)))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         odds = np.full(len(v), np.log(self.prior) - np.log(1 - self.prior))
         for j, p in enumerate(self.parent):
-            of = v[:, p].astype(int) if p >= 0 else np.zeros(len(v), int)
-            one, zero = self.table[j, 1, of], self.table[j, 0, of]
-            odds += np.where(v[:, j], np.log(one) - np.log(zero), np.log(1 - one) - np.log(1 - zero))
+            of = v[:, p] if p >= 0 else np.zeros(len(v), int)
+            odds += np.log(self.table[j, 1, of, v[:, j]]) - np.log(self.table[j, 0, of, v[:, j]])
         return sigmoid(odds)
 
     def _maximise(self, v: np.ndarray, q: np.ndarray) -> None:
-        self.prior = float(np.clip(q.mean(), 0.005, 0.95))
-        table = np.empty((v.shape[1], 2, 2))
+        self.table = np.empty((v.shape[1], 2, 3, 3))
         for j, p in enumerate(self.parent):
             for c, weight in enumerate((1 - q, q)):
-                overall = (weight @ v[:, j] + (0.02, 0.5)[c]) / (weight.sum() + 1)
-                for of in (0, 1):
+                overall = np.bincount(v[:, j], weights=weight, minlength=3)
+                # a vote for the other class is rarer than one for the own, of which there may be none
+                overall = (overall + (0.5, (0.5, 0.02)[c], (0.02, 0.5)[c])) / (overall.sum() + 1.02)
+                for of in range(3):
                     among = weight * (v[:, p] == of) if p >= 0 else weight
-                    table[j, c, of] = (among @ v[:, j] + 2 * overall) / (among.sum() + 2)
-        self.table = np.clip(table, 1e-4, 1 - 1e-4)
+                    found = np.bincount(v[:, j], weights=among, minlength=3) + 2 * overall
+                    self.table[j, c, of] = found / found.sum()
+        self.table = np.clip(self.table, 1e-4, 1)
 
-    def fit(self, v: np.ndarray, rounds: int = 40) -> LabelModel:
+    def fit(self, v: np.ndarray, share: float, rounds: int = 40) -> LabelModel:
+        """Fits the voters' tables; the classes' balance, ``share``, is given."""
+        self.prior = float(np.clip(share, 0.005, 0.95))
         self.parent = [-1] * v.shape[1]
-        q = np.clip(v.mean(axis=1) * 2, 0.02, 0.98)
+        q = sigmoid(1.5 * (v == TOXIC).sum(axis=1) - 1.5 * (v == CLEAN).sum(axis=1) - 1.0)
         for _ in range(rounds):
             self._maximise(v, q)
             q = self.posterior(v)
@@ -152,20 +155,16 @@ class LabelModel:
 
 def dependence(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Conditional mutual information of each pair of voters given the class."""
-    out = np.zeros((v.shape[1],) * 2)
-    n = max(1, len(v))
+    k = v.shape[1]
+    out = np.zeros((k, k))
     for weight in (q, 1 - q):
         total = weight.sum() + 1e-9
-        one = (weight @ v) / total
-        both = (v * weight[:, None]).T @ v / total
-        for a, b, p in (
-            (one[:, None], one[None], both),
-            (one[:, None], 1 - one[None], one[:, None] - both),
-            (1 - one[:, None], one[None], one[None] - both),
-            (1 - one[:, None], 1 - one[None], 1 - one[:, None] - one[None] + both),
-        ):
-            p = np.clip(p, 1e-9, 1)
-            out += total / n * p * (np.log(p) - np.log(np.clip(a * b, 1e-9, 1)))
+        kinds = [(v == kind).astype(float) for kind in range(3)]
+        for a in kinds:
+            for b in kinds:
+                both = np.clip((a * weight[:, None]).T @ b / total, 1e-9, 1)
+                alone = np.clip(np.outer(weight @ a, weight @ b) / total**2, 1e-9, 1)
+                out += total / max(1, len(v)) * both * (np.log(both) - np.log(alone))
     np.fill_diagonal(out, 0)
     return out
 
@@ -184,51 +183,86 @@ def spanning_forest(weight: np.ndarray, least: float = 0.005) -> list[int]:
 
 @dataclass
 class Model:
-    """Weights of words and word starts, and the bias."""
+    """Weights of units, and the bias."""
 
-    weights: dict[bytes, float]
+    weights: dict[int, float]
     bias: float
 
 
 class Scorer:
-    """Scores texts with one model; a word is looked up further only if its first letters begin some feature."""
+    """Scores texts with one model; of words it has seen it keeps which of their units count."""
 
     def __init__(self, model: Model):
         self.weights, self.bias = model.weights, model.bias
-        self.heads = {u.rstrip(b"*")[:3] for u in model.weights}
+        self.kept: dict[bytes, tuple[int, ...]] = {}
+
+    def _known(self, word: bytes) -> tuple[int, ...]:
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        self.kept[word] = found = tuple(u for u in units(word) if u in self.weights)
+        return found
 
     def __call__(self, text: str) -> float:
-        heads, weights = self.heads, self.weights
-        found = {u for w in words(text) if w[:3] in heads for u in units(w) if u in weights}
-        return self.bias + sum(map(weights.__getitem__, sorted(found)))
+        own = words(text)
+        get = self.kept.get
+        found = {u for w, k in zip(own, map(get, own)) for u in (k if k is not None else self._known(w))}
+        return self.bias + sum(map(self.weights.__getitem__, sorted(found)))
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Without rows of both classes the model gives the labels' smoothed share."""
+def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+    """A model of texts' units; without rows of both classes it gives the labels' smoothed share."""
     n, total = len(labels), int(labels.sum())
     if not total or total == n:
         share = (total + 1) / (n + 2)
         return Model({}, float(np.log(share / (1 - share))))
-    found = Sample.of(texts, labels)
-    v = votes(found, mined(found, labels))
-    q = LabelModel().fit(v).posterior(v)
-    # indicators whose documents are mostly of the posterior's toxic class
-    toxic, counts = found.counts((q > 0.5).astype(float)), found.counts(np.ones(n))
-    used = np.flatnonzero((toxic >= max(3, n // 1500)) & (toxic >= 0.8 * counts))
-    number = np.full(len(found.names), -1)
-    number[used] = np.arange(len(used))
-    x = Sparse([number[r][number[r] >= 0] for r in found.rows], len(used))
-    w, b = fit_logistic(x, q, l2=1e-5, steps=600)
-    a, c = fit_platt(x.dot(w) + b, labels)  # shrunken weights tell classes apart but understate how surely
-    return Model({found.names[u]: float(a * k) for u, k in zip(used, w) if abs(k) > 1e-6}, float(a * b + c))
+    names, counts = np.unique(np.concatenate(rows), return_counts=True)
+    names = names[counts >= LEAST_DOCUMENTS]
+    x = Sparse([_places(names, r) for r in rows], len(names))
+    v = votes(x, names, labels.astype(float))
+    q = LabelModel().fit(v, total / n).posterior(v)
+    mass, held = x.turned(q), x.turned(np.ones(n))
+    share = float(np.clip(q.mean(), 0.01, 0.99))
+    used = np.flatnonzero(np.abs(mass - held * share) >= APART * np.sqrt(held * share * (1 - share)))
+    rows = [np.searchsorted(used, r[np.isin(r, used, assume_unique=True)]) for r in x.rows()]
+    target = np.where(q > 0.5, 1, -1)
+    sure = 0.02 + np.abs(2 * q - 1)
+
+    def fit(part: np.ndarray) -> np.ndarray:
+        """Weights and bias: units scaled by their posterior log ratio, the rows' costs by how sure their labels are."""
+        own = Sparse([rows[i] for i in part], len(used))
+        p, c = 1 + own.turned(q[part]), 1 + own.turned(1 - q[part])
+        ratio = np.log(p / p.sum()) - np.log(c / c.sum())
+        w = dual_coordinate_descent([(rows[i], ratio[rows[i]]) for i in part], target[part], len(used), COST * sure[part], epochs=12)
+        return np.r_[w[:-1] * ratio, w[-1]]
+
+    margin, fold = np.zeros(n), np.arange(n) % FOLDS
+    for k in range(FOLDS):
+        w, other = fit(np.flatnonzero(fold != k)), np.flatnonzero(fold == k)
+        margin[other] = Sparse([rows[i] for i in other], len(used)).dot(w[:-1]) + w[-1]
+    a, c = fit_platt(margin, labels)  # on the sample's own labels, by models that haven't seen the row
+    w = fit(np.arange(n))
+    return Model({int(names[u]): float(a * k) for u, k in zip(used, w) if k}, float(a * w[-1] + c))
+
+
+def _places(names: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where the numbers of a row stand among the names, of those that do."""
+    if not len(names):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(names, row), len(names) - 1)
+    return at[names[at] == row]
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(documents, labels, "toxic", SAMPLE))
+    return train(*gathered(sampled(documents, labels, "toxic", SAMPLE), units_of, "int"))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7); null text as the empty one."""
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7).
+
+    Null texts score as empty ones; repeated rows have a row each; a null doc_id
+    stays null.  An empty table of documents gives an empty one, and labels
+    without both classes give every document the same score.
+    """
     model = fitted(documents, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

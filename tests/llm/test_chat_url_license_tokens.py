@@ -62,13 +62,46 @@ def test_url_parts_and_rules(spark):
     assert all(r["verdict"] in ("allow", "block") for r in got.values())
 
 
-def test_url_model_learns_its_table(spark):
+def test_url_model_on_urls_it_has_not_seen(spark):
     rows = [(i, u) for i, (u, _) in enumerate(url_filter.LABELLED)]
     found = {r["page_id"]: r["score"] for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert all((found[i] > 0.5) == bool(y) for i, (_, y) in enumerate(url_filter.LABELLED))
-    more = spark.createDataFrame([(1, "https://spam-farm.other.com/en/3"), (2, "https://news.other.com/en/3")], "page_id long, url string")
-    score = {r["page_id"]: r["score"] for r in url_filter.judged(more).collect()}
-    assert score[1] > 0.5 > score[2]
+    junk = ["spam-farm.other", "best-casino.site", "pills-shop.other", "bets-today.other", "adult-live.other", "ads-track.other", "poker-bonus.other", "cheap-loans.other"]
+    good = ["news.other", "m.rivers.other", "www.history.other", "blog.painters.other", "docs.tools.other", "forum.cyclists.other", "wiki.gardens.other", "m.thond.other"]
+    made = [(i, f"https://{h}.com/{lang}/{i}{end}") for lang in ("en", "de2", "es") for end in ("", "/", ".html") for i, h in enumerate(junk + good)]
+    score = [(r["page_id"] < len(junk), r["verdict"] == "block") for r in url_filter.judged(spark.createDataFrame(made, "page_id long, url string")).collect()]
+    assert sum(a and b for a, b in score) / sum(a for a, _ in score) >= 0.9
+    assert sum(a and b for a, b in score) / sum(b for _, b in score) >= 0.9
+
+
+def test_url_hosts_get_one_verdict(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = url_filter.judged(pages).filter("rule is null").groupBy("host").agg({"verdict": "collect_set"}).toDF("host", "v").collect()
+    assert all(len(r["v"]) == 1 for r in found) and len(found) > 20
+
+
+def test_urls_without_rows_and_very_long_ones(spark):
+    assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    rows = [(1, "http://a.com/" + "x" * 100_000), (1, "http://a.com/" + "x" * 100_000), (None, "http://a.com/y"), (2, None)]
+    got = url_filter.judged(spark.createDataFrame([(*r, "z", 1.0) for r in rows], "page_id long, url string, host string, score double")).collect()
+    assert len(got) == 4 and sorted(len(r["path"]) for r in got) == [0, 2, 100_001, 100_001]
+
+
+def test_chat_against_sql_and_odd_tables(spark, tmp_path):
+    import duckdb
+
+    from loomwork.llm import queries
+
+    got = queries.op5_chat_formatting(spark, SF).toPandas().sort_values("conv_id")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS FROM '{SF}/conversations.parquet'")
+    want = db.sql(queries.oracle_sql()["op5_chat_formatting"]).df().sort_values("conv_id")
+    assert got[sorted(got)].values.tolist() == want[sorted(want)].values.tolist()
+    schema = "conv_id long, turn long, role string, text string, last boolean, example int, chars long"
+    assert chat.digests(chat.examples(spark.createDataFrame([], schema))).count() == 0
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " * 20, True, 1, 2) for t in range(300)]
+    one = chat.digests(chat.examples(spark.createDataFrame(rows, schema))).first()
+    assert one["n_turns"] == 300 and one["n_examples"] == 150 and one["loss_chars"] == sum(len(r[3]) for r in rows[1::2])
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

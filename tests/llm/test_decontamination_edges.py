@@ -53,3 +53,29 @@ def test_all_places_of_a_short_item():
     group = decontamination.Items([0], [b"ab cd"])
     assert group.regions(b"ab cd ab cd x ab cde ab cd") == [(0, 0, 5, 0), (0, 6, 11, 0), (0, 21, 26, 0)]
     assert decontamination.Items([0], [b"a"]).regions(b"a a ba a") == [(0, 0, 1, 0), (0, 2, 3, 0), (0, 7, 8, 0)]
+
+
+def test_starts_of_edited_places_are_traced():
+    t = decontamination.normalised(items(1)[0][1][:120])
+    group = decontamination.Items([0], [t])
+    for middle in (t[:50] + t[54:], t[:50] + b"xyzw" + t[50:], t[:30] + t[33:80] + b"qq" + t[80:]):
+        text = b"some words before " + middle + b" and after it"
+        ((_, start, end, edits),) = group.regions(text)
+        assert text[start:end] == middle and 0 < edits <= decontamination.budget(len(t))[0]
+
+
+def test_grams_that_text_and_item_repeat(monkeypatch):
+    group = decontamination.Items([0], [b"a" * 60])
+    want = group.regions(b"a" * 900)
+    monkeypatch.setattr(decontamination, "HITS", 500)
+    assert group.regions(b"a" * 900) == want and len(want) > 10
+
+
+def test_passes_are_collected_one_by_one(spark, monkeypatch):
+    bench = spark.createDataFrame(items(6), "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items(6)] + [(9, "clean text")], "doc_id long, text string")
+    once = sorted(tuple(r) for r in decontamination.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 200)
+    assert len(list(decontamination.passes(bench))) > 2
+    assert sorted(tuple(r) for r in decontamination.leaks(docs, bench).collect()) == once and len(once) == 6
+    assert [r["doc_id"] for r in decontamination.keep_uncontaminated(docs, bench).collect()] == [9]

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomwork.llm import components, decontamination, fingerprints, labelled, packing, quality, simhash, toxicity
 from tests.llm.conftest import ODD
@@ -311,10 +312,14 @@ def test_classifier_on_held_out_documents(spark, odd, empty, module, label, leas
 def test_sample_leaves_out_held_out_rows(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(0, 300, 2)] + [(None, 1, 1), (5, None, 1)], "doc_id long, quality int, toxic int")
-    texts, _ = labelled.sample(docs, labels, "quality", 1_000)
-    ids = {int(t[1:]) for t in texts}
+    ids = {r["i"] for r in labelled.sampled(docs, labels, "quality", 1_000).collect()}
     assert ids == {i for i in range(0, 300, 2) if zlib.crc32(str(i).encode()) % 3 != 1}
-    assert len(labelled.sample(docs, labels, "quality", 10)[0]) == 10
+    assert labelled.sampled(docs, labels, "quality", 10).count() == 10
+    twice = docs.unionByName(docs.selectExpr("doc_id", "concat('s', text) AS text"))
+    assert {r["text"] for r in labelled.sampled(twice, labels, "quality", 1_000).collect()} == {f"st{i}" for i in ids}
+    rows, y = labelled.gathered(labelled.sampled(docs, labels, "quality", 1_000), quality.features)
+    assert len(rows) == len(ids) and y.tolist() == [i % 2 for i in sorted(ids)]
+    assert all((r == quality.features(f"t{i}")).all() for r, i in zip(rows, sorted(ids)))
 
 
 def test_label_model_finds_accuracies_and_correlations():
@@ -323,8 +328,44 @@ def test_label_model_finds_accuracies_and_correlations():
     hit = lambda p, q: np.where(y, rng.random(6_000) < p, rng.random(6_000) < q)
     v = np.stack([hit(0.8, 0.02), hit(0.7, 0.05), hit(0.6, 0.01), hit(0.9, 0.1), hit(0.8, 0.03), hit(0.7, 0.02)], axis=1)
     v = np.c_[v, np.where(rng.random(6_000) < 0.7, v[:, 3], hit(0.5, 0.1))]
-    m = toxicity.LabelModel().fit(v)
-    assert abs(m.prior - y.mean()) < 0.1
+    v = np.where(v, toxicity.TOXIC, toxicity.ABSTAIN)
+    v = np.c_[v, np.where(hit(0.05, 0.6), toxicity.CLEAN, toxicity.ABSTAIN)]
+    m = toxicity.LabelModel().fit(v, y.mean())
     assert (m.parent[6] == 3) != (m.parent[3] == 6)
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.95
-    assert abs(m.table[0, 1].mean() - 0.8) < 0.1
+    assert abs(m.table[0, 1, 0, toxicity.TOXIC] - 0.8) < 0.1 and abs(m.table[7, 0, 0, toxicity.CLEAN] - 0.6) < 0.1
+
+
+def test_no_vote_knows_the_documents_own_label():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(np.r_[rng.integers(0, 500, 20) * 4, [4000] if i % 4 < 2 else []]).astype(np.int64) for i in range(400)]
+    y = np.array([float(i % 4 < 2) for i in range(400)])
+    names = np.unique(np.concatenate(rows))
+    x = labelled.Sparse([np.searchsorted(names, r) for r in rows], len(names))
+    v = toxicity.votes(x, names, y)
+    for i in range(0, 400, 37):
+        other = y.copy()
+        other[i] = 1 - other[i]
+        assert (toxicity.votes(x, names, other)[i] == v[i]).all()
+    assert (v[y == 1, 2] == toxicity.TOXIC).all() and (v[y == 0, -1] == toxicity.CLEAN).mean() > 0.9
+
+
+def test_shapes_are_whole():
+    a, b = (" ".join(["ab1" * 9 + end] * 5) for end in ("x-", "x+"))
+    assert set(quality.features(a)) != set(quality.features(b))
+    assert len(quality.token_shapes(b"a1" * 5_000)[0]) == 10_000
+
+
+def test_boundaries_of_long_lengths_are_exact(spark):
+    lengths = [*range(1_000, 1_400, 7), *range(5_000, 5_300, 11), 90_001]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    placed = packing.packed(df, buckets=4)
+    rows = placed.collect()
+    assert sum(r["padded_tokens"] - r["n_tokens"] for r in rows) == brute_padding(lengths, 4)
+    told = packing.padding(placed).first()
+    assert told["padding"] == brute_padding(lengths, 4) and told["padding_one_bucket"] == 90_001 * len(lengths) - sum(lengths)
+    made = packing.batches(placed).collect()
+    assert sorted(i for b in made for i in b["doc_ids"]) == list(range(len(lengths)))
+    assert all(len(b["doc_ids"]) == 1 or b["padded_tokens"] <= packing.BUDGET for b in made) and sum(b["padding"] for b in made) == told["padding"]
+    own = packing.packed(df.withColumn("k", F.col("doc_id") % 3), tokens=F.col("k")).collect()
+    assert sorted(r["n_tokens"] for r in own) == sorted(i % 3 for i in range(len(lengths)))
