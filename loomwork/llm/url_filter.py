@@ -80,7 +80,7 @@ BLOCKED = (
 )
 LABELLED = (*((u, 0) for u in ALLOWED), *((u, 1) for u in BLOCKED))
 
-DIMENSIONS = 8192
+DIMENSIONS = 32_768
 GRAMS = (3, 4)
 #: The path's share beside the host's: pages of one host mostly go together.
 PATH = 0.25
