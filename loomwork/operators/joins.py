@@ -42,20 +42,26 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], time: str, toleran
 
     Times are cut into buckets of the tolerance's width, and a right row is put
     into its bucket and both neighbours, so it is an equi-join and not a
-    comparison of all pairs.  Right columns but the keys are prefixed ``r_``; they
-    are null without a match.
+    comparison of all pairs.  Each group and time is matched once, so rows that
+    repeat an id, or have none, keep their own match.  Right columns but the keys
+    are prefixed ``r_``; they are null without a match.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(tolerance))
+    bucket = lambda c: F.floor(F.col(c) / F.lit(tolerance or 1.0))
     r = right.select(*[F.col(b).alias(f"_{b}") for b in by], *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in by])
+    own = [c for c in r.columns if c.startswith("r_")]
     r = r.withColumn("_b", F.explode(F.array(*[bucket(f"r_{time}") + i for i in (-1, 0, 1)])))
-    near = F.abs(F.col(time) - F.col(f"r_{time}"))
-    on = F.col("_lb") == F.col("_b")
+    times = left.select(*[F.col(b).alias(f"_l{b}") for b in by], F.col(time).alias("_lt")).distinct()
+    near = F.abs(F.col("_lt") - F.col(f"r_{time}"))
+    on = (bucket("_lt") == F.col("_b")) & (near <= tolerance)
     for b in by:
-        on = on & (F.col(b) == F.col(f"_{b}"))
-    joined = left.withColumn("_lb", bucket(time)).join(r, on & (near <= tolerance), "left")
-    best = Window.partitionBy(id_column).orderBy(near.asc_nulls_last(), F.col(f"r_{time}"), *[F.col(f"r_{c}") for c in right.columns if c not in by and c != time][:1])
-    kept = joined.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return kept.drop("_r", "_b", "_lb", *[f"_{b}" for b in by])
+        on = on & (F.col(f"_l{b}") == F.col(f"_{b}"))
+    ties = [F.col(f"r_{time}"), *[F.col(c) for c in own if c != f"r_{time}"][:1]]
+    best = Window.partitionBy(*[f"_l{b}" for b in by], "_lt").orderBy(near, *ties)
+    kept = times.join(r, on).withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*[f"_l{b}" for b in by], "_lt", *own)
+    same = F.col(time) == F.col("_lt")
+    for b in by:
+        same = same & (F.col(b) == F.col(f"_l{b}"))
+    return left.join(kept, same, "left").drop("_lt", *[f"_l{b}" for b in by])
 
 
 def backward(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str) -> DataFrame:

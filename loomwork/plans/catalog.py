@@ -30,10 +30,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from loomwork.plans import more  # noqa: F401  it registers its queries here
+
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from loomwork.plans import more  # noqa: F401
+
     return dict(_SQL)
 
 

@@ -45,21 +45,31 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of a JSON array, a JSON object or JSON lines, told by the first character of each file.
+    """(records, rejects) of JSON arrays, JSON objects and JSON lines, told apart for each file by its first line.
 
-    JSON lines are cut into splits; arrays are parsed a file at a time.
+    A file whose first line begins an array, or an object that doesn't end in that
+    line, is parsed whole; all others are JSON lines and cut into splits.  Of the
+    first kind the driver holds the paths.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value"))
-    starts = whole.select(F.substring("value", 1, 1).alias("c")).distinct()
-    if starts.filter(F.col("c") == "[").isEmpty():
-        lines = spark.read.text(path).filter(F.trim("value") != "")
-        parsed = lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"))
-        bad = F.try_parse_json("value").isNull() | F.col("r").isNull()
-        return parsed.filter(~bad).select("r.*"), parsed.filter(bad).select("value", F.lit("malformed").alias("reason"))
-    rows = whole.select("value", F.from_json("value", T.ArrayType(kind), {"mode": "PERMISSIVE"}).alias("rs"))
-    good = rows.filter("rs is not null").select(F.explode("rs").alias("r")).select("r.*")
-    return good, rows.filter("rs is null").select("value", F.lit("malformed").alias("reason"))
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    rows = spark.read.text(path).select(F.trim("value").alias("value"), file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
+    firsts = rows.filter("value <> ''").groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("value"))
+    is_whole = F.col("value").startswith("[") | (F.col("value").startswith("{") & F.try_parse_json("value").isNull() & ~F.col("value").endswith("}"))
+    whole_files = [r["file"] for r in firsts.filter(is_whole).select("file").collect()]
+    lines = rows.filter("value <> ''").select("value", "file")
+    if whole_files:
+        lines = lines.join(firsts.filter(is_whole).select("file"), "file", "left_anti")
+    parsed = lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"))
+    bad = F.try_parse_json("value").isNull() | F.col("r").isNull()
+    good, rejects = parsed.filter(~bad).select("r.*"), parsed.filter(bad).select("value", F.lit("malformed").alias("reason"))
+    if whole_files:
+        text = spark.read.text(whole_files, wholetext=True).select(F.trim("value").alias("value"))
+        as_array = F.when(F.ltrim("value").startswith("{"), F.concat(F.lit("["), "value", F.lit("]"))).otherwise(F.col("value"))
+        lists = text.select("value", F.from_json(as_array, T.ArrayType(kind), {"mode": "PERMISSIVE"}).alias("rs"))
+        good = good.unionByName(lists.filter("rs is not null").select(F.explode("rs").alias("r")).select("r.*"))
+        rejects = rejects.unionByName(lists.filter("rs is null").select("value", F.lit("malformed").alias("reason")))
+    return good, rejects
 
 
 def mixed(spark: SparkSession, datasets: list[dict], schema: str) -> DataFrame:

@@ -96,11 +96,18 @@ class TarWriter(DataSourceWriter):
         return Written(done)
 
     def commit(self, messages) -> None:
-        store, _ = _fs(self.path)
-        for message in messages:
-            for f in message.files if message else []:
-                folder, _, name = f["tmp"].rpartition("/")
-                store.move(f["tmp"], f"{folder}/{name[1:].rsplit('.', 1)[0]}")
+        """Names the shards of this write after those that the folder already has."""
+        import re
+
+        from pyarrow import fs
+
+        store, base = _fs(self.path)
+        there = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        taken = [int(m[1]) for m in (re.fullmatch(r"shard-(\d+)\.tar", f.base_name) for f in there) if m]
+        number = max(taken, default=-1) + 1
+        for f in sorted((f["tmp"] for m in messages if m for f in m.files)):
+            store.move(f, f"{f.rpartition('/')[0]}/shard-{number:05d}.tar")
+            number += 1
 
     def abort(self, messages) -> None:
         store, _ = _fs(self.path)
@@ -149,6 +156,10 @@ def appended(spark: SparkSession, files: DataFrame, path: str, max_scenes: int,
     register(spark)
     have = spark.read.format("tarshards").option("path", path).load().select("scene").distinct()
     new = files.join(have, "scene", "left_anti").persist()  # what is written must not be looked for again
-    key = hashlib.md5(str(sorted(r["scene"] for r in new.select("scene").distinct().collect())).encode()).hexdigest()[:8]
-    write_scenes(new, f"{path}/run-{key}", max_scenes, partitions)
-    return new
+    key = new.select("scene").distinct().agg(F.sum(F.xxhash64("scene").cast("decimal(38,0)"))).first()[0]
+    run = f"{path}/run-{hashlib.md5(str(key).encode()).hexdigest()[:8]}"
+    write_scenes(new, run, max_scenes, partitions)
+    new.unpersist()
+    if key is None:
+        return files.limit(0)
+    return spark.read.format("tarshards").option("path", run).load().select("scene", "member", "content")

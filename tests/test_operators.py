@@ -397,3 +397,21 @@ def test_prompt_suite(spark):
     assert "a photo of an apple" in {r["prompt"] for r in by["single_object"]}
     assert all(2 <= json.loads(r["include"])[0]["count"] <= 4 for r in by["counting"])
     assert all(len({x["class"] for x in json.loads(r["include"])}) == 2 for r in by["position"])
+
+
+def test_nearest_keeps_rows_of_equal_and_null_ids(spark):
+    left = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (None, "a", 1.0), (None, "a", 9.0)], "id long, g string, t double")
+    right = spark.createDataFrame([("a", 1.1, "x"), ("a", 2.0, "y")], "g string, t double, p string")
+    got = sorted((r["t"], r["id"] or 0, r["r_p"]) for r in joins.nearest(left, right, ["g"], "t", 0.25, "id").collect())
+    assert got == [(1.0, 0, "x"), (1.0, 1, "x"), (2.0, 1, "y"), (9.0, 0, None)]
+    assert [r["r_p"] for r in joins.nearest(left, right, ["g"], "t", 0.0, "id").orderBy("t", "id").collect()] == [None, None, "y", None]
+
+
+def test_join_counts(spark):
+    from loomwork.operators import lookups
+
+    left = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    right = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, v string")
+    rows, counts = lookups.matched(left, right, ["k"])
+    assert rows.count() == 2 and tuple(counts.first()) == (4, 3, 2, 2)
+    assert tuple(lookups.matched(left.limit(0), right.limit(0), ["k"])[1].first()) == (0, 0, 0, 0)

@@ -93,6 +93,29 @@ def test_tables_logs_and_lists(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "l").iterdir() if p.is_dir()) == ["split=test", "split=train"]
 
 
+def test_json_of_several_kinds_in_a_folder(spark, tmp_path):
+    for name, text in {
+        "a.json": ' \n[{"id": 1, "q": "x"}, {"id": 2, "q": "y"}]',
+        "b.jsonl": '{"id": 3, "q": "z"}\n{"id": 4, "q": "u"}\nno json\n\n{"id": 5}\n',
+        "c.json": '{\n  "id": 6,\n  "q": "v"\n}\n',
+        "d.json": "",
+        "e.json": '[{"id": 7',
+    }.items():
+        (tmp_path / name).write_text(text)
+    good, bad = readers.json_records(spark, str(tmp_path), "id int, q string")
+    assert sorted(r["id"] for r in good.collect() if r["id"] is not None) == [1, 2, 3, 4, 5, 6]
+    assert "no json" in {r["value"] for r in bad.collect()}
+
+
+def test_shards_of_a_second_write_follow_the_first(spark, tmp_path):
+    path = str(tmp_path / "tars")
+    for names in (("s1", "s2"), ("s3",)):
+        rows = spark.createDataFrame([(n, "a", bytearray(b"x")) for n in names], "scene string, member string, content binary")
+        tarshards.write_scenes(rows, path, max_scenes=1, partitions=2)
+    assert {r["scene"] for r in spark.read.format("tarshards").option("path", path).load().collect()} == {"s1", "s2", "s3"}
+    assert sorted(p.name for p in (tmp_path / "tars").glob("*.tar")) == ["shard-00000.tar", "shard-00001.tar", "shard-00002.tar"]
+
+
 def test_tar_shards(spark, tmp_path):
     rows = [(f"s{i:02d}", f"c/{j}.txt", bytearray(f"{i}-{j}".encode())) for i in range(7) for j in range(3)]
     files = spark.createDataFrame(rows, "scene string, member string, content binary")
