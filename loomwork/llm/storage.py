@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; without that setting nothing is written anywhere."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that isn't set, a session of one JVM (``local[...]``) gets a folder of
+    its own, which goes with the process; on a cluster that is an error, since
+    executors don't share local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomwork-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
