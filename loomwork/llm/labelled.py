@@ -39,15 +39,15 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def gathered(rows: DataFrame, features: Callable[[str], np.ndarray], kind: str = "bigint") -> tuple[list[np.ndarray], np.ndarray]:
+def gathered(rows: DataFrame, features: Callable[[str], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The features of the sampled rows, made by the executors, and their labels, in order of ids; texts don't come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.int64() if kind == "bigint" else pa.int32())), batch.column("y")], names=["i", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.int64())), batch.column("y")], names=["i", "x", "y"])
 
-    table = rows.select(F.col("i").cast("bigint").alias("i"), "text", "y").mapInArrow(run, f"i bigint, x array<{kind}>, y int").toArrow().sort_by("i").combine_chunks()
+    table = rows.select(F.col("i").cast("bigint").alias("i"), "text", "y").mapInArrow(run, "i bigint, x array<bigint>, y int").toArrow().sort_by("i").combine_chunks()
     if not len(table):
         return [], np.empty(0, np.int64)
     x = table.column("x").chunk(0)
