@@ -134,17 +134,8 @@ def test_blocks_of_a_long_list_meet_once(spark):
     parts = [{tuple(r) for r in likeness.meeting(lists, most).collect()} for most in (4_096, 7)]
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if likeness.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
     assert parts[0] == parts[1] and alike <= parts[0] and len(alike) > 50
-    assert len(parts[0]) < len(sets) ** 2 / 8
-
-
-def test_alike_sets_share_the_least_number():
-    rng = np.random.default_rng(12)
-    none = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    for _ in range(2_000):
-        shared, a, b = rng.integers(1, 200), rng.integers(0, 30), rng.integers(0, 30)
-        x = np.unique(rng.integers(0, 1 << 63, shared + a + b, dtype=np.uint64))
-        order = rng.permutation(len(x))
-        one, two = np.sort(x[order[: shared + a]]), np.sort(x[np.r_[order[:shared], order[shared + a :]]])
-        if likeness.alike(shared, len(one), len(two)):
-            both = set(likeness.prefix(one, *none)) & set(likeness.prefix(two, *none))
-            assert len(both) >= likeness.least_shared(len(one), len(two))
+    best = {tuple(r) for r in likeness.meeting(lists, best=True).collect()}
+    assert best <= parts[0] and {i for p in best for i in p} == {i for p in parts[0] for i in p}
+    first = [{int(k): len(s) - at for at, k in enumerate(s[: likeness.prefix_size(len(s))])} for s in sets]  # what a set has left from there
+    may = lambda i, j: any(9 * min(first[i][k], first[j][k]) >= 4 * (len(sets[i]) + len(sets[j])) for k in first[i].keys() & first[j].keys())
+    assert parts[0] == {(i, j) for j in range(len(sets)) for i in range(j) if may(i, j)}
