@@ -86,7 +86,14 @@ def chat_segments(t: Tables) -> DataFrame:
     return conversations.segments(pairs.withColumn("question", asked), "conv_id")
 
 
-@query()
+@query("""WITH q AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS q, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, 1 AS pass, 'Reconstruct the 3D scene.<dino_image>' AS q, '' AS a FROM q UNION ALL SELECT conv_id, 2, q, a FROM q),
+v AS (SELECT conv_id, pass, a <> '' AS has, list_concat(list_concat(['<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)],
+ list_filter(string_split(regexp_replace(q, '(<vit_image>|<dino_image>|<vae_image>)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')),
+ list_concat(['<|im_end|>' || chr(10) || '<|im_start|>assistant'], CASE WHEN a <> '' THEN [chr(10) || a] ELSE [] END)) AS v FROM p),
+u AS (SELECT conv_id, pass, has, len(v) AS n, unnest(v) AS value, generate_subscripts(v, 1) - 1 AS pos FROM v),
+k AS (SELECT *, has AND pos = n - 1 AS loss, CASE value WHEN '<vit_image>' THEN 'vit' WHEN '<dino_image>' THEN 'dino' WHEN '<vae_image>' THEN 'vae' ELSE 'text' END AS type FROM u)
+SELECT conv_id, pass, pos::INT AS pos, type, loss, value, CASE WHEN loss THEN 'answer' WHEN type <> 'text' THEN 'image' WHEN pos = 0 THEN 'system' ELSE 'question' END AS role FROM k""")
 def chat_segments_two_passes(t: Tables) -> DataFrame:
     return conversations.two_passes(conversations.last_pair(t.conversations), "conv_id")
 
@@ -167,7 +174,16 @@ def megabatch_order(t: Tables) -> DataFrame:
     return sampling.megabatches(t.documents, "lang", "doc_id", 3, 32, drop_last=True).select("doc_id", "lang", "rn", "megabatch", "mb_order")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, lang, tokens, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', doc_id::VARCHAR, '3')), doc_id) AS rn FROM ({TOKENS})),
+c AS (SELECT *, ((rn - 1) // 32)::INT AS megabatch, max((rn - 1) // 32) OVER (PARTITION BY lang) AS top FROM p),
+s AS (SELECT doc_id, lang, megabatch, tokens, row_number() OVER w AS i, count(*) OVER (PARTITION BY lang, megabatch) AS n FROM c WHERE top = 0 OR megabatch < top WINDOW w AS (PARTITION BY lang, megabatch ORDER BY tokens DESC, doc_id)),
+f AS (SELECT lang, megabatch, 0::BIGINT AS i, [0, 0, 0, 0]::DOUBLE[] AS sums, [0, 0, 0, 0]::INT[] AS used, NULL::INT AS chunk, NULL::INT AS slot, NULL::BIGINT AS doc_id, NULL::BIGINT AS tokens FROM (SELECT DISTINCT lang, megabatch FROM s)
+UNION ALL
+SELECT lang, megabatch, i, list_transform([1, 2, 3, 4], lambda j: CASE WHEN j <> c THEN sums[j] WHEN used[j] + 1 = n // 4 THEN 'inf'::DOUBLE ELSE sums[j] + tokens END),
+ list_transform([1, 2, 3, 4], lambda j: used[j] + (j = c)::INT), (c - 1)::INT, used[c], doc_id, tokens
+ FROM (SELECT s.lang, s.megabatch, s.i, s.n, s.doc_id, s.tokens, f.sums, f.used, (CASE WHEN s.n % 4 <> 0 THEN (s.i - 1) % 4 + 1 ELSE list_position(f.sums, list_min(f.sums)) END)::INT AS c
+ FROM f JOIN s ON s.lang = f.lang AND s.megabatch = f.megabatch AND s.i = f.i + 1))
+SELECT doc_id, lang, megabatch, tokens, chunk, slot FROM f WHERE i > 0""")
 def length_grouped_chunks(t: Tables) -> DataFrame:
     batches = sampling.megabatches(t.tokens, "lang", "doc_id", 3, 32, drop_last=True)
     return sampling.even_chunks(batches.select("doc_id", "lang", "megabatch", "tokens"), ["lang", "megabatch"], "tokens", "doc_id", 4)
@@ -206,6 +222,47 @@ packed AS (SELECT shard, id, state, b AS bin, p AS pos, st AS start, tokens FROM
 """
 
 
+_SHARDED = f"""WITH RECURSIVE s AS (SELECT doc_id, lang, tokens, shard, row_number() OVER (PARTITION BY shard ORDER BY rn) AS i FROM
+ (SELECT t.doc_id, t.lang, t.tokens, o.rn, (ntile(8) OVER (ORDER BY o.rn) - 1)::INT AS shard FROM ({TOKENS}) t JOIN ({ORDERED}) o ON t.doc_id = o.doc_id)),
+"""
+
+# a step takes a waiting sample while the bin is low, else the next one of the shard; i tells how many of the shard were taken
+_PACK_BUFFERED = _SHARDED + """f AS (SELECT shard, 0::BIGINT AS i, []::STRUCT(id BIGINT, n BIGINT)[] AS held, 0::BIGINT AS bin, 0::BIGINT AS curr, 0::BIGINT AS pos,
+ NULL::BIGINT AS id, NULL::VARCHAR AS state, NULL::BIGINT AS b, NULL::BIGINT AS p, NULL::BIGINT AS st, NULL::BIGINT AS tokens FROM (SELECT DISTINCT shard FROM s)
+UNION ALL
+SELECT shard, CASE WHEN h THEN i ELSE i + 1 END, CASE WHEN state = 'held' THEN list_append(held, {'id': id, 'n': n}) WHEN h THEN held[2:] ELSE held END,
+ CASE WHEN state = 'dropped' THEN bin + (pos > 0)::INT WHEN state = 'packed' AND curr + n >= 3584 THEN bin + 1 ELSE bin END,
+ CASE WHEN state = 'dropped' OR state = 'packed' AND curr + n >= 3584 THEN 0 WHEN state = 'packed' THEN curr + n ELSE curr END,
+ CASE WHEN state = 'dropped' OR state = 'packed' AND curr + n >= 3584 THEN 0 WHEN state = 'packed' THEN pos + 1 ELSE pos END,
+ id, state, CASE WHEN state = 'packed' THEN bin END, CASE WHEN state = 'packed' THEN pos END, CASE WHEN state = 'packed' THEN curr END, n
+ FROM (SELECT *, CASE WHEN n > 3000 THEN 'too_long' WHEN curr + n <= 4096 THEN 'packed' WHEN NOT h AND len(held) < 4 THEN 'held' ELSE 'dropped' END AS state
+  FROM (SELECT f.shard, f.i, f.held, f.bin, f.curr, f.pos, len(f.held) > 0 AND f.curr < 2048 AS h,
+   CASE WHEN len(f.held) > 0 AND f.curr < 2048 THEN f.held[1].id ELSE s.doc_id END AS id, CASE WHEN len(f.held) > 0 AND f.curr < 2048 THEN f.held[1].n ELSE s.tokens END AS n
+   FROM f JOIN s ON s.shard = f.shard AND s.i = f.i + 1)))
+SELECT shard, id, state, b AS bin, p AS pos, st AS start, tokens FROM f WHERE state <> 'held'
+UNION ALL
+SELECT shard, w.id, 'waiting', NULL, NULL, NULL, w.n FROM (SELECT shard, unnest(held) AS w FROM (SELECT shard, held, i, max(i) OVER (PARTITION BY shard) AS top FROM f) WHERE i = top)"""
+
+# j counts the samples of no mandatory group, k the bins that were opened; a bin opens when the k-th sample of each group is there
+_PACK_MANDATORY = _SHARDED + """o AS (SELECT shard, doc_id, tokens, row_number() OVER (PARTITION BY shard ORDER BY i) AS j FROM s WHERE lang IS NULL OR lang NOT IN ('de', 'fr')),
+g AS (SELECT shard, lang, doc_id, tokens, row_number() OVER (PARTITION BY shard, lang ORDER BY i) AS k FROM s WHERE lang IN ('de', 'fr') AND tokens < 3000),
+m AS (SELECT d.shard, d.k, d.tokens AS first, d.tokens + f.tokens AS both FROM g d JOIN g f ON d.shard = f.shard AND d.k = f.k WHERE d.lang = 'de' AND f.lang = 'fr'),
+f AS (SELECT shard, 0::BIGINT AS j, 0::BIGINT AS k, 0::BIGINT AS curr, 0::BIGINT AS pos, NULL::BIGINT AS id, NULL::VARCHAR AS state, NULL::BIGINT AS b, NULL::BIGINT AS p, NULL::BIGINT AS st, NULL::BIGINT AS tokens FROM (SELECT DISTINCT shard FROM s)
+UNION ALL
+SELECT shard, j, k, CASE WHEN state = 'dropped' OR state = 'packed' AND curr + n >= 3584 THEN 0 WHEN state = 'packed' THEN curr + n ELSE curr END,
+ CASE WHEN state = 'dropped' OR state = 'packed' AND curr + n >= 3584 THEN 0 WHEN state = 'packed' THEN pos + 1 ELSE pos END,
+ id, state, CASE WHEN state = 'packed' THEN k - 1 END, CASE WHEN state = 'packed' THEN pos END, CASE WHEN state = 'packed' THEN curr END, n
+ FROM (SELECT *, CASE WHEN n > 3000 THEN 'too_long' WHEN curr + n > 4096 THEN 'dropped' ELSE 'packed' END AS state
+  FROM (SELECT f.shard, o.j, f.k + (f.pos = 0)::INT AS k, CASE WHEN f.pos = 0 THEN m.both ELSE f.curr END AS curr, CASE WHEN f.pos = 0 THEN 2 ELSE f.pos END AS pos, o.doc_id AS id, o.tokens AS n
+   FROM f JOIN o ON o.shard = f.shard AND o.j = f.j + 1 LEFT JOIN m ON m.shard = f.shard AND m.k = f.k + 1 WHERE f.pos > 0 OR m.k IS NOT NULL))),
+t AS (SELECT shard, max(j) AS j, max(k) AS k FROM f GROUP BY shard)
+SELECT shard, id, state, b AS bin, p AS pos, st AS start, tokens FROM f WHERE j > 0
+UNION ALL SELECT o.shard, doc_id, 'waiting', NULL, NULL, NULL, tokens FROM o JOIN t ON o.shard = t.shard WHERE o.j > t.j
+UNION ALL SELECT shard, doc_id, 'too_long', NULL, NULL, NULL, tokens FROM s WHERE lang IN ('de', 'fr') AND tokens >= 3000
+UNION ALL SELECT g.shard, doc_id, CASE WHEN g.k <= t.k THEN 'packed' ELSE 'waiting' END, CASE WHEN g.k <= t.k THEN g.k - 1 END, CASE WHEN g.k <= t.k THEN (lang = 'fr')::BIGINT END,
+ CASE WHEN g.k <= t.k THEN CASE WHEN lang = 'fr' THEN m.first ELSE 0 END END, tokens FROM g JOIN t ON g.shard = t.shard LEFT JOIN m ON m.shard = g.shard AND m.k = g.k"""
+
+
 def _samples(t: Tables) -> DataFrame:
     placed = sampling.shards(t.tokens, "doc_id", 7, 8, "balanced")
     return placed.select("shard", "rn", F.col("doc_id").alias("id"), "tokens", F.col("lang").alias("lang"))
@@ -231,12 +288,12 @@ def pack_padding(t: Tables) -> DataFrame:
     return binning.padding_rows(binning.packed(_samples(t), BUDGET), 4096).select("shard", "bin", "start", "pos", F.col("tokens").cast("bigint").alias("tokens"))
 
 
-@query()
+@query(_PACK_BUFFERED)
 def pack_bins_buffered(t: Tables) -> DataFrame:
     return binning.packed(_samples(t), BUFFERED)
 
 
-@query()
+@query(_PACK_MANDATORY)
 def pack_bins_mandatory(t: Tables) -> DataFrame:
     return binning.packed(_samples(t).withColumn("grp", F.col("lang")), BUDGET, mandatory=("de", "fr"))
 
@@ -650,8 +707,17 @@ def cube_counts(t: Tables) -> DataFrame:
     return t.documents.cube("lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.count_distinct("n_chars").alias("lengths"))
 
 
-@query()
+@query("""WITH q AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS question, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, list_filter(string_split_regex(lower(answer), '\\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(lower(question), '\\s+'), lambda x: x <> '') AS r0,
+ list_filter(string_split_regex(lower(answer || ' end'), '\\s+'), lambda x: x <> '') AS r1 FROM q WHERE conv_id IS NOT NULL AND question IS NOT NULL AND answer IS NOT NULL),
+l AS (SELECT sum(len(p)) AS p_len, sum(CASE WHEN (abs(len(r0) - len(p)), len(r0)) <= (abs(len(r1) - len(p)), len(r1)) THEN len(r0) ELSE len(r1) END) AS r_len FROM w),
+a AS (SELECT conv_id, 'p' AS who, p AS v FROM w UNION ALL SELECT conv_id, 'r0', r0 FROM w UNION ALL SELECT conv_id, 'r1', r1 FROM w),
+i AS (SELECT conv_id, who, v, n, unnest(range(1, len(v) - n + 2)) AS i FROM a, (SELECT unnest([1, 2, 3, 4]) AS n)),
+g AS (SELECT conv_id, who, n, array_to_string(v[i : i + n - 1], chr(1)) AS gram, count(*) AS c FROM i GROUP BY ALL),
+t AS (SELECT conv_id, n, gram, max(c) AS most FROM g WHERE who <> 'p' GROUP BY ALL),
+k AS (SELECT g.n, sum(least(c, coalesce(most, 0))) AS m, sum(c) AS c FROM g LEFT JOIN t ON g.conv_id = t.conv_id AND g.n = t.n AND g.gram = t.gram WHERE who = 'p' GROUP BY g.n)
+SELECT round(coalesce((SELECT CASE WHEN count(*) = 4 AND min(m) > 0 THEN exp(avg(CASE WHEN m > 0 THEN ln(m / c) END) + (SELECT least(0, 1 - r_len / p_len) FROM l)) END FROM k), 0), 8) AS bleu""")
 def corpus_bleu(t: Tables) -> DataFrame:
     pair = conversations.last_pair(t.conversations).dropna()
     refs = F.array("question", F.concat("answer", F.lit(" end")))
-    return metrics.corpus_bleu(pair.withColumn("refs", refs), "conv_id", "answer", "refs")
+    return metrics.corpus_bleu(pair.withColumn("refs", refs), "conv_id", "answer", "refs").select(F.round("bleu", 8).alias("bleu"))
