@@ -53,6 +53,17 @@ def rolled(df: DataFrame, group: list[str], order: list[str], n: int, name: str
     return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / n).cast("int"))
 
 
+def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
+    """The first ``k`` rows of each group in order; a rank limit lets every task cut its rows before they are shuffled."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def scale_by_mean(df: DataFrame, group: list[str], length: str) -> DataFrame:
+    """Adds ``scaled``: the length over its group's mean length; null where the mean is 0."""
+    return df.withColumn("scaled", F.try_divide(F.col(length), F.avg(length).over(Window.partitionBy(*group))))
+
+
 def trailing_number(path):
     """The number before the extension, -1 without one."""
     found = F.regexp_extract(path, r"_(\d+)\.\w+$", 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import geometry, parsers, vision
@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loomwork.plans import more  # noqa: F401  it registers its queries here
+    from loomwork.plans import more, views  # noqa: F401  they register their queries here
 
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomwork.plans import more  # noqa: F401
+    from loomwork.plans import more, views  # noqa: F401
 
     return dict(_SQL)
 
@@ -382,12 +382,16 @@ def explode_membership(t: Tables) -> DataFrame:
     return metrics.by_attributes(e, ["event_type", "user_id"], F.col("value") > 50, ["skills"]).withColumn("acc", F.round("acc", 6))
 
 
-@query("""WITH w AS (SELECT doc_id, list_slice(string_split_regex(lower(text), '[^a-z]+'), 1, 10) AS a FROM documents), m AS (SELECT doc_id, len(list_filter(a, lambda x: x = a[2])) AS m, len(a) AS n FROM w)
-SELECT doc_id, m::INT AS matches, round((m * least(1, (m - 1) / 3) + (10 - m) * least(1, m / 3)) / 10, 6) AS score FROM m WHERE n = 10""")
+@query("""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w) // 10)) AS chunk FROM w),
+m AS (SELECT doc_id, chunk, len(list_filter(w[chunk * 10 + 1 : chunk * 10 + 10], lambda x: x = w[2])) AS m FROM c)
+SELECT doc_id, chunk::BIGINT AS chunk, m::INT AS matches, round((m * least(1, (m - 1) / 3) + (10 - m) * least(1, m / 3)) / 10, 6) AS score FROM m""")
 def vqa_soft_score(t: Tables) -> DataFrame:
-    w = t.documents.select("doc_id", F.slice(F.split(F.lower("text"), "[^a-z]+"), 1, 10).alias("a")).filter(F.size("a") == 10)
-    m = w.select("doc_id", F.size(F.filter("a", lambda x: x == F.get(F.col("a"), F.lit(1)))).alias("matches"))
-    return m.select("doc_id", "matches", F.round(metrics.soft_vqa(F.col("matches")), 6).alias("score"))
+    """Each ten words of a text stand for ten answers, its second word for the prediction."""
+    w = t.documents.select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w")).filter(F.size("w") >= 10)
+    c = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.size("w") / 10) - 1)).alias("chunk"))
+    tens = F.slice("w", (F.col("chunk") * 10 + 1).cast("int"), F.lit(10))
+    m = c.select("doc_id", "chunk", F.size(F.filter(tens, lambda x: x == F.get(F.col("w"), F.lit(1)))).alias("matches"))
+    return m.select("doc_id", "chunk", "matches", F.round(metrics.soft_vqa(F.col("matches")), 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT p_partkey, lower(trim(p_name)) AS a, list_transform([p_brand, p_type, p_name || ' x'], lambda x: lower(trim(x))) AS g, p_retailprice AS p, 1000.0 AS t FROM part),
@@ -591,10 +595,10 @@ def top_matches(t: Tables) -> DataFrame:
     return similarity.top_matches(w, 10).withColumn("weight", F.round("weight", 5))
 
 
-@query("""WITH e AS (SELECT vec_id // 20 AS scene, vec_id AS id, embedding[1:3]::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.scene, a.id AS ref, b.id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b USING (scene) WHERE a.id <> b.id),
+@query("""WITH e AS (SELECT vec_id // 20 AS scene, vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.scene, a.id AS ref, b.id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b USING (scene) WHERE a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY round(distance, 9), id) AS rank FROM d) SELECT scene, ref, id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 4""")
 def pairwise_rank(t: Tables) -> DataFrame:
-    e = t.embeddings.select(F.floor(F.col("vec_id") / 20).alias("scene"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+    e = t.embeddings.select(F.floor(F.col("vec_id") / 20).alias("scene"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return similarity.ranked_by_distance(e, "scene", "id", "v", 4).withColumn("distance", F.round("distance", 5))
 
 
@@ -632,8 +636,8 @@ def binned_mean(t: Tables) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_quantity > 15) WHERE r <= 16""")
 def topk_per_group(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_returnflag").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
-    return t.lineitem.filter("l_quantity > 15").withColumn("r", F.row_number().over(w)).filter("r <= 16").select("l_returnflag", "l_orderkey", "l_linenumber")
+    best = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return windows.top_per_group(t.lineitem.filter("l_quantity > 15"), ["l_returnflag"], best, 16).select("l_returnflag", "l_orderkey", "l_linenumber")
 
 
 @query("""WITH c AS (SELECT p_partkey, p_type, unnest(['STANDARD', 'SMALL', 'LARGE', 'ECONOMY', 'PROMO']) AS c, generate_subscripts(['STANDARD', 'SMALL', 'LARGE', 'ECONOMY', 'PROMO'], 1) AS i FROM part)
@@ -694,12 +698,13 @@ def late_dedup(t: Tables) -> DataFrame:
     return streams.deduplicated(t.events.select("ts", "user_id", "event_type"), ["user_id", "event_type"], "1 hour").select("user_id", "event_type")
 
 
-@query("""SELECT (event_id // 500)::BIGINT AS "window", sum(1 + event_id % 300)::BIGINT AS tokens, sum((1 + event_id % 300) * (1 + event_id % 300))::BIGINT AS squares, round(sum(value), 4) AS seconds, round(sum(1 + event_id % 300) / sum(value), 5) AS tokens_per_second FROM events GROUP BY 1""")
+@query("""SELECT (event_id // 500)::BIGINT AS "window", sum(1 + event_id % 300)::BIGINT AS tokens, sum((1 + event_id % 300) * (1 + event_id % 300))::BIGINT AS squares, round(sum(value), 4) AS seconds, round(sum(1 + event_id % 300) / sum(value), 5) AS tokens_per_second,
+ round((sum(1 + event_id % 300) * 6e9 + sum((1 + event_id % 300) * (1 + event_id % 300)) * 12) / (sum(value) * 1e12), 6) AS mfu FROM events GROUP BY 1""")
 def telemetry_windows(t: Tables) -> DataFrame:
     n = 1 + F.col("event_id") % 300
     steps = t.events.select(F.col("event_id").alias("step"), n.alias("tokens"), (n * n).alias("squares"), F.col("value").alias("seconds"))
     out = metrics.telemetry(steps, 500, 6e9, 12.0, 1e12)
-    return out.select("window", "tokens", "squares", F.round("seconds", 4).alias("seconds"), F.round("tokens_per_second", 5).alias("tokens_per_second"))
+    return out.select("window", "tokens", "squares", F.round("seconds", 4).alias("seconds"), F.round("tokens_per_second", 5).alias("tokens_per_second"), F.round("mfu", 6).alias("mfu"))
 
 
 @query("""SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n, count(DISTINCT n_chars) AS lengths FROM documents GROUP BY CUBE (lang, source)""")
