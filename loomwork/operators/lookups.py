@@ -66,6 +66,31 @@ def with_extension(files: DataFrame, path: str, extensions: tuple[str, ...]) ->
     return files.filter(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions]))
 
 
+def within_budget(df: DataFrame, tokens: Column, segments: Column, most: int) -> DataFrame:
+    """Adds ``fits``: whether a sample's tokens, with two marks for each segment, are at most ``most``; null tokens don't fit."""
+    return df.withColumn("fits", F.coalesce(tokens + 2 * segments <= most, F.lit(False)))
+
+
+def counts_over(df: DataFrame, group: list[str], value: Column, threshold: float) -> DataFrame:
+    """(group, n, total, mean, over): the sum and mean of a count, and the rows in which it is over the threshold."""
+    sums = [F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean")]
+    return df.groupBy(*group).agg(*sums, F.count_if(value > threshold).alias("over"))
+
+
+def merged_manifests(old: DataFrame, new: DataFrame, name: str, index: str) -> DataFrame:
+    """Manifests as one: entries of ``new`` replace those of their name, others go on from the highest index of ``old``.
+
+    An entry's index stays when it is replaced.  New names are numbered in order
+    of name; a manifest has one row a shard, so their numbering is one window.
+    """
+    kept = old.groupBy(name).agg(F.min(index).alias("_i"))
+    top = old.agg(F.coalesce(F.max(index), F.lit(-1)).alias("_top"))  # one row
+    joined = new.drop(index).join(kept, name, "left").crossJoin(top)
+    added = F.row_number().over(Window.partitionBy(F.col("_i").isNull()).orderBy(name)) + F.col("_top")
+    entries = joined.withColumn(index, F.coalesce("_i", added).cast(old.schema[index].dataType)).drop("_i", "_top")
+    return old.join(new.select(name), name, "left_anti").unionByName(entries, allowMissingColumns=True)
+
+
 def spread(df: DataFrame, group: list[str], order: str, value: str, reach: float) -> DataFrame:
     """cume_dist, percent_rank, the second value, and the rows whose order lies within ``reach`` of a row's, in its group."""
     w = Window.partitionBy(*group).orderBy(order)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import geometry, parsers, vision
-from loomwork.operators import binning, conversations, joins, metrics, sampling, similarity, windows
+from loomwork.operators import binning, conversations, joins, lookups, metrics, sampling, similarity, windows
 from loomwork.plans.tables import Tables, micros
 from loomwork.streaming import streams
 
@@ -118,9 +118,10 @@ def len_hist(t: Tables) -> DataFrame:
     return metrics.histogram(t.documents, F.floor(F.col("n_chars") / 500))
 
 
-@query(f"SELECT lang, count(*) FILTER (tokens <= 400) AS kept, count(*) FILTER (tokens > 400) AS skipped FROM ({TOKENS}) GROUP BY lang")
+@query(f"SELECT lang, count(*) FILTER (tokens + 2 * (1 + doc_id % 3) <= 400) AS kept, count(*) FILTER (tokens + 2 * (1 + doc_id % 3) > 400) AS skipped FROM ({TOKENS}) GROUP BY lang")
 def length_filter(t: Tables) -> DataFrame:
-    return t.tokens.groupBy("lang").agg(F.count_if(F.col("tokens") <= 400).alias("kept"), F.count_if(F.col("tokens") > 400).alias("skipped"))
+    found = lookups.within_budget(t.tokens, F.col("tokens"), 1 + F.col("doc_id") % 3, 400)
+    return found.groupBy("lang").agg(F.count_if("fits").alias("kept"), F.count_if(~F.col("fits")).alias("skipped"))
 
 
 # --- shards, repeats, mixtures

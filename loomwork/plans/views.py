@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import vision
-from loomwork.operators import conversations, metrics, sampling, windows
+from loomwork.operators import conversations, lookups, metrics, sampling, windows
 from loomwork.plans.catalog import query
 from loomwork.plans.tables import Tables
+from loomwork.sources import sinks
 
 
 def _c(name: str) -> Column:
@@ -134,3 +135,26 @@ def placeholders(t: Tables) -> DataFrame:
 SELECT user_id, max(v) FILTER (event_type = 'click') AS click, max(v) FILTER (event_type = 'view') AS "view" FROM l GROUP BY user_id HAVING count(v) FILTER (event_type IN ('click', 'view')) = 2""")
 def complete_latest(t: Tables) -> DataFrame:
     return metrics.complete_latest(t.events, "user_id", "event_type", "value", "event_id", ["click", "view"])
+
+
+@query("""SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS total, round(avg(n_chars), 6) AS mean, count(*) FILTER (n_chars > 1000) AS over FROM documents GROUP BY source""")
+def lengths_over(t: Tables) -> DataFrame:
+    return lookups.counts_over(t.documents, ["source"], _c("n_chars"), 1000).withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '[' || chr(39) || p_name || chr(39) || ', "it' || chr(39) || 's"]' WHEN 1 THEN '[' || chr(39) || 'a' || chr(92) || chr(39) || '"' || chr(92) || 'n' || chr(39) || ', None]' WHEN 2 THEN '[]' ELSE '[' || chr(39) || p_type || chr(39) || ']' END AS listed FROM part""")
+def quoted_lists(t: Tables) -> DataFrame:
+    k = _c("p_size") % 4
+    odd = F.array(F.lit("a'\"\n"), F.lit(None).cast("string"))
+    lists = F.when(k == 0, F.array("p_name", F.lit("it's"))).when(k == 1, odd).when(k == 2, F.array().cast("array<string>")).otherwise(F.array("p_type"))
+    return t.part.withColumn("l", lists).select("p_partkey", sinks.quoted_list("l").alias("listed"))
+
+
+@query("""WITH f AS (SELECT 'f' || lpad((o_orderkey // 100)::VARCHAR, 6, '0') AS path, o_orderkey // 100 AS k, count(*) AS n FROM orders GROUP BY ALL), a AS (SELECT path, k AS idx, n FROM f WHERE k % 3 <> 0 AND k < 80), b AS (SELECT path, n + 1 AS n FROM f WHERE k % 2 = 0)
+SELECT path, idx, n FROM a WHERE path NOT IN (SELECT path FROM b) UNION ALL SELECT b.path, a.idx, b.n FROM b JOIN a ON a.path = b.path
+UNION ALL SELECT path, (SELECT max(idx) FROM a) + row_number() OVER (ORDER BY path), n FROM b WHERE path NOT IN (SELECT path FROM a)""")
+def shard_manifests(t: Tables) -> DataFrame:
+    k = F.floor(_c("o_orderkey") / 100)
+    files = t.orders.groupBy(F.concat(F.lit("f"), F.lpad(k.cast("string"), 6, "0")).alias("path"), k.alias("idx")).agg(F.count("*").alias("n"))
+    old, new = files.filter("idx % 3 <> 0 AND idx < 80"), files.filter("idx % 2 = 0").withColumn("n", _c("n") + 1)
+    return lookups.merged_manifests(old, new, "path", "idx").select("path", "idx", "n")

@@ -37,8 +37,15 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def quoted_list(column: str):
-    """A text list in single quotes: ['a', 'b']; empty lists are []."""
-    return F.when(F.size(column) > 0, F.concat(F.lit("['"), F.array_join(column, "', '"), F.lit("']"))).otherwise(F.lit("[]"))
+    """A text list as Python writes it: ['a', "it's"]; null elements are None, empty and null lists []."""
+
+    def one(x):
+        plain = F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
+        doubled = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(x.isNull(), F.lit("None")).when(doubled, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(column, one), ", "), F.lit("]")), F.lit("[]"))
 
 
 def append_log(df: DataFrame, path: str) -> None:
