@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm import (
     chat,
     decontamination,
+    filter_audit,
     fingerprints,
     license_scan,
     packing,
     quality,
+    repair,
+    sharding,
     simhash,
     toxicity,
     url_filter,
@@ -80,6 +83,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries by name."""
     found = (
@@ -93,10 +108,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash_near_dedup,
         op9_wavelet_tokens,
         op10_quality_classifier,
+        op11_filter_interaction_audit,
+        op12_sharding,
+        op13_conversation_repair,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express whole; tests/llm holds the others against brute force."""
-    return {"op5_chat_formatting": chat.DIGESTS_SQL}
+    return {
+        "op5_chat_formatting": chat.DIGESTS_SQL,
+        "op11_filter_interaction_audit": filter_audit.AUDIT_SQL,
+        "op13_conversation_repair": repair.REPAIR_SQL,
+    }
