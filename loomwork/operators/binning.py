@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -43,7 +43,11 @@ class Packer:
     pos: int = 0
     held: deque = field(default_factory=deque)
     waiting: dict = field(default_factory=dict)
-    plain: deque = field(default_factory=deque)
+    queue: Callable[[str], deque] = lambda name: deque()  # noqa: E731  of a group's name; '' is all other samples
+
+    def __post_init__(self) -> None:
+        self.plain = self.queue("")
+        self.waiting = {g: self.queue(g) for g in self.mandatory}
 
     def _place(self, key, n: int) -> tuple:
         row = (key, "packed", self.bin, self.pos, self.curr, n)
@@ -83,12 +87,12 @@ class Packer:
                 if n >= self.budget.per_sample:
                     yield (key, "too_long", None, None, None, n)
                 else:
-                    self.waiting.setdefault(group, deque()).append((key, n))
+                    self.waiting[group].append((key, n))
             else:
                 self.plain.append((key, n))
             while self.plain:
                 if self.curr == 0 and self.pos == 0:
-                    if not all(self.waiting.get(g) for g in self.mandatory):
+                    if not all(self.waiting[g] for g in self.mandatory):
                         return
                     for g in self.mandatory:
                         yield self._place(*self.waiting[g].popleft())

@@ -1,16 +1,9 @@
-"""Structured Streaming: event-time windows, late rows, latest values, resumable reads, and packing over a stream's state."""
+"""Structured Streaming: event-time windows, late rows and resumable reads."""
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from loomwork.operators.binning import PLACES, Budget, Packer
 
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 8) -> DataFrame:
@@ -54,45 +47,17 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_into_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
-def keep_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, arrival: str) -> None:
-    """Upserts a log's batches into a table of last values: each batch writes the next version, and then points to it."""
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The whole result of an aggregating stream once all that is there is taken: every batch writes it anew, the last one is returned."""
     spark = stream.sparkSession
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        done.append(number)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        columns = [*keys, value, arrival]
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        both = batch.select(*columns) if old is None else old.unionByName(batch.select(*columns))
-        last = both.groupBy(*keys).agg(F.max_by(value, arrival).alias(value), F.max(arrival).alias(arrival))
-        last.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def packed(samples: DataFrame, budget: Budget) -> DataFrame:
-    """The greedy packing of :mod:`loomwork.operators.binning` over a stream of (shard, rn, id, tokens).
-
-    A shard's fold is its state between batches; rows of a batch are offered in
-    order of rn, so batches must come in that order.
-    """
-
-    def step(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        packer: Packer = pickle.loads(state.get[0]) if state.exists else Packer(budget)
-        rows = pd.concat(list(chunks)).sort_values("rn")
-        out = [(key[0], *r) for i, n in zip(rows["id"], rows["tokens"]) for r in packer.offer(int(i), int(n))]
-        state.update((pickle.dumps(packer),))
-        frame = pd.DataFrame(out, columns=["shard", "id", "state", "bin", "pos", "start", "tokens"])
-        yield frame.astype({"bin": "Int64", "pos": "Int64", "start": "Int64"})
-
-    schema = T._parse_datatype_string(PLACES)
-    return samples.groupBy("shard").applyInPandasWithState(step, schema, T._parse_datatype_string("packer binary"), "append", "NoTimeout")
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        raise ValueError("the stream has nothing new")
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{done[-1]}")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -7,7 +8,6 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from loomwork.functions import geometry
-from loomwork.operators.binning import Budget, packed
 from loomwork.sources import convert, readers, sinks, tarshards
 from loomwork.streaming import streams
 
@@ -128,8 +128,11 @@ def test_tar_shards(spark, tmp_path):
     tarshards.appended(spark, files, path, max_scenes=2, partitions=1)
     back = spark.read.format("tarshards").option("path", path).load()
     assert back.count() == len(rows) and back.select("scene").distinct().count() == 7
-    run = [p for p in (tmp_path / "tars").iterdir() if p.is_dir()][0]
-    one = tarshards.shard_manifest(spark, str(run)).collect()
+    one = tarshards.shard_manifest(spark, path).collect()
+    assert sorted(r["shard"] for r in one) == sorted(p.name for p in (tmp_path / "tars").glob("*.tar")) and sum(r["num_scenes"] for r in one) == 7
+    for r in one:
+        data = (tmp_path / "tars" / r["shard"]).read_bytes()
+        assert (r["md5"], r["file_size_bytes"]) == (hashlib.md5(data).hexdigest(), len(data))
     assert all(len(r["md5"]) == 32 and r["num_scenes"] == len(r["scenes"]) <= 2 and r["file_size_bytes"] > 0 for r in one)
 
 
@@ -164,9 +167,9 @@ def test_streams_equal_tables(spark, tmp_path):
     events.repartition(3).write.parquet(src)
     stream = streams.files(spark, src, events.schema)
     key = lambda df: sorted(tuple(map(str, r)) for r in df.withColumn("total", F.round("total", 4)).collect())
-    got = streams.run_into_memory(streams.tumbling(stream, "1 day"), "tumbling_days")
+    got = streams.run_complete(streams.tumbling(stream, "1 day"), str(tmp_path / "days"), str(tmp_path / "c1"))
     assert key(got) == key(streams.tumbling(events, "1 day"))
-    counts = streams.run_into_memory(streams.sessions(streams.files(spark, src, events.schema), "30 minutes", "1 minute"), "sessions_all")
+    counts = streams.run_complete(streams.sessions(streams.files(spark, src, events.schema), "30 minutes", "1 minute"), str(tmp_path / "s"), str(tmp_path / "c2"))
     assert counts.count() == streams.sessions(events, "30 minutes").count()
 
 
@@ -180,31 +183,6 @@ def test_a_restart_resumes(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(15))
 
 
-def test_latest_values_of_a_log_stream(spark, tmp_path):
-    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
-    kind = "k string, v int, at int"
-    spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], kind).coalesce(1).write.parquet(src)
-    streams.keep_latest(streams.files(spark, src, spark.read.parquet(src).schema), out, check, ["k"], "v", "at")
-    spark.createDataFrame([("a", 5, 2), ("b", 0, 0)], kind).coalesce(1).write.mode("append").parquet(src)
-    streams.keep_latest(streams.files(spark, src, spark.read.parquet(src).schema), out, check, ["k"], "v", "at")
-    assert {r["k"]: r["v"] for r in spark.read.parquet(f"{out}/v1").collect()} == {"a": 5, "b": 2}
-
-
-def test_packing_a_stream_is_packing_the_table(spark, tmp_path):
-    budget = Budget(100, 90, 80)
-    rng = np.random.default_rng(3)
-    rows = [(i % 2, i, 10_000 + i, int(rng.integers(1, 90))) for i in range(120)]
-    kind = "shard int, rn int, id long, tokens long"
-    src = str(tmp_path / "src")
-    out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    for part in range(3):
-        spark.createDataFrame(rows[40 * part : 40 * part + 40], kind).coalesce(1).write.mode("append").parquet(src)
-        streams.run_once(streams.packed(streams.files(spark, src, spark.read.parquet(src).schema), budget), out, check)
-    key = lambda df: sorted(tuple(map(str, r)) for r in df.select("id", "state", "bin", "pos", "start").collect())
-    want = packed(spark.createDataFrame(rows, kind), budget)
-    assert key(spark.read.parquet(out)) == key(want)
-
-
 def test_zip_members(spark, tmp_path):
     import zipfile
 
