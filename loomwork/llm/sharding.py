@@ -34,12 +34,14 @@ OVERHEAD = 8
 MAX_ROUNDS = 16
 #: Ranges that running sums are cut into, for each shard and size class.
 SLOTS = 256
+#: Ranges that a group's rows, or a shard's, are numbered in.
+SPOTS = 4096
 
 
 def nodes(documents: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, grp, spot): what sharding needs of a document; ``grp`` is equal for equal texts."""
     bytes_ = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16)).cast("int")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS)).cast("int")
     return documents.select(
         "doc_id",
         (F.octet_length(bytes_) + OVERHEAD).cast("bigint").alias("size"),
@@ -116,7 +118,7 @@ def _round(pending: DataFrame, rooms: list[int]) -> DataFrame:
 def balanced(rows: DataFrame, shards: int = SHARDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Adds ``shard`` to rows of (doc_id, grp, spot): rows per shard at most one apart, groups in as few shards as found.
 
-    ``spot`` is a uniform number from 0 to 65535 that spreads a group's rows.
+    ``spot`` is a uniform number under ``SPOTS`` that spreads a group's rows.
     After ``max_rounds`` rounds, or when nothing moves any more, what waits is
     laid over the rooms that are left, cut where a room ends.
     """
