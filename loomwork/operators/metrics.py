@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.parsers import number_of, strip
+
 
 def _mean(x: Column) -> Column:
     return F.avg(x.cast("double"))
@@ -108,7 +110,7 @@ def anls(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
     """The best of 1 - edit distance / longer length over the answers, 0 under the threshold; null between empty texts."""
 
     def one(a: Column) -> Column:
-        p, g = F.lower(F.trim(prediction)), F.lower(F.trim(a))
+        p, g = F.lower(strip(prediction)), F.lower(strip(a))
         return 1 - F.try_divide(F.levenshtein(p, g), F.greatest(F.char_length(p), F.char_length(g)))
 
     best = F.array_max(F.transform(answers, one))
@@ -119,8 +121,8 @@ def relaxed_match(prediction: Column, target: Column, slack: float = 0.05) -> Co
     """Numbers (also with a % sign) within the slack of the target; texts, and targets of zero, alike but for case."""
 
     def number(x: Column) -> Column:
-        pct = F.rtrim(x, F.lit("%")).try_cast("double") / 100
-        return F.when(x.endswith("%"), pct).otherwise(x.try_cast("double"))
+        pct = number_of(F.rtrim(x, F.lit("%"))) / 100
+        return F.when(x.endswith("%"), pct).otherwise(number_of(x))
 
     p, t = number(prediction), number(target)
     same = F.lower(prediction) == F.lower(target)
@@ -128,8 +130,8 @@ def relaxed_match(prediction: Column, target: Column, slack: float = 0.05) -> Co
 
 
 def exact_match(prediction: Column, answers: Column) -> Column:
-    p = F.lower(F.trim(prediction))
-    return F.exists(answers, lambda a: F.lower(F.trim(a)) == p)
+    p = F.lower(strip(prediction))
+    return F.exists(answers, lambda a: F.lower(strip(a)) == p)
 
 
 def geometric(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,22 +101,21 @@ def even_chunks(df: DataFrame, megabatch: list[str], length: str, key: str, chun
     """
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], ascending=[False, True], kind="stable").reset_index(drop=True)
-        n = len(pdf)
-        if n % chunks:
-            pdf["chunk"] = [i % chunks for i in range(n)]
+        placed = pdf.sort_values([length, key], ascending=[False, True], kind="stable").reset_index(drop=True)
+        room, rest = divmod(len(placed), chunks)
+        if rest:
+            placed["chunk"] = placed.index % chunks
         else:
-            sums, used, out = [0.0] * chunks, [0] * chunks, []
-            for x in pdf[length]:
-                c = min(range(chunks), key=lambda i: (sums[i], i))
-                out.append(c)
-                sums[c] += x
-                used[c] += 1
-                if used[c] == n // chunks:
-                    sums[c] = float("inf")
-            pdf["chunk"] = out
-        pdf["slot"] = pdf.groupby("chunk").cumcount()
-        return pdf
+            open_ = [(0.0, c, room) for c in range(chunks)]  # a heap: (length so far, chunk, places left)
+            dealt = []
+            for x in placed[length]:
+                total, c, left = heapq.heappop(open_)
+                dealt.append(c)
+                if left > 1:
+                    heapq.heappush(open_, (total + x, c, left - 1))
+            placed["chunk"] = dealt
+        placed["slot"] = placed.groupby("chunk").cumcount()
+        return placed
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "chunk int", "slot int"])
     return df.groupBy(*megabatch).applyInPandas(deal, schema)

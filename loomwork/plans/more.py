@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions import geometry, parsers, vision
+from loomwork.functions import geometry, judges, parsers, vision
 from loomwork.operators import conversations, joins, lookups, metrics, ordering, sampling, similarity, windows
 from loomwork.plans.catalog import query
 from loomwork.plans.tables import Tables
@@ -122,7 +122,7 @@ def judged_scores(t: Tables) -> DataFrame:
     n = (1 + _c("o_orderkey") % 5).cast("string")
     blob = F.concat(F.lit('Here: {"quality_score": '), n, F.lit(', "why": "x"}'))
     both = F.concat(F.lit('{"instruction_score": '), n, F.lit(', "knowledge_score": 3}'))
-    d = parsers.dual_scores(both)
+    d = judges.dual_scores(both)
     return t.orders.select(
         "o_orderkey", parsers.judged_score(blob, "quality_score").alias("by_json"), parsers.judged_score(F.concat(F.lit("Quality score: "), n), "quality_score").alias("by_name"),
         parsers.judged_score(F.concat(F.lit("it gets "), n, F.lit(" out of 5")), "quality_score").alias("of_five"), d["instruction_score"].alias("instruction_score"), d["knowledge_score"].alias("knowledge_score"),
@@ -134,7 +134,7 @@ def named_and_listed_scores(t: Tables) -> DataFrame:
     k = lambda n: (_c("o_orderkey") % n).cast("string")
     named = F.concat(F.lit("sharpness: "), k(7), F.lit("\nno score here\ncolour: "), k(3))
     listed = F.concat(F.lit('||V^=^V||{"score": ['), k(10), F.lit(', 4], "reasoning": "y"}||V^=^V||'))
-    return t.orders.select("o_orderkey", parsers.mean_of_named_ints(named).alias("mean"), parsers.viescore_list(listed).alias("listed"), parsers.viescore_list(k(10)).alias("bare"))
+    return t.orders.select("o_orderkey", parsers.mean_of_named_ints(named).alias("mean"), judges.viescore_list(listed).alias("listed"), judges.viescore_list(k(10)).alias("bare"))
 
 
 @query("""SELECT p_partkey, p_type AS category, CASE WHEN p_size % 3 = 0 THEN 'agent-object' WHEN p_size % 3 = 1 THEN 'agent' END AS kind, greatest(len(list_filter(string_split_regex(p_name || ' ' || p_type, '\\s+'), lambda w: w <> '')), 1) AS words,
