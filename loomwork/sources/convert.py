@@ -80,7 +80,11 @@ def destringified(text: Column | str) -> Column:
         found = None if t is None else unfold(t)
         return json.dumps(found, ensure_ascii=False) if isinstance(found, (dict, list)) else t
 
-    return F.pandas_udf(lambda texts: texts.map(one), "string", F.PandasUDFType.SCALAR)(text)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(text)
 
 
 def image_only(images: Column) -> dict[str, Column]:
