@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def with_default(left: DataFrame, right: DataFrame, keys: list[str], right_key: str, value: str, default: Column) -> DataFrame:
-    """A value by the first of several keys that the right table knows; else the default."""
+    """A value by the first of several keys that the right table knows; else the default.
+
+    Of rows that repeat a right key the greatest value counts, so no left row is repeated.
+    """
     out, found = left, []
+    once = right.groupBy(right_key).agg(F.max(value).alias(value))
     for i, k in enumerate(keys):
-        side = right.select(F.col(right_key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
+        side = once.select(F.col(right_key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
         out = out.join(side, F.col(k) == F.col(f"_k{i}"), "left")
         found.append(F.col(f"_v{i}"))
     return out.withColumn(value, F.coalesce(*found, default)).drop(*[f"_{c}{i}" for i in range(len(keys)) for c in "kv"])

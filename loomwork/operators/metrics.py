@@ -61,6 +61,56 @@ def paired(df: DataFrame, task: list[str], pair: list[str], correct: Column, siz
     return out.withColumn("score", 100 * (F.col("acc") + F.col("acc_plus")))
 
 
+def paired_report(df: DataFrame, task: str, image: str, gold: Column, predicted: Column, types: dict[str, list[str]]) -> DataFrame:
+    """(type, task, TP, FN, FP, TN, precision, recall, other_num, acc, acc_plus, score) of yes/no questions asked in pairs, two an image.
+
+    Other answers than yes and no are wrong in ``acc`` and left out of the counts,
+    precision and recall, which are 0 where nothing is divided.  ``acc_plus`` is
+    the share of images whose questions are both right.  A type's score is the
+    sum of its tasks' scores and has no task; tasks of no type are left out.
+    """
+    kinds = F.create_map(*[F.lit(x) for kind, names in types.items() for name in names for x in (name, kind)])
+    named = df.select(F.col(task).alias("task"), F.col(image).alias("image"), F.lower(gold).alias("g"), F.lower(predicted).alias("p"))
+    typed = named.withColumn("type", F.element_at(kinds, F.col("task"))).filter("type is not null")
+    known = F.col("p").isin("yes", "no")
+    count = lambda g, p: F.count_if((F.col("g") == g) & (F.col("p") == p))
+    images = typed.groupBy("type", "task", "image").agg(
+        F.count("*").alias("n"), F.count_if(F.col("g") == F.col("p")).alias("right"), F.count_if(~F.coalesce(known, F.lit(False))).alias("other"),
+        count("yes", "yes").alias("tp"), count("yes", "no").alias("fn"), count("no", "yes").alias("fp"), count("no", "no").alias("tn"),
+    )
+    tasks = images.groupBy("type", "task").agg(
+        *[F.sum(c).alias(n) for c, n in (("tp", "TP"), ("fn", "FN"), ("fp", "FP"), ("tn", "TN"), ("other", "other_num"))],
+        (F.sum("right") / F.sum("n")).alias("acc"), (F.count_if(F.col("right") == 2) / F.count("*")).alias("acc_plus"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
+    scored = tasks.withColumns({"precision": share("TP", "FP"), "recall": share("TP", "FN"), "score": 100 * (F.col("acc") + F.col("acc_plus"))})
+    totals = scored.groupBy("type").agg(F.sum("score").alias("score"))
+    return scored.unionByName(totals, allowMissingColumns=True)
+
+
+def domain_report(df: DataFrame, category: str, correct: Column, domains: dict[str, list[str]]) -> DataFrame:
+    """(name, level, num, acc): categories, ``Overall-`` domains and ``Overall``, each the share of right rows to three places.
+
+    A category that no domain names counts nowhere, one without rows has no row;
+    a domain without any has 0 rows and accuracy 0.
+    """
+    kinds = F.create_map(*[F.lit(x) for domain, names in domains.items() for name in names for x in (name, domain)])
+    known = df.select(F.col(category).alias("category"), correct.cast("int").alias("_c")).withColumn("domain", F.element_at(kinds, F.col("category"))).filter("domain is not null")
+    sets = known.groupingSets([[F.col("domain"), F.col("category")], [F.col("domain")], []], "domain", "category")
+    rolled = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("num"), F.avg("_c").alias("acc"))
+    name = F.when(F.col("g") == 0, F.col("category")).when(F.col("g") == 1, F.concat(F.lit("Overall-"), "domain")).otherwise(F.lit("Overall"))
+    level = F.when(F.col("g") == 0, "category").when(F.col("g") == 1, "domain").otherwise("all")
+    found = rolled.select(name.alias("name"), level.alias("level"), "num", F.round(F.coalesce("acc", F.lit(0.0)), 3).alias("acc"))
+    names = df.sparkSession.createDataFrame([(f"Overall-{d}",) for d in domains], "name string")
+    empty = names.join(found, "name", "left_anti").select("name", F.lit("domain").alias("level"), F.lit(0).cast("bigint").alias("num"), F.lit(0.0).alias("acc"))
+    return found.unionByName(empty)
+
+
+def best_first(report: DataFrame, group: str, value: str, ties: list[str]) -> DataFrame:
+    """Adds ``place`` in each group of a report, from 1: the greatest value first."""
+    return report.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc_nulls_last(value), *ties)))
+
+
 def any_and_tag_means(df: DataFrame, prompt: str, tag: str, correct: Column) -> DataFrame:
     """One row: share of right rows, of prompts with any right row, and the unweighted mean of the tags' shares."""
     by = df.groupBy(prompt, tag).agg(F.count("*").alias("n"), F.count_if(correct).alias("right"))

@@ -197,10 +197,11 @@ def updated_values(t: Tables) -> DataFrame:
 # --- reports
 
 
-@query("""SELECT p_partkey, CASE WHEN lower(p_type) IN ('small', 'promo') THEN 1.0 ELSE 0.0 END AS hit, round(sqrt(p_size * (p_partkey % 10)), 6) AS vie FROM part""")
+@query("""SELECT p_partkey, CASE WHEN lower(p_type) IN ('small', 'promo') THEN 1.0 ELSE 0.0 END AS hit, round(sqrt(least(p_size, 30) * least(p_partkey % 10, 7, p_size)), 6) AS vie FROM part""")
 def exact_and_vie(t: Tables) -> DataFrame:
     hit = metrics.exact_match(F.lower("p_type"), F.array(F.lit("small"), F.lit("promo"))).cast("double")
-    vie = metrics.geometric(_c("p_size").cast("double"), (_c("p_partkey") % 10).cast("double"))
+    number = lambda *x: F.array(*[v.cast("double") if isinstance(v, Column) else F.lit(float(v)) for v in x])
+    vie = metrics.viescore(number(_c("p_size"), 30), number(_c("p_partkey") % 10, 7, _c("p_size")))
     return t.part.select("p_partkey", hit.alias("hit"), F.round(vie, 6).alias("vie"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions import geometry
+from loomwork.operators.ordering import numbered, order_key
 
 SAMPLE_SCHEMA = (
     "question string, answer string, scene_name string, dataset_name string, image_path array<string>, "
@@ -167,6 +168,20 @@ def arrow_streams(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, kind)
 
 
+def captioned(df: DataFrame, column: str, key: str, seed) -> DataFrame:
+    """Adds ``caption``: one of the captions in a JSON object {name: caption}, by a hash of key and seed; a blank without any."""
+    texts = F.map_values(F.from_json(column, "map<string,string>"))
+    texts = F.filter(texts, lambda x: x.isNotNull())
+    at = F.conv(F.substring(order_key(seed, key), 1, 8), 16, 10).cast("bigint") % F.size(texts)
+    return df.withColumn("caption", F.when(F.size(texts) > 0, F.get(texts, at.cast("int"))).otherwise(F.lit(" ")))
+
+
+def shuffled_prefix(df: DataFrame, keys: list[str], seed, n: int | None = None, share: float | None = None) -> DataFrame:
+    """The first ``n`` rows, or a share of them, of a seeded shuffle, with ``rn`` from 1; no task holds more than a range of them."""
+    placed = numbered(df.withColumn("_k", order_key(seed, *keys)), "_k", keys).drop("_k")
+    return placed.filter(F.col("rn") <= (n if n is not None else int(df.count() * share)))
+
+
 def prefix(df: DataFrame, order: list[str], n: int | None = None, share: float | None = None) -> DataFrame:
     """The first ``n`` rows, or a share of them, in an order that the caller names."""
     if n is not None:
@@ -175,12 +190,52 @@ def prefix(df: DataFrame, order: list[str], n: int | None = None, share: float |
     return df.orderBy(*order).limit(int(total * share))
 
 
-def ranked_files(files: DataFrame, rank: int, world: int) -> DataFrame:
-    """The files of one rank: chunks of ceil(n / world) in order of path."""
+def ranks_of(files: DataFrame, world: int) -> DataFrame:
+    """Files (path) with their ``rank``: chunks of ceil(n / world) in order of path; all ranks together are all files."""
     w = Window.orderBy("path")  # a listing
     placed = files.withColumn("_i", F.row_number().over(w) - 1)
     size = F.ceil(F.count("*").over(Window.partitionBy()) / world)
-    return placed.withColumn("_r", F.floor(F.col("_i") / size)).filter(F.col("_r") == rank).drop("_i", "_r")
+    return placed.withColumn("rank", F.floor(F.col("_i") / size).cast("int")).drop("_i")
+
+
+def ranked_files(files: DataFrame, rank: int, world: int) -> DataFrame:
+    """The files of one rank."""
+    return ranks_of(files, world).filter(F.col("rank") == rank).drop("rank")
+
+
+def pickled_scenes(spark: SparkSession, path: str, of: str = "data_list") -> DataFrame:
+    """(file, value): the items of pickled {``of``: [item, ...]} files as JSON, arrays as lists.
+
+    Only plain values and numeric arrays are read; a pickle that names anything
+    else is an error, as reading it could run its code.
+    """
+    import io
+    import json as js
+    import pickle
+
+    import pyarrow as pa
+
+    # What numeric arrays are made of.
+    known = {("numpy", "ndarray"), ("numpy", "dtype"), *((f"numpy.{c}.multiarray", f) for c in ("core", "_core") for f in ("_reconstruct", "scalar")), *((f"numpy.{c}.numeric", "_frombuffer") for c in ("core", "_core"))}
+
+    class Plain(pickle.Unpickler):
+        def find_class(self, module, name):
+            if (module, name) not in known:
+                raise pickle.UnpicklingError(f"{module}.{name} isn't a plain value")
+            return super().find_class(module, name)
+
+    def plain(x):
+        return x.tolist() if hasattr(x, "tolist") else str(x)
+
+    def read(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                items = Plain(io.BytesIO(blob.as_py())).load()[of]
+                for at in range(0, len(items), 1000):
+                    texts = [js.dumps(x, default=plain, ensure_ascii=False) for x in items[at : at + 1000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), pa.array(texts, pa.string())], names=["file", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "file string, value string")
 
 
 def zip_members(spark: SparkSession, path: str, pattern: str = r".*") -> DataFrame:

@@ -55,3 +55,22 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_lists(df: DataFrame, path: str, by: str, value: str) -> None:
     """One folder of text lines for each value of ``by``."""
     df.select(by, F.col(value).cast("string").alias("value")).write.partitionBy(by).text(path)
+
+
+def write_report(report: DataFrame, path: str, kind: str, order: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """A report as one file: ``csv`` with a header, ``json`` lines, or ``txt`` lines of ``name: value, ...``.
+
+    Reports are aggregates, so one task writes them, in the order of the named columns.
+    """
+    rows = flat(report)
+    one = rows.repartition(1)
+    one = one.sortWithinPartitions(*order) if order else one
+    if kind == "csv":
+        one.write.mode(mode).csv(path, header=True, quote='"', escape='"')
+    elif kind == "json":
+        one.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    elif kind == "txt":
+        parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]
+        one.select(F.concat_ws(", ", *parts).alias("value")).write.mode(mode).text(path)
+    else:
+        raise ValueError(kind)
