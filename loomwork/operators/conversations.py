@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.ordering import hashed
+
 # The chat template and its image tokens.
 SYSTEM = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n"
 TURN = "<|im_end|>\n<|im_start|>assistant"
@@ -137,8 +139,8 @@ def two_options(text: Column) -> Column:
 def edit_window(images: Column, steps: Column, key: Column, most: int = 3) -> Column:
     """A hashed run of an edit chain: (start, end, instruction), at most ``most`` steps, instructions joined."""
     n = F.size(images)
-    start = F.pmod(F.xxhash64(key, F.lit("start")), F.greatest(n - 1, F.lit(1)).cast("bigint")).cast("int")
+    start = (hashed(key, F.lit("start")) % F.greatest(n - 1, F.lit(1))).cast("int")
     room = F.least(F.lit(most), n - 1 - start)
-    end = start + 1 + F.pmod(F.xxhash64(key, F.lit("end")), F.greatest(room, F.lit(1)).cast("bigint")).cast("int")
-    said = F.transform(F.slice(steps, start + 1, end - start), lambda s: F.get(s, F.pmod(F.xxhash64(key, F.array_join(s, "|")), F.size(s).cast("bigint")).cast("int")))
+    end = start + 1 + (hashed(key, F.lit("end")) % F.greatest(room, F.lit(1))).cast("int")
+    said = F.transform(F.slice(steps, start + 1, end - start), lambda s: F.get(s, (hashed(key, F.array_join(s, "|")) % F.size(s)).cast("int")))
     return F.struct(start.alias("start"), end.alias("end"), F.array_join(said, ". ").alias("instruction"))

@@ -14,6 +14,12 @@ def order_key(seed, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))).cast("binary"))
 
 
+def hashed(*parts: Column) -> Column:
+    """A whole number under 2^32 by md5 of the parts, joined by colons."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(key: Column) -> Column:
     """A number in [0, 1) of a hex key's first 8 digits."""
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

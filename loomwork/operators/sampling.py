@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators.ordering import counted, numbered, order_key, uniform
+from loomwork.operators.ordering import counted, hashed, numbered, order_key, uniform
 
 
 def shuffled(df: DataFrame, key: str, seed) -> DataFrame:
@@ -202,11 +202,11 @@ def near_views(df: DataFrame, scene: str, view: str, share: float, n: int, seed)
 
 def decayed_split(total: Column, key: Column, decay: float) -> Column:
     """A hashed split of a whole number into parts; few parts are likelier the smaller ``decay``."""
-    u = F.pmod(F.xxhash64(key), F.lit(1_000_003)) / 1_000_003.0
+    u = hashed(key) / 4294967296.0
     if decay == 1.0:
         parts = F.floor(u * total) + 1
     else:
         parts = F.least(total, F.floor(F.log(1 - u * (1 - F.pow(F.lit(decay), total))) / F.log(F.lit(decay))) + 1)
-    ranked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int")), lambda i: F.struct(F.xxhash64(key, i).alias("h"), i.alias("i")))), F.lit(1), (parts - 1).cast("int"))
+    ranked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int")), lambda i: F.struct(hashed(key, i).alias("h"), i.alias("i")))), F.lit(1), (parts - 1).cast("int"))
     cuts = F.concat(F.array(F.lit(0)), F.array_sort(F.transform(ranked, lambda s: s["i"])), F.array(total.cast("int")))
     return F.transform(F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda c, i: c - F.get(cuts, i))

@@ -30,13 +30,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loomwork.plans import annotated, answers, more, reports, spatial, stored, views  # noqa: F401  they register their queries here
+    from loomwork.plans import annotated, answers, files, more, reports, spatial, stored, views  # noqa: F401  they register their queries here
 
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from loomwork.plans import annotated, answers, more, reports, spatial, stored, views  # noqa: F401
+    from loomwork.plans import annotated, answers, files, more, reports, spatial, stored, views  # noqa: F401
 
     return dict(_SQL)
 
