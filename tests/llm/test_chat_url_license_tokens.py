@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import chat, license_scan, url_filter, wavelet
 from tests.llm.conftest import ODD
@@ -74,6 +75,50 @@ def test_url_model_on_urls_it_has_not_seen(spark):
     assert sum(a and b for a, b in score) / sum(b for _, b in score) >= 0.9
 
 
+# Hosts of the ordinary web, and junk; none of them is in the training table.
+ORDINARY = """
+github.com stackoverflow.com www.nasa.gov www.gov.uk www.bbc.co.uk www.cam.ac.uk www.spiegel.de elpais.es nature.com arxiv.io www.reddit.com
+essex.ac.uk freebsd.example.net tracking-birds.example.net www.washingtonpost.com edition.cnn.com www.reuters.com apnews.com www.bloomberg.com
+www.economist.com www.ft.com www.wsj.com www.lefigaro.fr www.liberation.fr www.faz.net www.sueddeutsche.de www.welt.de www.repubblica.it
+www.lastampa.it www.elpais.com www.abc.es www.publico.pt www.nrc.nl www.volkskrant.nl www.svt.se www.dr.dk yle.fi www.asahi.com www.yomiuri.co.jp
+www.chosun.com timesofindia.indiatimes.com www.thehindu.com www.smh.com.au www.stuff.co.nz www.theglobeandmail.com www.harvard.edu www.yale.edu
+www.princeton.edu www.caltech.edu www.berkeley.edu www.cmu.edu www.imperial.ac.uk www.ucl.ac.uk www.epfl.ch www.kit.edu www.uni-heidelberg.de
+www.sorbonne-universite.fr www.kyoto-u.ac.jp www.nus.edu.sg www.cern.ch www.esa.int www.nist.gov www.usgs.gov www.cdc.gov www.fda.gov www.census.gov
+www.loc.gov www.europa.eu www.admin.ch www.gouvernement.fr www.bundestag.de www.nhs.uk www.metoffice.gov.uk www.worldbank.org www.imf.org www.oecd.org
+www.redcross.org www.amnesty.org www.greenpeace.org www.plos.org www.pnas.org www.acm.org www.ieee.org www.cell.com www.thelancet.com www.bmj.com
+pubmed.ncbi.nlm.nih.gov www.britannica.com www.merriam-webster.com dictionary.cambridge.org www.duden.de www.larousse.fr www.rae.es
+translate.google.com maps.google.com www.bing.com duckduckgo.com www.yahoo.com www.microsoft.com www.apple.com www.ibm.com www.oracle.com
+www.intel.com www.nvidia.com www.amd.com www.adobe.com www.dropbox.com www.slack.com www.notion.so trello.com www.atlassian.com www.docker.com
+nodejs.org www.rust-lang.org golang.org www.java.com www.scala-lang.org www.haskell.org www.ruby-lang.org www.php.net www.perl.org www.gnu.org
+www.freebsd.org ubuntu.com www.fedoraproject.org archlinux.org www.mozilla.org www.w3.org www.ietf.org spark.apache.org pandas.pydata.org numpy.org
+scipy.org pytorch.org www.tensorflow.org scikit-learn.org www.mysql.com www.mongodb.com redis.io www.elastic.co grafana.com prometheus.io
+www.netflix.com www.hulu.com www.twitch.tv www.pinterest.com twitter.com www.facebook.com www.tumblr.com www.flickr.com www.etsy.com www.walmart.com
+www.target.com www.bestbuy.com www.homedepot.com www.zalando.de www.otto.de www.mediamarkt.de www.fnac.com www.carrefour.fr www.tesco.com
+www.argos.co.uk www.rightmove.co.uk www.airbnb.com www.expedia.com www.tripadvisor.com www.lufthansa.com www.airfrance.fr www.ryanair.com
+www.nationalrail.co.uk www.sbb.ch www.nba.com www.fifa.com www.uefa.com www.espn.com www.olympics.com www.foodnetwork.com www.seriouseats.com
+www.chefkoch.de www.marmiton.org www.webmd.com www.mayoclinic.org www.khanacademy.org www.coursera.org www.edx.org www.duolingo.com www.ted.com
+www.nationalgeographic.com www.smithsonianmag.com www.moma.org www.louvre.fr www.museodelprado.es www.rijksmuseum.nl www.tate.org.uk www.weather.com
+www.accuweather.com www.craigslist.org
+""".split()
+JUNK = """
+spam-farm.other.com best-casino.site.net pills-shop.org bets-today.com adult-live.io ads-track.co poker-bonus.net cheap-loans.com grand-casino.ru
+casino777.com casinoroyale.xyz pillstore.net spammers.biz adultfun.tv xxxcams.com sexshop.net freebets.co.uk betswin.es cheapviagra.org slotsmania.com
+loansnow.info adsnetwork.net trackads.com warezworld.net replicabags.cn popads.net
+""".split()
+
+
+def test_the_ordinary_web_is_allowed_and_junk_is_not(spark):
+    trained = {url_filter.LABELLED[i][0].split("/")[2] for i in range(len(url_filter.LABELLED))}
+    assert not trained & {*ORDINARY, *JUNK} and len(ORDINARY) > 190
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(url_filter.host_and_path(F.col("url"))[0].alias("h")).distinct()
+    assert not trained & {r["h"] for r in pages.collect()}
+    rows = [(i, f"https://{h}{p}") for i, h in enumerate(ORDINARY + JUNK) for p in ("/", "/en/12", "/news/2021/index.html", "/de/44/")]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).filter("rule is null").collect()
+    blocked = lambda some: np.mean([r["verdict"] == "block" for r in got if some(r["page_id"])])
+    assert blocked(lambda i: i < len(ORDINARY)) < 0.02
+    assert blocked(lambda i: i >= len(ORDINARY)) >= 0.9
+
+
 def test_url_hosts_get_one_verdict(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     found = url_filter.judged(pages).filter("rule is null").groupBy("host").agg({"verdict": "collect_set"}).toDF("host", "v").collect()
