@@ -1,9 +1,8 @@
 """Quality classifier: naive Bayes log-count ratios scale n-gram indicators of a linear support vector machine.
 
-The n-grams are of token shapes: a token's letters, digits and marks are folded
-to their kinds, a token that repeats the one before it is marked, and so is a
-line seen before.  That carries over to words no sample has shown.  Indicators
-are scaled by the classes' log-count ratios and a hinge-loss model is fitted by
+The n-grams are of words (1 and 2, letters lowered) and of token shapes (1 to 3),
+in which a token's letters, digits and marks are folded to their kinds; shapes
+carry over to words no sample has shown.  Indicators are scaled by the classes' log-count ratios and a hinge-loss model is fitted by
 dual coordinate descent; its margins are turned into probabilities on folds that
 the model for them has not seen.
 """
@@ -48,22 +47,28 @@ def token_shapes(data: bytes) -> list[bytes]:
     return kinds[~(same & plain | third)].tobytes().split()
 
 
-class Shapes(dict):
-    """The 64-bit hash of a shape; those of frequent shapes are kept."""
+class Hashes(dict):
+    """The 64-bit hash of a token or shape; those met first are kept."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, shape: bytes) -> int:
-        found = xxhash.xxh64_intdigest(shape)
+        found = xxhash.xxh64_intdigest(shape, self.seed)
         if len(self) < KEPT:
             self[shape] = found
         return found
 
 
-#: Shapes whose hashes a worker keeps.
+#: Shapes, and words, whose hashes a worker keeps.
 KEPT = 200_000
-_SHAPES = Shapes()
-#: An n-gram is a number in this odd base, modulo 2 ** 64; the top bit is cleared.
+_SHAPES, _WORDS = Hashes(0), Hashes(1)
+#: An n-gram is a number in this odd base, modulo 2 ** 64; the top bit is cleared, and the lowest tells words from shapes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64((1 << 63) - 1)
+_TOP, _EVEN, _ODD = np.uint64((1 << 63) - 1), np.uint64((1 << 63) - 2), np.uint64(1)
+#: The share of words' log-count ratios beside those of shapes, of which there are far fewer.
+WORDS_SHARE = 0.15
 
 
 def _share(part: int, whole: int) -> int:
@@ -73,7 +78,8 @@ def _share(part: int, whole: int) -> int:
 def features(text: str) -> np.ndarray:
     """The n-gram indicators of a whole text as numbers, ascending; the empty text has one that says so.
 
-    Numbers from 0 are hashes of 1- to 3-grams of shapes.  Numbers below 0 are indicators
+    Numbers from 0 are hashes of 1- to 3-grams of shapes and of 1- and 2-grams of
+    words, bytes A-Z lowered.  Numbers below 0 are indicators
     of the whole: how often a token repeats the last one, how many tokens, pairs
     and lines differ, and how long text and tokens are, each in a few steps.
     """
@@ -88,6 +94,8 @@ def features(text: str) -> np.ndarray:
         grams.append((kinds[:-1] + np.uint64(1)) * _BASE + kinds[1:])
     if n > 2:
         grams.append((grams[1][:-1] + np.uint64(1)) * _BASE + kinds[2:])
+    words = np.fromiter(map(_WORDS.__getitem__, data.lower().split()), np.uint64, n)
+    spoken = [words, (words[:-1] + np.uint64(1)) * _BASE + words[1:]]
     again = sum(map(bytes.__eq__, tokens, tokens[1:]))
     lines = [x for x in data.split(b"\n") if x.strip()]
     distinct = _share(len(set(tokens)), n)
@@ -100,7 +108,7 @@ def features(text: str) -> np.ndarray:
         distinct + 10 * min(n.bit_length(), 40),
         min(24, len(data) // n),
     )
-    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate(grams) & _TOP).view(np.int64)]
+    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate([np.concatenate(grams) & _EVEN, np.concatenate(spoken) & _TOP | _ODD])).view(np.int64)]
 
 
 @dataclass
@@ -134,6 +142,7 @@ def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds:
     names, counts = np.unique(np.concatenate(found), return_counts=True)
     names = names[counts >= LEAST_DOCUMENTS]
     rows = [np.flatnonzero(np.isin(names, f, assume_unique=True)) for f in found]
+    share = np.where((names >= 0) & (names % 2 == 1), WORDS_SHARE, 1.0)
 
     def fit(part: np.ndarray) -> np.ndarray:
         """Weights of the plain indicators: log-count ratios times the machine's weights."""
@@ -141,7 +150,7 @@ def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds:
         y = labels[part]
         x = Sparse(own, len(names))
         p, q = 1 + x.turned(y.astype(float)), 1 + x.turned((1 - y).astype(float))
-        ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+        ratio = share * (np.log(p / p.sum()) - np.log(q / q.sum()))
         weigh = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
         scaled = [(r, ratio[r]) for r in own]
         w = dual_coordinate_descent(scaled, 2 * y - 1, len(names), cost * weigh)

@@ -369,3 +369,16 @@ def test_boundaries_of_long_lengths_are_exact(spark):
     assert all(len(b["doc_ids"]) == 1 or b["padded_tokens"] <= packing.BUDGET for b in made) and sum(b["padding"] for b in made) == told["padding"]
     own = packing.packed(df.withColumn("k", F.col("doc_id") % 3), tokens=F.col("k")).collect()
     assert sorted(r["n_tokens"] for r in own) == sorted(i % 3 for i in range(len(lengths)))
+
+
+def test_quality_of_texts_that_differ_in_words_only():
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(400)]
+    words = [w.replace("w", "ab").translate(str.maketrans("0123456789", "cdefghijkl")) for w in names]
+    text = lambda good: " ".join(rng.choice(words[: 300] if good else words[100:], 60))
+    labels = np.arange(400) % 2
+    model = quality.train([quality.features(text(y)) for y in labels], labels)
+    score = model.scorer()
+    fresh = np.arange(200) % 2
+    assert np.mean([(score(text(y)) > 0) == bool(y) for y in fresh]) > 0.9
+    assert {len(s) for s in quality.token_shapes(text(1).encode())} == {1}
