@@ -52,3 +52,42 @@ def counted(df: DataFrame, within: list[str] | None = None, name: str = "n") ->
     if not within:
         return df.crossJoin(df.agg(F.count("*").alias(name)))  # one row
     return df.join(df.groupBy(*within).agg(F.count("*").alias(name)), within)
+
+
+#: Ranges that an order of any column is cut into, and rows that are looked at for their bounds.
+RANGES = 256
+BOUND_ROWS = 8192
+
+
+def numbered_by(df: DataFrame, order: list[str], within: list[str] | None = None, number: str = "rn") -> DataFrame:
+    """Row numbers from 1 in order of columns of any kind, within groups or over all rows, without a task that holds a group.
+
+    The first order column is cut into ranges at values of a hashed sample of its
+    distinct values; ranges are counted, numbered each on its own, and shifted by
+    the counts before them.  Where the bounds lie changes no number.  Nulls come first.
+    """
+    within = within or []
+    key = F.col(order[0])
+    values = df.select(key.alias("v")).filter("v is not null").distinct()
+    total = values.count()
+    share = F.lit(max(1, total // (BOUND_ROWS // 2)))
+    some = [r["v"] for r in values.filter(F.pmod(F.xxhash64("v"), share) == 0).limit(BOUND_ROWS).collect()]
+    some.sort()
+    bounds = some[:: max(1, len(some) // RANGES)] if some else []
+    kind = df.schema[order[0]].dataType
+    place = F.lit(0)
+    if bounds:
+        array = F.array(*[F.lit(b).cast(kind) for b in bounds])
+        place = F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(array, lambda b: b <= key)))
+    parted = df.withColumn("_range", place)
+    counts = parted.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(*order))
+    keys = [*within, "_range"]
+    right = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], "_before")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = parted.withColumn("_local", local).join(right, same)
+    return out.withColumn(number, F.col("_local") + F.col("_before")).drop("_local", "_before", "_range", *[f"_{k}" for k in keys])

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.operators.ordering import counted, hashed, numbered, order_key, uniform
+from loomwork.operators.ordering import counted, hashed, numbered, numbered_by, order_key, uniform
 
 
 def shuffled(df: DataFrame, key: str, seed) -> DataFrame:
@@ -62,7 +62,7 @@ def repeated(df: DataFrame, group: str, order: str, ratio: Column, variant: str
     nothing.  b: whole copies and then a prefix for the fraction.  c: whole
     numbers only, others are an error.
     """
-    placed = counted(df.withColumn("_o", F.row_number().over(Window.partitionBy(group).orderBy(order))), [group], "_n").withColumn("_r", ratio.cast("double"))
+    placed = counted(numbered_by(df, [order], [group], "_o"), [group], "_n").withColumn("_r", ratio.cast("double"))
     r, whole = F.col("_r"), F.floor(F.col("_r"))
     if variant == "a":
         is_whole = r == whole
@@ -138,9 +138,7 @@ def pick_some(df: DataFrame, group: str, key: str, seed, k: int) -> DataFrame:
 
 def cycled(df: DataFrame, order: str, n: int) -> DataFrame:
     """Exactly ``n`` rows: the rows in order, again and again; none from an empty table.  ``i`` counts from 0."""
-    numbered_rows = df.withColumn("_h", F.md5(F.col(order).cast("string").cast("binary")))
-    # positions in the given order, which a listing of files fits in one task
-    placed = counted(numbered_rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)).drop("_h")
+    placed = counted(numbered_by(df, [order], number="_i").withColumn("_i", F.col("_i") - 1))
     copies = F.sequence(F.col("_i").cast("bigint"), F.lit(n - 1).cast("bigint"), F.col("n"))
     return placed.filter(F.col("_i") < n).withColumn("i", F.explode(copies)).drop("_i", "n")
 

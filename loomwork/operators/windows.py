@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.ordering import numbered_by
+
 
 def repeat_mask(df: DataFrame, sample: str, view: str, pos: str) -> DataFrame:
     w = Window.partitionBy(sample, view).orderBy(pos)
@@ -48,9 +50,8 @@ def coverage_cut(df: DataFrame, group: str, order: list, value: str, ratio: floa
 
 
 def rolled(df: DataFrame, group: list[str], order: list[str], n: int, name: str = "file_id") -> DataFrame:
-    """Numbers files (or shards) of ``n`` rows."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / n).cast("int"))
+    """Numbers files (or shards) of ``n`` rows; a group is spread over ranges of its first order column."""
+    return numbered_by(df, order, group, "_rn").withColumn(name, F.floor((F.col("_rn") - 1) / n).cast("int")).drop("_rn")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:

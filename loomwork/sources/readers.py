@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions import geometry
-from loomwork.operators.ordering import numbered, order_key
+from loomwork.operators.ordering import counted, numbered, numbered_by, order_key
+from loomwork.sources.shared import store
 
 SAMPLE_SCHEMA = (
     "question string, answer string, scene_name string, dataset_name string, image_path array<string>, "
@@ -85,12 +86,30 @@ def mixed(spark: SparkSession, datasets: list[dict], schema: str) -> DataFrame:
     return out
 
 
-def with_any_key(spark: SparkSession, path: str, keys: list[str], least: int, most: int) -> DataFrame:
-    """(path, length, role): unnamed blobs in a size window whose first line holds one of the keys."""
-    blobs = spark.read.format("binaryFile").load(path).filter(F.col("length").between(least, most))
-    first = F.substring_index(F.decode("content", "utf-8"), "\n", 1)
-    role = F.coalesce(*[F.when(F.get_json_object(first, f"$.{k}").isNotNull(), F.lit(k)) for k in keys])
-    return blobs.select("path", "length", role.alias("role")).filter("role is not null")
+def with_any_key(spark: SparkSession, path: str, keys: list[str], least: int, most: int, head: int = 1 << 20) -> DataFrame:
+    """(path, length, role): unnamed blobs in a size window whose first line holds one of the keys.
+
+    Of a blob only its first line is read, by the executors and through Arrow's
+    file systems; one of over ``head`` bytes has no role.
+    """
+    import pyarrow as pa
+
+    def read(batches):
+        for batch in batches:
+            lines = []
+            for name in batch.column(0).to_pylist():
+                where, at = store(name)
+                with where.open_input_stream(at) as f:
+                    data = b""
+                    while b"\n" not in data and len(data) < head and (more := f.read(min(65_536, head - len(data)))):
+                        data += more
+                lines.append(data.split(b"\n", 1)[0].decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.string())], names=["path", "length", "line"])
+
+    blobs = spark.read.format("binaryFile").load(path).select("path", "length").filter(F.col("length").between(least, most))
+    firsts = blobs.mapInArrow(read, "path string, length bigint, line string")
+    role = F.coalesce(*[F.when(F.get_json_object("line", f"$.{k}").isNotNull(), F.lit(k)) for k in keys])
+    return firsts.select("path", "length", role.alias("role")).filter("role is not null")
 
 
 def scene_folders(spark: SparkSession, path: str, pattern: str = "*", least: int = 1, most: int = 1 << 30) -> DataFrame:
@@ -192,10 +211,8 @@ def prefix(df: DataFrame, order: list[str], n: int | None = None, share: float |
 
 def ranks_of(files: DataFrame, world: int) -> DataFrame:
     """Files (path) with their ``rank``: chunks of ceil(n / world) in order of path; all ranks together are all files."""
-    w = Window.orderBy("path")  # a listing
-    placed = files.withColumn("_i", F.row_number().over(w) - 1)
-    size = F.ceil(F.count("*").over(Window.partitionBy()) / world)
-    return placed.withColumn("rank", F.floor(F.col("_i") / size).cast("int")).drop("_i")
+    placed = counted(numbered_by(files, ["path"], number="_i"), name="_n")
+    return placed.withColumn("rank", F.floor((F.col("_i") - 1) / F.ceil(F.col("_n") / world)).cast("int")).drop("_i", "_n")
 
 
 def ranked_files(files: DataFrame, rank: int, world: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from loomwork.operators.ordering import numbered, order_key
-from loomwork.sources.shared import store, url
+from loomwork.sources.shared import scratch, store, url
 
 FORMAT = "rowgroups"
 MANIFEST = "_manifest"
@@ -262,11 +262,13 @@ class GroupReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.arrow = to_arrow_schema(schema)
-        self.groups = [Group(**g) for g in json.loads(options["groups"])]
+        self.plan = options["plan"]
         self.strict = options.get("errors", "skip") == "raise"
 
     def partitions(self):
-        return self.groups or [Group(-1, "", 0)]
+        where, name = store(self.plan)
+        with where.open_input_stream(name) as f:
+            return [Group(**g) for g in json.loads(f.read())] or [Group(-1, "", 0)]
 
     def read(self, partition: Group):
         if partition.ordinal < 0:
@@ -310,7 +312,7 @@ _PLACE_NAMES = {f.split()[0] for f in PLACE.split(", ")}
 
 
 class RowGroups(DataSource):
-    """Read: ``groups`` is the JSON plan, the schema names the columns to read.  Write: see :class:`ExactWriter`."""
+    """Read: ``plan`` is the path of the groups as JSON, the schema names the columns to read.  Write: see :class:`ExactWriter`."""
 
     @classmethod
     def name(cls):
@@ -332,12 +334,19 @@ def _entries(manifest: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def read_groups(spark: SparkSession, groups: list[Group], columns: T.StructType | str, errors: str = "skip") -> DataFrame:
-    """The columns of planned groups with their place: a partition a group, and no other group is opened."""
+    """The columns of planned groups with their place: a partition a group, and no other group is opened.
+
+    The plan goes to a file in the shared folder, so its size isn't the query plan's.
+    """
     register(spark)
     own = T._parse_datatype_string(columns) if isinstance(columns, str) else columns
     schema = T.StructType([*own.fields, *T._parse_datatype_string(PLACE).fields])
-    text = json.dumps([asdict(g) for g in groups])
-    return spark.read.format(FORMAT).schema(schema).option("groups", text).option("errors", errors).load()
+    path = f"{scratch(spark, 'groups')}.json"
+    where, name = store(path)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(name) as f:
+        f.write(json.dumps([asdict(g) for g in groups]).encode())
+    return spark.read.format(FORMAT).schema(schema).option("plan", path).option("errors", errors).load()
 
 
 def scan(spark: SparkSession, path: str, columns: T.StructType | str, manifest: DataFrame | None = None, errors: str = "skip", **order) -> DataFrame:

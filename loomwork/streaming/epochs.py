@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from loomwork.sources.shared import store
+from loomwork.sources.shared import scratch, store
 
 FORMAT = "epochs"
 PLACE = "epoch bigint, global_row_group bigint, pos int"
@@ -40,12 +40,21 @@ class EpochReader(DataSourceStreamReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.arrow = to_arrow_schema(schema)
-        self.groups = [tuple(g) for g in json.loads(options["groups"])]
+        self.plan, self._groups = options["plan"], None
         self.seed, self.key, self.cursor = options["seed"], options["key"], options["cursor"]
         self.step = int(options.get("groups_per_trigger", "8"))
         self.epochs = int(options["epochs"]) if options.get("epochs") else None
         self._orders: dict = {}
 
+    @property
+    def groups(self) -> list[tuple[str, int]]:
+        """Read when offsets are planned; a task that reads a group doesn't need them."""
+        if self._groups is None:
+            where, name = store(self.plan)
+            with where.open_input_stream(name) as f:
+                self._groups = [tuple(g) for g in json.loads(f.read())]
+        return self._groups
+
     def _order(self, epoch: int) -> list[tuple[str, int]]:
         if epoch not in self._orders:
             mark = lambda g: hashlib.md5(f"{g[0].rsplit('/', 1)[-1]}:{g[1]}:{self.seed}:{epoch}".encode()).hexdigest()
@@ -118,7 +127,12 @@ def epochs(spark: SparkSession, manifest: DataFrame, columns: T.StructType | str
     own = T._parse_datatype_string(columns) if isinstance(columns, str) else columns
     schema = T.StructType([*own.fields, *T._parse_datatype_string(PLACE).fields])
     groups = [(r["path"], i) for r in manifest.select("path", "num_row_groups").orderBy("path").collect() for i in range(r["num_row_groups"])]
-    options = {"groups": json.dumps(groups), "seed": str(seed), "key": key, "cursor": cursor, "groups_per_trigger": str(groups_per_trigger)}
+    plan = f"{scratch(spark, 'epochs')}.json"
+    where, name = store(plan)
+    where.create_dir(name.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(name) as f:
+        f.write(json.dumps(groups).encode())
+    options = {"plan": plan, "seed": str(seed), "key": key, "cursor": cursor, "groups_per_trigger": str(groups_per_trigger)}
     if last is not None:
         options["epochs"] = str(last)
     return spark.readStream.format(FORMAT).schema(schema).options(**options).load()

@@ -256,3 +256,39 @@ def test_a_failed_write_leaves_the_log(spark, tmp_path):
     assert [r["scene"] for r in tarshards.progress(spark, path).collect()] == ["s1"]
     tarshards.appended(spark, scene_rows(spark, ["s1", "s2", "s3"]), path, max_scenes=2, partitions=1)
     assert sorted((r["scene"], r["shard"]) for r in tarshards.progress(spark, path).collect()) == [("s1", "shard-00000.tar"), ("s2", "shard-00001.tar"), ("s3", "shard-00001.tar")]
+
+
+# --- numbers in any order
+
+
+@pytest.mark.parametrize("ranges,bound", [(256, 8192), (3, 10)])
+def test_numbers_in_any_order_equal_one_window(spark, monkeypatch, ranges, bound):
+    from pyspark.sql import Window
+
+    from loomwork.operators import ordering
+
+    monkeypatch.setattr(ordering, "RANGES", ranges)
+    monkeypatch.setattr(ordering, "BOUND_ROWS", bound)
+    rng = np.random.default_rng(1)
+    rows = [(int(g), None if rng.random() < 0.1 else f"k{rng.integers(40):02d}", i) for i, g in enumerate(rng.integers(0, 3, 400))]
+    df = spark.createDataFrame(rows, "g int, k string, i long")
+    for within in ([], ["g"]):
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy(*within).orderBy("k", "i")))
+        got = ordering.numbered_by(df, ["k", "i"], within)
+        assert got.columns == ["g", "k", "i", "rn"] and sorted(r["rn"] for r in got.collect()) == sorted(r["rn"] for r in want.collect())
+        assert {(r["i"], r["rn"]) for r in got.collect()} == {(r["i"], r["rn"]) for r in want.collect()}
+    stamps = spark.range(50).withColumn("d", F.expr("date_add(date'2024-01-01', int(id * 7 % 50))"))
+    assert [r["id"] * 7 % 50 + 1 for r in ordering.numbered_by(stamps, ["d"]).orderBy("rn").collect()] == list(range(1, 51))
+    assert ordering.numbered_by(df.limit(0), ["k"]).count() == 0
+
+
+def test_first_lines_of_blobs(spark, tmp_path):
+    from loomwork.sources import readers
+
+    (tmp_path / "a").write_bytes(b'{"x": 1}\n' + b"\xff" * 100_000)
+    (tmp_path / "b").write_bytes(b'{"y": 1, "long": "' + b"z" * 70_000 + b'"}\nrest')
+    (tmp_path / "c").write_bytes(b'{"x": null}')
+    (tmp_path / "d").write_bytes(b"q" * 300_000)
+    found = {r["path"][-1]: r["role"] for r in readers.with_any_key(spark, str(tmp_path), ["x", "y"], 5, 200_000).collect()}
+    assert found == {"a": "x", "b": "y"}
+    assert {r["path"][-1] for r in readers.with_any_key(spark, str(tmp_path), ["x", "y"], 5, 200_000, head=50_000).collect()} == {"a"}
