@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.parsers import number_of, strip
+from loomwork.operators.ordering import in_ranges
 
 
 def _mean(x: Column) -> Column:
@@ -276,15 +277,20 @@ def error_auc(df: DataFrame, group: str, error: str, threshold: float) -> DataFr
     """(group, auc): the area under the recall curve up to a threshold, as its share.
 
     Recall goes from 0 at error 0 to 1 in equal steps over the sorted errors.
-    Rows are ranked by their counts, so equal errors are one step of the curve
-    and a group's distinct errors, not its rows, are what a window holds.
+    Rows are ranked by their counts, so equal errors are one step of the curve, in
+    ranges of errors, so no task holds a group.  A null error is over any threshold.
     """
-    counts = df.groupBy(group, F.col(error).alias("e")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group).orderBy("e")
-    n = F.sum("c").over(Window.partitionBy(group))
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    curve = counts.withColumn("r1", upto / n).withColumn("r0", (upto - F.col("c")) / n)
-    curve = curve.withColumn("before", F.coalesce(F.lag("e").over(w), F.lit(0.0))).withColumn("step", 1 / n)
+    counts = in_ranges(df.groupBy(group, F.coalesce(F.col(error).cast("double"), F.lit(float("inf"))).alias("e")).agg(F.count("*").alias("c")), "e", "range")
+    ranges = counts.groupBy(group, "range").agg(F.sum("c").alias("c"), F.max("e").alias("e"))
+    earlier = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.select(
+        group, "range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"), F.coalesce(F.max("e").over(earlier), F.lit(0.0)).alias("e0"), F.sum("c").over(Window.partitionBy(group)).alias("n")
+    )
+    w = Window.partitionBy(group, "range").orderBy("e")
+    upto = F.col("c0") + F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    curve = counts.join(sums, [group, "range"]).withColumn("upto", upto).withColumn("before", F.coalesce(F.lag("e").over(w), F.col("e0")))
+    n = F.col("n")
+    curve = curve.withColumn("r1", F.col("upto") / n).withColumn("r0", (F.col("upto") - F.col("c")) / n).withColumn("step", 1 / n)
     # from the last error to this one recall rises by one step; the equal ones after it take no width
     inside = F.when(F.col("e") < threshold, (F.col("e") - F.col("before")) * (F.col("r0") + F.col("r0") + F.col("step")) / 2).otherwise(F.lit(0.0))
     parts = curve.groupBy(group).agg(

@@ -59,27 +59,33 @@ RANGES = 256
 BOUND_ROWS = 8192
 
 
-def numbered_by(df: DataFrame, order: list[str], within: list[str] | None = None, number: str = "rn") -> DataFrame:
-    """Row numbers from 1 in order of columns of any kind, within groups or over all rows, without a task that holds a group.
+def in_ranges(df: DataFrame, column: str, name: str = "_range") -> DataFrame:
+    """Adds the number of the range that a value of the column lies in, -1 for nulls; greater values never lie in earlier ranges.
 
-    The first order column is cut into ranges at values of a hashed sample of its
-    distinct values; ranges are counted, numbered each on its own, and shifted by
-    the counts before them.  Where the bounds lie changes no number.  Nulls come first.
+    Ranges are cut at values of a hashed sample of the column's distinct values,
+    of which the driver holds ``BOUND_ROWS`` at most.
     """
-    within = within or []
-    key = F.col(order[0])
+    key = F.col(column)
     values = df.select(key.alias("v")).filter("v is not null").distinct()
-    total = values.count()
-    share = F.lit(max(1, total // (BOUND_ROWS // 2)))
-    some = [r["v"] for r in values.filter(F.pmod(F.xxhash64("v"), share) == 0).limit(BOUND_ROWS).collect()]
-    some.sort()
-    bounds = some[:: max(1, len(some) // RANGES)] if some else []
-    kind = df.schema[order[0]].dataType
+    share = F.lit(max(1, values.count() // (BOUND_ROWS // 2)))
+    some = sorted(r["v"] for r in values.filter(F.pmod(F.xxhash64("v"), share) == 0).limit(BOUND_ROWS).collect())
+    bounds = some[:: max(1, len(some) // RANGES)]
     place = F.lit(0)
     if bounds:
-        array = F.array(*[F.lit(b).cast(kind) for b in bounds])
-        place = F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(array, lambda b: b <= key)))
-    parted = df.withColumn("_range", place)
+        array = F.array(*[F.lit(b).cast(df.schema[column].dataType) for b in bounds])
+        place = F.size(F.filter(array, lambda b: b <= key))
+    return df.withColumn(name, F.when(key.isNull(), F.lit(-1)).otherwise(place))
+
+
+def numbered_by(df: DataFrame, order: list[str], within: list[str] | None = None, number: str = "rn") -> DataFrame:
+    """Row numbers from 1 in order of columns of any kind, within groups or over all rows, without a task that holds a group.
+
+    The first order column is cut into ranges, which are counted, numbered each on
+    its own, and shifted by the counts before them.  Where the ranges' bounds lie
+    changes no number.  Nulls come first.
+    """
+    within = within or []
+    parted = in_ranges(df, order[0])
     counts = parted.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -383,13 +383,13 @@ def explode_membership(t: Tables) -> DataFrame:
     return metrics.by_attributes(e, ["event_type", "user_id"], F.col("value") > 50, ["skills"]).withColumn("acc", F.round("acc", 6))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w) // 10)) AS chunk FROM w),
+@query("""WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^a-z]+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 9) // 10)) AS chunk FROM w),
 m AS (SELECT doc_id, chunk, len(list_filter(w[chunk * 10 + 1 : chunk * 10 + 10], lambda x: x = w[2])) AS m FROM c)
 SELECT doc_id, chunk::BIGINT AS chunk, m::INT AS matches, round((m * least(1, (m - 1) / 3) + (10 - m) * least(1, m / 3)) / 10, 6) AS score FROM m""")
 def vqa_soft_score(t: Tables) -> DataFrame:
-    """Each ten words of a text stand for ten answers, its second word for the prediction."""
-    w = t.documents.select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w")).filter(F.size("w") >= 10)
-    c = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.size("w") / 10) - 1)).alias("chunk"))
+    """Each ten words of a text stand for ten answers, its second word for the prediction; answers that the last ten lack are empty."""
+    w = t.documents.select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("w"))
+    c = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.size("w") / 10) - 1)).alias("chunk"))
     tens = F.slice("w", (F.col("chunk") * 10 + 1).cast("int"), F.lit(10))
     m = c.select("doc_id", "chunk", F.size(F.filter(tens, lambda x: x == F.get(F.col("w"), F.lit(1)))).alias("matches"))
     return m.select("doc_id", "chunk", "matches", F.round(metrics.soft_vqa(F.col("matches")), 6).alias("score"))

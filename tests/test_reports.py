@@ -77,3 +77,16 @@ def test_report_files(spark, tmp_path):
         assert len(files) == 1 and files[0].read_text().splitlines()[: len(want)] == want
     with pytest.raises(ValueError, match="xml"):
         sinks.write_report(df, str(tmp_path / "z"), "xml")
+
+
+def test_area_under_the_recall_of_errors(spark):
+    rng = np.random.default_rng(5)
+    errors = np.round(rng.exponential(4, 500), 2)
+    rows = [("g", float(e)) for e in errors] + [("g", None)] * 20 + [("h", 50.0), ("n", None)]
+    got = {r["g"]: r["auc"] for r in metrics.error_auc(spark.createDataFrame(rows, "g string, e double"), "g", "e", 10.0).collect()}
+    e = np.sort(np.r_[errors, np.full(20, np.inf)])
+    recall = np.r_[0, (np.arange(len(e)) + 1) / len(e)]
+    e = np.r_[0, e]
+    last = np.searchsorted(e, 10.0)
+    want = np.trapezoid(np.r_[recall[:last], recall[last - 1]], np.r_[e[:last], 10.0]) / 10
+    assert got["g"] == pytest.approx(want) and got["h"] == 0.0 and got["n"] == 0.0
