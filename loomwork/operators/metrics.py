@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.parsers import number_of, strip
+from loomwork.functions.parsers import evalai_answer, number_of, strip
 from loomwork.operators.ordering import in_ranges
 
 
@@ -185,6 +185,30 @@ def exact_match(prediction: Column, answers: Column) -> Column:
     return F.exists(answers, lambda a: F.lower(strip(a)) == p)
 
 
+#: Scores of one prediction against its answers, by name.
+EVALUATORS = {
+    "exact": lambda p, a: exact_match(p, a).cast("double"),
+    "anls": lambda p, a: F.coalesce(anls(p, a), F.lit(0.0)),
+    "relaxed": lambda p, a: F.exists(a, lambda x: F.coalesce(relaxed_match(p, x), F.lit(False))).cast("double"),
+    "vqa": lambda p, a: vqa_accuracy(p, a),
+}
+
+
+def vqa_accuracy(prediction: Column, answers: Column) -> Column:
+    """The mean over all answers but one of how many of them, three at most, a normalised prediction matches as a share of three."""
+    said = evalai_answer(prediction)
+    matches = F.size(F.filter(F.transform(answers, evalai_answer), lambda x: x == said))
+    n = F.size(answers)
+    others = lambda m: F.least(F.lit(1.0), m / 3)
+    return F.coalesce(F.try_divide(matches * others(matches - 1) + (n - matches) * others(matches), n), F.lit(0.0))
+
+
+def evaluated(df: DataFrame, how: str, prediction: str, answers: str, group: list[str] | None = None) -> DataFrame:
+    """(group, n, score): the mean score of an evaluator; rows without a prediction score 0, an empty group has no row."""
+    score = F.coalesce(EVALUATORS[how](F.col(prediction), F.col(answers)), F.lit(0.0))
+    return df.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.avg(score).alias("score"))
+
+
 def geometric(a: Column, b: Column) -> Column:
     return F.sqrt(a * b)
 

@@ -362,3 +362,20 @@ def concatenated_sources(t: Tables) -> DataFrame:
     """Two sources with different columns, and one without rows."""
     docs = t.documents.select(_c("doc_id").alias("id"), "lang")
     return docs.unionByName(t.pages.select(_c("page_id").alias("id"), "url"), allowMissingColumns=True).unionByName(docs.limit(0), allowMissingColumns=True)
+
+
+def _page_sample(row: dict) -> dict | None:
+    """A page's address as a sample; hosts that begin with www are skipped, and every tenth page is an error."""
+    host, _, rest = row["url"].partition("://")[2].partition("/")
+    if host.startswith("www."):
+        return None
+    if row["page_id"] % 10 == 3:
+        raise ValueError(host)
+    return {"id": row["page_id"], "host": host, "parts": rest.split("/")}
+
+
+@query("""WITH p AS (SELECT page_id, split_part(url, '://', 2) AS rest FROM pages), h AS (SELECT page_id, split_part(rest, '/', 1) AS host, CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/') + 1) ELSE '' END AS tail FROM p)
+SELECT CASE WHEN page_id % 10 <> 3 THEN page_id END AS id, CASE WHEN page_id % 10 <> 3 THEN host END AS host, CASE WHEN page_id % 10 <> 3 THEN string_split(tail, '/') END AS parts, CASE WHEN page_id % 10 = 3 THEN 'ValueError: ' || host END AS error FROM h WHERE NOT starts_with(host, 'www.')""")
+def parsed_rows(t: Tables) -> DataFrame:
+    """A function from rows to samples: some rows are skipped, and what it raises is told beside the samples."""
+    return convert.parsed_rows(t.pages.select("page_id", "url"), _page_sample, "id bigint, host string, parts array<string>")

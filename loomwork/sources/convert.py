@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomwork.functions.geometry import identity
 
@@ -137,6 +140,32 @@ def split_rejects(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+def parsed_rows(df: DataFrame, parse: Callable[[dict], dict | None], schema: str) -> DataFrame:
+    """Samples of a function from a row to a sample; rows for which it gives None, or nothing, are skipped.
+
+    For what expressions can't say; rows come in Arrow batches, and an error in
+    ``parse`` is the row's ``error`` with null fields, not the job's.  The schema
+    must not name ``error``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    sample = parse(row)
+                except Exception as e:  # whatever the caller's function raises
+                    out.append({"error": f"{type(e).__name__}: {e}"})
+                    continue
+                if sample:
+                    out.append({**sample, "error": None})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    kind = T._parse_datatype_string(f"{schema}, error string")
+    arrow = to_arrow_schema(kind)
+    return df.mapInArrow(run, kind)
+
+
 #: Converters by name: records to unified samples.
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {}
 

@@ -5,7 +5,8 @@ bounded overflow buffer are one value; samples that wait for a mandatory group
 stand in a map from running numbers, one entry a sample, so that a group that
 comes rarely fills the state store and not a task's memory.  What still waits is
 given out when a shard's end mark comes (a row whose ``last`` is true), or, with
-``linger``, when no sample has come for so many milliseconds.
+``linger``, when no sample has come for so many milliseconds; a query with timers
+never runs out of batches, so it needs a processing-time trigger.
 
 Within a trigger samples are offered in order of ``rn``, so triggers must come in
 that order.  The state store must be RocksDB's; :func:`with_state_store` sets it.

@@ -220,6 +220,30 @@ def test_a_rare_mandatory_group_waits_in_the_state_store(spark, tmp_path):
     assert {r["state"] for r in got.collect()} >= {"packed", "waiting"} and got.count() == 110
 
 
+def test_held_samples_are_given_out_when_no_more_come(spark, tmp_path):
+    import time
+
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    rows = [(0, i, i, 40 + i, None, False) for i in range(6)]
+    spark.createDataFrame(rows, packing.SAMPLES).coalesce(1).write.parquet(src)
+    with packing.with_state_store(spark):
+        stream = packing.packed(streams.files(spark, src, spark.read.parquet(src).schema), Budget(100, 90, 80, buffer=3, prefer_below=10), linger=200)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(processingTime="200 milliseconds").start()
+        try:
+            found = {}
+            for _ in range(120):
+                time.sleep(0.5)
+                if query.exception() is not None:
+                    raise query.exception()
+                if query.lastProgress and query.lastProgress["batchId"] > 0:
+                    found = {r["id"]: r["state"] for r in spark.read.schema(stream.schema).parquet(out).collect()}
+                    if len(found) == 6:
+                        break
+        finally:
+            query.stop()
+    assert found == {0: "packed", 1: "packed", 2: "waiting", 3: "waiting", 4: "waiting", 5: "dropped"}
+
+
 # --- tar shards and their log
 
 
