@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.ordering import numbered_by
+
 
 def with_default(left: DataFrame, right: DataFrame, keys: list[str], right_key: str, value: str, default: Column) -> DataFrame:
     """A value by the first of several keys that the right table knows; else the default.
@@ -35,7 +37,10 @@ def missing_metrics(log: DataFrame, key: str, metric: str, value: str, wanted: l
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], within: list[str]) -> DataFrame:
-    """Rows joined by position inside their groups."""
+    """Rows joined by position inside their groups; without groups by position in the tables, which are numbered in ranges."""
+    if not within:
+        a, b = numbered_by(left, left_order, number="_p"), numbered_by(right, right_order, number="_p")
+        return a.join(b, "_p").drop("_p")
     a = left.withColumn("_p", F.row_number().over(Window.partitionBy(*within).orderBy(*left_order)))
     b = right.withColumn("_p", F.row_number().over(Window.partitionBy(*within).orderBy(*right_order)))
     return a.join(b, [*within, "_p"]).drop("_p")

@@ -26,10 +26,10 @@ def with_predictions(annotations: DataFrame, predictions: DataFrame, key: str, v
     return joined.withColumn(value, F.coalesce("_v", missing)).withColumn("answered", F.col("_v").isNotNull()).drop("_v")
 
 
-def own_or_given(answers: DataFrame, truth: DataFrame, key: str, field: str) -> DataFrame:
-    """A field of the answers' own where it is there, else the truth's by key; null where neither has it."""
+def own_or_given(answers: DataFrame, truth: DataFrame, key: str, field: str, default: Column | None = None) -> DataFrame:
+    """A field of the answers' own where it is there, else the truth's by key; the default, or null, where neither has it."""
     given = truth.groupBy(key).agg(F.min(F.col(field)).alias("_given"))
-    return answers.join(given, key, "left").withColumn(field, F.coalesce(field, "_given")).drop("_given")
+    return answers.join(given, key, "left").withColumn(field, F.coalesce(field, "_given", *([] if default is None else [default]))).drop("_given")
 
 
 def of_category(answers: DataFrame, questions: DataFrame, key: str, category: Column) -> DataFrame:

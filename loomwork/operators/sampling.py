@@ -175,7 +175,7 @@ def frame_indices(frames: int, length: Column, how: str = "middle", key: Column
         at = lambda i: F.floor((edge(i) + edge(i + 1) - 1) / 2)
     else:
         span = lambda i: F.greatest(edge(i + 1) - 1 - edge(i), F.lit(1))
-        at = lambda i: edge(i) + F.pmod(F.xxhash64(key, i), span(i))
+        at = lambda i: edge(i) + hashed(key, i) % span(i)
     found = F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: at(i).cast("int"))
     pad = F.array_repeat(F.element_at(found, -1), (F.lit(frames) - n).cast("int"))
     return F.concat(found, pad)
@@ -198,6 +198,18 @@ def near_views(df: DataFrame, scene: str, view: str, share: float, n: int, seed)
     return pick_some(close.drop("_i", "_n", "_a"), scene, view, f"{seed}-near", n)
 
 
+def drawn_views(df: DataFrame, scene: str, view: str, share: float, n: int, seed) -> DataFrame:
+    """(scene, place, view): a hashed anchor of each scene, then ``n - 1`` hashed draws, with replacement, within ``share`` of its length around it."""
+    placed = numbered_by(df.select(scene, view), [view], [scene], "_i")
+    anchors = placed.groupBy(scene).agg(F.min_by("_i", F.struct(order_key(seed, scene, view), F.col(view))).alias("_a"), F.count("*").alias("_n"))
+    reach = F.floor(F.col("_n") * share / 2)
+    low, high = F.greatest(F.col("_a") - reach, F.lit(1)), F.least(F.col("_a") + reach, F.col("_n"))
+    places = anchors.select(scene, "_a", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
+    draw = F.col("_low") + hashed(F.col(scene), F.col("place"), F.lit(seed)) % (F.col("_high") - F.col("_low") + 1)
+    wanted = places.select(scene, "place", F.when(F.col("place") == 0, F.col("_a")).otherwise(draw).alias("_i"))
+    return wanted.join(placed, [scene, "_i"]).select(scene, "place", view)
+
+
 def decayed_split(total: Column, key: Column, decay: float) -> Column:
     """A hashed split of a whole number into parts; few parts are likelier the smaller ``decay``."""
     u = hashed(key) / 4294967296.0

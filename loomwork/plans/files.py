@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions import geometry, vision
-from loomwork.operators import conversations, joins, sampling, similarity, windows
+from loomwork.functions import geometry, parsers, vision
+from loomwork.operators import conversations, joins, lookups, sampling, similarity, windows
 from loomwork.plans.catalog import query
 from loomwork.plans.tables import Tables
 from loomwork.sources import convert, readers, rowgroups, shared, sinks
@@ -379,3 +379,52 @@ SELECT CASE WHEN page_id % 10 <> 3 THEN page_id END AS id, CASE WHEN page_id % 1
 def parsed_rows(t: Tables) -> DataFrame:
     """A function from rows to samples: some rows are skipped, and what it raises is told beside the samples."""
     return convert.parsed_rows(t.pages.select("page_id", "url"), _page_sample, "id bigint, host string, parts array<string>")
+
+
+# --- variants of samples and weights
+
+
+@query("""WITH n AS (SELECT p_partkey, p_size, least(8, p_size) AS n FROM part), r AS (SELECT p_partkey, n, list_transform(range(0, n), lambda i: (i * p_size // n + ('0x' || left(md5(p_partkey || ':' || i), 8))::BIGINT % greatest((i + 1) * p_size // n - 1 - i * p_size // n, 1))::INT) AS f FROM n)
+SELECT p_partkey, list_concat(f, list_transform(range(0, 8 - n), lambda i: f[n])) AS frames FROM r""")
+def hashed_frames(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", sampling.frame_indices(8, _c("p_size"), "rand", _c("p_partkey")).alias("frames"))
+
+
+@query("""WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS o, count(*) OVER (PARTITION BY lang) AS n, CASE lang WHEN 'en' THEN 0.25 WHEN 'fr' THEN 3.0 WHEN 'de' THEN 1.5 ELSE 1.0 END AS r FROM documents)
+SELECT 'a' AS variant, doc_id, c AS copy FROM p, range(3) g(c) WHERE CASE WHEN r < 1 THEN c = 0 AND o <= floor(n * r) WHEN r = floor(r) THEN c < r ELSE c = 0 END
+UNION ALL SELECT 'c', doc_id, c FROM p, range(3) g(c) WHERE lang IN ('fr', 'es') AND c < r""")
+def repeat_variants(t: Tables) -> DataFrame:
+    """Whole copies or a prefix, where other ratios change nothing; and whole copies alone."""
+    docs = t.documents.select("doc_id", "lang")
+    ratio = F.when(_c("lang") == "en", 0.25).when(_c("lang") == "fr", 3.0).when(_c("lang") == "de", 1.5).otherwise(F.lit(1.0))
+    a = sampling.repeated(docs, "lang", "doc_id", ratio, "a")
+    c = sampling.repeated(docs.filter(_c("lang").isin("fr", "es")), "lang", "doc_id", ratio, "c")
+    return a.select(F.lit("a").alias("variant"), "doc_id", "copy").unionByName(c.select(F.lit("c").alias("variant"), "doc_id", "copy"))
+
+
+@query("""SELECT how, round(sum(CASE WHEN length(text) = 0 THEN 0 WHEN how = 'token' THEN 1 ELSE 1 / length(text) END), 6) AS weight FROM conversations, unnest(['token', 'sample']) t(how) GROUP BY how""")
+def loss_weights(t: Tables) -> DataFrame:
+    parts = [t.conversations.agg(F.round(F.sum(parsers.length_weight(F.char_length("text"), how)), 6).alias("weight")).select(F.lit(how).alias("how"), "weight") for how in ("token", "sample")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""WITH p AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+a AS (SELECT label, arg_min(i, md5(label || ':' || vec_id || ':4')) AS a, any_value(n) AS n FROM p GROUP BY label), b AS (SELECT label, a, greatest(a - floor(n * 0.15), 1)::BIGINT AS low, least(a + floor(n * 0.15), n)::BIGINT AS high FROM a),
+w AS (SELECT label, place, CASE WHEN place = 0 THEN a ELSE low + ('0x' || left(md5(label || ':' || place || ':4'), 8))::BIGINT % (high - low + 1) END AS i FROM b, range(0, 10) t(place))
+SELECT w.label, place::INTEGER AS place, vec_id FROM w JOIN p ON p.label = w.label AND p.i = w.i""")
+def drawn_views(t: Tables) -> DataFrame:
+    return sampling.drawn_views(t.embeddings.select("label", "vec_id"), "label", "vec_id", 0.3, 10, 4)
+
+
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS p FROM documents), g AS (SELECT page_id, row_number() OVER (ORDER BY url, page_id) AS p FROM pages) SELECT doc_id, page_id FROM d JOIN g USING (p)""")
+def zipped_tables(t: Tables) -> DataFrame:
+    """The longest document beside the first page, and so on to the end of the shorter table."""
+    docs = t.documents.select("doc_id", (-_c("n_chars")).alias("size"))
+    return joins.zipped(docs, t.pages.select("page_id", "url"), ["size", "doc_id"], ["url", "page_id"], []).select("doc_id", "page_id")
+
+
+@query("""SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN lang END, 'label ' || l.toxic, '') AS answer FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def own_given_or_empty(t: Tables) -> DataFrame:
+    own = t.documents.select("doc_id", F.when(_c("doc_id") % 3 == 0, _c("lang")).alias("answer"))
+    truth = t.labels.select("doc_id", F.concat(F.lit("label "), _c("toxic").cast("string")).alias("answer"))
+    return lookups.own_or_given(own, truth, "doc_id", "answer", F.lit("")).select("doc_id", "answer")
