@@ -5,7 +5,8 @@ share a shingle among the first ``n - ceil(0.8 n) + 1`` of each (the prefix
 filter), so texts are posted under these only.  Any order is right; rare ones
 first keeps the lists short.  Which shingles are frequent is counted in a sample.
 
-Candidates are verified on the shingles themselves.  A first round offers each
+Candidates are first held against each other by parity sketches, which can only
+rule pairs out that aren't alike, and then verified on the shingles themselves.  A first round offers each
 text one partner: of the first text of each list and the one before it by size,
 the one that it meets most often.  A second round tallies how often pairs that no
 link has joined yet meet in lists, and offers each text the partner that it meets
@@ -37,6 +38,9 @@ LIST_ROWS = 4_096
 TALLY_ROWS = 1_000_000
 #: Rows of lists with one least component that go to one task.
 HOME_ROWS = 50_000
+#: The most parity bits of a sketch, and the bits that say whose texts verification needs (a megabyte).
+SKETCH_BITS = 1 << 17
+FILTER_BITS = 1 << 23
 #: Rounds that offer each text its best partner before all pairs are.
 BEST_ROUNDS = 1
 
@@ -134,8 +138,71 @@ def _possible(x: str, y: str) -> Column:
     return (F.col(f"{x}.rep") != F.col(f"{y}.rep")) & (9 * left >= 4 * (col(x, "n") + col(y, "n")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts (rep, text) that are alike."""
+def sketch(found: np.ndarray) -> bytes:
+    """A set's parity bits: bit ``h mod size`` is set if an odd number of its hashes fall there; the size is a power of two of twice the set or more."""
+    size = 64
+    while size < min(2 * len(found), SKETCH_BITS):
+        size *= 2
+    parity = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether sets with these sketches, of so many shingles together, can be alike.
+
+    Sets differ in at least as many shingles as their parity bits differ in, of
+    which alike ones have at most a ninth of their sizes; a longer sketch is folded.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= sizes
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(rep, n, bits): each text's number of shingles and sketch, a small part of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                sets = [shingle_set(t or b"") for t in part.column(1).to_pylist()]
+                n = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(map(sketch, sets), pa.binary())], names=["rep", "n", "bits"])
+
+    return keep(_sets(texts, run, "rep bigint, n int, bits binary"), "likeness-sketches")
+
+
+def _possible_pairs(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))
+            yield batch.filter(pa.array([may_be_alike(x, y, n + m) for x, y, n, m in rows], pa.bool_())).select(["a", "b"])
+
+    of = lambda c: prints.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb", "na", "nb")
+    return keep(both.mapInArrow(run, "a bigint, b bigint").distinct(), "likeness-possible")  # an id of several texts gives a pair once
+
+
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the pairs, and few others: those whose id falls on a marked bit of FILTER_BITS, so that not all texts are dealt out.
+
+    The marks are at most FILTER_BITS / 64 rows, whatever the number of pairs.
+    """
+    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).withColumn("bit", bit)
+    marks = ids.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("marks"))
+    own = texts.withColumn("_bit", bit)
+    near = own.join(F.broadcast(marks), F.floor(F.col("_bit") / 64) == F.col("word"))
+    return near.filter("shiftrightunsigned(marks, cast(_bit % 64 as int)) & 1 = 1").select("rep", "text")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts (rep, text) that are alike: those that their sketches leave, held against the shingles themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -149,9 +216,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(bool(len(a)) and bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    of = lambda c: texts.select(F.col("rep").alias(c), F.col("text").cast("binary").alias(f"t{c}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
-    return keep(both.mapInArrow(run, "a bigint, b bigint"), "likeness-links")
+    left = _possible_pairs(pairs, prints)
+    some = _texts_of(left, texts)
+    of = lambda c: some.select(F.col("rep").alias(c), F.col("text").cast("binary").alias(f"t{c}"))
+    both = left.join(of("b"), "b").join(of("a"), "a").select("a", "b", "ta", "tb")
+    found = keep(both.mapInArrow(run, "a bigint, b bigint"), "likeness-links")
+    forget(left)
+    return found
 
 
 class _Tally:
@@ -258,7 +329,7 @@ def meeting(lists: DataFrame, most: int = LIST_ROWS, best: bool = False) -> Data
 
 def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b): links between texts (rep, text) that, with the ``known`` ones, join what all pairs that are alike join."""
-    lists = posted(texts)
+    lists, prints = posted(texts), sketches(texts)
     row = F.struct("n", "rep", "at")
     w = Window.partitionBy("key").orderBy("n", "rep")
     beside = lists.select(row.alias("y"), F.array(F.first(row).over(w), F.lag(row).over(w)).alias("x"))
@@ -266,7 +337,7 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     near = near.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("times"))
     best = near.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a"))
     offered = keep(best.select("a", "b"), "likeness-pairs")
-    found = [verified(offered, texts)]
+    found = [verified(offered, texts, prints)]
     forget(offered)
 
     def named() -> DataFrame:
@@ -276,7 +347,7 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     # each text's best partner in another component; then all pairs that are left
     for last in (*[False] * BEST_ROUNDS, True):
         rest = keep(meeting(named(), best=not last), "likeness-pairs")
-        found.append(verified(rest, texts))
+        found.append(verified(rest, texts, prints))
         forget(rest)
-    forget(lists)
+    forget(lists, prints)
     return reduce(DataFrame.unionByName, found)

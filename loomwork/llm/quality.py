@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes log-count ratios scale n-gram indicators of a linear support vector machine.
 
-The n-grams are of words (1 and 2, letters lowered) and of token shapes (1 to 3),
+The n-grams are of words (1, letters lowered) and of token shapes (1 to 3),
 in which a token's letters, digits and marks are folded to their kinds; shapes
 carry over to words no sample has shown.  Indicators are scaled by the classes' log-count ratios and a hinge-loss model is fitted by
 dual coordinate descent; its margins are turned into probabilities on folds that
@@ -25,6 +25,8 @@ SAMPLE = 4_000
 THRESHOLD = 0.5
 #: A feature must stand in so many sampled documents.
 LEAST_DOCUMENTS = 3
+#: Parts that features are counted in.
+PARTS = 8
 
 def _kinds() -> bytes:
     table = bytearray(range(256))
@@ -78,8 +80,8 @@ def _share(part: int, whole: int) -> int:
 def features(text: str) -> np.ndarray:
     """The n-gram indicators of a whole text as numbers, ascending; the empty text has one that says so.
 
-    Numbers from 0 are hashes of 1- to 3-grams of shapes and of 1- and 2-grams of
-    words, bytes A-Z lowered.  Numbers below 0 are indicators
+    Numbers from 0 are hashes of 1- to 3-grams of shapes and of words, bytes A-Z
+    lowered.  Numbers below 0 are indicators
     of the whole: how often a token repeats the last one, how many tokens, pairs
     and lines differ, and how long text and tokens are, each in a few steps.
     """
@@ -95,7 +97,6 @@ def features(text: str) -> np.ndarray:
     if n > 2:
         grams.append((grams[1][:-1] + np.uint64(1)) * _BASE + kinds[2:])
     words = np.fromiter(map(_WORDS.__getitem__, data.lower().split()), np.uint64, n)
-    spoken = [words, (words[:-1] + np.uint64(1)) * _BASE + words[1:]]
     again = sum(map(bytes.__eq__, tokens, tokens[1:]))
     lines = [x for x in data.split(b"\n") if x.strip()]
     distinct = _share(len(set(tokens)), n)
@@ -108,7 +109,7 @@ def features(text: str) -> np.ndarray:
         distinct + 10 * min(n.bit_length(), 40),
         min(24, len(data) // n),
     )
-    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate([np.concatenate(grams) & _EVEN, np.concatenate(spoken) & _TOP | _ODD])).view(np.int64)]
+    return np.r_[[-1000 * (i + 1) - v for i, v in enumerate(whole)][::-1], np.unique(np.concatenate([np.concatenate(grams) & _EVEN, words & _TOP | _ODD])).view(np.int64)]
 
 
 @dataclass
@@ -133,15 +134,24 @@ class Model:
         return score
 
 
+def frequent(found: list[np.ndarray]) -> np.ndarray:
+    """The features of LEAST_DOCUMENTS texts or more, ascending; counted in parts, so that few of all are held at a time."""
+    out = []
+    for part in range(PARTS):
+        some = np.concatenate([f[f % PARTS == part] for f in found])
+        names, counts = np.unique(some, return_counts=True)
+        out.append(names[counts >= LEAST_DOCUMENTS])
+    return np.sort(np.concatenate(out))
+
+
 def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds: int = 4) -> Model:
     """A model of texts' :func:`features`; without rows of both classes it gives the labels' smoothed share."""
     n, pos = len(labels), int(labels.sum())
     if not pos or pos == n:
         share = (pos + 1) / (n + 2)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    names, counts = np.unique(np.concatenate(found), return_counts=True)
-    names = names[counts >= LEAST_DOCUMENTS]
-    rows = [np.flatnonzero(np.isin(names, f, assume_unique=True)) for f in found]
+    names = frequent(found)
+    rows = [np.flatnonzero(np.isin(names, f, assume_unique=True)).astype(np.int32) for f in found]
     share = np.where((names >= 0) & (names % 2 == 1), WORDS_SHARE, 1.0)
 
     def fit(part: np.ndarray) -> np.ndarray:
@@ -152,7 +162,7 @@ def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds:
         p, q = 1 + x.turned(y.astype(float)), 1 + x.turned((1 - y).astype(float))
         ratio = share * (np.log(p / p.sum()) - np.log(q / q.sum()))
         weigh = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        scaled = [(r, ratio[r]) for r in own]
+        scaled = [(r, ratio[r].astype(np.float32)) for r in own]
         w = dual_coordinate_descent(scaled, 2 * y - 1, len(names), cost * weigh)
         return np.r_[w[:-1] * ratio, w[-1]]
 

@@ -139,3 +139,23 @@ def test_blocks_of_a_long_list_meet_once(spark):
     first = [{int(k): len(s) - at for at, k in enumerate(s[: likeness.prefix_size(len(s))])} for s in sets]  # what a set has left from there
     may = lambda i, j: any(9 * min(first[i][k], first[j][k]) >= 4 * (len(sets[i]) + len(sets[j])) for k in first[i].keys() & first[j].keys())
     assert parts[0] == {(i, j) for j in range(len(sets)) for i in range(j) if may(i, j)}
+
+
+def test_sketches_never_rule_out_alike_sets():
+    rng = np.random.default_rng(9)
+    ruled_out = 0
+    for _ in range(3000):
+        n = int(rng.choice([1, 2, 5, 31, 33, 63, 65, 200, 900, 3000]))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        keep = rng.random(n) < rng.choice([0.2, 0.6, 0.85, 0.9, 0.95, 1.0])
+        b = np.r_[a[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 3)), dtype=np.uint64)]
+        if not len(b):
+            continue
+        a, b = np.unique(a), np.unique(b)
+        is_alike = likeness.alike(len(np.intersect1d(a, b)), len(a), len(b))
+        possible = likeness.may_be_alike(likeness.sketch(a), likeness.sketch(b), len(a) + len(b))
+        assert possible or not is_alike
+        ruled_out += not possible
+    assert ruled_out > 1000
+    big = np.unique(rng.integers(0, 1 << 63, 150_000, dtype=np.uint64))
+    assert len(likeness.sketch(big)) == likeness.SKETCH_BITS // 8 and likeness.may_be_alike(likeness.sketch(big), likeness.sketch(big[100:]), 2 * len(big) - 100)
