@@ -47,23 +47,71 @@ def gathered(rows: DataFrame, features: Callable[[str], np.ndarray]) -> tuple[li
             found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found, pa.list_(pa.int64())), batch.column("y")], names=["i", "x", "y"])
 
-    table = rows.select(F.col("i").cast("bigint").alias("i"), "text", "y").mapInArrow(run, "i bigint, x array<bigint>, y int").toArrow().sort_by("i").combine_chunks()
-    if not len(table):
-        return [], np.empty(0, np.int64)
-    x = table.column("x").chunk(0)
-    ends = x.offsets.to_numpy()
-    values = x.values.to_numpy()
-    return [values[a:b] for a, b in zip(ends, ends[1:])], table.column("y").to_numpy().astype(np.int64)
+    table = rows.select(F.col("i").cast("bigint").alias("i"), "text", "y").mapInArrow(run, "i bigint, x array<bigint>, y int").toArrow()
+    found: list[np.ndarray] = []
+    for chunk in table.column("x").chunks:  # the rows stay where they are; only their order is made anew
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        found += [values[a:b] for a, b in zip(ends, ends[1:])]
+    order = np.argsort(table.column("i").to_numpy(), kind="stable")
+    return [found[k] for k in order], table.column("y").to_numpy()[order].astype(np.int64)
+
+
+def frequent(found: list[np.ndarray], least: int, parts: int = 8) -> np.ndarray:
+    """The features of ``least`` rows or more, ascending; counted in parts, so that few of all are held at a time."""
+    out = []
+    for part in range(parts):
+        names, counts = np.unique(np.concatenate([f[f % parts == part] for f in found]), return_counts=True)
+        out.append(names[counts >= least])
+    return np.sort(np.concatenate(out))
 
 
 class Sparse:
-    """Rows of feature numbers, each once, all with the value 1."""
+    """Rows of feature numbers, each once, all with the value 1; few large arrays, whose memory goes back when they do."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
-        self.ends = np.cumsum([0, *map(len, rows)])
-        self.at = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), np.diff(self.ends))
-        self.n, self.width = len(rows), width
+        self._set(np.array([len(r) for r in rows], np.int64), np.concatenate(rows) if rows else np.empty(0, np.int32), width)
+
+    def _set(self, sizes: np.ndarray, at: np.ndarray, width: int) -> Sparse:
+        self.ends = np.r_[0, np.cumsum(sizes)]
+        self.at = at.astype(np.int32, copy=False)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.n, self.width = len(sizes), width
+        return self
+
+    @classmethod
+    def placed(cls, names: np.ndarray, rows: list[np.ndarray], step: int = 500) -> Sparse:
+        """Where the numbers of each row stand among the ascending names, of those that do."""
+        sizes, at = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            if not len(names):
+                sizes.append(np.zeros(len(part), np.int64))
+                continue
+            every = np.concatenate(part)
+            row = np.repeat(np.arange(len(part)), [len(r) for r in part])
+            place = np.minimum(np.searchsorted(names, every), len(names) - 1)
+            good = names[place] == every
+            sizes.append(np.bincount(row[good], minlength=len(part)))
+            at.append(place[good].astype(np.int32))
+        return cls.__new__(cls)._set(np.concatenate(sizes), np.concatenate(at), len(names))
+
+    def only(self, used: np.ndarray) -> Sparse:
+        """The rows with the used features alone, numbered anew."""
+        new = np.full(self.width, -1, np.int32)
+        new[used] = np.arange(len(used), dtype=np.int32)
+        at = new[self.at]
+        good = at >= 0
+        return Sparse.__new__(Sparse)._set(np.bincount(self.row[good], minlength=self.n), at[good], len(used))
+
+    def part(self, which: np.ndarray) -> Sparse:
+        """Some of the rows."""
+        rows = self.rows()
+        return Sparse([rows[i] for i in which], self.width)
+
+    def scaled(self, by: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each row's features with their values ``by``."""
+        values = by.astype(np.float32)[self.at]
+        return [(self.at[a:b], values[a:b]) for a, b in zip(self.ends, self.ends[1:])]
 
     def rows(self) -> list[np.ndarray]:
         return [self.at[a:b] for a, b in zip(self.ends, self.ends[1:])]

@@ -18,15 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, gathered, held_out, sampled, sigmoid
+from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, frequent, gathered, held_out, sampled, sigmoid
 
 #: The bound of the training sample, in labelled documents.
 SAMPLE = 4_000
 THRESHOLD = 0.5
 #: A feature must stand in so many sampled documents.
 LEAST_DOCUMENTS = 3
-#: Parts that features are counted in.
-PARTS = 8
 
 def _kinds() -> bytes:
     table = bytearray(range(256))
@@ -134,36 +132,24 @@ class Model:
         return score
 
 
-def frequent(found: list[np.ndarray]) -> np.ndarray:
-    """The features of LEAST_DOCUMENTS texts or more, ascending; counted in parts, so that few of all are held at a time."""
-    out = []
-    for part in range(PARTS):
-        some = np.concatenate([f[f % PARTS == part] for f in found])
-        names, counts = np.unique(some, return_counts=True)
-        out.append(names[counts >= LEAST_DOCUMENTS])
-    return np.sort(np.concatenate(out))
-
-
 def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds: int = 4) -> Model:
     """A model of texts' :func:`features`; without rows of both classes it gives the labels' smoothed share."""
     n, pos = len(labels), int(labels.sum())
     if not pos or pos == n:
         share = (pos + 1) / (n + 2)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    names = frequent(found)
-    rows = [np.flatnonzero(np.isin(names, f, assume_unique=True)).astype(np.int32) for f in found]
+    names = frequent(found, LEAST_DOCUMENTS)
+    rows = Sparse.placed(names, found)
     share = np.where((names >= 0) & (names % 2 == 1), WORDS_SHARE, 1.0)
 
     def fit(part: np.ndarray) -> np.ndarray:
         """Weights of the plain indicators: log-count ratios times the machine's weights."""
-        own = [rows[i] for i in part]
         y = labels[part]
-        x = Sparse(own, len(names))
+        x = rows.part(part)
         p, q = 1 + x.turned(y.astype(float)), 1 + x.turned((1 - y).astype(float))
         ratio = share * (np.log(p / p.sum()) - np.log(q / q.sum()))
         weigh = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
-        scaled = [(r, ratio[r].astype(np.float32)) for r in own]
-        w = dual_coordinate_descent(scaled, 2 * y - 1, len(names), cost * weigh)
+        w = dual_coordinate_descent(x.scaled(ratio), 2 * y - 1, len(names), cost * weigh)
         return np.r_[w[:-1] * ratio, w[-1]]
 
     fold = np.arange(n) % folds
@@ -171,7 +157,7 @@ def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds:
     for k in range(folds):
         own, other = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         w = fit(own)
-        margin[other] = Sparse([rows[i] for i in other], len(names)).dot(w[:-1]) + w[-1]
+        margin[other] = rows.part(other).dot(w[:-1]) + w[-1]
     a, b = fit_platt(margin, labels)
     w = fit(np.arange(n))
     used = w[:-1] != 0
@@ -179,7 +165,9 @@ def train(found: list[np.ndarray], labels: np.ndarray, cost: float = 0.1, folds:
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*gathered(sampled(documents, labels, "quality", SAMPLE), features))
+    model = train(*gathered(sampled(documents, labels, "quality", SAMPLE), features))
+    pa.default_memory_pool().release_unused()  # the driver's copy of the sample
+    return model
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, gathered, held_out, sampled, sigmoid
+from loomwork.llm.labelled import Sparse, dual_coordinate_descent, fit_platt, frequent, gathered, held_out, sampled, sigmoid
 
 #: The bound of the training sample, in labelled documents.
 SAMPLE = 8_000
@@ -219,45 +219,39 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     if not total or total == n:
         share = (total + 1) / (n + 2)
         return Model({}, float(np.log(share / (1 - share))))
-    names, counts = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[counts >= LEAST_DOCUMENTS]
-    x = Sparse([_places(names, r) for r in rows], len(names))
+    names = frequent(rows, LEAST_DOCUMENTS)
+    x = Sparse.placed(names, rows)
     v = votes(x, names, labels.astype(float))
     q = LabelModel().fit(v, total / n).posterior(v)
     mass, held = x.turned(q), x.turned(np.ones(n))
     share = float(np.clip(q.mean(), 0.01, 0.99))
     used = np.flatnonzero(np.abs(mass - held * share) >= APART * np.sqrt(held * share * (1 - share)))
-    rows = [np.searchsorted(used, r[np.isin(r, used, assume_unique=True)]) for r in x.rows()]
+    x = x.only(used)
+    del rows, v
     target = np.where(q > 0.5, 1, -1)
     sure = 0.02 + np.abs(2 * q - 1)
 
     def fit(part: np.ndarray) -> np.ndarray:
         """Weights and bias: units scaled by their posterior log ratio, the rows' costs by how sure their labels are."""
-        own = Sparse([rows[i] for i in part], len(used))
+        own = x.part(part)
         p, c = 1 + own.turned(q[part]), 1 + own.turned(1 - q[part])
         ratio = np.log(p / p.sum()) - np.log(c / c.sum())
-        w = dual_coordinate_descent([(rows[i], ratio[rows[i]]) for i in part], target[part], len(used), COST * sure[part], epochs=12)
+        w = dual_coordinate_descent(own.scaled(ratio), target[part], len(used), COST * sure[part], epochs=12)
         return np.r_[w[:-1] * ratio, w[-1]]
 
     margin, fold = np.zeros(n), np.arange(n) % FOLDS
     for k in range(FOLDS):
         w, other = fit(np.flatnonzero(fold != k)), np.flatnonzero(fold == k)
-        margin[other] = Sparse([rows[i] for i in other], len(used)).dot(w[:-1]) + w[-1]
+        margin[other] = x.part(other).dot(w[:-1]) + w[-1]
     a, c = fit_platt(margin, labels)  # on the sample's own labels, by models that haven't seen the row
     w = fit(np.arange(n))
     return Model({int(names[u]): float(a * k) for u, k in zip(used, w) if k}, float(a * w[-1] + c))
 
 
-def _places(names: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Where the numbers of a row stand among the names, of those that do."""
-    if not len(names):
-        return np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(names, row), len(names) - 1)
-    return at[names[at] == row]
-
-
 def fitted(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*gathered(sampled(documents, labels, "toxic", SAMPLE), units_of))
+    model = train(*gathered(sampled(documents, labels, "toxic", SAMPLE), units_of))
+    pa.default_memory_pool().release_unused()  # the driver's copy of the sample
+    return model
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
