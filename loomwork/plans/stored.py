@@ -11,8 +11,6 @@ from loomwork.plans.tables import Tables
 from loomwork.sources import rowgroups, shared, tarshards
 from loomwork.streaming import epochs, packing, streams, versions
 
-_NAME = F.element_at(F.split("path", "/"), -1)
-
 #: Orders laid out as files of 4,000 rows with 500 a group, in a seeded order.
 _LAID_OUT = """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws(':', o_orderkey::VARCHAR, '3')), o_orderkey) - 1 AS r FROM orders),
 l AS (SELECT o_orderkey, 'orders_' || lpad((r // 4000)::VARCHAR, 5, '0') || '.parquet' AS file, ((r % 4000) // 500)::INTEGER AS row_group, r % 500 AS row_idx FROM p)"""
@@ -38,7 +36,7 @@ def exact_files(t: Tables) -> DataFrame:
     found = rowgroups.footers(rowgroups.listing(t.spark, path))
     seen = found.groupBy("path").agg(F.max("row_group").alias("last_group"), F.max(F.when(F.col("row_group") == 0, F.col("num_rows"))).alias("first_rows"))
     both = rowgroups.existing_manifest(t.spark, path).join(seen, "path")
-    return both.select(_NAME.alias("file"), "num_row_groups", "num_rows", "last_group", "first_rows")
+    return both.select(F.element_at(F.split("path", "/"), -1).alias("file"), "num_row_groups", "num_rows", "last_group", "first_rows")
 
 
 @query(_LAID_OUT + """ SELECT o_orderkey, file, row_group, row_idx FROM l WHERE file > 'orders_00000.parquet' OR row_group > 1 OR row_group = 1 AND row_idx > 77""")
