@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.expr import let
 from loomwork.functions.parsers import evalai_answer, number_of, strip
 from loomwork.operators.ordering import in_ranges
 
@@ -160,12 +161,11 @@ def soft_vqa(matches: Column, answers: int = 10) -> Column:
 def anls(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
     """The best of 1 - edit distance / longer length over the answers, 0 under the threshold; null between empty texts."""
 
-    def one(a: Column) -> Column:
-        p, g = F.lower(strip(prediction)), F.lower(strip(a))
-        return 1 - F.try_divide(F.levenshtein(p, g), F.greatest(F.char_length(p), F.char_length(g)))
+    def one(p: Column, a: Column) -> Column:
+        return let(F.lower(strip(a)), lambda g: 1 - F.try_divide(F.levenshtein(p, g), F.greatest(F.char_length(p), F.char_length(g))))
 
-    best = F.array_max(F.transform(answers, one))
-    return F.when(best < threshold, F.lit(0.0)).otherwise(best)
+    best = let(F.lower(strip(prediction)), lambda p: F.array_max(F.transform(answers, lambda a: one(p, a))))
+    return let(best, lambda b: F.when(b < threshold, F.lit(0.0)).otherwise(b))
 
 
 def relaxed_match(prediction: Column, target: Column, slack: float = 0.05) -> Column:
@@ -196,11 +196,11 @@ EVALUATORS = {
 
 def vqa_accuracy(prediction: Column, answers: Column) -> Column:
     """The mean over all answers but one of how many of them, three at most, a normalised prediction matches as a share of three."""
-    said = evalai_answer(prediction)
-    matches = F.size(F.filter(F.transform(answers, evalai_answer), lambda x: x == said))
     n = F.size(answers)
     others = lambda m: F.least(F.lit(1.0), m / 3)
-    return F.coalesce(F.try_divide(matches * others(matches - 1) + (n - matches) * others(matches), n), F.lit(0.0))
+    matches = let(evalai_answer(prediction), lambda said: F.size(F.filter(F.transform(answers, evalai_answer), lambda x: x == said)))
+    mean = let(matches, lambda m: F.try_divide(m * others(m - 1) + (n - m) * others(m), n))
+    return F.coalesce(mean, F.lit(0.0))
 
 
 def evaluated(df: DataFrame, how: str, prediction: str, answers: str, group: list[str] | None = None) -> DataFrame:

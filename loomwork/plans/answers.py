@@ -350,6 +350,6 @@ def evaluator_means(t: Tables) -> DataFrame:
     """Three evaluators over predictions with an article or a line feed, by group."""
     said = F.when(_c("p_partkey") % 5 == 0, F.concat(F.lit("the "), "p_name")).otherwise(F.concat("p_type", F.lit("\n")))
     answers = F.array("p_name", "p_type", F.upper("p_name"), "p_type", F.concat("p_type", F.lit("x")), _text("p_size"))
-    rows = t.part.select((_c("p_size") % 7).alias("g"), said.alias("said"), answers.alias("answers"))
+    rows = t.spread("part", "p_partkey", "p_size", "p_name", "p_type").select((_c("p_size") % 7).alias("g"), said.alias("said"), answers.alias("answers"))
     parts = [metrics.evaluated(rows, how, "said", "answers", ["g"]).select("g", F.lit(how).alias("how"), "n", F.round("score", 6).alias("score")) for how in ("exact", "anls", "vqa")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

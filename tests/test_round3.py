@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from loomwork.operators import metrics
+from loomwork.plans.tables import Tables
 from loomwork.sources import readers
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_a_track_is_read_in_splits(spark, tmp_path):
     numbers = " ".join(map(str, range(18)))
@@ -20,3 +24,15 @@ def test_a_track_is_read_in_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert sorted((r["url"], r["pos"], r["ts"]) for r in rows) == [(f"https://{n}", i + 1, i) for n in "ab" for i in range(400) if i % 5]
     assert len({r["task"] for r in rows if r["url"] == "https://a"}) > 1
+
+
+def test_scores_read_a_prediction_once(spark):
+    assert str(metrics.vqa_accuracy(F.col("said"), F.col("answers"))).count("said") == 1
+    assert str(metrics.anls(F.col("said"), F.col("answers"))).count("said") == 1
+    rows = spark.createDataFrame([("The two cats!", ["2 cats", "2 cats", "dog", None]), (None, ["x"]), ("", [])], "said string, answers array<string>")
+    got = [r[0] for r in rows.select(F.round(metrics.vqa_accuracy(F.col("said"), F.col("answers")), 6)).collect()]
+    assert got == [round((2 * 1 / 3 + 2 * 2 / 3) / 4, 6), 0.0, 0.0]
+
+
+def test_costly_rows_of_one_small_file_are_many_tasks(spark):
+    assert Tables(spark, SF).spread("part", "p_partkey").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
