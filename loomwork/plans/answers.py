@@ -231,7 +231,7 @@ def evalai_answers(t: Tables) -> DataFrame:
     say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
     name, kind, size = _c("p_name"), _c("p_type"), _text("p_size")
     s = _pick("p_partkey", "vqa", [say("The two ", F.upper(name), "!"), say("dont ", name, "."), say("a ", name, " 1,000"), say(kind, "/", name, "\n"), say("An apple's ", size, ".5 (", name, ")"), say(name, " - ten;", kind), say("...", name, "?"), say("Isnt it  THE youre ", size)])
-    return t.part.select("p_partkey", parsers.evalai_answer(s).alias("norm"))
+    return t.spread("part", "p_partkey", "p_name", "p_type", "p_size").select("p_partkey", parsers.evalai_answer(s).alias("norm"))
 
 
 _SAYINGS = ["'room ' || p_size || ' ' || p_name", "p_name || ' Seven-rooms'", "'the ' || q || ' ' || p_type", "'yes'", "'No'", "p_name", "upper(q) || ' twentyfold'", "'TRUE'", "'half-' || p_name", "''"]

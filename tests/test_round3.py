@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomwork.functions import parsers
 from loomwork.operators import metrics
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
@@ -36,3 +37,7 @@ def test_scores_read_a_prediction_once(spark):
 
 def test_costly_rows_of_one_small_file_are_many_tasks(spark):
     assert Tables(spark, SF).spread("part", "p_partkey").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_the_normaliser_reads_its_text_once():
+    assert str(parsers.evalai_answer(F.col("said"))).count("said") == 1
