@@ -69,11 +69,12 @@ class _Scenes:
 
     def __init__(self, t: Tables):
         scene = F.concat(F.lit("scene"), F.lpad(_c("label").cast("string"), 4, "0"), F.lit("_00"))
-        frames = _poses(t).withColumn("scene", scene).withColumn("name", F.lpad(_c("vec_id").cast("string"), 5, "0"))
+        number_text = _c("vec_id").cast("string")  # padded, but never cut
+        frames = _poses(t).withColumn("scene", scene).withColumn("name", F.lpad(number_text, F.greatest(F.lit(5), F.length(number_text)), F.lit("0")))
         number = lambda *x: F.array(*[v if isinstance(v, Column) else F.lit(float(v)) for v in x])
         label = _c("label").cast("double")
         image = F.concat(F.lit("scannet/"), "scene", F.lit("/"), "name", F.lit(".jpg"))
-        by = frames.groupBy("scene", "label").agg(F.sort_array(F.collect_list(image)).alias("images"))
+        by = frames.groupBy("scene", "label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", image.alias("image")))), lambda x: x["image"]).alias("images"))
         self.scenes = by.select(
             F.concat(F.lit("scannet/"), "scene").alias("video_id"), "images",
             number(0, -1, 0, label, 1, 0, 0, 0, 0, 0, 1, 1, 0, 0, 0, 1).alias("axis_align"),
