@@ -45,7 +45,7 @@ def test_the_normaliser_reads_its_text_once():
     assert str(parsers.evalai_answer(F.col("said"))).count("said") == 1
 
 
-@pytest.mark.parametrize("name", ["scanqa_rows", "scene_bounds"])
+@pytest.mark.parametrize("name", ["scanqa_rows", "scene_bounds", "video3d_rows"])
 def test_frames_of_six_digits_are_not_cut_to_others(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
