@@ -326,14 +326,16 @@ _NAMED = [f"'sharpness: ' || {_A}", "'no score here'", f"' colour :  ' || {_B} |
 
 
 @query(f"""WITH l AS (SELECT o_orderkey, j, [{', '.join(_NAMED)}][1 + ('0x' || left(md5(o_orderkey || ':line' || j), 8))::BIGINT % {len(_NAMED)}] AS line FROM orders, range(0, 4) r(j)), v AS (SELECT o_orderkey, {_BARE.format("string_split(line, ':')[-1]")} AS v FROM l)
-SELECT o_orderkey, round(avg(CASE WHEN regexp_full_match(v, '\\d+') THEN v::INTEGER END), 2) AS mean FROM v GROUP BY o_orderkey""")
+SELECT o_orderkey, round(avg(CASE WHEN regexp_full_match(v, '\\d+') THEN v::INTEGER END), 2) AS mean, [{_A}::DOUBLE, 4.0] AS listed, [{_A}::DOUBLE] AS bare FROM v GROUP BY o_orderkey""")
 def named_and_listed_scores(t: Tables) -> DataFrame:
-    """The mean of four lines, of which some are a name and a whole number."""
+    """The mean of four lines, of which some are a name and a whole number; a list of scores between delimiters; a bare score."""
     say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
     a, b = ((_c("o_orderkey") % n).cast("string") for n in (10, 7))
     lines = [say("sharpness: ", a), "no score here", say(" colour :  ", b, " "), say("depth: ", a, "d"), say("a: b: ", b), "", say("noise: ", a, ".5")]
     text = F.concat_ws("\n", *[_pick("o_orderkey", f"line{j}", lines) for j in range(4)])
-    return t.orders.select("o_orderkey", parsers.mean_of_named_ints(text).alias("mean"))
+    listed = say('||V^=^V||{"score": [', a, ', 4], "reasoning": "y"}||V^=^V||')
+    rows = t.spread("orders", "o_orderkey")
+    return rows.select("o_orderkey", parsers.mean_of_named_ints(text).alias("mean"), judges.viescore_list(listed).alias("listed"), judges.viescore_list(a).alias("bare"))
 
 
 # --- evaluators
