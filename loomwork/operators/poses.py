@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from loomwork.functions import geometry
 from loomwork.operators.ordering import order_key
 
-#: Frames of a scene that one block of another meets at a time.
+#: Frames of a scene that one block of another meets at a time, and into how many blocks a scene is cut before its blocks grow to that.
 BLOCK = 2048
+BLOCKS = 8
+#: Distances that a task holds at a time.
+CELLS = 1 << 20
 #: Decimals that distances are compared at; of equals the lower frame comes first.
 PLACES = 9
 
@@ -35,35 +38,58 @@ def scaled(frames: DataFrame, scene: str, pose: str) -> DataFrame:
     return frames.join(means, scene).withColumn(pose, moved).drop("_mean")
 
 
+def block_count(frames: Column, block: int) -> Column:
+    """Into how many blocks so many frames are dealt."""
+    size = F.greatest(F.lit(block), F.least(F.ceil(frames / BLOCKS), F.lit(BLOCK)))
+    return F.ceil(frames / size).cast("int")
+
+
 def nearest_poses(frames: DataFrame, scene: str, frame: str, pose: str, k: int, weight: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(scene, ref, id, distance, rank): the ``k`` frames of its scene that are nearest to each frame, itself left out.
 
     Frames are dealt to hash blocks of their scene; a pair of blocks is two
     matrix products, of the rotations and of the translations, and only the best
-    ``k`` of each reference leave it, so no scene is held by one task.
+    ``k`` of each reference leave it, so no scene is held by one task.  Every
+    frame is sent once a block, so ``block`` is the least size only: the blocks of
+    a large scene grow to ``BLOCK`` frames.
     """
     ready = scaled(frames.select(scene, frame, pose), scene, pose)
-    blocks = ready.groupBy(scene).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    blocks = ready.groupBy(scene).agg(block_count(F.count("*"), block).alias("_n"))
     dealt = ready.join(blocks, scene).withColumn("_b", F.pmod(F.xxhash64(frame), F.col("_n").cast("bigint")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     left = dealt.select(F.col(scene).alias("scene"), F.col("_b").alias("qb"), others.alias("bb"), F.lit(0).alias("side"), F.col(frame).cast("bigint").alias("id"), F.col(pose).alias("pose"))
     right = dealt.select(F.col(scene).alias("scene"), others.alias("qb"), F.col("_b").alias("bb"), F.lit(1).alias("side"), F.col(frame).cast("bigint").alias("id"), F.col(pose).alias("pose"))
 
+    def least(far: np.ndarray, refs: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        """(ref, id, distance): the ``k`` least of every row; of equals the first columns."""
+        n = min(k, far.shape[1])
+        edge = np.partition(far, n - 1, axis=1)[:, n - 1]
+        row, column = np.nonzero(far <= edge[:, None])  # all that tie with the last one, too
+        near = far[row, column]
+        order = np.lexsort((column, near, row))
+        row, column, near = row[order], column[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < n
+        return pd.DataFrame({"ref": refs[row[kept]], "id": ids[column[kept]], "distance": near[kept]})
+
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q, d = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
         if q.empty or d.empty:
             return pd.DataFrame({"scene": [], "ref": [], "id": [], "distance": []}).astype({"ref": "int64", "id": "int64"})
         a, b = (np.stack(s["pose"].to_numpy()).reshape(-1, 4, 4) for s in (q, d))
-        trace = a[:, :3, :3].reshape(-1, 9) @ b[:, :3, :3].reshape(-1, 9).T
-        far = np.arccos(np.clip((trace - 1) / 2, -1, 1)) / np.pi
-        ta, tb = a[:, :3, 3], b[:, :3, 3]
-        for row in range(len(ta)):
-            far[row] += weight * np.linalg.norm(tb - ta[row], axis=1)
         qi, di = q["id"].to_numpy(), d["id"].to_numpy()
-        far = np.round(far, PLACES)
-        far[qi[:, None] == di[None]] = np.inf
-        order = np.argsort(far, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"ref": np.repeat(qi, order.shape[1]), "id": di[order].ravel(), "distance": np.take_along_axis(far, order, 1).ravel()})
+        turns, tb = np.ascontiguousarray(b[:, :3, :3].reshape(-1, 9).T), b[:, :3, 3]
+        step, parts = max(1, CELLS // len(b)), []
+        for at in range(0, len(a), step):
+            rows, ids = a[at : at + step], qi[at : at + step]
+            trace = rows[:, :3, :3].reshape(-1, 9) @ turns
+            far = np.arccos(np.clip((trace - 1) / 2, -1, 1)) / np.pi
+            apart = sum((rows[:, i, 3][:, None] - tb[:, i][None]) ** 2 for i in range(3))
+            far += weight * np.sqrt(apart)
+            far = np.round(far, PLACES)
+            far[ids[:, None] == di[None]] = np.inf
+            parts.append(least(far, ids, di))
+        out = pd.concat(parts)
         out.insert(0, "scene", pdf["scene"].iloc[0])
         return out[np.isfinite(out["distance"])]
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import parsers
-from loomwork.operators import metrics
+from loomwork.operators import metrics, poses
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
@@ -66,3 +66,13 @@ def test_frames_of_six_digits_are_not_cut_to_others(spark, tmp_path, name):
 def test_named_listed_and_bare_scores(spark):
     rows = catalog.queries()["named_and_listed_scores"](spark, SF).filter("o_orderkey = 27").collect()
     assert [(list(r["listed"]), list(r["bare"])) for r in rows] == [([7.0, 4.0], [7.0])]
+
+
+def test_blocks_of_poses_grow_with_their_scene(spark):
+    n = [10, 100, 200, 10_000, 100_000]
+    counts = spark.createDataFrame([(i,) for i in n], "n bigint").orderBy("n").select(poses.block_count(F.col("n"), 16)).collect()
+    assert [r[0] for r in counts] == [1, 7, 8, 8, 49]
+    eye = [float(i % 5 == 0) for i in range(16)]
+    rows = spark.createDataFrame([(0, i, eye) for i in range(40)], "s int, f bigint, p array<double>")
+    got = {(r["ref"], r["rank"]): r["id"] for r in poses.nearest_poses(rows, "s", "f", "p", 2, block=4).collect()}
+    assert got == {(i, r): [j for j in range(40) if j != i][r - 1] for i in range(40) for r in (1, 2)}
