@@ -82,12 +82,14 @@ l AS (SELECT doc_id, 'docs_' || lpad((r // 400)::VARCHAR, 5, '0') || '.parquet'
 SELECT epoch, doc_id, dense_rank() OVER (PARTITION BY epoch ORDER BY md5(file || ':' || row_group || ':5:' || epoch)) - 1 AS global_row_group,
  (row_number() OVER (PARTITION BY epoch, file, row_group ORDER BY md5(doc_id || ':5:' || epoch)) - 1)::INTEGER AS pos FROM l""")
 def epoch_shuffles(t: Tables) -> DataFrame:
-    """Three epochs as a stream, a run a trigger, so that every run resumes in the middle of an epoch."""
+    """Three epochs as a stream, a run a trigger, so that every run resumes in the middle of an epoch; runs of many groups, so their number stays."""
     docs = t.documents.select("doc_id", "lang")
     path = shared.scratch(t.spark, "docs")
     rowgroups.write_exact(docs, path, "docs", ["doc_id"], seed=3, rows_per_file=400, rows_per_group=100)
     known = rowgroups.existing_manifest(t.spark, path)
-    stream = epochs.epochs(t.spark, known, "doc_id bigint", "doc_id", f"{path}-cursor/at.json", seed=5, groups_per_trigger=37, last=3)
+    groups = known.agg(F.sum("num_row_groups")).first()[0] or 0
+    step = max(37, 3 * groups // 20)
+    stream = epochs.epochs(t.spark, known, "doc_id bigint", "doc_id", f"{path}-cursor/at.json", seed=5, groups_per_trigger=step, last=3)
     epochs.run_epochs(stream, f"{path}-read", f"{path}-progress", 3 * docs.count())
     return t.spark.read.schema(stream.schema).parquet(f"{path}-read").select("epoch", "doc_id", "global_row_group", "pos")
 

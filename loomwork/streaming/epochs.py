@@ -2,8 +2,9 @@
 
 The offset is (epoch, position), position counting row groups in the epoch's
 order.  An epoch orders the groups by md5 of ``file:row_group:seed:epoch`` and
-the rows inside a group by md5 of ``key:seed:epoch``, so a task holds one group
-and nothing but the small plan is held by the driver.  A trigger takes
+the rows inside a group by md5 of ``key:seed:epoch``.  A task reads a run of
+groups one after another, so it holds one group, and nothing but the small plan
+is held by the driver.  A trigger takes
 ``groups_per_trigger`` groups; the last offset that was offered stands in a
 cursor file, and the query's checkpoint says what was taken, so a restart goes
 on in the middle of an epoch.
@@ -28,13 +29,18 @@ PLACE = "epoch bigint, global_row_group bigint, pos int"
 
 
 @dataclass
-class EpochGroup(InputPartition):
+class EpochGroup:
     epoch: int
     ordinal: int
     path: str
     row_group: int
 
 
+@dataclass
+class EpochRun(InputPartition):
+    groups: list[EpochGroup]
+
+
 class EpochReader(DataSourceStreamReader):
     def __init__(self, schema: T.StructType, options: dict):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,6 +49,7 @@ class EpochReader(DataSourceStreamReader):
         self.plan, self._groups = options["plan"], None
         self.seed, self.key, self.cursor = options["seed"], options["key"], options["cursor"]
         self.step = int(options.get("groups_per_trigger", "8"))
+        self.tasks = int(options.get("tasks", "8"))
         self.epochs = int(options["epochs"]) if options.get("epochs") else None
         self._orders: dict = {}
 
@@ -87,11 +94,17 @@ class EpochReader(DataSourceStreamReader):
     def _flat(self, offset: dict) -> int:
         return offset["epoch"] * len(self.groups) + offset["position"]
 
-    def partitions(self, start: dict, end: dict) -> list[EpochGroup]:
+    def partitions(self, start: dict, end: dict) -> list[EpochRun]:
         n = len(self.groups)
-        return [EpochGroup(at // n, at % n, *self._order(at // n)[at % n]) for at in range(self._flat(start), self._flat(end))]
+        groups = [EpochGroup(at // n, at % n, *self._order(at // n)[at % n]) for at in range(self._flat(start), self._flat(end))]
+        tasks = min(self.tasks, len(groups))
+        return [EpochRun(groups[len(groups) * i // tasks : len(groups) * (i + 1) // tasks]) for i in range(tasks)]
+
+    def read(self, partition: EpochRun) -> Iterator[pa.RecordBatch]:
+        for group in partition.groups:
+            yield from self._read(group)
 
-    def read(self, partition: EpochGroup) -> Iterator[pa.RecordBatch]:
+    def _read(self, partition: EpochGroup) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
         where, name = store(partition.path)
@@ -132,7 +145,7 @@ def epochs(spark: SparkSession, manifest: DataFrame, columns: T.StructType | str
     where.create_dir(name.rpartition("/")[0], recursive=True)
     with where.open_output_stream(name) as f:
         f.write(json.dumps(groups).encode())
-    options = {"plan": plan, "seed": str(seed), "key": key, "cursor": cursor, "groups_per_trigger": str(groups_per_trigger)}
+    options = {"plan": plan, "seed": str(seed), "key": key, "cursor": cursor, "groups_per_trigger": str(groups_per_trigger), "tasks": str(3 * spark.sparkContext.defaultParallelism)}
     if last is not None:
         options["epochs"] = str(last)
     return spark.readStream.format(FORMAT).schema(schema).options(**options).load()

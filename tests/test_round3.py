@@ -10,6 +10,7 @@ from loomwork.operators import metrics, poses
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
+from loomwork.streaming import epochs
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,12 @@ def test_blocks_of_poses_grow_with_their_scene(spark):
     rows = spark.createDataFrame([(0, i, eye) for i in range(40)], "s int, f bigint, p array<double>")
     got = {(r["ref"], r["rank"]): r["id"] for r in poses.nearest_poses(rows, "s", "f", "p", 2, block=4).collect()}
     assert got == {(i, r): [j for j in range(40) if j != i][r - 1] for i in range(40) for r in (1, 2)}
+
+
+def test_a_trigger_of_many_groups_is_few_tasks(spark, tmp_path):
+    (tmp_path / "plan.json").write_text(str([["a.parquet", i] for i in range(100)]).replace("'", '"'))
+    schema = spark.range(0).schema
+    reader = epochs.EpochReader(schema, {"plan": str(tmp_path / "plan.json"), "seed": "1", "key": "id", "cursor": str(tmp_path / "at"), "tasks": "6"})
+    runs = reader.partitions({"epoch": 0, "position": 30}, {"epoch": 1, "position": 40})
+    groups = [(g.epoch, g.ordinal) for run in runs for g in run.groups]
+    assert len(runs) == 6 and groups == [(0, i) for i in range(30, 100)] + [(1, i) for i in range(40)]
