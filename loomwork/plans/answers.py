@@ -203,7 +203,7 @@ def answer_forms(t: Tables) -> DataFrame:
     say = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
     lines = [say("so the ", key, " final result is ", k(40), ".5"), say("Thus x = ", k(12)), say("Could be ", _c("o_orderpriority"), "."), say(key, " it stays"), "The answer IS B", "is :", say("y = 3 so 1 = ", k(9), "\t")]
     s = say(_pick("o_orderkey", "first", lines), "\n", _pick("o_orderkey", "second", lines), _pick("o_orderkey", "end", ["", " \n", "."]))
-    forms = t.orders.select("o_orderkey", parsers.open_answer(s).alias("forms"))
+    forms = t.spread("orders", "o_orderkey", "o_orderpriority").select("o_orderkey", parsers.open_answer(s).alias("forms"))
     sure = lambda g: F.coalesce(parsers.open_match(_c("forms"), F.array(g)), F.lit(False))
     return forms.select("o_orderkey", F.sort_array("forms").alias("forms"), sure(k(12)).alias("hit"), sure(F.lit("B")).alias("says_b"))
 
@@ -295,7 +295,7 @@ def dual_judged_scores(t: Tables) -> DataFrame:
         say("Thinking: ", _c("p_type"), ' {"instruction_score": ', a, ', "instruction_reasoning": "', why, '", "knowledge_score": {"x": 1}} and {"instruction_score": 9}'),
         say('{"knowledge_score": "', a, '", "knowledge_reasoning": "', why, '", "instruction_score": null}'), say("Instruction score: ", a, ' "knowledge_reasoning": "because ', name, '"'), say("open { ", name, " knowledge_score: ", a), "none",
     ])
-    return t.part.select("p_partkey", s.alias("s")).select("p_partkey", judges.balanced_object(_c("s")).alias("block"), judges.dual_scores(_c("s")).alias("d")).select("p_partkey", "block", "d.*")
+    return t.spread("part", "p_partkey", "p_name", "p_type", "p_size").select("p_partkey", s.alias("s")).select("p_partkey", judges.balanced_object(_c("s")).alias("block"), judges.dual_scores(_c("s")).alias("d")).select("p_partkey", "block", "d.*")
 
 
 _A, _B = "(o_orderkey % 10)", "(o_orderkey % 7)"

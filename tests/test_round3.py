@@ -86,3 +86,8 @@ def test_a_trigger_of_many_groups_is_few_tasks(spark, tmp_path):
     runs = reader.partitions({"epoch": 0, "position": 30}, {"epoch": 1, "position": 40})
     groups = [(g.epoch, g.ordinal) for run in runs for g in run.groups]
     assert len(runs) == 6 and groups == [(0, i) for i in range(30, 100)] + [(1, i) for i in range(40)]
+
+
+def test_open_answers_read_their_text_once():
+    assert str(parsers.open_answer(F.col("said"))).count("said") == 1
+    assert str(parsers.open_match(F.col("forms"), F.col("gold"))).count("gold") == 1
