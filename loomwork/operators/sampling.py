@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.expr import let
 from loomwork.operators.ordering import counted, hashed, numbered, numbered_by, order_key, uniform
 
 
@@ -217,6 +218,6 @@ def decayed_split(total: Column, key: Column, decay: float) -> Column:
         parts = F.floor(u * total) + 1
     else:
         parts = F.least(total, F.floor(F.log(1 - u * (1 - F.pow(F.lit(decay), total))) / F.log(F.lit(decay))) + 1)
-    ranked = F.slice(F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int")), lambda i: F.struct(hashed(key, i).alias("h"), i.alias("i")))), F.lit(1), (parts - 1).cast("int"))
-    cuts = F.concat(F.array(F.lit(0)), F.array_sort(F.transform(ranked, lambda s: s["i"])), F.array(total.cast("int")))
-    return F.transform(F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda c, i: c - F.get(cuts, i))
+    ranked = F.slice(F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1)).cast("int")), lambda i: F.struct(hashed(key, i).alias("h"), i.alias("i")))), F.lit(1), (parts - 1).cast("int"))
+    cuts = F.concat(F.array(F.lit(0)), F.sort_array(F.transform(ranked, lambda s: s["i"])), F.array(total.cast("int")))
+    return let(cuts, lambda cuts: F.transform(F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda c, i: c - F.get(cuts, i)))

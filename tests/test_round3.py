@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import parsers
-from loomwork.operators import metrics, poses
+from loomwork.operators import metrics, poses, sampling
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
@@ -91,3 +91,7 @@ def test_a_trigger_of_many_groups_is_few_tasks(spark, tmp_path):
 def test_open_answers_read_their_text_once():
     assert str(parsers.open_answer(F.col("said"))).count("said") == 1
     assert str(parsers.open_match(F.col("forms"), F.col("gold"))).count("gold") == 1
+
+
+def test_a_split_hashes_its_cuts_once():
+    assert str(sampling.decayed_split(F.col("total"), F.col("key"), 0.6)).count("sequence(") == 1
