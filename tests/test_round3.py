@@ -95,3 +95,7 @@ def test_open_answers_read_their_text_once():
 
 def test_a_split_hashes_its_cuts_once():
     assert str(sampling.decayed_split(F.col("total"), F.col("key"), 0.6)).count("sequence(") == 1
+
+
+def test_token_counts_of_a_small_file_are_many_tasks(spark):
+    assert catalog.queries()["image_token_counts"](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
