@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.parsers import plural, with_article
@@ -88,8 +88,8 @@ def drawn(draws: DataFrame, nouns: list[str], seed: int, most: int = 4) -> DataF
 
 def deduplicated(prompts: DataFrame) -> DataFrame:
     """Of prompts that ask for the same the first stays."""
-    first = Window.partitionBy("tag", "include").orderBy("i")
-    return prompts.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "i")
+    first = prompts.groupBy("tag", "include").agg(F.min_by(F.struct("prompt", "exclude"), "i").alias("_f"))  # in partial sums, so no task holds a group
+    return first.select("tag", "_f.prompt", "include", "_f.exclude")
 
 
 def suite(spark: SparkSession, nouns: list[str], per_task: int, seed: int, most: int = 4) -> DataFrame:

@@ -238,5 +238,5 @@ s AS (SELECT i, tag, 'a photo of ' || CASE tag WHEN 'two_object' THEN one_a || '
 SELECT tag, prompt, include, exclude FROM (SELECT *, row_number() OVER (PARTITION BY tag, include ORDER BY i) AS r FROM s) WHERE r = 1""")
 def prompt_suite(t: Tables) -> DataFrame:
     """A draw of each task for every part, counts to ten, without repeats."""
-    found = prompts.drawn(t.part.select(_c("p_partkey").alias("i")), list(_NOUNS), 3, most=10)
+    found = prompts.drawn(t.spread("part", "p_partkey").select(_c("p_partkey").alias("i")), list(_NOUNS), 3, most=10)
     return prompts.deduplicated(found)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import parsers
-from loomwork.operators import metrics, poses, sampling
+from loomwork.operators import metrics, poses, prompts, sampling
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
@@ -99,3 +99,10 @@ def test_a_split_hashes_its_cuts_once():
 
 def test_token_counts_of_a_small_file_are_many_tasks(spark):
     assert catalog.queries()["image_token_counts"](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_prompts_that_ask_alike_meet_in_partial_sums(spark):
+    rows = spark.createDataFrame([("t", 2, "p2", "x", "e2"), ("t", 1, "p1", "x", None), ("t", 3, "p3", "y", None)], "tag string, i bigint, prompt string, include string, exclude string")
+    got = prompts.deduplicated(rows)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [("t", "p1", "x", None), ("t", "p3", "y", None)]
