@@ -60,6 +60,12 @@ def bounds(pointed: DataFrame) -> DataFrame:
     return pointed.groupBy("video_id").agg(F.array(*ends).alias("boundary"))
 
 
+def world_coords(pointed: DataFrame) -> DataFrame:
+    """(video_id, world_coords): a scene's points as one JSON list, by frame and pixel; once a scene, however many items ask about it."""
+    item = F.struct("frame", "v", "u", "point")
+    return pointed.groupBy("video_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["point"])).alias("world_coords"))
+
+
 def scene_rows(scenes: DataFrame, poses: DataFrame, depths: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(scenes, rejects): a row a scene with its lists of paths and poses, depth camera and boundary."""
     framed = frames(scenes, poses, folder)
@@ -108,7 +114,8 @@ def video3d_samples(items: DataFrame, rows: DataFrame, objects: DataFrame, point
     Objects are looked up by video_id, then by the scene id behind its last
     slash, else there are none.  The points of a scene can be millions; they are
     a table (:func:`points`), and only where ``pointed`` is given does the row
-    hold them as JSON, by frame and pixel.
+    hold them as JSON, by frame and pixel.  That is a copy an item; where many
+    items ask about a scene, join :func:`world_coords` by ``video_id`` instead.
     """
     scene = F.element_at(F.split("video_id", "/"), -1)
     known = objects.groupBy("scene_id").agg(F.first("objects").alias("objects"))
@@ -117,8 +124,7 @@ def video3d_samples(items: DataFrame, rows: DataFrame, objects: DataFrame, point
     with_objects = rows.join(by_video, F.col("video_id") == F.col("_v"), "left").join(by_scene, scene == F.col("_s"), "left")
     with_objects = with_objects.withColumn("objects", F.coalesce("_ov", "_os", F.lit("[]"))).drop("_v", "_s", "_ov", "_os")
     if pointed is not None:
-        lists = pointed.groupBy("video_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("frame", "v", "u", "point"))), lambda x: x["point"])).alias("world_coords"))
-        with_objects = with_objects.join(lists, "video_id", "left")
+        with_objects = with_objects.join(world_coords(pointed), "video_id", "left")
     else:
         with_objects = with_objects.withColumn("world_coords", F.lit(None).cast("string"))
     good, bad = _asked(items, with_objects)

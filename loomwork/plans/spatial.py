@@ -120,14 +120,15 @@ def scanqa_rows(t: Tables) -> DataFrame:
  CASE WHEN g.label % 2 = 0 THEN '["box ' || g.label || '"]' ELSE '[]' END AS objects, CASE WHEN conv_id % 2 = 0 THEN [[conv_id::DOUBLE]] END AS box, CASE WHEN conv_id % 2 = 1 THEN [1.0, 2.0]::DOUBLE[] END AS box_input,
  4 * frames::INTEGER AS points FROM i JOIN g ON i.label = g.label""")
 def video3d_rows(t: Tables) -> DataFrame:
-    """With the scenes' points in the rows, which these small scenes allow."""
+    """With the scenes' points, whose list is written and read once a scene: a scene has many items, and a copy for each would be their product."""
     s = _Scenes(t)
     pointed = scenes.points(scenes.frames(s.scenes, s.poses, _FOLDER), s.depths)
-    good, _ = scenes.video3d_samples(s.items, s.rows()[0], s.objects, pointed)
-    meta = F.from_json("metadata", "id string, box_input array<double>, box array<array<double>>")
-    return good.select(
+    listed = scenes.world_coords(pointed).select("video_id", F.size(F.from_json("world_coords", "array<array<double>>")).alias("points"))
+    good, _ = scenes.video3d_samples(s.items, s.rows()[0], s.objects)
+    meta = F.from_json("metadata", "id string, video_id string, box_input array<double>, box array<array<double>>")
+    return good.withColumn("video_id", meta["video_id"]).join(listed, "video_id", "left").select(
         meta["id"].alias("id"), "question", "answer", "dataset_name", F.transform("boundary", lambda v: F.round(v, 6) + 0.0).alias("boundary"), "objects", meta["box"].alias("box"), meta["box_input"].alias("box_input"),
-        F.size(F.from_json("world_coords", "array<array<double>>")).alias("points"),
+        "points",
     )
 
 

@@ -106,3 +106,9 @@ def test_prompts_that_ask_alike_meet_in_partial_sums(spark):
     got = prompts.deduplicated(rows)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in got.collect()) == [("t", "p1", "x", None), ("t", "p3", "y", None)]
+
+
+def test_a_scene_lists_its_points_once_for_all_items(spark):
+    found = catalog.queries()["video3d_rows"](spark, SF)
+    assert "world_coords" not in found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert {r["points"] % 4 for r in found.collect()} == {0}
