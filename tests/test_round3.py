@@ -112,3 +112,15 @@ def test_a_scene_lists_its_points_once_for_all_items(spark):
     found = catalog.queries()["video3d_rows"](spark, SF)
     assert "world_coords" not in found._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert {r["points"] % 4 for r in found.collect()} == {0}
+
+
+def test_an_archive_is_read_by_runs_of_members(spark, tmp_path):
+    import zipfile
+
+    kinds = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(40):
+            z.writestr(f"d/{i}.{'txt' if i % 5 else 'bin'}", f"text {i} é" * i, compress_type=kinds[i % 4])
+    found = readers.zip_members(spark, str(tmp_path), r".*\.txt", run=100).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["member"]: bytes(r["content"]).decode() for r in found} == {f"d/{i}.txt": f"text {i} é" * i for i in range(40) if i % 5}
+    assert len(found) == 32 and len({r["task"] for r in found}) > 1
