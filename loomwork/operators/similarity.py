@@ -4,48 +4,109 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the searched table that one block of queries meets at a time.
+#: Rows of a block at least, and at most; between them a table is cut into ``SIDE`` blocks.
 BLOCK = 4096
+MOST = 32_768
+SIDE = 16
+#: Base rows whose nearest one stands for all of them in the first look.
+RUN = 64
+#: Numbers of a strip of distances that a task holds at a time.
+STRIP = 1 << 23
+
+
+def _block_size(rows: int, block: int) -> int:
+    """Blocks grow with their table up to ``MOST`` rows: every row is dealt to as many pairs of blocks as the other side has blocks."""
+    return max(block, min(MOST, -(-rows // SIDE)))
+
+
+def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, id, distance) of the ``k`` nearest rows ``y``, whose ids ascend, of each row ``x``; distances are rounded to 9 digits.
+
+    A row's ``k`` nearest lie in runs of ``y`` at least as near as the ``k``-th
+    nearest run.  Runs are found with a margin over the error of single precision;
+    what lies in them is measured in double precision, so the result is exact.
+    """
+    sound_x, sound_y = (np.isfinite(m).all(axis=1) for m in (x, y))
+    x, qi, y, di = x[sound_x], qi[sound_x], y[sound_y], di[sound_y]
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(x) or not len(y):
+        return none
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+    less = np.zeros(len(y)) if metric == "cosine" else (y**2).sum(1) / 2  # the nearest y has the greatest x.y - y.y / 2
+    far_x, far_y = (float(np.sqrt((m**2).sum(1).max())) for m in (x, y))
+    kind = np.float32 if max(far_x, far_y) < 1e15 else np.float64
+    n, width = len(y), x.shape[1]
+    runs = -(-n // RUN)
+    wide = np.zeros((width + 1, runs * RUN), kind)
+    wide[:width, :n], wide[width, :n], wide[width, n:] = y.T, -less, -np.inf
+    margin = 2 * (width + 16) * 2.0**-24 * (far_x * far_y + float(less.max())) + 2e-9 * max(1.0, far_x + far_y)
+    spare = k + 1  # a row itself may be among its nearest
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, STRIP // (runs * RUN))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        score = (np.concatenate([part, np.ones((len(part), 1))], axis=1).astype(kind) @ wide).reshape(len(part), runs, RUN)
+        top = score.max(axis=2)
+        least = np.partition(top, runs - spare, axis=1)[:, runs - spare] if runs > spare else np.full(len(part), -np.finfo(kind).max, kind)
+        least = least - kind(margin)
+        row, run = np.nonzero(top >= least[:, None])
+        for a in range(0, len(row), STRIP // (RUN * 64)):
+            r, c = row[a : a + STRIP // (RUN * 64)], run[a : a + STRIP // (RUN * 64)]
+            i, j = np.nonzero(score[r, c] >= least[r][:, None])
+            r, c = at + r[i], c[i] * RUN + j
+            keep = qi[r] != di[c]
+            r, c = r[keep], c[keep]
+            far = 1 - np.einsum("ij,ij->i", x[r], y[c]) if metric == "cosine" else np.sqrt(((x[r] - y[c]) ** 2).sum(1))
+            far = np.round(far, 9) + 0.0
+            order = np.lexsort((c, far, r))
+            r, c, far = r[order], c[order], far[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k  # a row whose candidates go on has more, which are merged later
+            out.append((qi[r[best]], di[c[best]], far[best]))
+    if not out:
+        return none
+    q, d, far = (np.concatenate(c) for c in zip(*out))
+    return q, d, far
 
 
 def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", vector: str = "v", block: int = BLOCK) -> DataFrame:
     """(q, id, distance, rank): the ``k`` nearest base rows of each query row, exact, lower ids first of equals.
 
-    Both sides are dealt to hash blocks, each pair of blocks is one matrix
-    product that keeps its own ``k`` best, and those are merged; memory is
-    bounded by a block, and no pair of rows is a row of a join.  A row isn't its
-    own neighbour.
+    Both sides are dealt to hash blocks, each pair of blocks is matrix products
+    that keep their own ``k`` best, and those are merged; memory is bounded by a
+    block, and no pair of rows is a row of a join.  A row isn't its own neighbour.
+    All pairs are compared, which is quadratic by nature.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(metric)
-    n_q, n_b = (max(1, -(-df.count() // block)) for df in (queries, base))
-    a = queries.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)))
-    b = base.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(n_b)))
+    n_q, n_b = (max(1, -(-n // _block_size(n, block))) for n in (queries.count(), base.count()))
+    a = queries.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)))
+    b = base.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(n_b)))
     a = a.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))).withColumn("side", F.lit(0))
     b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("side", F.lit(1))
     both = a.select("qb", "bb", "side", "id", "v").unionByName(b.select("qb", "bb", "side", "id", "v"))
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
-        if q.empty or d.empty:
-            return pd.DataFrame({"q": [], "id": [], "distance": []}).astype({"q": "int64", "id": "int64"})
-        x, y = (np.stack(s["v"].to_numpy()).astype(np.float64) for s in (q, d))
-        if metric == "cosine":
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
-            far = 1 - x @ y.T
-        else:
-            far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
-        qi, di = q["id"].to_numpy(), d["id"].to_numpy()
-        far = np.round(far, 9)
-        far[qi[:, None] == di[None]] = np.inf
-        order = np.argsort(far, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"q": np.repeat(qi, order.shape[1]), "id": di[order].ravel(), "distance": np.take_along_axis(far, order, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    found = both.groupBy("qb", "bb").applyInPandas(best, "q bigint, id bigint, distance double")
+    def rows_of(table: pa.Table, side: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = table.filter(pc.equal(table["side"], side)).combine_chunks()
+        ids = mine["id"].to_numpy()
+        if not len(ids):
+            return ids, np.empty((0, 0))
+        flat = pc.list_flatten(mine["v"]).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], flat[order]
+
+    def best(table: pa.Table) -> pa.Table:
+        (qi, x), (di, y) = (rows_of(table, side) for side in (0, 1))
+        found = nearest(x, y, qi, di, k, metric) if len(qi) and len(di) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table(dict(zip(("q", "id", "distance"), found)))
+
+    tasks = max(1, min(n_q * n_b, 4096))
+    found = both.repartition(tasks, "qb", "bb").groupBy("qb", "bb").applyInArrow(best, "q bigint, id bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -58,7 +119,11 @@ def ratio_weights(pairs: DataFrame) -> DataFrame:
 
 
 def mutual(forth: DataFrame, back: DataFrame) -> DataFrame:
-    """(q, id): first neighbours of each other."""
+    """(q, id): first neighbours of each other; of one table's own neighbours both rows of a pair meet in a sum, and it is made once."""
+    if forth is back:
+        ends = F.struct(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"))
+        both = forth.filter("rank = 1").select("q", ends.alias("p")).groupBy("p").agg(F.collect_set("q").alias("q")).filter("size(q) = 2")  # two at most
+        return both.select(F.explode("q").alias("q"), "p").select("q", F.when(F.col("q") == F.col("p.a"), F.col("p.b")).otherwise(F.col("p.a")).alias("id"))
     a = forth.filter("rank = 1").select("q", "id")
     b = back.filter("rank = 1").select(F.col("id").alias("q"), F.col("q").alias("id"))
     return a.join(b, ["q", "id"])

@@ -2,11 +2,12 @@
 
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import parsers
-from loomwork.operators import metrics, poses, prompts, sampling
+from loomwork.operators import metrics, poses, prompts, sampling, similarity
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
 from loomwork.sources import readers
@@ -124,3 +125,30 @@ def test_an_archive_is_read_by_runs_of_members(spark, tmp_path):
     found = readers.zip_members(spark, str(tmp_path), r".*\.txt", run=100).withColumn("task", F.spark_partition_id()).collect()
     assert {r["member"]: bytes(r["content"]).decode() for r in found} == {f"d/{i}.txt": f"text {i} é" * i for i in range(40) if i % 5}
     assert len(found) == 32 and len({r["task"] for r in found}) > 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_the_nearest_of_runs_are_those_of_all_pairs(metric):
+    r = np.random.default_rng(3)
+    v = np.tile(r.normal(size=(90, 5)), (4, 1))  # each vector four times
+    v[7], v[50, 2] = 0, np.nan
+    ids = np.arange(len(v)) * 3
+    for k in (1, 3):
+        q, d, far = similarity.nearest(v[:200], v, ids[:200], ids, k, metric)
+        got = sorted(zip(q.tolist(), far.tolist(), d.tolist()))
+        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        want = []
+        for i in range(200):
+            each = 1 - unit @ unit[i] if metric == "cosine" else np.sqrt(((v - v[i]) ** 2).sum(1))
+            pairs = sorted((e, j * 3) for j, e in enumerate(np.round(each, 9) + 0.0) if j != i and np.isfinite(e))
+            want += [(i * 3, e, j) for e, j in pairs[:k]]
+        assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in sorted(want)]
+
+
+def test_blocks_of_vectors_grow_with_their_table():
+    assert [similarity._block_size(n, 4096) for n in (1000, 100_000, 10_000_000)] == [4096, 6250, 32_768]
+
+
+def test_mutual_neighbours_are_looked_for_once(spark):
+    plan = catalog.queries()["mutual_nn"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
