@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from loomwork.sources.shared import scratch, store, url
 
 FORMAT = "rowgroups"
 MANIFEST = "_manifest"
+#: Partitions of a scan for each core.
+TASKS = 4
 #: What the scan adds to a file's own columns.
 PLACE = "file string, row_group int, row_idx bigint, global_row_group bigint"
 FOOTERS = "path string, row_group int, first_row bigint, num_rows bigint, bytes bigint, error string"
@@ -138,7 +141,7 @@ class ExactWriter(DataSourceArrowWriter):
         for batch in iterator:
             numbers = batch.column(0).to_numpy(zero_copy_only=False)
             rows = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
-            cuts = [0, *(i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1]), len(numbers)]
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
@@ -257,52 +260,81 @@ def plan(
     return rest
 
 
+@dataclass
+class Run(InputPartition):
+    """Groups that one task reads, in order."""
+
+    groups: list
+
+
+def runs(groups: list[Group], tasks: int) -> list[Run]:
+    """The groups in ``tasks`` runs at most, whose sizes differ by one at most; their number doesn't grow with the table."""
+    n = max(1, min(tasks, len(groups)))
+    return [Run(groups[len(groups) * i // n : len(groups) * (i + 1) // n]) for i in range(n)]
+
+
 class GroupReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.arrow = to_arrow_schema(schema)
         self.plan = options["plan"]
+        self.tasks = int(options["tasks"])
         self.strict = options.get("errors", "skip") == "raise"
 
     def partitions(self):
         where, name = store(self.plan)
         with where.open_input_stream(name) as f:
-            return [Group(**g) for g in json.loads(f.read())] or [Group(-1, "", 0)]
+            return runs([Group(**g) for g in json.loads(f.read())], self.tasks)
 
-    def read(self, partition: Group):
-        if partition.ordinal < 0:
-            return
+    def read(self, partition: Run):
+        """A file is opened once for all groups of it that follow each other."""
+        path, f, file = None, None, None
+        try:
+            for group in partition.groups:
+                if group.path != path:
+                    if f is not None:
+                        f.close()
+                    path, (f, file) = group.path, self._opened(group.path)
+                if file is not None:
+                    yield from self._rows(file, group)
+        finally:
+            if f is not None:
+                f.close()
+
+    def _opened(self, path: str):
         import pyarrow.parquet as pq
 
-        names = [n for n in self.arrow.names if n not in _PLACE_NAMES]
-        where, name = store(partition.path)
+        f = None
         try:
+            where, name = store(path)
             f = where.open_input_file(name)
-            file = pq.ParquetFile(f)
+            return f, pq.ParquetFile(f)
         except (OSError, pa.ArrowException):
             if self.strict:
                 raise
-            return
-        with f:
-            row, left = 0, partition.take
-            for batch in file.iter_batches(row_groups=[partition.row_group], columns=names):
-                skip = min(max(partition.skip - row, 0), batch.num_rows)
-                rows = batch.slice(skip) if left < 0 else batch.slice(skip, left)
-                if rows.num_rows:
-                    yield self._placed(rows, partition, row + skip)
-                left -= rows.num_rows if left >= 0 else 0
-                row += batch.num_rows
-                if left == 0:
-                    return
+            return f, None
+
+    def _rows(self, file, group: Group) -> Iterator[pa.RecordBatch]:
+        names = [n for n in self.arrow.names if n not in _PLACE_NAMES]
+        row, left = 0, group.take
+        for batch in file.iter_batches(row_groups=[group.row_group], columns=names):
+            skip = min(max(group.skip - row, 0), batch.num_rows)
+            rows = batch.slice(skip) if left < 0 else batch.slice(skip, left)
+            if rows.num_rows:
+                yield self._placed(rows, group, row + skip)
+            left -= rows.num_rows if left >= 0 else 0
+            row += batch.num_rows
+            if left == 0:
+                return
 
     def _placed(self, rows: pa.RecordBatch, at: Group, first: int) -> pa.RecordBatch:
         n = rows.num_rows
         more = {
-            "file": lambda: pa.array([at.path] * n, pa.string()),
-            "row_group": lambda: pa.array([at.row_group] * n, pa.int32()),
-            "row_idx": lambda: pa.array(range(first, first + n), pa.int64()),
-            "global_row_group": lambda: pa.array([at.ordinal] * n, pa.int64()),
+            "file": lambda: pa.repeat(pa.scalar(at.path, pa.string()), n),
+            "row_group": lambda: pa.repeat(pa.scalar(at.row_group, pa.int32()), n),
+            "row_idx": lambda: pa.array(np.arange(first, first + n)),
+            "global_row_group": lambda: pa.repeat(pa.scalar(at.ordinal, pa.int64()), n),
         }
         columns = [more[f.name]() if f.name in more else rows.column(rows.schema.get_field_index(f.name)).cast(f.type) for f in self.arrow]
         return pa.RecordBatch.from_arrays(columns, schema=self.arrow)
@@ -334,7 +366,7 @@ def _entries(manifest: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def read_groups(spark: SparkSession, groups: list[Group], columns: T.StructType | str, errors: str = "skip") -> DataFrame:
-    """The columns of planned groups with their place: a partition a group, and no other group is opened.
+    """The columns of planned groups with their place: a partition a run of groups, and no other group is opened.
 
     The plan goes to a file in the shared folder, so its size isn't the query plan's.
     """
@@ -346,7 +378,7 @@ def read_groups(spark: SparkSession, groups: list[Group], columns: T.StructType
     where.create_dir(name.rpartition("/")[0], recursive=True)
     with where.open_output_stream(name) as f:
         f.write(json.dumps([asdict(g) for g in groups]).encode())
-    return spark.read.format(FORMAT).schema(schema).option("plan", path).option("errors", errors).load()
+    return spark.read.format(FORMAT).schema(schema).option("plan", path).option("tasks", str(TASKS * spark.sparkContext.defaultParallelism)).option("errors", errors).load()
 
 
 def scan(spark: SparkSession, path: str, columns: T.StructType | str, manifest: DataFrame | None = None, errors: str = "skip", **order) -> DataFrame:

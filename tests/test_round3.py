@@ -10,7 +10,7 @@ from loomwork.functions import parsers
 from loomwork.operators import metrics, poses, prompts, sampling, similarity
 from loomwork.plans import catalog
 from loomwork.plans.tables import Tables
-from loomwork.sources import readers
+from loomwork.sources import readers, rowgroups
 from loomwork.streaming import epochs
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +152,13 @@ def test_blocks_of_vectors_grow_with_their_table():
 def test_mutual_neighbours_are_looked_for_once(spark):
     plan = catalog.queries()["mutual_nn"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_a_scan_of_many_groups_is_few_tasks(spark, tmp_path):
+    rowgroups.write_exact(spark.range(1000).withColumnRenamed("id", "k"), str(tmp_path), "x", ["k"], rows_per_file=100, rows_per_group=5)
+    tasks = rowgroups.TASKS * spark.sparkContext.defaultParallelism
+    found = rowgroups.scan(spark, str(tmp_path), "k bigint", after=(f"{tmp_path}/x_00000.parquet", 3, 2))
+    assert found.rdd.getNumPartitions() == tasks < 200
+    rows = found.collect()
+    assert len(rows) == 1000 - 3 * 5 - 3 and len({r["k"] for r in rows}) == len(rows)
+    assert [(r["global_row_group"], r["row_idx"]) for r in rows] == sorted((r["global_row_group"], r["row_idx"]) for r in rows)
