@@ -162,3 +162,16 @@ def test_a_scan_of_many_groups_is_few_tasks(spark, tmp_path):
     rows = found.collect()
     assert len(rows) == 1000 - 3 * 5 - 3 and len({r["k"] for r in rows}) == len(rows)
     assert [(r["global_row_group"], r["row_idx"]) for r in rows] == sorted((r["global_row_group"], r["row_idx"]) for r in rows)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from loomwork.plans import files
+
+    rows = spark.createDataFrame([(i, "a b" if i % 2 else "x:y", None if i == 8 else f"{{\"bbox\":{i}}}\nrest") for i in range(900)], "id bigint, g string, value string")
+    path = files._file_each(rows, f"file://{tmp_path}/f", "g", "id")
+    found = readers.with_any_key(spark, f"{path}/g=*", ["bbox"], 0, 100)
+    assert found.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    assert found.count() == 899 and (tmp_path / "f" / "g=x%3Ay" / "8.txt").read_text() == "\n"
+    scenes = readers.scene_folders(spark, path, "*.txt", least=450, most=450)
+    assert scenes.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism and scenes.count() == 2
+    assert not list((tmp_path / "f").glob("**/_SUCCESS"))  # no job moves the files
