@@ -57,24 +57,33 @@ def counted(df: DataFrame, within: list[str] | None = None, name: str = "n") ->
 #: Ranges that an order of any column is cut into, and rows that are looked at for their bounds.
 RANGES = 256
 BOUND_ROWS = 8192
+STEP = 16
 
 
 def in_ranges(df: DataFrame, column: str, name: str = "_range") -> DataFrame:
     """Adds the number of the range that a value of the column lies in, -1 for nulls; greater values never lie in earlier ranges.
 
     Ranges are cut at values of a hashed sample of the column's distinct values,
-    of which the driver holds ``BOUND_ROWS`` at most.
+    of which the driver holds ``BOUND_ROWS`` at most; how many values there are
+    is estimated.  A value is looked for among every ``STEP``-th bound and then
+    among the bounds behind the one found.
     """
     key = F.col(column)
-    values = df.select(key.alias("v")).filter("v is not null").distinct()
-    share = F.lit(max(1, values.count() // (BOUND_ROWS // 2)))
-    some = sorted(r["v"] for r in values.filter(F.pmod(F.xxhash64("v"), share) == 0).limit(BOUND_ROWS).collect())
+    values = df.select(key.alias("v")).filter("v is not null")
+    share = F.lit(max(1, values.agg(F.approx_count_distinct("v")).first()[0] // (BOUND_ROWS // 2)))
+    some = sorted(r["v"] for r in values.filter(F.pmod(F.xxhash64("v"), share) == 0).distinct().limit(BOUND_ROWS).collect())
     bounds = some[:: max(1, len(some) // RANGES)]
     place = F.lit(0)
     if bounds:
-        array = F.array(*[F.lit(b).cast(df.schema[column].dataType) for b in bounds])
-        place = F.size(F.filter(array, lambda b: b <= key))
-    return df.withColumn(name, F.when(key.isNull(), F.lit(-1)).otherwise(place))
+        kind = df.schema[column].dataType
+        array = lambda some: F.array(*[F.lit(b).cast(kind) for b in some])
+        upto = lambda some: F.size(F.filter(some, lambda b: b <= key))
+        steps = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+        coarse = upto(array([s[0] for s in steps]))
+        fine = upto(F.get(F.array(*[array(s) for s in steps]), F.col("_step") - 1))
+        place = F.when(F.col("_step") == 0, F.lit(0)).otherwise((F.col("_step") - 1) * STEP + fine)
+        df = df.withColumn("_step", F.when(key.isNotNull(), coarse))
+    return df.withColumn(name, F.when(key.isNull(), F.lit(-1)).otherwise(place)).drop("_step")
 
 
 def numbered_by(df: DataFrame, order: list[str], within: list[str] | None = None, number: str = "rn") -> DataFrame:

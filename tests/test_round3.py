@@ -175,3 +175,14 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     scenes = readers.scene_folders(spark, path, "*.txt", least=450, most=450)
     assert scenes.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism and scenes.count() == 2
     assert not list((tmp_path / "f").glob("**/_SUCCESS"))  # no job moves the files
+
+
+def test_a_range_is_found_in_two_steps(spark):
+    from loomwork.operators import ordering
+
+    df = spark.createDataFrame([(i * 7 % 5000 if i % 97 else None,) for i in range(5000)], "v int")
+    placed = ordering.in_ranges(df, "v")
+    assert placed.columns == ["v", "_range"] and "_step" in placed._jdf.queryExecution().logical().toString()
+    rows = sorted((-1 if r["v"] is None else r["v"], r["_range"]) for r in placed.collect())
+    assert [r for _, r in rows] == sorted(r for _, r in rows) and len({r for _, r in rows}) > 200
+    assert {r for v, r in rows if v == -1} == {-1} and ordering.in_ranges(df.filter("v is null"), "v").filter("_range = -1").count() == 52
