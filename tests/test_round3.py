@@ -186,3 +186,31 @@ def test_a_range_is_found_in_two_steps(spark):
     rows = sorted((-1 if r["v"] is None else r["v"], r["_range"]) for r in placed.collect())
     assert [r for _, r in rows] == sorted(r for _, r in rows) and len({r for _, r in rows}) > 200
     assert {r for v, r in rows if v == -1} == {-1} and ordering.in_ranges(df.filter("v is null"), "v").filter("_range = -1").count() == 52
+
+
+def test_waiting_samples_share_entries_of_the_state():
+    from loomwork.streaming import packing
+
+    class State(dict):
+        calls = 0
+
+        def updateValue(self, k, v):
+            self.calls, self[k] = self.calls + 1, v
+
+        def getValue(self, k):
+            self.calls += 1
+            return self[k]
+
+        def removeKey(self, k):
+            self.calls += 1
+            del self[k]
+
+    state, ends, got = State(), {}, []
+    for part in range(5):
+        queue = packing.StateQueue("de", state, ends)
+        for i in range(3000):
+            queue.append((3000 * part + i, i))
+        got += [queue.popleft()[0] for _ in range(1700)]
+        queue.flush()
+    got += [i for i, _ in packing.StateQueue("de", state, ends)]
+    assert got == list(range(15_000)) and not state and state.calls < 150
