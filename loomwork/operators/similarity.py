@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block at least, and at most; between them a table is cut into ``SIDE`` blocks.
@@ -24,6 +24,13 @@ def _block_size(rows: int, block: int) -> int:
     return max(block, min(MOST, -(-rows // SIDE)))
 
 
+def _round9(far: np.ndarray) -> np.ndarray:
+    """To 9 digits, half away from zero, as SQL does; numpy's goes to the even one."""
+    far = far * 1e9
+    whole = np.floor(far)
+    return (whole + (far - whole >= 0.5)) / 1e9
+
+
 def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(q, id, distance) of the ``k`` nearest rows ``y``, whose ids ascend, of each row ``x``; distances are rounded to 9 digits.
 
@@ -36,8 +43,10 @@ def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     if not len(x) or not len(y):
         return none
+    given_x, given_y = x, y
     if metric == "cosine":
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+        square_x, square_y = (np.where(s > 0, s, 1) for s in ((m**2).sum(1) for m in (x, y)))
+        x, y = x / np.sqrt(square_x)[:, None], y / np.sqrt(square_y)[:, None]
     less = np.zeros(len(y)) if metric == "cosine" else (y**2).sum(1) / 2  # the nearest y has the greatest x.y - y.y / 2
     far_x, far_y = (float(np.sqrt((m**2).sum(1).max())) for m in (x, y))
     kind = np.float32 if max(far_x, far_y) < 1e15 else np.float64
@@ -46,7 +55,8 @@ def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int
     wide = np.zeros((width + 1, runs * RUN), kind)
     wide[:width, :n], wide[width, :n], wide[width, n:] = y.T, -less, -np.inf
     margin = 2 * (width + 16) * 2.0**-24 * (far_x * far_y + float(less.max())) + 2e-9 * max(1.0, far_x + far_y)
-    spare = k + 1  # a row itself may be among its nearest
+    ends = [np.searchsorted(di, di, side) for side in ("left", "right")]
+    spare = k + int(((ends[1] - 1) // RUN - ends[0] // RUN).max()) + 1  # so many runs may be led by rows of a row's own id
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, STRIP // (runs * RUN))
     for at in range(0, len(x), step):
@@ -62,8 +72,11 @@ def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int
             r, c = at + r[i], c[i] * RUN + j
             keep = qi[r] != di[c]
             r, c = r[keep], c[keep]
-            far = 1 - np.einsum("ij,ij->i", x[r], y[c]) if metric == "cosine" else np.sqrt(((x[r] - y[c]) ** 2).sum(1))
-            far = np.round(far, 9) + 0.0
+            if metric == "cosine":
+                far = 1 - np.clip(np.einsum("ij,ij->i", given_x[r], given_y[c]) / np.sqrt(square_x[r] * square_y[c]), -1, 1)
+            else:
+                far = np.sqrt(((x[r] - y[c]) ** 2).sum(1))
+            far = _round9(far)
             order = np.lexsort((c, far, r))
             r, c, far = r[order], c[order], far[order]
             best = np.arange(len(r)) - np.searchsorted(r, r) < k  # a row whose candidates go on has more, which are merged later
@@ -74,19 +87,43 @@ def nearest(x: np.ndarray, y: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int
     return q, d, far
 
 
+def _kind(vector: Column, metric: str) -> Column:
+    """0 of a vector that has distances; 1 if it isn't finite or, by cosine, is zero: they are NaN; 2 if it is null: so are they."""
+    least, most = F.array_min(vector), F.array_max(vector)  # NaN is the greatest
+    sound = (least > float("-inf")) & (most < float("inf")) & ((least < 0) | (most > 0) | F.lit(metric != "cosine"))
+    return F.when(vector.isNull(), 2).when(sound, 0).otherwise(1)
+
+
+def _without_distance(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """(q, id, distance) of pairs whose distance is NaN or null, as far as they may be among a row's ``k`` first: each kind's lowest ids."""
+    lowest = None
+    for kind in range(3):
+        ids = b.filter(F.col("kind") == kind).groupBy("id").agg(F.least(F.count("*"), F.lit(k)).alias("n")).orderBy("id").limit(k + 1)
+        ids = ids.select("id", F.lit(kind).alias("other"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        lowest = ids if lowest is None else lowest.unionByName(ids)
+    worse = F.greatest("kind", "other")
+    pairs = a.select(F.col("id").alias("q"), "kind").join(F.broadcast(lowest), (worse > 0) & (F.col("q") != F.col("id")))
+    return pairs.select("q", "id", F.when(worse == 1, F.lit(float("nan"))).alias("distance"))
+
+
 def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", id_column: str = "id", vector: str = "v", block: int = BLOCK) -> DataFrame:
     """(q, id, distance, rank): the ``k`` nearest base rows of each query row, exact, lower ids first of equals.
 
     Both sides are dealt to hash blocks, each pair of blocks is matrix products
     that keep their own ``k`` best, and those are merged; memory is bounded by a
     block, and no pair of rows is a row of a join.  A row isn't its own neighbour.
-    All pairs are compared, which is quadratic by nature.
+    All pairs are compared, which is quadratic by nature.  Pairs without a distance
+    come last as in SQL: those with a vector that isn't finite or, by cosine, is
+    zero have NaN, and behind them those with a null vector have null.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(metric)
-    n_q, n_b = (max(1, -(-n // _block_size(n, block))) for n in (queries.count(), base.count()))
-    a = queries.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)))
-    b = base.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(n_b)))
+    a, b = (df.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("v")).filter("id is not null").withColumn("kind", _kind(F.col("v"), metric)) for df in (queries, base))
+    counts = [df.agg(F.count_if(F.col("kind") == 0), F.count_if(F.col("kind") > 0)).first() for df in (a, b)]
+    odd = _without_distance(a, b, k) if any(n for _, n in counts) else None
+    n_q, n_b = (max(1, -(-n // _block_size(n, block))) for n, _ in counts)
+    a = a.filter("kind = 0").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)))
+    b = b.filter("kind = 0").withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(n_b)))
     a = a.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))).withColumn("side", F.lit(0))
     b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("side", F.lit(1))
     both = a.select("qb", "bb", "side", "id", "v").unionByName(b.select("qb", "bb", "side", "id", "v"))
@@ -107,14 +144,15 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosin
 
     tasks = max(1, min(n_q * n_b, 4096))
     found = both.repartition(tasks, "qb", "bb").groupBy("qb", "bb").applyInArrow(best, "q bigint, id bigint, distance double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
+    found = found if odd is None else found.unionByName(odd)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("distance").asc_nulls_last(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def ratio_weights(pairs: DataFrame) -> DataFrame:
-    """(q, id, weight) of the first neighbour: 1 minus its distance over the second's."""
-    second = F.lead("distance").over(Window.partitionBy("q").orderBy("rank"))
-    weighed = pairs.withColumn("_d2", second).filter("rank = 1")
+    """(q, id, weight) of the first neighbour: 1 minus its distance over the second's; rows with one neighbour have none."""
+    w = Window.partitionBy("q").orderBy("rank")
+    weighed = pairs.withColumn("_d2", F.lead("distance").over(w)).withColumn("_r2", F.lead("rank").over(w)).filter("rank = 1 and _r2 = 2")
     return weighed.select("q", "id", (1 - F.col("distance") / F.greatest("_d2", F.lit(1e-9))).alias("weight"))
 
 
